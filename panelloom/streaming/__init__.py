@@ -1,0 +1 @@
+"""Empty on purpose: every input of the covered work is a finite file, so there is no stream to read."""
