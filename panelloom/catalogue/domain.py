@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from panelloom.catalogue.registry import query, rnd, rounded
 from panelloom.catalogue.sql import END, SEASON, START, TABLES, adjusted, anomalies
 from panelloom.functions import calendar as cal
-from panelloom.operators import joins
 from panelloom.plans import climate, events, macro, panel
 from panelloom.plans import tables as tb
 
@@ -28,7 +27,7 @@ def scaled_anomaly_quarter(spark, sf):
     """Share-weighted monthly index by region, its three-year norm, and the scaled quarterly anomaly."""
     index = climate.weighted_index(tb.monthly_values(spark, sf), tb.weights(spark, sf), "r_name", places=None)
     index = index.where(~F.col("is_total"))
-    long = climate.all_norms(index, ["region"], "value", [3], START, END)
+    long = climate.all_norms(index, ["region"], ["value"], [3], START, END)
     table = long.select(
         "region", "year", F.col("sub_period").alias("quarter"), "season", "value", F.col("mean_value").alias("norm"), *_PARTS
     )
@@ -40,7 +39,7 @@ def scaled_anomaly_quarter(spark, sf):
     f"SELECT norm_years, entity, period_idx, {rnd('value', 4)} AS value, {rnd('mean_value', 4)} AS mean_value, {rnd('deviation_value', 4)} AS deviation_value FROM value_anomalies",
 )
 def all_norms_long(spark, sf):
-    long = climate.all_norms(tb.monthly_values(spark, sf), ["entity"], "value", tb.NORMS, START, END)
+    long = climate.all_norms(tb.monthly_values(spark, sf), ["entity"], ["value"], tb.NORMS, START, END)
     columns = ["value", "mean_value", "deviation_value"]
     return rounded(long.select("norm_years", "entity", "period_idx", *columns), 4, *columns)
 
@@ -69,7 +68,7 @@ def _flag(season: str, extreme: str, opposite: str, name: str) -> str:
 )
 def extreme_flags(spark, sf):
     index = tb.shipments(spark, sf).select("entity", "period_idx", "temp")
-    long = climate.all_norms(index, ["entity"], "temp", tb.NORMS, START, END)
+    long = climate.all_norms(index, ["entity"], ["temp"], tb.NORMS, START, END)
     flagged = climate.extreme_season_flags(long, "deviation_temp", _THRESHOLD)
     return flagged.select("norm_years", "entity", "period_idx", "all_seasons", *_SEASONS, "c_winter")
 

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from panelloom.catalogue.registry import query, rnd, rounded
 from panelloom.catalogue.sql import END, START
-from panelloom.functions import calendar as cal
 from panelloom.operators import joins
 from panelloom.plans import climate
 from panelloom.plans import tables as tb

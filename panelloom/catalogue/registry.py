@@ -6,9 +6,9 @@ import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from panelloom.functions.numbers import TIE_TOLERANCE, round_places
+from panelloom.functions.numbers import TIE_TOLERANCE
+from panelloom.functions.text import ident, rounded_text
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -32,7 +32,9 @@ def query(covers: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def rounded(df: DataFrame, places: int, *columns: str) -> DataFrame:
-    return df.withColumns({c: round_places(F.col(c), places) for c in columns})
+    return df.selectExpr(
+        *[f"{rounded_text(ident(c), places, TIE_TOLERANCE)} AS {ident(c)}" if c in columns else ident(c) for c in df.columns]
+    )
 
 
 def rnd(expression: str, places: int) -> str:

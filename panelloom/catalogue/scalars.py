@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from panelloom.catalogue.registry import query, rnd, rounded
+from panelloom.catalogue.registry import query, rnd
 from panelloom.catalogue.sql import SEASON
 from panelloom.config import LONG_RUN_CUTOFFS, PROJECTION_CUTOFFS
 from panelloom.functions import calendar as cal

@@ -31,7 +31,7 @@ def csv_round_trip(spark, sf):
 def sheet_by_norm(spark, sf):
     path = scratch_path(spark, "norms")
     index = tb.shipments(spark, sf).select("entity", "period_idx", "temp")
-    norms = climate.all_norms(index, ["entity"], "temp", tb.NORMS, START, END)
+    norms = climate.all_norms(index, ["entity"], ["temp"], tb.NORMS, START, END)
     writers.write_by_key(norms.select("norm_years", "entity", "period_idx", "temp", "mean_temp"), path)
     sheet = readers.read_sheet(spark, path, "norm_years", 2)
     return rounded(sheet.select("norm_years", "entity", "period_idx", "temp", "mean_temp"), 6, "temp", "mean_temp")
@@ -44,7 +44,7 @@ def sheet_by_norm(spark, sf):
 def all_sheets(spark, sf):
     path = scratch_path(spark, "norms")
     index = tb.shipments(spark, sf).select("entity", "period_idx", "temp")
-    norms = climate.all_norms(index, ["entity"], "temp", tb.NORMS, START, END)
+    norms = climate.all_norms(index, ["entity"], ["temp"], tb.NORMS, START, END)
     writers.write_results(norms.select("norm_years", "entity", "period_idx", "deviation_temp"), path)
     sheets = readers.read_all_sheets(spark, path)
     return rounded(sheets.select("norm_years", "entity", "period_idx", "deviation_temp"), 6, "deviation_temp")

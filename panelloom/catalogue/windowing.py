@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from panelloom.catalogue.registry import query, rnd, rounded
 from panelloom.catalogue.sql import TABLES, norm_frames
-from panelloom.functions import calendar as cal
 from panelloom.operators import joins, windows
 from panelloom.operators.spline import spline_to_months
 from panelloom.plans import macro, panel
@@ -22,7 +21,8 @@ _W = "(PARTITION BY entity ORDER BY period_idx)"
     FROM ({norm_frames('value', 'monthly')})""",
 )
 def trailing_norm(spark, sf):
-    normed = windows.trailing_norms(tb.monthly_values(spark, sf), KEY, "value", tb.NORMS).drop("value")
+    normed = windows.trailing_norms(tb.monthly_values(spark, sf), KEY, ["value"], tb.NORMS)
+    normed = normed.select(*KEY, "period_idx", *[F.col(f"norm_{m}_value").alias(f"norm_{m}") for m in tb.NORMS])
     return rounded(normed, 4, "norm_1", "norm_2", "norm_3")
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelloom.functions import calendar as cal
+from panelloom.functions.text import ident
 
 
 def strict(aggregate: Column, x: Column) -> Column:
@@ -27,11 +28,11 @@ def sum_or_zero(x: Column) -> Column:
 
 def to_quarters(panel: DataFrame, keys: Sequence[str], values: Sequence[str], strict_mean: bool = False) -> DataFrame:
     """Monthly panel to quarterly means."""
-    means = []
-    for v in values:
-        mean = F.avg(v)
-        means.append((strict(mean, F.col(v)) if strict_mean else mean).alias(v))
-    return panel.groupBy(*keys, cal.month_to_quarter_index(F.col("period_idx")).alias("period_idx")).agg(*means)
+    means = {v: f"avg({ident(v)})" for v in values}
+    if strict_mean:
+        means = {v: f"CASE WHEN count({ident(v)}) = count(*) THEN {mean} END" for v, mean in means.items()}
+    quarter = cal.month_to_quarter_index(F.col("period_idx")).alias("period_idx")
+    return panel.groupBy(*keys, quarter).agg(*[F.expr(f"{mean} AS {ident(v)}") for v, mean in means.items()])
 
 
 def weighted_total(

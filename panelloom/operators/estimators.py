@@ -13,17 +13,30 @@ from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from panelloom.functions.text import idents
+
 # Bytes of sums a task may hold, and of dense columns it may unpack, before it passes them on.
 SUMS_BUDGET = 256 << 20
 BLOCK_BUDGET = 64 << 20
 
 ALIAS_TOLERANCE = 1e-10
 
+FIT_FIELDS = (
+    pa.field("spec_id", pa.string()),
+    pa.field("y", pa.string()),
+    pa.field("terms", pa.list_(pa.string())),
+    pa.field("beta", pa.list_(pa.float64())),
+    pa.field("cov", pa.list_(pa.float64())),
+    pa.field("aliased", pa.list_(pa.bool_())),
+    pa.field("r2", pa.float64()),
+    pa.field("n_obs", pa.int64()),
+    pa.field("n_periods", pa.int32()),
+)
+
 
 @dataclass(frozen=True)
 class Spec:
@@ -123,9 +136,8 @@ def period_products(
     layout = [(s.name, [at[c] for c in (s.y, *s.x)]) for s in specs]
     width, n_keys = len(columns), len(keys)
 
-    row = F.struct(
-        F.col("period_idx").alias("p"), F.array(*[F.col(c).cast("double") for c in columns]).alias("v")
-    )
+    vector = ", ".join(f"cast({c} AS double)" for c in idents(columns))
+    row = F.expr(f"named_struct('p', period_idx, 'v', array({vector}))")
     # One list per entity, at most one item per period of the calendar.
     packed = panel.groupBy(*keys, *entity).agg(F.collect_list(row).alias("series")).select(*keys, "series")
     schema = f"{_key_fields(panel, keys)}spec_id string, period_idx int, n bigint, products array<double>"
@@ -249,7 +261,14 @@ def _solve(
         cov[np.ix_(used, used)] = robust
     fitted = float(np.nansum(beta * total[1:, 0]))
     r2 = fitted / total[0, 0] if total[0, 0] > 0 else None
-    return {"beta": beta, "cov": cov, "aliased": np.isnan(beta), "r2": r2, "n_obs": n, "n_periods": n_periods}
+    return {
+        "beta": [None if np.isnan(b) else float(b) for b in beta],
+        "cov": cov.reshape(-1).tolist(),
+        "aliased": np.isnan(beta).tolist(),
+        "r2": r2,
+        "n_obs": n,
+        "n_periods": n_periods,
+    }
 
 
 def fit(
@@ -269,37 +288,35 @@ def fit(
     """
     terms = {s.name: list(s.x) for s in specs}
     outcome = {s.name: s.y for s in specs}
-    key_fields = panel.select(*keys).schema.fields
     schema = (
         f"{_key_fields(panel, keys)}spec_id string, y string, terms array<string>, beta array<double>, "
         "cov array<double>, aliased array<boolean>, r2 double, n_obs bigint, n_periods int"
     )
 
-    def one_spec(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("period_idx")
-        spec = rows["spec_id"].iloc[0]
-        side = len(terms[spec]) + 1
-        products = np.stack(rows["products"].to_numpy()).reshape(-1, side, side)
-        solved = _solve(
-            rows["period_idx"].to_numpy(), rows["n"].to_numpy(), products, max_lag, small_sample
-        )
-        record = {f.name: rows[f.name].iloc[0] for f in key_fields}
-        record |= {
-            "spec_id": spec,
-            "y": outcome[spec],
-            "terms": terms[spec],
-            "beta": [None if np.isnan(b) else float(b) for b in solved["beta"]],
-            "cov": solved["cov"].reshape(-1).tolist(),
-            "aliased": solved["aliased"].tolist(),
-            "r2": solved["r2"],
-            "n_obs": solved["n_obs"],
-            "n_periods": solved["n_periods"],
-        }
-        return pd.DataFrame([record])
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables = [b for b in batches if b.num_rows]
+        if not tables:
+            return
+        held = pa.Table.from_batches(tables).sort_by([(c, "ascending") for c in (*keys, "spec_id", "period_idx")])
+        ids = list(zip(*[held[c].to_pylist() for c in (*keys, "spec_id")]))
+        starts = [i for i, key in enumerate(ids) if i == 0 or key != ids[i - 1]]
+        periods, counts = held["period_idx"].to_numpy(), held["n"].to_numpy()
+        lists = held["products"].combine_chunks()
+        lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+        flat, offsets = lists.values.to_numpy(), lists.offsets.to_numpy()
+        rows = []
+        for start, stop in zip(starts, [*starts[1:], len(ids)]):
+            *group, spec = ids[start]
+            side = len(terms[spec]) + 1
+            products = flat[offsets[start] : offsets[stop]].reshape(-1, side, side)
+            solved = _solve(periods[start:stop], counts[start:stop], products, max_lag, small_sample)
+            rows.append({**dict(zip(keys, group)), "spec_id": spec, "y": outcome[spec], "terms": terms[spec], **solved})
+        arrow = pa.schema([held.schema.field(k) for k in keys] + list(FIT_FIELDS))
+        yield pa.RecordBatch.from_pylist(rows, arrow)
 
     products = period_products(panel, specs, entity, keys)
-    # A group is one specification: one k x k block per period.
-    return products.groupBy(*keys, "spec_id").applyInPandas(one_spec, schema)
+    # A task holds the specifications hashed to it, one k x k block per period each.
+    return products.repartition(*keys, "spec_id").mapInArrow(solve, schema)
 
 
 def coefficients(fits: DataFrame, keys: Sequence[str] = ()) -> DataFrame:

@@ -11,9 +11,10 @@ from collections.abc import Sequence
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from panelloom.functions.text import ident, idents, over
 from panelloom.operators.reshape import to_wide
 
 
@@ -46,8 +47,8 @@ def fold_full(long: DataFrame, keys: Sequence[str], name: str, value: str, names
 def complete_periods(
     panel: DataFrame,
     keys: Sequence[str],
-    low: Column | int | None = None,
-    high: Column | int | None = None,
+    low: int | None = None,
+    high: int | None = None,
     period: str = "period_idx",
 ) -> DataFrame:
     """Give every entity a row for each period, with NULL measures where it had none.
@@ -56,20 +57,15 @@ def complete_periods(
     the result stays partitioned by entity for the windows that follow. Without bounds the span is the
     entity's own; bounds only ever widen it.
     """
-    bound = lambda b: F.lit(b) if isinstance(b, int) else b
-    w = Window.partitionBy(*keys).orderBy(period)
-    here = F.col(period)
-    before, after = F.lag(period).over(w), F.lead(period).over(w)
-    start = here if low is None else F.when(before.isNull(), F.least(here, bound(low))).otherwise(here)
-    last = here if high is None else F.greatest(here, bound(high))
-    stop = F.when(after.isNull(), last).otherwise(after - 1)
+    series, at = over(keys, period), ident(period)
+    start = at if low is None else f"if(lag({at}) {series} IS NULL, least({at}, {low}), {at})"
+    last = at if high is None else f"greatest({at}, {high})"
+    stop = f"coalesce(lead({at}) {series} - 1, {last})"
     measures = [c for c in panel.columns if c not in (*keys, period)]
-    ranged = panel.withColumns({"_start": start, "_stop": stop})
-    filled = ranged.select(
-        *keys, *measures, F.col(period).alias("_at"), F.explode(F.sequence("_start", "_stop")).alias(period)
-    )
-    return filled.select(
-        *keys, period, *[F.when(F.col(period) == F.col("_at"), F.col(m)).alias(m) for m in measures]
+    ranged = panel.selectExpr("*", f"{start} AS _start", f"{stop} AS _stop")
+    ranged = ranged.selectExpr("*", "explode(sequence(_start, _stop)) AS _at")
+    return ranged.selectExpr(
+        *idents(keys), f"_at AS {at}", *[f"if(_at = {at}, {ident(m)}, NULL) AS {ident(m)}" for m in measures]
     )
 
 

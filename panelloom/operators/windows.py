@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from panelloom.config import rate_lag
 from panelloom.functions import calendar as cal
 from panelloom.functions.numbers import log_or_null
+from panelloom.functions.text import ident, idents, over
 
 
 def series_window(keys: Sequence[str], period: str = "period_idx"):
@@ -25,32 +26,39 @@ def series_window(keys: Sequence[str], period: str = "period_idx"):
 def trailing_norms(
     panel: DataFrame,
     keys: Sequence[str],
-    value: str,
+    values: Sequence[str],
     years: Sequence[int],
     freq: int = 12,
     exclude_current: bool = False,
 ) -> DataFrame:
-    """Mean over the last ``m`` years up to and including the period, for all ``m`` in one pass.
+    """Mean over the last ``m`` years up to and including the period, for all measures and ``m`` in one pass.
 
     Missing values are skipped. A norm is given only where the series reaches back over its whole window.
-    The frames count calendar periods, so gaps are allowed. Result columns: ``norm_<m>``.
+    The frames count calendar periods, so gaps are allowed. Result columns: ``norm_<m>_<value>``.
     """
-    w = series_window(keys)
-    first = F.min("period_idx").over(Window.partitionBy(*keys))
     late = 1 if exclude_current else 0
-    norms = {}
+    # The running minimum is the first period, and shares the sort of the frames.
+    so_far = over(keys, frame="ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW")
+    norms = []
     for m in years:
-        frame = w.rangeBetween(-(m * freq - 1) - late, -late)
-        full = F.col("period_idx") - first >= m * freq - 1 + late
-        norms[f"norm_{m}"] = F.when(full, F.avg(value).over(frame))
-    return panel.withColumns(norms)
+        length = m * freq - 1 + late
+        last = f"{late} PRECEDING" if late else "CURRENT ROW"
+        frame = over(keys, frame=f"RANGE BETWEEN {length} PRECEDING AND {last}")
+        norms += [
+            f"CASE WHEN period_idx - min(period_idx) {so_far} >= {length} THEN avg({ident(v)}) {frame} END AS {ident(f'norm_{m}_{v}')}"
+            for v in values
+        ]
+    return panel.selectExpr("*", *norms)
 
 
-def norms_long(panel: DataFrame, years: Sequence[int]) -> DataFrame:
-    """``norm_<m>`` columns to rows keyed by ``norm_years``; each stays in its partition."""
-    pairs = F.array(*[F.struct(F.lit(m).alias("norm_years"), F.col(f"norm_{m}").alias("norm")) for m in years])
-    kept = [c for c in panel.columns if c not in {f"norm_{m}" for m in years}]
-    return panel.select(*kept, F.inline(pairs))
+def norms_long(panel: DataFrame, values: Sequence[str], years: Sequence[int]) -> DataFrame:
+    """``norm_<m>_<value>`` columns to rows keyed by ``norm_years``, with one column ``mean_<value>`` each."""
+    rows = [
+        f"named_struct('norm_years', {m}, {', '.join(f"'mean_{v}', {ident(f'norm_{m}_{v}')}" for v in values)})" for m in years
+    ]
+    wide = {f"norm_{m}_{v}" for m in years for v in values}
+    kept = [c for c in panel.columns if c not in wide]
+    return panel.selectExpr(*idents(kept), f"inline(array({', '.join(rows)}))")
 
 
 def lag_lead(panel: DataFrame, keys: Sequence[str], value: str, lags: Sequence[int]) -> DataFrame:
@@ -204,41 +212,27 @@ def seasonal_adjust(
     cycles, with a gap or with a value that is not positive keeps its raw values. Each column gets a flag
     ``<column>_sa_ok``.
     """
-    w = series_window(keys, period)
-    entity = Window.partitionBy(*keys)
     half = freq // 2
-    panel = panel.withColumn("_sub", F.pmod(period, F.lit(freq)))
-    cycle = Window.partitionBy(*keys, "_sub")
-
-    def inner_sum(v: str) -> Column:
-        return F.sum(v).over(w.rowsBetween(-(half - 1), half - 1))
-
-    trends, factors, scaled, finals = {}, {}, {}, {}
+    inner = over(keys, period, f"ROWS BETWEEN {half - 1} PRECEDING AND {half - 1} FOLLOWING")
+    series, entity, cycle = over(keys, period), over(keys, None), over([*keys, "_sub"], None)
+    ratios, factors, checks, finals = [], [], [], []
     for v in values:
-        x = F.col(v)
-        trends[f"_r_{v}"] = F.try_divide(
-            x, (0.5 * F.lag(x, half).over(w) + inner_sum(v) + 0.5 * F.lead(x, half).over(w)) / freq
+        x, r, f, m, ok = (ident(n) for n in (v, f"_r_{v}", f"_f_{v}", f"_m_{v}", f"{v}_sa_ok"))
+        ends = f"0.5D * lag({x}, {half}) {series} + 0.5D * lead({x}, {half}) {series}"
+        ratios.append(f"try_divide({x}, (sum({x}) {inner} + {ends}) / {freq}) AS {r}")
+        factors.append(f"avg({r}) {cycle} AS {f}")
+        checks.append(
+            f"count(*) {entity} >= {2 * freq} AND count({x}) {entity} = count(*) {entity}"
+            f" AND coalesce(min({x}) {entity} > 0, false) AS {ok}"
         )
-        factors[f"_f_{v}"] = F.avg(f"_r_{v}").over(cycle)
         # Each sub-period counts once: a row is weighted by one over the rows of its sub-period.
-        share = F.lit(1.0) / F.count(F.lit(1)).over(cycle)
-        scaled[f"_w_{v}"] = share
-        ok = (
-            (F.count(F.lit(1)).over(entity) >= 2 * freq)
-            & (F.count(v).over(entity) == F.count(F.lit(1)).over(entity))
-            & (F.min(v).over(entity) > 0)
-        )
-        mean_factor = F.sum(F.col(f"_f_{v}") * F.col(f"_w_{v}")).over(entity) / freq
-        finals[f"{v}_sa_ok"] = F.coalesce(ok, F.lit(False))
-        finals[f"_m_{v}"] = mean_factor
-    panel = panel.withColumns(trends).withColumns({**factors, **scaled}).withColumns(finals)
-    panel = panel.withColumns(
-        {
-            v: F.when(F.col(f"{v}_sa_ok"), F.col(v) / (F.col(f"_f_{v}") / F.col(f"_m_{v}"))).otherwise(F.col(v))
-            for v in values
-        }
-    )
-    return panel.drop("_sub", *[f"_{p}_{v}" for v in values for p in "rfwm"])
+        checks.append(f"sum({f} / _n) {entity} / {freq} AS {m}")
+        finals.append(f"CASE WHEN {ok} THEN {x} / ({f} / {m}) ELSE {x} END AS {x}")
+        finals.append(ok)
+    kept = [c for c in panel.columns if c not in values]
+    trend = panel.selectExpr("*", f"pmod({ident(period)}, {freq}) AS _sub", *ratios)
+    scaled = trend.selectExpr("*", f"count(*) {cycle} AS _n", *factors).selectExpr("*", *checks)
+    return scaled.selectExpr(*idents(kept), *finals)
 
 
 def drop_undefined(panel: DataFrame, column: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelloom.functions import calendar as cal
-from panelloom.functions.numbers import negative_part, positive_part
+from panelloom.functions.text import ident
 from panelloom.operators import aggregate, selection, windows
 
 NATIONAL = "national"
@@ -87,9 +87,10 @@ def climate_norm(
     index: DataFrame, keys: Sequence[str], value: str, years: int, start: int, freq: int = 4
 ) -> DataFrame:
     """Trailing norm of a monthly index from month ``start`` on, by month or as quarterly mean."""
-    normed = windows.trailing_norms(index, keys, value, [years]).where(F.col("period_idx") >= start)
-    normed = normed.where(F.col(f"norm_{years}").isNotNull())
-    normed = normed.select(*keys, "period_idx", F.col(f"norm_{years}").alias("norm"))
+    normed = windows.trailing_norms(index, keys, [value], [years]).select(
+        *keys, "period_idx", F.col(f"norm_{years}_{value}").alias("norm")
+    )
+    normed = normed.where((F.col("period_idx") >= start) & F.col("norm").isNotNull())
     return aggregate.to_quarters(normed, keys, ["norm"]) if freq == 4 else normed
 
 
@@ -113,17 +114,18 @@ def with_calendar(panel: DataFrame, freq: int) -> DataFrame:
     )
 
 
-def anomaly(panel: DataFrame, value: str, norm: str, years: Column | int, suffix: str) -> DataFrame:
-    """Scaled deviation from the norm, 2/(m+1) (x - norm), with its size and its signed parts."""
-    m = F.lit(years) if isinstance(years, int) else years
-    deviation = F.lit(2.0) / (m + 1) * (F.col(value) - F.col(norm))
-    d = F.col(f"deviation_{suffix}")
-    return panel.withColumn(f"deviation_{suffix}", deviation).withColumns(
-        {
-            f"abs_deviation_{suffix}": F.abs(d),
-            f"pos_dev_{suffix}": positive_part(d),
-            f"neg_dev_{suffix}": negative_part(d),
-        }
+def anomaly(panel: DataFrame, value: str, norm: str, years: str | int, suffix: str) -> DataFrame:
+    """Scaled deviation from the norm, 2/(m+1) (x - norm), with its size and its signed parts.
+
+    ``years`` is m itself or the name of the column that holds it.
+    """
+    d = ident(f"deviation_{suffix}")
+    scaled = panel.selectExpr("*", f"2.0D / ({years} + 1) * ({ident(value)} - {ident(norm)}) AS {d}")
+    return scaled.selectExpr(
+        "*",
+        f"abs({d}) AS {ident(f'abs_deviation_{suffix}')}",
+        f"CASE WHEN {d} > 0 THEN {d} WHEN {d} <= 0 THEN 0D END AS {ident(f'pos_dev_{suffix}')}",
+        f"CASE WHEN {d} < 0 THEN -{d} WHEN {d} >= 0 THEN 0D END AS {ident(f'neg_dev_{suffix}')}",
     )
 
 
@@ -155,22 +157,22 @@ def extreme_season_flags(panel: DataFrame, deviation: str, threshold: float) ->
 def all_norms(
     index: DataFrame,
     keys: Sequence[str],
-    value: str,
+    values: Sequence[str],
     years: Sequence[int],
     start: int,
     end: int,
     freq: int = 4,
-    suffix: str | None = None,
 ) -> DataFrame:
-    """Observed value, norm and anomalies for every norm length, keyed by ``norm_years``.
+    """Observed values, norms and anomalies for every measure and norm length, keyed by ``norm_years``.
 
     The norms are frames of one window, the quarterly means one aggregation for all of them, and only the
     rolled-up rows are repeated per norm.
     """
-    suffix = suffix or value
-    names = [f"norm_{m}" for m in years]
+    names = [f"norm_{m}_{v}" for m in years for v in values]
     # The end may be cut before the window, since a norm looks back only; the start may not.
-    normed = windows.trailing_norms(index.where(F.col("period_idx") <= end), keys, value, years)
-    observed = observed_panel(normed, keys, [value, *names], start, end, freq)
-    long = windows.norms_long(observed, years).withColumnRenamed("norm", f"mean_{suffix}")
-    return anomaly(long, value, f"mean_{suffix}", F.col("norm_years"), suffix)
+    normed = windows.trailing_norms(index.where(F.col("period_idx") <= end), keys, values, years)
+    observed = observed_panel(normed, keys, [*values, *names], start, end, freq)
+    long = windows.norms_long(observed, values, years)
+    for v in values:
+        long = anomaly(long, v, f"mean_{v}", "norm_years", v)
+    return long

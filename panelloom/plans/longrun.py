@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelloom.config import LONG_RUN_CUTOFFS
-from panelloom.functions.numbers import log_or_null, stars
+from panelloom.functions.numbers import stars
+from panelloom.functions.text import ident, idents, log_of, over
 from panelloom.operators import estimators
 from panelloom.operators.estimators import Spec
-from panelloom.operators.windows import series_window
 
 # Shock variables of the nine models.
 MODELS = {
@@ -34,20 +34,15 @@ def lag_columns(
 
     Columns ``<name>@<j>``; the panel is gap-free by ``keys``. Two windows of one sort.
     """
-    w = series_window(keys)
-    base = panel.select(
-        *keys, "period_idx",
-        *[log_or_null(F.col(o)).alias(o) for o in outcomes], *[F.col(v).alias(v) for v in variables],
+    series, ids, names = over(keys), [*idents(keys), "period_idx"], [*outcomes, *variables]
+    base = panel.selectExpr(*ids, *[f"{log_of(ident(o))} AS {ident(o)}" for o in outcomes], *idents(variables))
+    shifted = base.selectExpr(
+        *ids, *[f"lag({ident(n)}, {j}) {series} AS {ident(f'_{n}_{j}')}" for n in names for j in range(lags + 2)]
     )
-    names = [*outcomes, *variables]
-    shifted = base.select(
-        *keys, "period_idx",
-        *[F.lag(n, j).over(w).alias(f"_{n}_{j}") for n in names for j in range(lags + 2)],
-    )
-    return shifted.select(
-        *keys, "period_idx",
+    return shifted.selectExpr(
+        *ids,
         *[
-            (F.col(f"_{n}_{j}") - F.col(f"_{n}_{j + 1}")).alias(f"{n}@{j}")
+            f"{ident(f'_{n}_{j}')} - {ident(f'_{n}_{j + 1}')} AS {ident(f'{n}@{j}')}"
             for n in names
             for j in range(lags + 1)
         ],
@@ -58,12 +53,15 @@ def difference_panel(
     panel: DataFrame, keys: Sequence[str], outcomes: Sequence[str], variables: Sequence[str]
 ) -> DataFrame:
     """Log differences of the outcomes and differences of the variables, first rows left out."""
-    w = series_window(keys)
-    logs = [(log_or_null(F.col(o)) - F.lag(log_or_null(F.col(o))).over(w)).alias(o) for o in outcomes]
-    steps = [(F.col(v) - F.lag(v).over(w)).alias(v) for v in variables]
-    first = F.lag("period_idx").over(w).isNull()
-    rows = panel.select(*keys, "period_idx", *logs, *steps, first.alias("_first"))
-    return rows.where(~F.col("_first")).drop("_first")
+    series, ids = over(keys), [*idents(keys), "period_idx"]
+    logs = [log_of(ident(o)) for o in outcomes]
+    rows = panel.selectExpr(
+        *ids,
+        *[f"{x} - lag({x}) {series} AS {ident(o)}" for x, o in zip(logs, outcomes)],
+        *[f"{v} - lag({v}) {series} AS {v}" for v in idents(variables)],
+        f"lag(period_idx) {series} IS NULL AS _first",
+    )
+    return rows.where("NOT _first").drop("_first")
 
 
 def model_specs(

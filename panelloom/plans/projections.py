@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from panelloom.config import PROJECTION_CUTOFFS, critical_value
 from panelloom.functions.numbers import log_or_null, stars
+from panelloom.functions.text import ident, idents, log_of, over
 from panelloom.operators import estimators
 from panelloom.operators.estimators import Spec
 from panelloom.operators.windows import series_window
@@ -22,28 +23,19 @@ def projection_columns(
     Per outcome ``y_<o>_<h>`` = log o(t+h) - log o(t-1) and ``l_<o>_<j>`` = lag j of its log difference; per
     shock ``d_<s>``, its first difference. One window gives all of them; the horizons share the lags.
     """
-    w = series_window(keys)
-    logs = panel.select(
-        *keys, "period_idx", *[F.col(s).alias(s) for s in shocks],
-        *[log_or_null(F.col(o)).alias(o) for o in outcomes],
-    )
-    shifted = logs.select(
-        *keys,
-        "period_idx",
-        *[(F.col(s) - F.lag(s).over(w)).alias(f"d_{s}") for s in shocks],
-        *[
-            F.lag(o, j).over(w).alias(f"_{o}_{j + horizon}")
-            for o in outcomes
-            for j in range(-horizon, horizon + 2)
-        ],
+    series, ids = over(keys), [*idents(keys), "period_idx"]
+    logs = panel.selectExpr(*ids, *idents(shocks), *[f"{log_of(ident(o))} AS {ident(o)}" for o in outcomes])
+    at = lambda o, j: ident(f"_{o}_{j + horizon}")
+    shifted = logs.selectExpr(
+        *ids,
+        *[f"{ident(s)} - lag({ident(s)}) {series} AS {ident(f'd_{s}')}" for s in shocks],
+        *[f"lag({ident(o)}, {j}) {series} AS {at(o, j)}" for o in outcomes for j in range(-horizon, horizon + 2)],
     )
-    at = lambda o, j: F.col(f"_{o}_{j + horizon}")
-    return shifted.select(
-        *keys,
-        "period_idx",
-        *[f"d_{s}" for s in shocks],
-        *[(at(o, -h) - at(o, 1)).alias(f"y_{o}_{h}") for o in outcomes for h in range(horizon + 1)],
-        *[(at(o, j) - at(o, j + 1)).alias(f"l_{o}_{j}") for o in outcomes for j in range(1, horizon + 1)],
+    return shifted.selectExpr(
+        *ids,
+        *[ident(f"d_{s}") for s in shocks],
+        *[f"{at(o, -h)} - {at(o, 1)} AS {ident(f'y_{o}_{h}')}" for o in outcomes for h in range(horizon + 1)],
+        *[f"{at(o, j)} - {at(o, j + 1)} AS {ident(f'l_{o}_{j}')}" for o in outcomes for j in range(1, horizon + 1)],
     )
 
 

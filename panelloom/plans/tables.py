@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from panelloom.functions import calendar as cal
 from panelloom.operators import aggregate, joins
 from panelloom.plans import climate, macro, panel
+from panelloom.schema import GIVEN_TABLES
 
 NORMS = (1, 2, 3)
 HORIZON = 4
@@ -43,29 +44,27 @@ SHOCKS = [f"{kind}_{v}" for v in ("temp", "precip") for kind in ("deviation", "p
 
 
 def read(spark: SparkSession, sf: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{table}.parquet")
+    return spark.read.schema(GIVEN_TABLES[table]).parquet(f"{sf}/{table}.parquet")
 
 
 def cents(amount: str) -> Column:
-    return F.round(F.col(amount) * 100).cast("bigint")
+    return F.expr(f"cast(round({amount} * 100) AS bigint)")
 
 
-def mean_of_cents(total: Column, n: Column) -> Column:
-    return F.try_divide(total / 100.0, n)
+MONTH = "cast(year({0}) * 12 + month({0}) - 1 AS int) AS period_idx"
+MEAN_CENTS = "sum(cents) / 100.0D / count(*)"
 
 
 def located_orders(spark: SparkSession, sf: str) -> DataFrame:
     """Orders with their customer's nation and segment."""
-    orders = read(spark, sf, "orders").select(
-        F.col("o_custkey").alias("c_custkey"),
+    orders = read(spark, sf, "orders").selectExpr(
+        "o_custkey AS c_custkey",
         "o_orderkey",
-        cal.month_index(F.col("o_orderdate").cast("date")).alias("period_idx"),
+        MONTH.format("o_orderdate"),
         "o_orderpriority",
-        cents("o_totalprice").alias("cents"),
-    )
-    customers = read(spark, sf, "customer").select(
-        "c_custkey", F.col("c_nationkey").alias("entity"), "c_mktsegment"
+        "cast(round(o_totalprice * 100) AS bigint) AS cents",
     )
+    customers = read(spark, sf, "customer").selectExpr("c_custkey", "c_nationkey AS entity", "c_mktsegment")
     return orders.join(customers, "c_custkey")
 
 
@@ -74,7 +73,7 @@ def monthly_values(spark: SparkSession, sf: str) -> DataFrame:
     return (
         located_orders(spark, sf)
         .groupBy("entity", "period_idx")
-        .agg(mean_of_cents(F.sum("cents"), F.count(F.lit(1))).alias("value"))
+        .agg(F.expr(f"{MEAN_CENTS} AS value"))
     )
 
 
@@ -100,27 +99,17 @@ def weights(spark: SparkSession, sf: str) -> DataFrame:
 
 def shipments(spark: SparkSession, sf: str) -> DataFrame:
     """Mean quantity and mean discount by supplier nation and ship month."""
-    lines = read(spark, sf, "lineitem").select(
-        F.col("l_suppkey").alias("s_suppkey"),
-        cal.month_index(F.col("l_shipdate").cast("date")).alias("period_idx"),
+    lines = read(spark, sf, "lineitem").selectExpr(
+        "l_suppkey AS s_suppkey",
+        MONTH.format("l_shipdate"),
         "l_quantity",
-        F.round(F.col("l_discount") * 100).cast("bigint").alias("points"),
+        "cast(round(l_discount * 100) AS bigint) AS points",
     )
-    suppliers = read(spark, sf, "supplier").select("s_suppkey", F.col("s_nationkey").alias("entity"))
-    return (
-        lines.join(suppliers, "s_suppkey")
-        .groupBy("entity", "period_idx")
-        .agg(
-            F.sum("l_quantity").alias("quantity"),
-            F.sum("points").alias("points"),
-            F.count(F.lit(1)).alias("n"),
-        )
-        .select(
-            "entity", "period_idx", "quantity",
-            (F.col("quantity") / F.col("n")).alias("temp"),
-            (F.col("points") / F.col("n")).alias("precip"),
-        )
+    suppliers = read(spark, sf, "supplier").selectExpr("s_suppkey", "s_nationkey AS entity")
+    totals = lines.join(suppliers, "s_suppkey").groupBy("entity", "period_idx").agg(
+        F.expr("sum(l_quantity) AS quantity"), F.expr("sum(points) AS points"), F.expr("count(*) AS n")
     )
+    return totals.selectExpr("entity", "period_idx", "quantity", "quantity / n AS temp", "points / n AS precip")
 
 
 def prices(spark: SparkSession, sf: str) -> DataFrame:
@@ -128,7 +117,7 @@ def prices(spark: SparkSession, sf: str) -> DataFrame:
     return (
         located_orders(spark, sf)
         .groupBy("entity", "period_idx", F.col("o_orderpriority").alias("category"))
-        .agg(mean_of_cents(F.sum("cents"), F.count(F.lit(1))).alias("value"))
+        .agg(F.expr(f"{MEAN_CENTS} AS value"))
     )
 
 
@@ -148,38 +137,44 @@ def outputs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def weather(spark: SparkSession, sf: str) -> DataFrame:
-    """Both weather measures with their anomalies, quarterly, by nation and norm."""
-    both = shipments(spark, sf)
+    """Both weather measures with their anomalies, quarterly, by nation and norm, from one scan and one window."""
+    both = shipments(spark, sf).select("entity", "period_idx", "temp", "precip")
+    return climate.all_norms(both, ["entity"], ["temp", "precip"], NORMS, START, END).drop("year", "sub_period")
+
+
+def weather_apart(spark: SparkSession, sf: str) -> DataFrame:
+    """The same from two separate sources, one per measure, joined in full."""
     frames = [
-        climate.all_norms(both.select("entity", "period_idx", v), ["entity"], v, NORMS, START, END)
+        climate.all_norms(
+            shipments(spark, sf).select("entity", "period_idx", v), ["entity"], [v], NORMS, START, END
+        )
         for v in ("temp", "precip")
     ]
-    return panel.merge_weather(
-        *frames, ["norm_years", "entity", "period_idx", "year", "sub_period", "season"]
-    ).drop("year", "sub_period")
+    keys = ["norm_years", "entity", "period_idx", "year", "sub_period", "season"]
+    return panel.merge_weather(*frames, keys).drop("year", "sub_period")
 
 
 def merged(spark: SparkSession, sf: str) -> DataFrame:
     """The full panel: prices, output and weather by norm, nation and quarter."""
     price = macro.price_panel(prices(spark, sf), PRIORITIES, START, END, adjusted=False)
-    return panel.merge_panel(price, outputs(spark, sf), weather(spark, sf), ["entity", "period_idx"])
+    return panel.merge_panel(price, outputs(spark, sf), weather_apart(spark, sf), ["entity", "period_idx"])
 
 
 def outcomes(spark: SparkSession, sf: str) -> DataFrame:
     """Quarterly price and output columns of the regressions, in one aggregation of the orders."""
-    n, total = F.count(F.lit(1)), F.sum("cents")
-    urgent = F.col("o_orderpriority").isin("1-URGENT", "2-HIGH")
-    primary = F.col("c_mktsegment").isin("AUTOMOBILE", "BUILDING")
-    part = lambda rows: F.sum(F.when(rows, F.col("cents")))
-    quarter = cal.month_to_quarter_index(F.col("period_idx"))
-    return located_orders(spark, sf).groupBy("entity", quarter.alias("period_idx")).agg(
-        mean_of_cents(total, n).alias("headline"),
-        mean_of_cents(part(urgent), F.count(F.when(urgent, 1))).alias("food"),
-        mean_of_cents(part(~urgent), F.count(F.when(~urgent, 1))).alias("energy"),
-        (total / 100.0).alias("gdp_total"),
-        (part(primary) / 100.0).alias("gdp_primary"),
-        (part(~primary) / 100.0).alias("gdp_secondary"),
-    )
+    urgent, primary = "o_orderpriority IN ('1-URGENT', '2-HIGH')", "c_mktsegment IN ('AUTOMOBILE', 'BUILDING')"
+    mean = "sum(cents) FILTER (WHERE {0}) / 100.0D / nullif(count(*) FILTER (WHERE {0}), 0)"
+    total = "sum(cents) FILTER (WHERE {0}) / 100.0D"
+    columns = {
+        "headline": MEAN_CENTS,
+        "food": mean.format(urgent),
+        "energy": mean.format(f"NOT {urgent}"),
+        "gdp_total": total.format("true"),
+        "gdp_primary": total.format(primary),
+        "gdp_secondary": total.format(f"NOT {primary}"),
+    }
+    quarter = F.expr("cast(floor(period_idx / 3) AS int) AS period_idx")
+    return located_orders(spark, sf).groupBy("entity", quarter).agg(*[F.expr(f"{x} AS {c}") for c, x in columns.items()])
 
 
 def model_panel(spark: SparkSession, sf: str) -> DataFrame:
