@@ -136,12 +136,13 @@ def histogram_season(spark, sf):
     return rounded(aggregate.histogram(_by_season(spark, sf), ["entity", "season"], "value", 10), 4, "bin_low")
 
 
-TABLES["summary_long"] = f"""
-SELECT region, 'gdp_total' AS var, 1 AS var_order, value AS x FROM (SELECT CAST(entity AS VARCHAR) AS region, gdp_total AS value FROM output_quarters)
-UNION ALL SELECT CAST(entity AS VARCHAR), 'deviation_temp', 2, deviation_temp FROM temp_anomalies WHERE norm_years = 1 AND deviation_temp IS NOT NULL"""
+TABLES["summary_long"] = """
+SELECT region, unnest(['gdp_total', 'deviation_temp']) AS var, unnest([1, 2]) AS var_order, unnest([gdp_total, deviation_temp]) AS x
+FROM (SELECT CAST(entity AS VARCHAR) AS region, gdp_total, deviation_temp FROM output_quarters
+  FULL JOIN (SELECT entity, period_idx, deviation_temp FROM temp_anomalies WHERE norm_years = 1) USING (entity, period_idx))"""
 
 _shown = ", ".join(
-    f"CASE WHEN var = 'gdp_total' THEN printf('%.2f', {rnd(c, 2)}) ELSE printf('%.4f', {rnd(c, 4)}) END AS {c}"
+    f"CASE WHEN {c} IS NULL THEN NULL WHEN var = 'gdp_total' THEN printf('%.2f', {rnd(c, 2)}) ELSE printf('%.4f', {rnd(c, 4)}) END AS {c}"
     for c in ("mean", "stdv", "p25", "p50", "p75")
 )
 

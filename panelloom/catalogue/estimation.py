@@ -297,7 +297,18 @@ def ardl_compare_view(spark, sf):
     return views.long_run_comparison(_long_run(spark, sf), [1, 2, 3], tb.NORMS, "gdp_total")
 
 
-@query("W12 E1", None)
+TABLES["design_rows"] = f"""
+SELECT CAST(norm_years AS VARCHAR) AS spec, e, t, unnest(range(4)) AS i, unnest([y, l1, l2, x]) AS v FROM (
+  SELECT norm_years, entity AS e, period_idx AS t, ln(gdp_total) AS y, ln(lag(gdp_total, 1) OVER {_W}) AS l1, ln(lag(gdp_total, 2) OVER {_W}) AS l2, deviation_temp AS x
+  FROM estimation_spine) WHERE y IS NOT NULL AND l1 IS NOT NULL AND l2 IS NOT NULL AND x IS NOT NULL"""
+
+
+@query(
+    "W12 E1 E2",
+    f"""WITH {within_fit("design_rows", 3, _BANDWIDTH, small_sample=False)}
+    SELECT CAST(fit.spec AS INTEGER) AS spec_id, 'x' || (beta.i - 1) AS term, {rnd('b', 6)} AS estimate, {rnd('sqrt(cov.v)', 6)} AS se, {rnd('r2', 6)} AS r2, n AS n_obs, CAST(periods AS INTEGER) AS n_periods
+    FROM fit JOIN beta ON beta.spec = fit.spec JOIN cov ON cov.spec = fit.spec AND cov.i = beta.i AND cov.j = beta.i""",
+)
 def fe_ols_batch(spark, sf):
     """Designs given as rows, one fit per outcome: output on its own two lags and the weather anomaly."""
     panel = tb.estimation(spark, sf)
@@ -307,4 +318,5 @@ def fe_ols_batch(spark, sf):
         F.array(*lags, F.col("deviation_temp")).alias("x"),
     )
     fits = estimators.fit_designs(rows, 3)
-    return rounded(estimators.coefficients(fits), 6, "estimate", "se", "r2", "t")
+    rows = estimators.coefficients(fits).select("spec_id", "term", "estimate", "se", "r2", "n_obs", "n_periods")
+    return rounded(rows, 6, "estimate", "se", "r2")

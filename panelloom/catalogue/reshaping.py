@@ -87,7 +87,7 @@ def bind_columns(spark, sf):
     f"""WITH s AS (SELECT c_mktsegment AS segment, c_nationkey AS entity, {rnd('avg(c_acctbal)', 2)} AS mean, {rnd('stddev_samp(c_acctbal)', 3)} AS sd
       FROM customer GROUP BY 1, 2),
     l AS (SELECT segment, entity, 1 AS line, 'mean' AS stat, printf('%.2f', mean) AS cell FROM s
-      UNION ALL SELECT segment, entity, 2, 'sd', '(' || printf('%.3f', sd) || ')' FROM s)
+      UNION ALL SELECT segment, entity, 2, 'sd', CASE WHEN sd IS NOT NULL THEN '(' || printf('%.3f', sd) || ')' END FROM s)
     SELECT segment, CASE WHEN "row" % 2 = 1 THEN entity END AS entity, stat, cell, "row" FROM (
       SELECT *, CAST(row_number() OVER (PARTITION BY segment ORDER BY entity, line) AS INTEGER) AS "row" FROM l)""",
 )

@@ -56,8 +56,8 @@ def stars(t: Column, cutoffs: Sequence[float], none: str | None = None) -> Colum
 
 
 def fixed_decimals(x: Column, places: int) -> Column:
-    """Text with a fixed number of decimals, no grouping."""
-    return F.format_string(f"%.{places}f", round_places(x, places))
+    """Text with a fixed number of decimals, no grouping; NULL stays NULL."""
+    return F.when(x.isNotNull(), F.format_string(f"%.{places}f", round_places(x, places)))
 
 
 def in_parentheses(text: Column) -> Column:
