@@ -61,26 +61,31 @@ def json_cells(df: DataFrame, keys: list[str], cell: str, value_type: str = "dou
 def month_table_from_text(lines: DataFrame, line: str = "value", file: str = "file") -> DataFrame:
     """Yearly text tables to rows ``(entity, period_idx, value)``.
 
-    A file holds one year, named in the file name. Its header line lists month abbreviations, each
-    data line is a name and one number per month; titles, notes and a yearly total column are dropped.
+    A file holds one year, named in the file name. Its header line is a name and month abbreviations, at most
+    followed by a yearly total; a data line is a name and its cells, as many as on the file's other data lines. Lines of
+    any other form (titles, notes) are dropped, and cells that are no number become NULL.
     """
     cells = lines.select(F.col(file).alias("file"), squish(F.col(line)).alias("line"))
     words = F.split("line", " ")
     is_month = lambda word: cal.month_number(word).isNotNull()
-    headers = (
-        cells.where(F.exists(words, is_month))
-        .select("file", words.alias("words"))
-        .select("file", F.slice("words", 2, F.size("words")).alias("labels"))
+    labels = F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0)))
+    headers = cells.select("file", labels.alias("labels")).withColumn(
+        "n_months", F.size(F.filter("labels", is_month))
     )
-    pattern = r"^(\D*?\S) ((?:-?[0-9][0-9.]*(?: |$))+)$"
+    headers = headers.where(
+        is_month(F.get("labels", F.lit(0))) & (F.size("labels") - F.col("n_months")).isin(0, 1)
+    )
+    pattern = r"^(\D*[^\s\d-]) (-?[0-9]\S*(?: \S+)*)$"
     data = cells.where(F.col("line").rlike(pattern)).select(
         "file",
         F.regexp_extract("line", pattern, 1).alias("entity"),
-        F.split(F.trim(F.regexp_extract("line", pattern, 2)), " ").alias("numbers"),
-    )
-    rows = data.join(headers, "file").select(
-        "file", "entity", F.posexplode("numbers").alias("pos", "number"), "labels"
+        F.split(F.regexp_extract("line", pattern, 2), " ").alias("numbers"),
     )
+    # One header per file, so the join adds no rows. All data lines of a file are equally long.
+    fits = data.join(headers.drop("n_months"), "file").where(F.size("numbers") <= F.size("labels"))
+    lengths = fits.groupBy("file").agg(F.max(F.size("numbers")).alias("length"))
+    rows = fits.join(lengths, "file").where(F.size("numbers") == F.col("length"))
+    rows = rows.select("entity", "file", F.posexplode("numbers").alias("pos", "number"), "labels")
     month = cal.month_number(F.get("labels", F.col("pos")))
     year = F.regexp_extract("file", r"(\d{4})", 1).try_cast("int")
     return (
