@@ -82,12 +82,12 @@ def dictionary_lookup(spark, sf):
 )
 def parameter_grid(spark, sf):
     """Which (norm, horizon) pairs each nation's series can carry."""
-    grid = joins.parameter_grid(spark, norm_years=tb.NORMS, horizon=range(tb.HORIZON + 1))
     spans = tb.monthly_values(spark, sf).groupBy("entity").agg(
         F.max("period_idx").alias("last"), F.min("period_idx").alias("first")
     )
     feasible = F.col("last") - F.col("horizon") >= F.col("first") + 12 * F.col("norm_years")
-    return spans.crossJoin(grid).select("norm_years", "horizon", "entity", feasible.alias("feasible"))
+    grid = joins.with_parameters(spans, norm_years=tb.NORMS, horizon=range(tb.HORIZON + 1))
+    return grid.select("norm_years", "horizon", "entity", feasible.alias("feasible"))
 
 
 @query("U1 A4", f"SELECT region, is_total, period_idx, {rnd('value', 4)} AS value FROM contributions UNION ALL SELECT region, is_total, period_idx, {rnd('value', 4)} FROM national_mean")

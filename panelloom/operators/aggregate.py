@@ -74,9 +74,9 @@ def entity_mean(panel: DataFrame, value: str = "value") -> DataFrame:
 
 
 def shares(df: DataFrame, entity: str, amount: str) -> DataFrame:
-    """Each entity's share of the grand total; the total is one row, so the cross join adds none."""
-    total = df.agg(F.sum(amount).alias("_total"))
-    return df.crossJoin(total).withColumn("weight", F.col(amount) / F.col("_total")).drop("_total")
+    """Each entity's share of the grand total, which is a scalar subquery: one value, no join."""
+    total = df.agg(F.sum(amount)).scalar()
+    return df.withColumn("weight", F.col(amount) / total)
 
 
 def ratio_of_sums(df: DataFrame, keys: Sequence[str], numerator: str, denominator: str, name: str) -> DataFrame:

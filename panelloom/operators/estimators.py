@@ -82,8 +82,10 @@ class _PeriodSums:
             used = np.flatnonzero(counts)
             if not len(used):
                 continue
-            width = sums.shape[1] * sums.shape[2]
-            flat = pa.array(sums[used].reshape(-1))
+            # The products are symmetric: half of them is enough.
+            half = np.triu_indices(sums.shape[1])
+            width = len(half[0])
+            flat = pa.array(sums[used][:, half[0], half[1]].reshape(-1))
             columns = [pa.array([group[i]] * len(used), schema.field(i).type) for i in range(n_keys)]
             columns += [
                 pa.array([spec] * len(used), pa.string()),
@@ -104,7 +106,12 @@ def _dense(entities: pa.StructArray | pa.ListArray, width: int) -> tuple[int, np
     values = rows.field("v").flatten().to_numpy(zero_copy_only=False).astype(float, copy=False)
     first = int(periods.min())
     block = np.full((len(lengths), int(periods.max()) - first + 1, width), np.nan)
-    block[np.repeat(np.arange(len(lengths)), lengths), periods - first] = values.reshape(-1, width)
+    at = (np.repeat(np.arange(len(lengths)), lengths), periods - first)
+    seen = np.zeros(block.shape[:2], dtype=bool)
+    seen[at] = True
+    if seen.sum() != len(periods):
+        raise ValueError("the panel has more than one row for an entity and period")
+    block[at] = values.reshape(-1, width)
     return first, block
 
 
@@ -129,7 +136,7 @@ def period_products(
     """Cross products of the demeaned (y, x) by group, specification and period.
 
     ``panel`` has one row per (keys, entity, period_idx). Complete cases and entity means are those of each
-    specification. Result: keys, ``spec_id``, ``period_idx``, ``n``, ``products`` (row-major, y first).
+    specification. Result: keys, ``spec_id``, ``period_idx``, ``n``, ``products`` (upper triangle by rows, y first).
     """
     columns = sorted({c for s in specs for c in (s.y, *s.x)})
     at = {c: i for i, c in enumerate(columns)}
@@ -213,6 +220,14 @@ def _merge_products(partial: DataFrame, keys: Sequence[str], schema: str) -> Dat
     return partial.repartition(*keys, "spec_id", "period_idx").mapInArrow(merge, schema)
 
 
+def _square(halves: np.ndarray, side: int) -> np.ndarray:
+    """Upper triangles to symmetric matrices."""
+    rows, columns = np.triu_indices(side)
+    full = np.empty((len(halves) // len(rows), side, side))
+    full[:, rows, columns] = full[:, columns, rows] = halves.reshape(-1, len(rows))
+    return full
+
+
 def _independent(gram: np.ndarray) -> list[int]:
     """Columns not spanned by earlier ones, by a Cholesky pass over the correlation-scaled Gram."""
     scale = np.sqrt(np.diag(gram))
@@ -308,7 +323,7 @@ def fit(
         for start, stop in zip(starts, [*starts[1:], len(ids)]):
             *group, spec = ids[start]
             side = len(terms[spec]) + 1
-            products = flat[offsets[start] : offsets[stop]].reshape(-1, side, side)
+            products = _square(flat[offsets[start] : offsets[stop]], side)
             solved = _solve(periods[start:stop], counts[start:stop], products, max_lag, small_sample)
             rows.append({**dict(zip(keys, group)), "spec_id": spec, "y": outcome[spec], "terms": terms[spec], **solved})
         arrow = pa.schema([held.schema.field(k) for k in keys] + list(FIT_FIELDS))

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelloom.functions.text import ident, idents, over
@@ -69,9 +69,8 @@ def complete_periods(
     )
 
 
-def parameter_grid(spark: SparkSession, **lists: Sequence[object]) -> DataFrame:
-    """Cross product of parameter lists as a table, built from literals inside the plan."""
-    grid = spark.range(1).select()
+def with_parameters(df: DataFrame, **lists: Sequence[object]) -> DataFrame:
+    """Each row once per combination of parameter values; the lists are literals, so nothing is joined."""
     for name, values in lists.items():
-        grid = grid.select("*", F.explode(F.array(*[F.lit(v) for v in values])).alias(name))
-    return grid
+        df = df.select("*", F.explode(F.array(*[F.lit(v) for v in values])).alias(name))
+    return df

@@ -17,6 +17,7 @@ from panelloom.config import rate_lag
 from panelloom.functions import calendar as cal
 from panelloom.functions.numbers import log_or_null
 from panelloom.functions.text import ident, idents, over
+from panelloom.session import ensure_checkpoint_dir
 
 
 def series_window(keys: Sequence[str], period: str = "period_idx"):
@@ -35,20 +36,34 @@ def trailing_norms(
 
     Missing values are skipped. A norm is given only where the series reaches back over its whole window.
     The frames count calendar periods, so gaps are allowed. Result columns: ``norm_<m>_<value>``.
+
+    A window's sum is the difference of two running sums, so a row costs the same for 40 years as for one. The
+    sums are of deviations from the series' first value, which keeps them small and a constant series exact.
     """
     late = 1 if exclude_current else 0
-    # The running minimum is the first period, and shares the sort of the frames.
     so_far = over(keys, frame="ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW")
+    known = {v: f"CASE WHEN NOT isnan({ident(v)}) THEN {ident(v)} END" for v in values}
+    based = panel.selectExpr(
+        "*",
+        f"min(period_idx) {so_far} AS _first",
+        *[f"first_value({x}, true) {so_far} AS {ident(f'_base_{v}')}" for v, x in known.items()],
+    )
+    based = based.selectExpr("*", *[f"{x} - {ident(f'_base_{v}')} AS {ident(f'_dev_{v}')}" for v, x in known.items()])
+
+    def up_to(back: int, function: str, v: str) -> str:
+        end = f"{back} PRECEDING" if back else "CURRENT ROW"
+        frame = over(keys, frame=f"RANGE BETWEEN UNBOUNDED PRECEDING AND {end}")
+        return f"coalesce({function}({ident(f'_dev_{v}')}) {frame}, 0)"
+
     norms = []
     for m in years:
         length = m * freq - 1 + late
-        last = f"{late} PRECEDING" if late else "CURRENT ROW"
-        frame = over(keys, frame=f"RANGE BETWEEN {length} PRECEDING AND {last}")
-        norms += [
-            f"CASE WHEN period_idx - min(period_idx) {so_far} >= {length} THEN avg({ident(v)}) {frame} END AS {ident(f'norm_{m}_{v}')}"
-            for v in values
-        ]
-    return panel.selectExpr("*", *norms)
+        for v in values:
+            total = f"({up_to(late, 'sum', v)} - {up_to(length + 1, 'sum', v)})"
+            count = f"({up_to(late, 'count', v)} - {up_to(length + 1, 'count', v)})"
+            mean = f"{ident(f'_base_{v}')} + {total} / nullif({count}, 0)"
+            norms.append(f"CASE WHEN period_idx - _first >= {length} THEN {mean} END AS {ident(f'norm_{m}_{v}')}")
+    return based.selectExpr(*idents(panel.columns), *norms)
 
 
 def norms_long(panel: DataFrame, values: Sequence[str], years: Sequence[int]) -> DataFrame:
@@ -158,6 +173,7 @@ def group_id(df: DataFrame, key: str, name: str = "group_id") -> DataFrame:
     partitions before it makes the numbers global, so no task holds all keys. The numbered keys are written
     once by ``checkpoint``, so both uses see the same partitions even when an executor is lost.
     """
+    ensure_checkpoint_dir(df.sparkSession)
     keys = df.select(key).where(F.col(key).isNotNull()).distinct()
     ordered = keys.repartitionByRange(key).sortWithinPartitions(key)
     placed = ordered.withColumn("_at", F.monotonically_increasing_id()).checkpoint()

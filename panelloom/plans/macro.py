@@ -100,10 +100,9 @@ def national_per_capita(
     dated = national.withColumn("period_idx", cal.parse_quarter(F.col("quarter"))).where(
         F.col("period_idx").isNotNull()
     )
-    scaled = dated.crossJoin(population_total).select(
-        F.lit(label).alias("region"),
-        "period_idx",
-        *[(F.col(s).cast("double") / F.col("population")).alias(s) for s in sectors],
+    heads = population_total.select("population").scalar()
+    scaled = dated.select(
+        F.lit(label).alias("region"), "period_idx", *[(F.col(s).cast("double") / heads).alias(s) for s in sectors]
     )
     return windows.seasonal_adjust(joins.complete_periods(scaled, ["region"]), ["region"], sectors, freq)
 

@@ -156,6 +156,12 @@ def test_entities_on_different_calendars(spark):
     assert row["estimate"] == pytest.approx(beta[0], rel=1e-9) and row["se"] == pytest.approx(se[0], rel=1e-9)
 
 
+def test_repeated_period_is_an_error(spark):
+    df = frame(spark, simulated(seed=1))
+    with pytest.raises(Exception, match="more than one row"):
+        estimators.fit(df.unionByName(df.limit(1)), SPECS[:1], ["e"]).collect()
+
+
 def test_designs_as_rows(spark):
     data = simulated(seed=12)
     designs = frame(spark, data).select(F.lit("d").alias("spec_id"), F.col("e").alias("entity"), "period_idx", "y", F.array("x1", "x2").alias("x"))

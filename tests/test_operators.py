@@ -91,6 +91,16 @@ def test_trailing_norm_counts_periods_not_rows(spark):
     assert got[23] == pytest.approx(sum(kept) / len(kept))
 
 
+def test_trailing_norm_skips_missing_values_and_equals_a_loop(spark):
+    data = [None, None] + [None if t % 7 == 0 else 1e6 + (t * 37 % 101) / 3 for t in range(60)]
+    data[20] = float("nan")
+    got = values(windows.trailing_norms(series(spark, data), KEY, ["x"], [1, 2]), "norm_2_x")
+    for t in range(23, len(data)):
+        kept = [v for v in data[t - 23 : t + 1] if v is not None and not math.isnan(v)]
+        assert got[t] == pytest.approx(sum(kept) / len(kept), rel=1e-14)
+    assert values(windows.trailing_norms(series(spark, [None] * 13), KEY, ["x"], [1]), "norm_1_x") == [None] * 13
+
+
 def test_norm_of_a_constant_is_the_constant(spark):
     got = values(windows.trailing_norms(series(spark, [7] * 40), KEY, ["x"], [3]), "norm_3_x")
     assert got[35:] == [7.0] * 5
