@@ -98,32 +98,35 @@ class _PeriodSums:
         self._bytes = 0
 
 
-def _dense(entities: pa.StructArray | pa.ListArray, width: int) -> tuple[int, np.ndarray]:
-    """Series of (period, columns) to an array (entity, period, column); absent periods are NaN."""
-    lengths = entities.value_lengths().to_numpy(zero_copy_only=False)
-    rows = entities.flatten()
-    periods = rows.field("p").to_numpy(zero_copy_only=False)
-    values = rows.field("v").flatten().to_numpy(zero_copy_only=False).astype(float, copy=False)
-    first = int(periods.min())
-    block = np.full((len(lengths), int(periods.max()) - first + 1, width), np.nan)
-    at = (np.repeat(np.arange(len(lengths)), lengths), periods - first)
-    seen = np.zeros(block.shape[:2], dtype=bool)
-    seen[at] = True
-    if seen.sum() != len(periods):
-        raise ValueError("the panel has more than one row for an entity and period")
-    block[at] = values.reshape(-1, width)
-    return first, block
-
-
-def _demeaned_products(block: np.ndarray, columns: Sequence[int]) -> tuple[np.ndarray, np.ndarray]:
-    """Row counts and cross products by period, over complete rows minus their entity's mean."""
-    z = block[:, :, columns]
-    complete = np.isfinite(z).all(axis=2)
-    z = np.where(complete[:, :, None], z, 0.0)
-    counts = np.maximum(complete.sum(axis=1), 1)
-    z = np.where(complete[:, :, None], z - (z.sum(axis=1) / counts[:, None])[:, None, :], 0.0)
-    by_period = np.ascontiguousarray(z.transpose(1, 0, 2))
-    return complete.sum(axis=0), by_period.transpose(0, 2, 1) @ by_period
+class _Block:
+    """Dense columns of some entities, laid out (period, column, entity), absent cells 0 and marked."""
+
+    def __init__(self, entities: pa.ListArray, width: int) -> None:
+        lengths = entities.value_lengths().to_numpy(zero_copy_only=False)
+        rows = entities.flatten()
+        periods = rows.field("p").to_numpy(zero_copy_only=False)
+        values = rows.field("v").flatten().to_numpy(zero_copy_only=False).astype(float, copy=False)
+        self.first = int(periods.min())
+        dense = np.full((int(periods.max()) - self.first + 1, len(lengths), width), np.nan)
+        at = (periods - self.first, np.repeat(np.arange(len(lengths)), lengths))
+        seen = np.zeros(dense.shape[:2], dtype=bool)
+        seen[at] = True
+        if seen.sum() != len(periods):
+            raise ValueError("the panel has more than one row for an entity and period")
+        dense[at] = values.reshape(-1, width)
+        self.values = np.ascontiguousarray(dense.transpose(0, 2, 1))
+        self.known = np.isfinite(self.values)
+        self.values[~self.known] = 0.0
+
+    def demeaned_products(self, columns: Sequence[int]) -> tuple[np.ndarray, np.ndarray]:
+        """Row counts and cross products by period, over complete rows minus their entity's mean."""
+        complete = self.known[:, columns].all(axis=1)
+        weight = complete.astype(float)[:, None, :]
+        z = self.values[:, columns]
+        z *= weight
+        z -= z.sum(axis=0) / np.maximum(weight.sum(axis=0), 1.0)
+        z *= weight
+        return complete.sum(axis=1), z @ z.transpose(0, 2, 1)
 
 
 def _key_fields(df: DataFrame, keys: Sequence[str]) -> str:
@@ -165,9 +168,9 @@ def period_products(
                 longest = max(int(series.value_lengths().to_numpy(zero_copy_only=False).max()), 1)
                 size = max(1, BLOCK_BUDGET // (longest * width * 8))
                 for start in range(0, len(rows), size):
-                    first, block = _dense(series.take(pa.array(rows[start : start + size])), width)
+                    block = _Block(series.take(pa.array(rows[start : start + size])), width)
                     for name, wanted in layout:
-                        held.add((group, name), first, *_demeaned_products(block, wanted))
+                        held.add((group, name), block.first, *block.demeaned_products(wanted))
                     if held.full:
                         yield from held.drain(arrow, n_keys)
         if arrow is not None:
