@@ -81,6 +81,18 @@ def summary_stats(spark, sf):
     return rounded(stats, 4, "mean", "stdv", "p25", "p50", "p75")
 
 
+@query(
+    "A8 N8",
+    f"""SELECT l_returnflag, {rnd('avg(l_extendedprice)', 2)} AS mean, {rnd('stddev_samp(l_extendedprice)', 2)} AS stdv,
+    {rnd('quantile_cont(l_extendedprice, 0.25)', 4)} AS p25, {rnd('quantile_cont(l_extendedprice, 0.5)', 4)} AS p50, {rnd('quantile_cont(l_extendedprice, 0.75)', 4)} AS p75
+    FROM lineitem GROUP BY 1""",
+)
+def summary_stats_rows(spark, sf):
+    """Exact quartiles over raw rows in three large groups."""
+    stats = aggregate.describe_rows(tb.read(spark, sf, "lineitem"), ["l_returnflag"], "l_extendedprice")
+    return rounded(rounded(stats, 2, "mean", "stdv"), 4, "p25", "p50", "p75")
+
+
 @query(
     "A9",
     f"""SELECT entity, period_idx, {rnd('(value - avg(value) OVER (PARTITION BY entity)) / stddev_samp(value) OVER (PARTITION BY entity)', 6)} AS z FROM monthly""",

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from panelloom.catalogue.registry import query, rnd, rounded
 from panelloom.catalogue.sql import TABLES, norm_frames
-from panelloom.operators import joins, windows
+from panelloom.operators import joins, ranking, windows
 from panelloom.operators.spline import spline_to_months
 from panelloom.plans import macro, panel
 from panelloom.plans import tables as tb
@@ -142,7 +142,7 @@ def annual_to_quarterly(spark, sf):
 
 @query("W9 F21", "SELECT c_custkey, c_name, CAST(dense_rank() OVER (ORDER BY c_name) AS BIGINT) AS group_id FROM customer")
 def group_id(spark, sf):
-    return windows.group_id(tb.read(spark, sf, "customer").select("c_custkey", "c_name"), "c_name")
+    return ranking.group_id(tb.read(spark, sf, "customer").select("c_custkey", "c_name"), "c_name")
 
 
 @query(

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from panelloom.functions import calendar as cal
 from panelloom.functions.text import ident
+from panelloom.operators.ranking import exact_quantiles
 
 
 def strict(aggregate: Column, x: Column) -> Column:
@@ -100,6 +101,15 @@ def describe_by(panel: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     )
 
 
+def describe_rows(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """``describe_by`` for raw rows, where one group may hold most of them."""
+    moments = df.groupBy(*keys).agg(F.avg(value).alias("mean"), F.stddev_samp(value).alias("stdv"))
+    names = {0.25: "p25", 0.5: "p50", 0.75: "p75"}
+    quartiles = exact_quantiles(df, keys, value, list(names)).groupBy(*keys).pivot("probability", list(names))
+    wide = quartiles.agg(F.first("quantile")).withColumnsRenamed({str(p): n for p, n in names.items()})
+    return moments.join(wide, list(keys), "left")
+
+
 def zscore(panel: DataFrame, keys: Sequence[str], value: str, name: str = "z") -> DataFrame:
     """Centre and scale each entity's series."""
     w = Window.partitionBy(*keys)

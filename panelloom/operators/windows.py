@@ -17,7 +17,6 @@ from panelloom.config import rate_lag
 from panelloom.functions import calendar as cal
 from panelloom.functions.numbers import log_or_null
 from panelloom.functions.text import ident, idents, over
-from panelloom.session import ensure_checkpoint_dir
 
 
 def series_window(keys: Sequence[str], period: str = "period_idx"):
@@ -166,28 +165,6 @@ def extrapolate_anchored(
     return staged.drop("_anchor", "_base", "_change")
 
 
-def group_id(df: DataFrame, key: str, name: str = "group_id") -> DataFrame:
-    """Number the groups 1, 2, ... in key order.
-
-    The distinct keys are range-partitioned and numbered within each partition; adding the size of the
-    partitions before it makes the numbers global, so no task holds all keys. The numbered keys are written
-    once by ``checkpoint``, so both uses see the same partitions even when an executor is lost.
-    """
-    ensure_checkpoint_dir(df.sparkSession)
-    keys = df.select(key).where(F.col(key).isNotNull()).distinct()
-    ordered = keys.repartitionByRange(key).sortWithinPartitions(key)
-    placed = ordered.withColumn("_at", F.monotonically_increasing_id()).checkpoint()
-    placed = placed.select(
-        key, F.shiftright("_at", 33).alias("_part"), F.col("_at").bitwiseAND((1 << 33) - 1).alias("_pos")
-    )
-    # One row per partition of the exchange, whatever the number of keys.
-    sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_size"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("_part", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset"))
-    ids = placed.join(offsets, "_part").select(key, (F.col("_offset") + F.col("_pos") + 1).alias(name))
-    return df.join(ids, key, "left")
-
-
 def window_bounds(panel: DataFrame, keys: Sequence[str], years: int, freq: int = 12) -> DataFrame:
     """First and last period of every full trailing window of ``years`` years."""
     size = years * freq

@@ -3,7 +3,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from panelloom.operators import aggregate, joins, reshape, selection, windows
+from panelloom.operators import aggregate, joins, ranking, reshape, selection, windows
 from panelloom.operators.spline import spline_to_months
 
 KEY = ["e"]
@@ -136,13 +136,13 @@ def test_fill_down(spark):
 
 def test_group_id_is_dense_and_ordered(spark, rows):
     df = spark.range(0, 5000, 1, 7).select((F.col("id") * 37 % 1000).cast("string").alias("k"))
-    got = rows(windows.group_id(df, "k").distinct(), "k", "group_id")
+    got = rows(ranking.group_id(df, "k").distinct(), "k", "group_id")
     assert [i for _, i in got] == list(range(1, 1001))
 
 
 def test_group_id_leaves_null_keys_null(spark):
     df = spark.createDataFrame([("b",), (None,), ("a",)], "k string")
-    assert {r["k"]: r["group_id"] for r in windows.group_id(df, "k").collect()} == {"a": 1, "b": 2, None: None}
+    assert {r["k"]: r["group_id"] for r in ranking.group_id(df, "k").collect()} == {"a": 1, "b": 2, None: None}
 
 
 def test_window_bounds(spark):
@@ -150,6 +150,20 @@ def test_window_bounds(spark):
     assert [tuple(r)[1:] for r in got] == [(2, 1, 3, 12), (2, 2, 4, 1), (2, 3, 4, 2)]
 
 
+@pytest.mark.parametrize("n", [1, 2, 3, 10, 1001])
+def test_exact_quantiles_equal_percentile(spark, n):
+    """Against the built-in aggregate, with a group that repeats one value and missing values."""
+    df = spark.range(0, n, 1, 6).select(
+        F.when(F.col("id") % 3 == 0, "hot").otherwise("cold").alias("g"),
+        F.when(F.col("id") % 2 == 0, 5.0).when(F.col("id") % 11 != 0, F.col("id") * 37 % 101 / 7).alias("x"),
+    )
+    got = {(r["g"], r["probability"]): r["quantile"] for r in ranking.exact_quantiles(df, ["g"], "x", [0.0, 0.1, 0.25, 0.5, 0.99, 1.0]).collect()}
+    for (group, p), quantile in got.items():
+        wanted = df.where(F.col("g") == group).agg(F.percentile("x", F.lit(p))).first()[0]
+        assert quantile == pytest.approx(wanted, rel=1e-12)
+    assert len(got) == 6 * df.where("x IS NOT NULL").select("g").distinct().count()
+
+
 def seasonal(n, freq, trend=0.0):
     shape = [0.8, 1.1, 1.3, 0.8] if freq == 4 else [1 + 0.1 * math.sin(k) for k in range(12)]
     return [(100 + trend * t) * shape[t % freq] for t in range(n)]
