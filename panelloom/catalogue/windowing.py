@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from panelloom.catalogue.registry import query, rnd, rounded
-from panelloom.catalogue.sql import TABLES, norm_frames
+from panelloom.catalogue.sql import TABLES, norm_frames, solved
 from panelloom.operators import joins, ranking, windows
 from panelloom.operators.spline import spline_to_months
 from panelloom.plans import macro, panel
@@ -168,7 +168,32 @@ def distributed_lags(spark, sf):
     return rounded(flat, 4, *[f"lag{j}" for j in range(4)])
 
 
-@query("W13")
+_KNOTS = (tb.END // 3) - (tb.START // 3) + 1
+
+# Natural cubic spline: second derivatives at the inner knots solve a tridiagonal system, by nation.
+TABLES["knots"] = """
+SELECT entity, x, y, i, n, x - lag(x) OVER w AS h0, lead(x) OVER w - x AS h1, (y - lag(y) OVER w) / (x - lag(x) OVER w) AS s0, (lead(y) OVER w - y) / (lead(x) OVER w - x) AS s1
+FROM (SELECT entity, period_idx * 3 + 1 AS x, gdp_total AS y, row_number() OVER (PARTITION BY entity ORDER BY period_idx) - 1 AS i, count(*) OVER (PARTITION BY entity) AS n
+  FROM output_quarters WHERE gdp_total IS NOT NULL)
+WINDOW w AS (PARTITION BY entity ORDER BY x)"""
+
+_PIECE = """CASE WHEN n = 1 THEN y ELSE (bend * pow(x1 - mo, 3) + bend1 * pow(mo - x, 3)) / (6.0 * (x1 - x))
+  + (y / (x1 - x) - bend * (x1 - x) / 6) * (x1 - mo) + (y1 / (x1 - x) - bend1 * (x1 - x) / 6) * (mo - x) END"""
+
+
+@query(
+    "W13",
+    f"""WITH cells AS MATERIALIZED (SELECT a.entity AS spec, a.i, b.i AS j,
+        CASE WHEN a.i = b.i THEN 2.0 * (a.h0 + a.h1) WHEN b.i = a.i - 1 THEN 1.0 * a.h0 WHEN b.i = a.i + 1 THEN 1.0 * a.h1 ELSE 0.0 END + 0e0 AS v
+      FROM knots a JOIN knots b ON a.entity = b.entity WHERE a.i BETWEEN 1 AND a.n - 2 AND b.i BETWEEN 1 AND a.n - 2),
+    {solved("cells", _KNOTS - 2)},
+    bends AS (SELECT inverse.spec AS entity, inverse.i, sum(inverse.v * 6 * (s1 - s0)) AS bend FROM inverse JOIN knots k ON k.entity = inverse.spec AND k.i = inverse.j GROUP BY 1, 2),
+    curve AS MATERIALIZED (SELECT k.*, coalesce(bend, 0.0) AS bend FROM knots k LEFT JOIN bends USING (entity, i)),
+    pieces AS MATERIALIZED (SELECT entity, i, n, x, y, bend, lead(x) OVER w AS x1, lead(y) OVER w AS y1, lead(bend) OVER w AS bend1 FROM curve WINDOW w AS (PARTITION BY entity ORDER BY i)),
+    months AS (SELECT entity, CAST(unnest(range(min(period_idx) * 3, max(period_idx) * 3 + 3)) AS INTEGER) AS mo FROM output_quarters GROUP BY 1),
+    spots AS (SELECT m.entity, m.mo, greatest(least(sum(CASE WHEN k.x <= m.mo THEN 1 ELSE 0 END) - 1, any_value(k.n) - 2), 0) AS i FROM months m JOIN knots k ON k.entity = m.entity GROUP BY 1, 2)
+    SELECT s.entity, s.mo AS period_idx, {rnd(_PIECE, 2)} AS value FROM spots s JOIN pieces p ON p.entity = s.entity AND p.i = s.i""",
+)
 def spline_monthly(spark, sf):
     quarters = tb.outputs(spark, sf).select("entity", "period_idx", "gdp_total")
     return rounded(spline_to_months(quarters, KEY, "gdp_total", "value"), 2, "value")

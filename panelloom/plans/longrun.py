@@ -32,17 +32,17 @@ def lag_columns(
 ) -> DataFrame:
     """Lags 0..p of the log difference of each outcome and of the difference of each variable.
 
-    Columns ``<name>@<j>``; the panel is gap-free by ``keys``. Two windows of one sort.
+    Columns ``<name>@<j>``; the panel is gap-free by ``keys``.
     """
     series, ids, names = over(keys), [*idents(keys), "period_idx"], [*outcomes, *variables]
-    base = panel.selectExpr(*ids, *[f"{log_of(ident(o))} AS {ident(o)}" for o in outcomes], *idents(variables))
-    shifted = base.selectExpr(
-        *ids, *[f"lag({ident(n)}, {j}) {series} AS {ident(f'_{n}_{j}')}" for n in names for j in range(lags + 2)]
-    )
+    values = [*[log_of(ident(o)) for o in outcomes], *idents(variables)]
+    # One struct per row, so that a lag is one window expression for all columns.
+    packed = panel.selectExpr(*ids, f"named_struct({', '.join(f"'{n}', {x}" for n, x in zip(names, values))}) AS _x")
+    shifted = packed.selectExpr(*ids, *[f"lag(_x, {j}) {series} AS _x{j}" for j in range(lags + 2)])
     return shifted.selectExpr(
         *ids,
         *[
-            f"{ident(f'_{n}_{j}')} - {ident(f'_{n}_{j + 1}')} AS {ident(f'{n}@{j}')}"
+            f"_x{j}.{ident(n)} - _x{j + 1}.{ident(n)} AS {ident(f'{n}@{j}')}"
             for n in names
             for j in range(lags + 1)
         ],

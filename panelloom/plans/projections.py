@@ -24,16 +24,18 @@ def projection_columns(
     shock ``d_<s>``, its first difference. One window gives all of them; the horizons share the lags.
     """
     series, ids = over(keys), [*idents(keys), "period_idx"]
-    logs = panel.selectExpr(*ids, *idents(shocks), *[f"{log_of(ident(o))} AS {ident(o)}" for o in outcomes])
-    at = lambda o, j: ident(f"_{o}_{j + horizon}")
-    shifted = logs.selectExpr(
-        *ids,
-        *[f"{ident(s)} - lag({ident(s)}) {series} AS {ident(f'd_{s}')}" for s in shocks],
-        *[f"lag({ident(o)}, {j}) {series} AS {at(o, j)}" for o in outcomes for j in range(-horizon, horizon + 2)],
-    )
+    logs = ", ".join(f"'{o}', {log_of(ident(o))}" for o in outcomes)
+    levels = ", ".join(f"'{s}', {ident(s)}" for s in shocks)
+    # One struct per row, so that a shift is one window expression for all outcomes.
+    packed = panel.selectExpr(*ids, f"named_struct({logs}) AS _o", f"named_struct({levels}) AS _s")
+    shifted = packed.selectExpr(
+        *ids, "_s", f"lag(_s) {series} AS _s1",
+        *[f"lag(_o, {j}) {series} AS _o{j + horizon}" for j in range(-horizon, horizon + 2)],
+    )
+    at = lambda o, j: f"_o{j + horizon}.{ident(o)}"
     return shifted.selectExpr(
         *ids,
-        *[ident(f"d_{s}") for s in shocks],
+        *[f"_s.{ident(s)} - _s1.{ident(s)} AS {ident(f'd_{s}')}" for s in shocks],
         *[f"{at(o, -h)} - {at(o, 1)} AS {ident(f'y_{o}_{h}')}" for o in outcomes for h in range(horizon + 1)],
         *[f"{at(o, j)} - {at(o, j + 1)} AS {ident(f'l_{o}_{j}')}" for o in outcomes for j in range(1, horizon + 1)],
     )
