@@ -79,14 +79,8 @@ def parse_month(text: Column) -> Column:
 def season(sub_period: Column, freq: int) -> Column:
     """Season label of a quarter (freq 4) or month (freq 12); other values give NULL."""
     labels = QUARTER_SEASONS if freq == 4 else MONTH_SEASONS
-    by_label: dict[str, list[int]] = {}
-    for value, label in labels.items():
-        by_label.setdefault(label, []).append(value)
-    (first, members), *rest = by_label.items()
-    chosen = F.when(sub_period.isin(members), first)
-    for label, members in rest:
-        chosen = chosen.when(sub_period.isin(members), label)
-    return chosen
+    labelled = F.expr("map(" + ", ".join(f"{value}, '{label}'" for value, label in labels.items()) + ")")
+    return F.try_element_at(labelled, sub_period.cast("int"))
 
 
 def month_number(abbreviation: Column) -> Column:

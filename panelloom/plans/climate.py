@@ -66,18 +66,17 @@ def weighted_index(
     Values are rounded half-even to ``places``, multiplied by the entity's national share and summed by group.
     The national row is the mean of the weighted values over entities, or with ``national="sum"`` their sum.
     """
-    x = F.col(value) if places is None else F.bround(value, places)
+    x = ident(value) if places is None else f"bround({ident(value)}, {places})"
     joined = values.join(dimension.select(entity, group, *(["weight"] if weighted else [])), entity)
-    contribution = x * F.col("weight") if weighted else x
-    targets = F.array(
-        F.struct(F.col(group).cast("string").alias("region"), F.lit(False).alias("is_total")),
-        F.struct(F.lit(NATIONAL).alias("region"), F.lit(True).alias("is_total")),
-    )
-    rows = joined.select("period_idx", contribution.alias("_x"), F.inline(targets))
-    total = F.sum("_x") if national == "sum" else F.avg("_x")
-    index = rows.groupBy("region", "is_total", "period_idx").agg(
-        aggregate.strict(F.when(F.col("is_total"), total).otherwise(F.sum("_x")), F.col("_x")).alias(value)
+    rows = joined.selectExpr(
+        "period_idx",
+        f"{x} * weight AS _x" if weighted else f"{x} AS _x",
+        f"inline(array(named_struct('region', cast({ident(group)} AS string), 'is_total', false),"
+        f" named_struct('region', '{NATIONAL}', 'is_total', true)))",
     )
+    total = "sum(_x)" if national == "sum" else "avg(_x)"
+    strict = f"CASE WHEN count(_x) = count(*) THEN CASE WHEN is_total THEN {total} ELSE sum(_x) END END"
+    index = rows.groupBy("region", "is_total", "period_idx").agg(F.expr(f"{strict} AS {ident(value)}"))
     if centred:
         index = aggregate.zscore(index, ["region"], value, value)
     return index
@@ -108,10 +107,9 @@ def observed_panel(
 
 
 def with_calendar(panel: DataFrame, freq: int) -> DataFrame:
-    sub = cal.sub_period_of(F.col("period_idx"), freq)
-    return panel.withColumns(
-        {"year": cal.year_of(F.col("period_idx"), freq), "sub_period": sub, "season": cal.season(sub, freq)}
-    )
+    sub = f"cast(pmod(period_idx, {freq}) + 1 AS int)"
+    dated = panel.selectExpr("*", f"cast(floor(period_idx / {freq}) AS int) AS year", f"{sub} AS sub_period")
+    return dated.withColumn("season", cal.season(F.col("sub_period"), freq))
 
 
 def anomaly(panel: DataFrame, value: str, norm: str, years: str | int, suffix: str) -> DataFrame:

@@ -130,6 +130,7 @@ def test_names(spark):
     assert one(spark, names.repair_mojibake(F.col("t")), t="México") == "México"
     assert one(spark, names.strip_code_prefix(F.col("t")), t="09 Ciudad de México") == "Ciudad de México"
     assert one(spark, names.sentence_case(F.col("t")), t="pRIMARY sector") == "Primary sector"
+    assert one(spark, names.title_case(F.col("t")), t="baja california SUR") == "Baja California Sur"
     assert one(spark, names.extract_label(F.col("t"), ["Total", "primarias"]), t="Actividades primarias") == "primarias"
     assert one(spark, names.extract_label(F.col("t"), ["Total"]), t="none") is None
     assert names.slug_text("Población total (1)") == "poblacion_total_1"

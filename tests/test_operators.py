@@ -260,6 +260,11 @@ def test_pivot_and_unpivot_are_inverse(spark, rows):
     assert rows(reshape.to_wide(long, ["k"], "name", "v", ["a", "b"])) == rows(df)
 
 
+def test_parallel_arrays_to_rows(spark, rows):
+    df = spark.createDataFrame([(1, ["a", "b"], [0.1, None])], "k int, term array<string>, beta array<double>")
+    assert rows(reshape.tidy_vectors(df, ["k"], ["term", "beta"])) == [(1, 0, "a", 0.1), (1, 1, "b", None)]
+
+
 def test_selection_helpers(spark, rows):
     df = spark.createDataFrame([(1, 2, 3, 4)], ["gdp_total", "gdp_primary", "dev_temp", "temp"])
     assert selection.names_like(df, prefix="gdp") == ["gdp_total", "gdp_primary"]
