@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import functools
+import shutil
 import tempfile
 import uuid
 
@@ -26,17 +29,27 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8) -> SparkSession
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The cluster's shared folder, ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests) is a local one made and set.
+    A local session (tests) that names none gets one of its own, removed when Python ends. A cluster must name one:
+    a folder picked here would be local to one machine.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = tempfile.mkdtemp(prefix="panelloom-")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines of the cluster share")
+        root = _own_folder()
         spark.conf.set("spark.checkpoint.dir", root)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(root)
     return root
 
 
+@functools.cache
+def _own_folder() -> str:
+    root = tempfile.mkdtemp(prefix="panelloom-")
+    atexit.register(shutil.rmtree, root, ignore_errors=True)
+    return root
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder for a table under the shared folder."""
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
