@@ -5,15 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelloom.llm import byte_bpe, mixing, piece_counts
+from panelloom.llm import bitsliced, byte_bpe, embed_dedup, mixing, piece_counts
 from panelloom.llm.common import table
 
 
+def op2_bitsliced_topk(spark: SparkSession, folder: str) -> DataFrame:
+    return bitsliced.top_k(table(spark, folder, "embeddings"))
+
+
 def op4_piece_counts(spark: SparkSession, folder: str) -> DataFrame:
     counts = piece_counts.count_tokens(table(spark, folder, "documents"), ["doc_id"])
     return counts.withColumn("over_limit", F.col("n_tokens") > 4096)
 
 
+def op5_embed_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return embed_dedup.near_duplicates(table(spark, folder, "embeddings"))
+
+
 def op6_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     ids = byte_bpe.encode(table(spark, folder, "documents"), ["doc_id"])
     digests = ids.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), "ids")
@@ -26,9 +34,37 @@ def op7_source_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.copies(docs).selectExpr("doc_id", "size", "source_size", "target", "copies * size AS taken")
 
 
-QUERIES = {f.__name__: f for f in (op4_piece_counts, op6_byte_bpe, op7_source_mix)}
+QUERIES = {f.__name__: f for f in (op2_bitsliced_topk, op4_piece_counts, op5_embed_dedup, op6_byte_bpe, op7_source_mix)}
 
 ORACLES = {
+    "op2_bitsliced_topk": """
+WITH usable AS (
+  SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]))::BIGINT AS score
+  FROM usable q JOIN usable c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM scored
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10""",
+    "op5_embed_dedup": """
+WITH RECURSIVE usable AS MATERIALIZED (
+  SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links AS MATERIALIZED (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM usable a JOIN usable b
+    ON a.label = b.label AND len(a.v) = len(b.v) AND a.vec_id <> b.vec_id AND list_cosine_similarity(a.v, b.v) >= 0.93e0
+), reached AS (
+  SELECT a AS node, b AS other FROM links UNION SELECT node, b FROM reached JOIN links ON other = a
+), least AS (SELECT node, min(other) AS other FROM reached GROUP BY node),
+counted AS (SELECT a AS node, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, least(vec_id, coalesce(other, vec_id)) AS component_id,
+  vec_id = least(vec_id, coalesce(other, vec_id)) AS kept
+FROM embeddings e LEFT JOIN least l ON l.node = e.vec_id LEFT JOIN counted c ON c.node = e.vec_id""",
     "op7_source_mix": rf"""
 WITH sized AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents
