@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelloom.llm import bitsliced, byte_bpe, embed_dedup, mixing, piece_counts
+from panelloom.llm import bitsliced, byte_bpe, embed_dedup, minmax, mixing, piece_counts
 from panelloom.llm.common import table
 
 
@@ -34,7 +34,12 @@ def op7_source_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.copies(docs).selectExpr("doc_id", "size", "source_size", "target", "copies * size AS taken")
 
 
-QUERIES = {f.__name__: f for f in (op2_bitsliced_topk, op4_piece_counts, op5_embed_dedup, op6_byte_bpe, op7_source_mix)}
+def op8_minmax_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = minmax.near_duplicates(table(spark, folder, "documents").select("doc_id", "text"), width=3, percent=85)
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
+QUERIES = {f.__name__: f for f in (op2_bitsliced_topk, op4_piece_counts, op5_embed_dedup, op6_byte_bpe, op7_source_mix, op8_minmax_dedup)}
 
 ORACLES = {
     "op2_bitsliced_topk": """
@@ -90,4 +95,23 @@ WITH sized AS (
 SELECT doc_id, size, source_size, target,
   (size * (floor((i + 1) * rate + {mixing.OFFSET!r}e0) - floor(i * rate + {mixing.OFFSET!r}e0)))::BIGINT AS taken
 FROM rated""",
+    "op8_minmax_dedup": r"""
+WITH RECURSIVE worded AS MATERIALIZED (
+  SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), sets AS MATERIALIZED (
+  SELECT row, doc_id, CASE WHEN coalesce(len(w), 0) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_distinct(
+    list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s FROM worded
+), shingles AS MATERIALIZED (SELECT row, hash(unnest(s)) AS h FROM sets),
+sizes AS MATERIALIZED (SELECT row, doc_id, len(s) AS n FROM sets),
+met AS MATERIALIZED (
+  SELECT x.row AS a, y.row AS b, count(*) AS shared FROM shingles x JOIN shingles y ON x.h = y.h AND x.row <> y.row GROUP BY ALL
+), links AS MATERIALIZED (
+  SELECT a, b FROM met JOIN sizes x ON x.row = a JOIN sizes y ON y.row = b WHERE 100 * shared >= 85 * (x.n + y.n - shared)
+), reached AS (
+  SELECT a AS row, b AS other FROM links UNION SELECT reached.row, b FROM reached JOIN links ON other = a
+), least AS (SELECT r.row, min(doc_id) AS doc FROM reached r JOIN sizes ON sizes.row = other GROUP BY r.row)
+SELECT doc_id, n::BIGINT AS n_shingles, least(doc_id, coalesce(doc, doc_id)) AS component_id,
+  doc_id = least(doc_id, coalesce(doc, doc_id)) AS kept
+FROM sizes LEFT JOIN least USING (row)""",
 }
