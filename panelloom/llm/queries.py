@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelloom.llm import bitsliced, byte_bpe, embed_dedup, minmax, mixing, piece_counts
+from panelloom.llm import bitsliced, byte_bpe, embed_dedup, minmax, mixing, piece_counts, suffix_dedup
 from panelloom.llm.common import table
 
 
@@ -13,6 +13,11 @@ def op2_bitsliced_topk(spark: SparkSession, folder: str) -> DataFrame:
     return bitsliced.top_k(table(spark, folder, "embeddings"))
 
 
+def op3_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    kept = suffix_dedup.without_repeats(table(spark, folder, "documents"))
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op4_piece_counts(spark: SparkSession, folder: str) -> DataFrame:
     counts = piece_counts.count_tokens(table(spark, folder, "documents"), ["doc_id"])
     return counts.withColumn("over_limit", F.col("n_tokens") > 4096)
@@ -39,7 +44,7 @@ def op8_minmax_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op2_bitsliced_topk, op4_piece_counts, op5_embed_dedup, op6_byte_bpe, op7_source_mix, op8_minmax_dedup)}
+QUERIES = {f.__name__: f for f in (op2_bitsliced_topk, op3_suffix_dedup, op4_piece_counts, op5_embed_dedup, op6_byte_bpe, op7_source_mix, op8_minmax_dedup)}
 
 ORACLES = {
     "op2_bitsliced_topk": """
