@@ -51,15 +51,15 @@ def words_of(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(LOWER).split()
 
 
-def worker_state(key: tuple, make: Callable[[], object]) -> object:
-    """What ``make`` returns, made once in each Python worker and kept for its later tasks.
+def worker_state(key: tuple, make: Callable[[], object], version: str = "") -> object:
+    """What ``make`` returns, made once in each Python worker and kept for its later tasks; another version replaces it.
 
     Functions travel to the executors by value, so a global of this package would start empty in each task.
     """
     held = sys.modules.setdefault("_panelloom_worker", types.ModuleType("_panelloom_worker")).__dict__
-    if key not in held:
-        held[key] = make()
-    return held[key]
+    if held.get(key, ("",))[0] != version or key not in held:
+        held[key] = (version, make())
+    return held[key][1]
 
 
 class Memo(dict):

@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelloom.llm import bitsliced, byte_bpe, embed_dedup, minmax, mixing, piece_counts, suffix_dedup
+from panelloom.llm import bitsliced, byte_bpe, embed_dedup, maxent_lm, minmax, mixing, piece_counts, suffix_dedup, toxicity
 from panelloom.llm.common import table
 
+# Rows that no operator learns from; a row without an id is none of them.
+HELD_OUT = "coalesce(crc32(CAST(CAST(doc_id AS STRING) AS BINARY)) % {} = 2, false)"
+
 
 def op2_bitsliced_topk(spark: SparkSession, folder: str) -> DataFrame:
     return bitsliced.top_k(table(spark, folder, "embeddings"))
@@ -44,7 +47,22 @@ def op8_minmax_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op2_bitsliced_topk, op3_suffix_dedup, op4_piece_counts, op5_embed_dedup, op6_byte_bpe, op7_source_mix, op8_minmax_dedup)}
+def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    lexicon = toxicity.fit(docs, table(spark, folder, "labels"), f"NOT {HELD_OUT.format(4)}")
+    scores = toxicity.scored(docs, lexicon)
+    return scores.selectExpr("doc_id", f"{HELD_OUT.format(4)} AS held_out", "score", "CAST(score >= 0.3 AS INT) AS predicted")
+
+
+def op10_maxent_lm(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    scores = maxent_lm.scored(docs, f"NOT {HELD_OUT.format(7)}")
+    return scores.withColumn("held_out", F.expr(HELD_OUT.format(7))).select(
+        "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"
+    )
+
+
+QUERIES = {f.__name__: f for f in (op2_bitsliced_topk, op3_suffix_dedup, op4_piece_counts, op5_embed_dedup, op6_byte_bpe, op7_source_mix, op8_minmax_dedup, op9_toxicity, op10_maxent_lm)}
 
 ORACLES = {
     "op2_bitsliced_topk": """

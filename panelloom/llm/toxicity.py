@@ -2,12 +2,13 @@
 
 Folding lower-cases, maps look-alike letters of other scripts and digits that stand for letters to Latin ones, drops
 invisible characters and turns whatever is no letter into a space. Lexicon terms are whole words and beginnings of
-words, each with a weight: its log odds of toxic against other documents. A document's weights are summed, each word
-once with its heaviest term, and divided by its length in words; a logistic curve over the logarithm of that density
-gives the score. A word inside an exception phrase does not count.
+words, each with a weight: its log odds of toxic against other documents, less one standard error. A document's weights
+are summed, each word once with its heaviest term, and divided by its length in words; a logistic curve over the
+logarithm of that density, with a floor that a text without a hit has, gives the score. A word inside an exception
+phrase does not count.
 
 Lexicon, exception phrases and curve are learned from a sample of at most ``SAMPLE`` labelled documents, those with the
-least hash of their id, so the sample is the same on every run. Terms are counted by Spark jobs; only the chosen terms
+least hash of their id, so the sample is the same on every run; equal texts in it count once. Terms are counted by Spark jobs; only the chosen terms
 (at most ``TERMS``) and two numbers for each sampled document reach the driver.
 
 NULL and empty texts have no words and get the score of a text without a hit. With no labels, or none of one kind,
@@ -29,7 +30,8 @@ from panelloom.llm.common import map_arrow, worker_state
 
 SAMPLE = 20_000
 TERMS = 2_000
-LEAST_WEIGHT = 2.5
+LEAST_WEIGHT, LEAST_DOCUMENTS = 2.5, 3
+FLOOR = 0.005
 SHORTEST, LONGEST = 3, 8
 # Look-alikes of Latin letters, and signs that stand for letters.
 LOOKALIKES = {
@@ -95,7 +97,7 @@ class Lexicon:
             else:
                 hits[start] = max(weight, hits.get(start, 0.0))
         total = sum(w for start, w in hits.items() if not any(a <= start < b for a, b in excused))
-        return math.log((total + 1e-4) / (max(words, 0) + 10))
+        return math.log(total / (max(words, 0) + 10) + FLOOR)
 
     def score(self, density: float) -> float:
         return 1 / (1 + math.exp(min(700.0, -(self.at + self.slope * density)))) if self.slope else 0.0
@@ -106,7 +108,7 @@ def sampled(docs: DataFrame, labels: DataFrame, rows: str, sample: int) -> DataF
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(rows).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     few = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).withColumnRenamed("doc_id", "_id")
     # At most ``sample`` ids.
-    return docs.join(F.broadcast(few), F.expr("doc_id = _id")).select("toxic", F.coalesce("text", F.lit("")).alias("_text"))
+    return docs.join(F.broadcast(few), F.expr("doc_id = _id")).select("toxic", F.coalesce("text", F.lit("")).alias("_text")).distinct()
 
 
 def _counted(rows: DataFrame, terms_of) -> DataFrame:
@@ -149,18 +151,10 @@ def fit(docs: DataFrame, labels: DataFrame, rows: str = "true", sample: int = SA
     if not toxic or not other:
         return Lexicon({})
     counts = _counted(texts, candidate_terms)
-    odds = f"log((toxic + 0.5) / {toxic + 1}) - log((other + 0.5) / {other + 1})"
-    # A term needs as many toxic documents as chance seldom gives one of the many words.
-    often = max(4, math.ceil(0.004 * toxic))
-    strong = counts.where(f"toxic >= {often}").withColumn("weight", F.expr(odds)).where(f"weight >= {LEAST_WEIGHT}")
-    chosen = strong.orderBy(F.desc("toxic"), F.length("term"), "term").limit(TERMS * 5).collect()
-    weights: dict[str, float] = {}
-    # The shortest beginning stands for the longer terms that say no more.
-    for row in sorted(chosen, key=lambda r: (len(r["term"]), r["term"])):
-        term, weight = row["term"], row["weight"]
-        shorter = [weights[term[:n]] for n in range(SHORTEST + 1, len(term)) if term[:n] in weights]
-        if not shorter or max(shorter) < weight - 1.5:
-            weights[term] = weight
+    often = max(LEAST_DOCUMENTS, math.ceil(0.002 * toxic))
+    strong = counts.where(f"toxic >= {often}").withColumn("weight", F.expr(_weight("toxic", "other", toxic, other)))
+    chosen = strong.where(f"weight >= {LEAST_WEIGHT}").orderBy(F.desc("toxic"), F.length("term"), "term").limit(TERMS * 5).collect()
+    weights = without_kin({r["term"]: (r["toxic"], r["other"], r["weight"]) for r in chosen}, toxic, other, often)
     weights = dict(sorted(weights.items(), key=lambda kv: (-kv[1], kv[0]))[:TERMS])
 
     lexicon = Lexicon(weights)
@@ -175,6 +169,35 @@ def fit(docs: DataFrame, labels: DataFrame, rows: str = "true", sample: int = SA
     return Lexicon(lexicon.weights, lexicon.exceptions, *logistic(x, y))
 
 
+def _weight(a: str, b: str, toxic: int, other: int) -> str:
+    odds = f"ln(({a} + 0.5) / {toxic + 1}) - ln(({b} + 0.5) / {other + 1})"
+    return f"{odds} - sqrt(1 / ({a} + 0.5) + 1 / ({b} + 0.5))"
+
+
+def without_kin(terms: dict[str, tuple[int, int, float]], toxic: int, other: int, often: int) -> dict[str, float]:
+    """One term for each family of beginnings: a longer term that is in nearly all of a shorter one's toxic documents
+    stands for it; else the shorter one replaces longer ones that weigh no more, and stays beside heavier ones only if
+    it is strong enough without their documents."""
+    kept: dict[str, tuple[int, int, float]] = {}
+    for term in sorted(terms, key=lambda t: (-len(t), t)):
+        a, b, weight = terms[term]
+        kin = [t for t in kept if t.startswith(term)]
+        if any(20 * kept[t][0] >= 19 * a for t in kin):
+            continue
+        if all(kept[t][2] <= weight + 0.25 for t in kin):
+            for t in kin:
+                del kept[t]
+            kept[term] = terms[term]
+            continue
+        a, b = a - sum(kept[t][0] for t in kin), b - sum(kept[t][1] for t in kin)
+        if a >= often:
+            b = max(b, 0)
+            rest = math.log((a + 0.5) / (toxic + 1)) - math.log((b + 0.5) / (other + 1)) - math.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
+            if rest >= LEAST_WEIGHT:
+                kept[term] = (a, b, rest)
+    return {t: v[2] for t, v in kept.items()}
+
+
 def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 0.05) -> tuple[float, float]:
     """Newton steps for one variable, with a penalty on the slope that keeps separable data finite."""
     middle, spread = x.mean(), max(x.std(), 1e-9)
@@ -192,7 +215,7 @@ def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 0.05) -> tuple[float
 
 def _phrases(text: str, lexicon: Lexicon) -> set[str]:
     """The pairs of neighbouring words of which one is a hit."""
-    automaton = worker_state(("phrases", id(lexicon)), lexicon.automaton)
+    automaton = worker_state(("phrases",), lexicon.automaton, repr(lexicon))
     out = set()
     for end, (length, _) in automaton.iter(text) if len(automaton) else ():
         start = end - length + 1
