@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelloom.llm import bitsliced, byte_bpe, embed_dedup, maxent_lm, minmax, mixing, piece_counts, suffix_dedup, toxicity
+from panelloom.llm import bitsliced, byte_bpe, embed_dedup, maxent_lm, minmax, mixing, piece_counts, suffix_dedup, toxicity, url_rules
 from panelloom.llm.common import table
 
 # Rows that no operator learns from; a row without an id is none of them.
 HELD_OUT = "coalesce(crc32(CAST(CAST(doc_id AS STRING) AS BINARY)) % {} = 2, false)"
 
 
+def op1_url_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return url_rules.judged(table(spark, folder, "pages"))
+
+
 def op2_bitsliced_topk(spark: SparkSession, folder: str) -> DataFrame:
     return bitsliced.top_k(table(spark, folder, "embeddings"))
 
@@ -62,7 +66,7 @@ def op10_maxent_lm(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op2_bitsliced_topk, op3_suffix_dedup, op4_piece_counts, op5_embed_dedup, op6_byte_bpe, op7_source_mix, op8_minmax_dedup, op9_toxicity, op10_maxent_lm)}
+QUERIES = {f.__name__: f for f in (op1_url_rules, op2_bitsliced_topk, op3_suffix_dedup, op4_piece_counts, op5_embed_dedup, op6_byte_bpe, op7_source_mix, op8_minmax_dedup, op9_toxicity, op10_maxent_lm)}
 
 ORACLES = {
     "op2_bitsliced_topk": """
