@@ -180,3 +180,20 @@ def decode(df: DataFrame, keys: Sequence[str], path: str | None = None) -> DataF
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.binary())], names=[*keys, "decoded"])
 
     return map_arrow(rows, decoded, _schema(rows, keys, "decoded binary"))
+
+
+def unpacked(df: DataFrame) -> DataFrame:
+    """``df`` with its packed ``ids`` as an array of integers."""
+    names = df.columns
+    i = names.index("ids")
+
+    def unpack(batches):
+        for batch in batches:
+            packed = batch.column(i).to_pylist()
+            values = np.frombuffer(b"".join(packed), "<u4").astype(np.int32)
+            offsets = np.cumsum([0] + [len(p) // 4 for p in packed]).astype(np.int32)
+            columns = list(batch.columns)
+            columns[i] = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return map_arrow(df, unpack, _schema(df, [c for c in names[:i]], "ids array<int>", *(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in names[i + 1 :])))
