@@ -343,9 +343,9 @@ def _crowded_spans(fragments: DataFrame, length: int) -> DataFrame:
     return rows.join(many, F.expr("one = x AND two = y"), "left_semi").selectExpr("doc_id", "text_hash", "begin", f"begin + {length} AS end")
 
 
-def with_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crowd: int = CROWD) -> DataFrame:
-    """The rows of ``docs`` with ``spans`` beside them: stretches of bytes (begin, end) that repeat, perhaps overlapping;
-    NULL where nothing repeats."""
+def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crowd: int = CROWD) -> DataFrame:
+    """``doc_id, text_hash, spans`` of the texts in which something repeats: stretches of bytes (begin, end), perhaps
+    overlapping. Equal rows have one row here."""
     texts = docs.select("doc_id", "text")
     found = written(_elected(texts, Cutter(length, gram)))
     each = found.selectExpr("doc_id", "text_hash", "inline(arrays_zip(elected, content, at, own))")
@@ -375,9 +375,15 @@ def with_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crowd: i
     whole = whole.selectExpr("doc_id", "text_hash", "shiftright(at, 24) AS begin", f"shiftright(at, 24) + (at & 4095) + {length - 1} AS end")
     inner = found.where("size(spans) > 0").selectExpr("doc_id", "text_hash", "explode(sequence(0, size(spans) - 2, 2)) AS i", "spans")
     inner = inner.selectExpr("doc_id", "text_hash", "spans[i] AS begin", "spans[i + 1] AS end")
-    spans = whole.unionByName(sorted_out).unionByName(inner).groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("begin", "end")).alias("spans"))
-    met = docs.withColumn("_hash", F.expr(TEXT_HASH)).join(spans.withColumnsRenamed({"doc_id": "_d", "text_hash": "_t"}), F.expr("doc_id <=> _d AND _hash = _t"), "left")
-    return met.drop("_hash", "_d", "_t")
+    spans = whole.unionByName(sorted_out).unionByName(inner)
+    return spans.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("begin", "end")).alias("spans"))
+
+
+def _with_spans(rows: DataFrame, doc_id: str, text: str, spans: DataFrame) -> DataFrame:
+    """``rows`` with the column ``spans``; NULL where nothing repeats."""
+    hashed = rows.withColumn("_hash", F.expr(TEXT_HASH.replace("text", text)))
+    found = spans.withColumnsRenamed({"doc_id": "_d", "text_hash": "_t"})
+    return hashed.join(found, F.expr(f"{doc_id} <=> _d AND _hash = _t"), "left").drop("_hash", "_d", "_t")
 
 
 def _span_arrays(spans) -> tuple[np.ndarray, np.ndarray]:
@@ -400,7 +406,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             columns = [pa.array(column, kind) for column, kind in zip(zip(*out), kinds)] if out else [pa.array([], kind) for kind in kinds]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    rows = with_spans(docs.select("doc_id", "text"), length).selectExpr("doc_id", "coalesce(text, '') AS _text", "spans")
+    rows = _with_spans(docs.select("doc_id", "text"), "doc_id", "text", repeats(docs, length)).selectExpr("doc_id", "coalesce(text, '') AS _text", "spans")
     kind = rows.schema["doc_id"].dataType.simpleString()
     return map_arrow(rows, cut, f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")
 
@@ -434,6 +440,8 @@ def shortened(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             columns[i] = pa.array(out, columns[i].type)
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    rows = with_spans(docs, length)
-    cleaned = map_arrow(rows.select(*[F.col(f"`{c}`") for c in names], "spans"), cut, docs.schema)
+    # Columns get names of our own, so none of theirs can clash.
+    numbered = docs.toDF(*[f"_c{k}" for k in range(len(names))])
+    rows = _with_spans(numbered, f"_c{names.index('doc_id')}", f"_c{i}", repeats(docs, length))
+    cleaned = map_arrow(rows, cut, docs.schema)
     return cleaned.withColumn("n_chars", F.length("text").cast("bigint")) if "n_chars" in names else cleaned
