@@ -18,6 +18,7 @@ every score is 0. A doc_id with several labels is toxic if one of them says so.
 from __future__ import annotations
 
 import math
+import re
 import unicodedata
 from dataclasses import dataclass
 
@@ -41,6 +42,9 @@ LOOKALIKES = {
     "0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i",
 }
 
+# A mark that no letter follows is punctuation.
+LAST_MARK = re.compile(r"!(?!\w)")
+
 
 class Folding(dict):
     """Table for ``str.translate``, filled as characters come up."""
@@ -60,8 +64,9 @@ class Folding(dict):
 def folded(text: str) -> str:
     """The folded words between single spaces, with one at either end."""
     table = worker_state(("folding",), Folding)
-    # A mark at the end of a word is punctuation, not a letter.
-    return " " + " ".join(text.replace("! ", " ").replace("!\n", " ").translate(table).split()) + " "
+    if "!" in text:
+        text = LAST_MARK.sub(" ", text)
+    return " " + " ".join(text.translate(table).split()) + " "
 
 
 @dataclass(frozen=True)
