@@ -6,6 +6,7 @@ import sys
 import types
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -76,3 +77,48 @@ class Memo(dict):
                 self.clear()
             self[key] = value
         return value
+
+
+def runs(batches: Iterator[pa.RecordBatch], keys: Sequence[str]) -> Iterator[pa.Table]:
+    """The runs of rows that agree in the whole-number columns ``keys``; the batches come sorted by them."""
+
+    def whole(table: pa.Table, numbers: np.ndarray) -> Iterator[pa.Table]:
+        edges = np.flatnonzero(np.append(True, (numbers[:, 1:] != numbers[:, :-1]).any(axis=0))).tolist() + [len(table)]
+        for a, b in zip(edges[:-1], edges[1:]):
+            yield table.slice(a, b - a)
+
+    rest: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if rest and all(rest[-1][k][-1] == batch[k][0] for k in keys) and all(batch[k][0] == batch[k][-1] for k in keys):
+            rest.append(batch)
+            continue
+        table = pa.Table.from_batches([*rest, batch])
+        numbers = np.stack([table[k].to_numpy() for k in keys])
+        other = np.flatnonzero((numbers != numbers[:, -1:]).any(axis=0))
+        cut = int(other[-1]) + 1 if len(other) else 0
+        if cut:
+            yield from whole(table.slice(0, cut), numbers[:, :cut])
+        rest = table.slice(cut).to_batches()
+    if rest:
+        yield pa.Table.from_batches(rest)
+
+
+class Parts:
+    """Union of row numbers; the least number of a part is its root."""
+
+    def __init__(self, n: int):
+        self.up = np.arange(n)
+
+    def roots(self, rows: np.ndarray) -> np.ndarray:
+        at = self.up[rows]
+        while True:
+            above = self.up[at]
+            if np.array_equal(above, at):
+                return at
+            at = above
+
+    def join(self, rows: np.ndarray) -> None:
+        roots = np.unique(self.roots(rows))
+        self.up[roots] = roots[0]

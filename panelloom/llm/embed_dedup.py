@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelloom.llm.common import small_batches, written
+from panelloom.llm.common import Parts, small_batches, written
 from panelloom.llm.components import components
 
 BLOCK = 4096
@@ -65,25 +65,6 @@ def linked_tile(a: np.ndarray, b: np.ndarray, threshold: float):
         yield first, linked
 
 
-class Parts:
-    """Union of row numbers; the least number of a part is its root."""
-
-    def __init__(self, n: int):
-        self.up = np.arange(n)
-
-    def roots(self, rows: np.ndarray) -> np.ndarray:
-        at = self.up[rows]
-        while True:
-            above = self.up[at]
-            if np.array_equal(above, at):
-                return at
-            at = above
-
-    def join(self, rows: np.ndarray) -> None:
-        roots = np.unique(self.roots(rows))
-        self.up[roots] = roots[0]
-
-
 def tile_links(table: pa.Table, threshold: float) -> pa.Table:
     table = table.combine_chunks().sort_by("node")
     node, rows = table["node"].to_numpy(), table["n"].to_numpy()

@@ -8,11 +8,12 @@ Documents with equal sets are one node, found by a 128-bit digest before anythin
 copies cost one node. Two rounds find all links between nodes that the bands bring together:
 
 1. each node of a bucket with the bucket's least node;
-2. in the buckets that still hold several components, all pairs of different components whose signatures allow the
-   wanted similarity. Large buckets are dealt into tiles of bounded size.
+2. in the buckets that still hold several components, the nodes whose signatures allow the wanted similarity to a node
+   of another component form clusters; in a cluster all pairs of different components are compared. Buckets and
+   clusters are dealt into tiles of bounded size, and a tile passes on one link per node, never its pairs.
 
-A pair is compared on its full sets, which are made anew for the nodes that need them and shuffled by node; sets never
-travel with the bands. Only nodes and links are shuffled for the components.
+Pairs are compared on their full sets, which are made anew for the nodes that need them; sets never travel with the
+bands. A tile counts the shared shingles of all its pairs at once, by the product of two 0/1 matrices.
 
 Texts without words (or NULL) have an empty set and link with nothing. A repeated doc_id is a row of its own. Extra
 columns are not read.
@@ -28,12 +29,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelloom.llm.common import map_arrow, texts_of, written
+from panelloom.llm.common import Parts, map_arrow, runs, texts_of, written
 from panelloom.llm.components import components
 from panelloom.llm.shingles import mixed, shingle_sets
 
 PERMUTATIONS, BANDS, ROWS = 60, 24, 5
 TILE = 1024
+# Nodes and bytes of sets in one block of a cluster.
+BLOCK_NODES, BLOCK_BYTES = 2048, 8 << 20
+COLUMNS = 8 << 20
 _RANDOM = np.random.Generator(np.random.PCG64(20240502))
 FACTORS = _RANDOM.integers(1, 1 << 63, (PERMUTATIONS, 1), dtype=np.uint64) | np.uint64(1)
 FLIPS = _RANDOM.integers(0, 1 << 63, (PERMUTATIONS, 1), dtype=np.uint64)
@@ -145,54 +149,85 @@ def alike(pairs: DataFrame, marks: DataFrame, least: float) -> DataFrame:
     return map_arrow(met.select("a", "b", "one", "two"), kept, "a bigint, b bigint")
 
 
-def tile_pairs(rows: DataFrame, least: float) -> DataFrame:
-    """Pairs of different components in each tile (``key, i, j``) of ``rows`` (``node, label, marks, tile``) whose signatures agree.
-
-    A partition is sorted by tile and read in one pass; a tile of at most two blocks is held at once.
-    """
-
-    def tile(node, label, marks, side, i, j):
-        left, right = np.flatnonzero(side == i), np.flatnonzero(side == j)
-        for r in left:
-            others = right[right > r] if i == j else right
-            others = others[label[others] != label[r]]
-            if len(others):
-                others = others[(marks[others] == marks[r]).mean(axis=1) >= least]
-                for c in others:
-                    yield (node[r], node[c]) if node[r] < node[c] else (node[c], node[r])
-
-    def paired(batches):
-        rest = None
-        for batch in batches:
-            table = pa.Table.from_batches([batch] if rest is None else [*rest.to_batches(), batch])
-            key = np.stack([table[c].to_numpy() for c in ("key", "i", "j")])
-            last = np.flatnonzero((key != key[:, -1:]).any(axis=0))
-            whole = last[-1] + 1 if len(last) else 0
-            rest = table.slice(whole)
-            if whole:
-                yield from done(table.slice(0, whole))
-        if rest is not None and len(rest):
-            yield from done(rest)
-
-    def done(table):
-        key = np.stack([table[c].to_numpy() for c in ("key", "i", "j")])
-        edges = np.concatenate([[0], np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1, [len(table)]])
-        node, label, side = (table[c].to_numpy() for c in ("node", "label", "side"))
-        marks = np.frombuffer(b"".join(table["marks"].to_pylist()), np.uint8).reshape(len(table), -1)
-        pairs = set()
-        for a, b in zip(edges[:-1], edges[1:]):
-            pairs.update(tile(node[a:b], label[a:b], marks[a:b], side[a:b], key[1, a], key[2, a]))
-            if len(pairs) >= 1 << 16:
-                yield out(pairs)
-                pairs = set()
-        yield out(pairs)
-
-    def out(pairs):
-        both = np.array(sorted(pairs), np.int64).reshape(-1, 2)
-        return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
-
-    dealt = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return map_arrow(dealt.select("key", "i", "j", "side", "node", "label", "marks"), paired, "a bigint, b bigint").distinct()
+def _tree(node: np.ndarray, parts: Parts) -> pa.RecordBatch:
+    """One link for each row that is not the root of its part."""
+    root = parts.roots(np.arange(len(node)))
+    some = np.flatnonzero(root != np.arange(len(node)))
+    return pa.RecordBatch.from_arrays([pa.array(node[some]), pa.array(node[root[some]])], names=["a", "b"])
+
+
+def _dealt(rows: DataFrame, key: str) -> DataFrame:
+    """``rows`` (with ``node`` and ``tiles``), each copied to the pairs of blocks (``i``, ``j``) of its block ``side``."""
+    sided = rows.withColumn("side", F.expr("CAST(pmod(xxhash64(node), tiles) AS INT)")).withColumn("other", F.explode(F.expr("sequence(0, tiles - 1)")))
+    sided = sided.withColumns({"i": F.least("side", "other"), "j": F.greatest("side", "other")}).drop("tiles", "other")
+    return sided.repartition(key, "i", "j").sortWithinPartitions(key, "i", "j")
+
+
+def candidate_links(rows: DataFrame, least: float) -> DataFrame:
+    """Links that join all nodes of a tile of ``rows`` (``key, node, label, marks, tiles``) whose signatures agree and
+    whose labels differ."""
+
+    def linked(batches):
+        for table in runs(batches, ("key", "i", "j")):
+            node, label, side = (table[c].to_numpy() for c in ("node", "label", "side"))
+            marks = np.frombuffer(b"".join(table["marks"].to_pylist()), np.uint8).reshape(len(table), -1)
+            i, j = table["i"][0].as_py(), table["j"][0].as_py()
+            left, right = np.flatnonzero(side == i), np.flatnonzero(side == j)
+            parts = Parts(len(node))
+            for r in left:
+                others = right[right > r] if i == j else right
+                others = others[label[others] != label[r]]
+                if len(others):
+                    others = others[(marks[others] == marks[r]).mean(axis=1) >= least]
+                    if len(others):
+                        parts.join(np.append(others, r))
+            yield _tree(node, parts)
+
+    return map_arrow(_dealt(rows, "key").select("key", "i", "j", "side", "node", "label", "marks"), linked, "a bigint, b bigint").distinct()
+
+
+def shared_counts(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of the sets ``left`` with the sets ``right``."""
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    # A shingle of one set alone is shared by none.
+    place = np.cumsum(times > 1) - 1
+    common = times[column] > 1
+    owner, column = owner[common], place[column[common]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    out = np.zeros((len(left), len(right)), np.float32)
+    width = max(1, COLUMNS // max(1, len(sets)))
+    last = int(column[-1]) + 1 if len(column) else 0
+    for at in range(0, last, width):
+        a, b = np.searchsorted(column, (at, at + width))
+        flags = np.zeros((len(sets), min(width, last - at)), np.float32)
+        flags[owner[a:b], column[a:b] - at] = 1
+        out += flags[left] @ flags[right].T
+    return out
+
+
+def cluster_links(rows: DataFrame, percent: int) -> DataFrame:
+    """Links that join all nodes of a tile of ``rows`` (``cluster, node, label, hashes, tiles``) that are similar enough
+    on their full sets and whose labels differ."""
+
+    def linked(batches):
+        for table in runs(batches, ("cluster", "i", "j")):
+            node, label, side = (table[c].to_numpy() for c in ("node", "label", "side"))
+            sets = [np.frombuffer(h, np.uint64) for h in table["hashes"].to_pylist()]
+            size = np.array([len(s) for s in sets], np.float32)
+            i, j = table["i"][0].as_py(), table["j"][0].as_py()
+            left, right = np.flatnonzero(side == i), np.flatnonzero(side == j)
+            parts = Parts(len(node))
+            if len(left) and len(right):
+                shared = shared_counts(sets, left, right)
+                close = 100 * shared >= percent * (size[left, None] + size[right] - shared)
+                close &= label[left, None] != label[right]
+                for r in np.flatnonzero(close.any(axis=1)):
+                    parts.join(np.append(right[close[r]], left[r]))
+            yield _tree(node, parts)
+
+    return map_arrow(_dealt(rows, "cluster").select("cluster", "i", "j", "side", "node", "label", "hashes"), linked, "a bigint, b bigint").distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -227,13 +262,17 @@ def near_duplicates(docs: DataFrame, width: int, percent: int) -> DataFrame:
     open_keys = labelled.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").selectExpr("key AS k")
     parted = labelled.join(open_keys, F.expr("key = k"), "left_semi").join(marks.withColumnRenamed("node", "n"), F.expr("node = n"))
     parted = parted.selectExpr("key", "node", "label", "marks", f"CAST(ceil(held / {TILE}D) AS INT) AS tiles")
-    parted = parted.withColumn("side", F.expr("CAST(pmod(xxhash64(node), tiles) AS INT)")).withColumn("other", F.explode(F.expr("sequence(0, tiles - 1)")))
-    parted = parted.selectExpr("key", "node", "label", "marks", "side", "least(side, other) AS i", "greatest(side, other) AS j")
-    rest = tile_pairs(parted, least).join(stars, ["a", "b"], "left_anti")
-    rest = written(rest)
-    if not rest.isEmpty():
-        more = written(confirmed(rest, sets_of(rest), percent))
-        found = components(links.unionByName(more)).withColumnRenamed("node", "n")
+    maybe = written(candidate_links(parted, least))
+    if not maybe.isEmpty():
+        clusters = written(components(maybe).withColumnRenamed("component", "cluster"))
+        sets = set_bytes(docs, wanted.join(clusters.select("node"), "node", "left_semi"), width)
+        sized = clusters.join(sets, "node").join(found, F.expr("node = n"), "left").selectExpr("cluster", "node", "coalesce(component, node) AS label", "hashes")
+        sized = written(sized)
+        blocks = sized.groupBy("cluster").agg(
+            F.expr(f"CAST(greatest(ceil(count(1) / {BLOCK_NODES}D), ceil(sum(length(hashes)) / {BLOCK_BYTES}D)) AS INT)").alias("tiles")
+        )
+        more = cluster_links(sized.join(blocks.withColumnRenamed("cluster", "c"), F.expr("cluster = c")).drop("c"), percent)
+        found = components(links.unionByName(written(more))).withColumnRenamed("node", "n")
 
     joined = nodes.select("node", "digest", "least").join(found, F.expr("node = n"), "left").selectExpr("digest AS d", "least", "coalesce(component, node) AS part")
     lowest = joined.groupBy("part").agg(F.min("least").alias("component_id")).withColumnRenamed("part", "p")
