@@ -35,6 +35,67 @@ def weighted_region_index(spark, sf):
     return rounded(index, 4, "value")
 
 
+def _index_sql(national: str, source: str = "spine", x: str = "value * weight") -> str:
+    """Contributions and the national row over the completed panel, NULL where an entity has no value."""
+    return f"""SELECT r_name AS region, false AS is_total, period_idx, CASE WHEN count(value) = count(*) THEN sum({x}) END AS value
+      FROM {source} JOIN weighted USING (entity) GROUP BY 1, 2, 3
+    UNION ALL SELECT 'national', true, period_idx, CASE WHEN count(value) = count(*) THEN {national}({x}) END
+      FROM {source} JOIN weighted USING (entity) GROUP BY 1, 2, 3"""
+
+
+# Half-even at the decimal digits that a number shows, as exact decimals.
+_CENTS = "CAST(CAST(value AS VARCHAR) AS DECIMAL(30, 12)) * 100"
+_EVEN = f"""(SELECT entity, period_idx, CAST(CASE WHEN part < 0.5 THEN low WHEN part > 0.5 THEN low + 1 ELSE low + low % 2 END AS DOUBLE) / 100 AS value
+  FROM (SELECT *, floor({_CENTS}) AS low, {_CENTS} - floor({_CENTS}) AS part FROM spine))"""
+
+
+@query("D3 F17", f"SELECT region, is_total, period_idx, {rnd('value', 6)} AS value FROM ({_index_sql('avg', _EVEN)})")
+def rounded_region_index(spark, sf):
+    """Values rounded half-even to two places before they are weighted."""
+    index = climate.weighted_index(tb.monthly_panel(spark, sf), tb.weights(spark, sf), "r_name", places=2)
+    return rounded(index, 6, "value")
+
+
+@query("D3 A4", f"SELECT region, is_total, period_idx, {rnd('value', 4)} AS value FROM ({_index_sql('sum')})")
+def national_sum_index(spark, sf):
+    """The national row as the sum of the weighted values."""
+    index = climate.weighted_index(tb.monthly_panel(spark, sf), tb.weights(spark, sf), "r_name", places=None, national="sum")
+    return rounded(index, 4, "value")
+
+
+@query(
+    "D3 A9",
+    f"""SELECT region, is_total, period_idx, {rnd('(value - avg(value) OVER (PARTITION BY region)) / nullif(stddev_samp(value) OVER (PARTITION BY region), 0)', 4)} AS value
+    FROM ({_index_sql('avg')})""",
+)
+def centred_region_index(spark, sf):
+    index = climate.weighted_index(tb.monthly_panel(spark, sf), tb.weights(spark, sf), "r_name", places=None, centred=True)
+    return rounded(index, 4, "value")
+
+
+# One nation is missing from the dimension, another one has no values.
+_GONE, _SILENT = 3, 5
+
+
+@query(
+    "D3 A3 A4",
+    f"""SELECT region, is_total, period_idx, {rnd('CASE WHEN NOT is_total AND NOT silent THEN value END', 4)} AS value FROM (
+      SELECT r_name AS region, false AS is_total, period_idx, CASE WHEN count(value) = count(*) THEN sum(value * weight) END AS value, bool_or(lost) AS silent
+      FROM (SELECT * FROM spine WHERE entity <> {_SILENT}) JOIN (SELECT *, bool_or(entity = {_SILENT}) OVER (PARTITION BY r_name) AS lost FROM weighted WHERE entity <> {_GONE}) USING (entity)
+      GROUP BY 1, 2, 3 UNION ALL SELECT 'national', true, period_idx, NULL, true FROM calendar)""",
+)
+def incomplete_region_index(spark, sf):
+    """Groups with an absent entity, and the national row, are NULL; nobody is dropped in silence."""
+    values, dimension = tb.monthly_panel(spark, sf).where(f"entity <> {_SILENT}"), tb.weights(spark, sf).where(f"entity <> {_GONE}")
+    return rounded(climate.weighted_index(values, dimension, "r_name", places=None), 4, "value")
+
+
+@query("D3 J3", f"SELECT CAST(unnest([{_GONE}, {_SILENT}]) AS INTEGER) AS entity, unnest(['values', 'dimension']) AS side")
+def unmatched_entities(spark, sf):
+    values, dimension = tb.monthly_values(spark, sf).where(f"entity <> {_SILENT}"), tb.weights(spark, sf).where(f"entity <> {_GONE}")
+    return aggregate.unmatched(values, dimension)
+
+
 @query(
     "A3 D3",
     f"""SELECT r_name, period_idx, {rnd('CASE WHEN count(value) = count(*) THEN sum(value) END', 4)} AS value

@@ -17,15 +17,18 @@ _PARTS = ["deviation_value", "abs_deviation_value", "pos_dev_value", "neg_dev_va
 
 @query(
     "D5 D7 A3 W1 P4 A1 F15 F17",
-    f"""WITH w AS (SELECT entity, period_idx, value FROM monthly),
-    r AS (SELECT r_name AS entity, period_idx, sum(value * weight) AS value FROM w JOIN weighted USING (entity) GROUP BY 1, 2),
+    f"""WITH r AS (SELECT r_name AS entity, period_idx, CASE WHEN count(value) = count(*) THEN sum(value * weight) END AS value
+      FROM spine JOIN weighted USING (entity) GROUP BY 1, 2),
     x AS ({anomalies('value', 'r', [3])})
     SELECT entity AS region, CAST(period_idx // 4 AS INTEGER) AS year, CAST(period_idx % 4 + 1 AS INTEGER) AS quarter, {SEASON} AS season,
       {rnd('value', 4)} AS value, {rnd('mean_value', 4)} AS norm, {", ".join(f"{rnd(p, 4)} AS {p}" for p in _PARTS)} FROM x""",
 )
 def scaled_anomaly_quarter(spark, sf):
-    """Share-weighted monthly index by region, its three-year norm, and the scaled quarterly anomaly."""
-    index = climate.weighted_index(tb.monthly_values(spark, sf), tb.weights(spark, sf), "r_name", places=None)
+    """Share-weighted monthly index by region, its three-year norm, and the scaled quarterly anomaly.
+
+    A month in which one of the region's nations has no orders has no index.
+    """
+    index = climate.weighted_index(tb.monthly_panel(spark, sf), tb.weights(spark, sf), "r_name", places=None)
     index = index.where(~F.col("is_total"))
     long = climate.all_norms(index, ["region"], ["value"], [3], START, END)
     table = long.select(

@@ -115,36 +115,55 @@ def json_map_explode(spark, sf):
     return readers.json_cells(tb.read(spark, sf, "events"), ["event_id"], "props", "int")
 
 
-@query(
-    "S7 S8 F19",
-    f"""SELECT 'Nation ' || translate(CAST(entity AS VARCHAR), '0123456789', 'abcdefghij') AS entity, period_idx,
-    {rnd('coalesce(value, 0.0)', 1)} AS value FROM spine""",
-)
-def fixed_text_rows(spark, sf):
-    """Yearly text tables, one line per nation, written to files and read back."""
+# Lines of a text table that are hard to read: a name that ends in a number, a first month that is no number in two
+# ways, and a line without its last month and total.
+_ODD_NAME, _NO_DATA, _DASH, _SHORT = range(4)
+_YEAR_PATH = r"year=(\d{4})/"
+
+
+def _month_text(spark, sf) -> str:
+    """Yearly text tables, one file a year and one line per nation, written to the shared folder."""
     panel = tb.monthly_panel(spark, sf).withColumn("value", F.coalesce("value", F.lit(0.0)))
-    name = F.concat(F.lit("Nation   "), F.translate(F.col("entity").cast("string"), "0123456789", "abcdefghij"))
-    month = F.struct(F.col("period_idx"), fixed_decimals(F.col("value"), 1).alias("text"))
+    odd, january = F.col("entity") % 5, F.col("period_idx") % 12 == 0
+    letters = F.translate(F.col("entity").cast("string"), "0123456789", "abcdefghij")
+    name = F.when(odd == _ODD_NAME, F.concat(F.lit("Zona "), "entity")).otherwise(F.concat(F.lit("Nation   "), letters))
+    cell = F.when(january & (odd == _NO_DATA), "n/d").when(january & (odd == _DASH), "-").otherwise(fixed_decimals(F.col("value"), 1))
+    month = F.struct(F.col("period_idx"), cell.alias("text"))
     # Twelve months at most per line.
-    years = panel.groupBy(name.alias("name"), cal.year_of(F.col("period_idx"), 12).alias("year")).agg(
+    years = panel.groupBy(name.alias("name"), odd.alias("odd"), cal.year_of(F.col("period_idx"), 12).alias("year")).agg(
         F.array_sort(F.collect_list(month)).alias("months"), F.sum("value").alias("total")
     )
-    numbers = F.concat_ws("   ", F.transform("months", lambda m: m["text"]))
-    lines = years.select("year", F.concat_ws("     ", F.concat(F.lit("  "), "name"), numbers, fixed_decimals(F.col("total"), 1)).alias("value"))
-    labels = F.concat_ws("  ", *[F.lit(m) for m in cal.MONTH_ABBREVIATIONS])
-    last = cal.MONTH_ABBREVIATIONS[: (END % 12) + 1]
-    short = F.concat_ws("  ", *[F.lit(m) for m in last])
-    full_year = F.col("year") < END // 12
-    header = years.select("year").distinct().select(
-        "year",
-        F.concat_ws("  ", F.lit("Entidad"), F.when(full_year, labels).otherwise(short), F.lit("Anual")).alias("value"),
-    )
-    notes = years.select("year").distinct().select("year", F.lit("Temperatura media por entidad").alias("value"))
+    cells = F.concat(F.transform("months", lambda m: m["text"]), F.array(fixed_decimals(F.col("total"), 1)))
+    shown = F.when(F.col("odd") == _SHORT, F.slice(cells, 1, F.size(cells) - 2)).otherwise(cells)
+    lines = years.select("year", F.concat_ws("     ", F.concat(F.lit("  "), "name"), F.concat_ws("   ", shown)).alias("value"))
+    each = years.groupBy("year").agg(F.max(F.size("months")).alias("n"))
+    labels = F.concat_ws("  ", F.slice(F.array(*[F.lit(m) for m in cal.MONTH_ABBREVIATIONS]), 1, F.col("n")))
+    header = each.select("year", F.concat_ws("  ", F.lit("Entidad"), labels, F.lit("Anual")).alias("value"))
+    notes = each.select("year", F.lit("Temperatura media por entidad").alias("value"))
     path = scratch_path(spark, "text")
-    # One folder per year; the year is in the file's path, as it is in a file name.
-    lines.unionByName(header).unionByName(notes).write.partitionBy("year").text(path)
-    text = spark.read.text(path + "/*").select("value", F.regexp_extract(F.col("_metadata.file_path"), r"year=(\d{4})", 1).alias("file"))
-    return rounded(readers.month_table_from_text(text), 1, "value")
+    # A year's lines come from one task, so they are one file.
+    lines.unionByName(header).unionByName(notes).repartition("year").write.partitionBy("year").text(path)
+    return path
+
+
+@query(
+    "S7 S8 F19",
+    f"""SELECT CASE WHEN entity % 5 = {_ODD_NAME} THEN 'Zona ' || entity ELSE 'Nation ' || translate(CAST(entity AS VARCHAR), '0123456789', 'abcdefghij') END AS entity, period_idx,
+    CASE WHEN period_idx % 12 = 0 AND entity % 5 IN ({_NO_DATA}, {_DASH}) THEN NULL
+      WHEN entity % 5 = {_SHORT} AND (period_idx % 12 = 11 OR period_idx = {END}) THEN NULL
+      ELSE {rnd('coalesce(value, 0.0)', 1)} END AS value FROM spine""",
+)
+def fixed_text_rows(spark, sf):
+    return rounded(readers.read_month_text(spark, _month_text(spark, sf) + "/*", _YEAR_PATH), 1, "value")
+
+
+@query(
+    "S7",
+    "SELECT 'Temperatura media por entidad' AS line, CAST(count(DISTINCT period_idx // 12) AS BIGINT) AS n FROM calendar",
+)
+def unread_text_lines(spark, sf):
+    lines = readers.text_lines(spark, _month_text(spark, sf) + "/*")
+    return readers.unread_lines(lines, year=_YEAR_PATH).groupBy("line").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(

@@ -46,13 +46,27 @@ def weighted_total(
 ) -> DataFrame:
     """Group total of entity values times the entity's share of the grand total.
 
-    The shares are national, so a group's total is its contribution and not its mean.
+    The shares are national, so a group's total is its contribution and not its mean. It is NULL in a period in which
+    one of the group's entities has no value; entities outside the dimension belong to no group (``unmatched``).
     """
     contribution = F.col(value) * F.col("weight") if weighted else F.col(value)
-    joined = panel.join(dimension.select(entity, group, *(["weight"] if weighted else [])), entity)
-    return joined.groupBy(group, "period_idx").agg(
-        strict(F.sum(contribution), contribution).alias(value)
-    )
+    sized = with_members(dimension, group)
+    joined = panel.join(sized.select(entity, group, "_members", *(["weight"] if weighted else [])), entity)
+    complete = (F.count(contribution) == F.count(F.lit(1))) & (F.count(F.lit(1)) == F.max("_members"))
+    return joined.groupBy(group, "period_idx").agg(F.when(complete, F.sum(contribution)).alias(value))
+
+
+def with_members(dimension: DataFrame, group: str) -> DataFrame:
+    """The dimension with the number of entities of each group and of all, ``_members`` and ``_everyone``."""
+    counts = dimension.groupBy(F.col(group).alias("_group")).agg(F.count(F.lit(1)).alias("_members"))
+    sized = dimension.join(counts, F.col(group).eqNullSafe(F.col("_group"))).drop("_group")
+    return sized.withColumn("_everyone", dimension.agg(F.count(F.lit(1))).scalar())
+
+
+def unmatched(panel: DataFrame, dimension: DataFrame, entity: str = "entity") -> DataFrame:
+    """``entity, side``: entities of the panel that the dimension lacks (``values``), and the reverse (``dimension``)."""
+    lacking = panel.select(entity).distinct().join(dimension, entity, "left_anti").withColumn("side", F.lit("values"))
+    return lacking.unionByName(dimension.select(entity).distinct().join(panel, entity, "left_anti").withColumn("side", F.lit("dimension")))
 
 
 def national_row(
@@ -61,12 +75,15 @@ def national_row(
 ) -> DataFrame:
     """The national value per period: by default the plain mean over entities of their weighted values.
 
-    ``mode="sum"`` gives the proper weighted mean, their sum.
+    ``mode="sum"`` gives the proper weighted mean, their sum. It is NULL in a period in which an entity of the
+    dimension has no value, or one with a value is not in the dimension.
     """
-    contribution = F.col(value) * F.col("weight") if weighted else F.col(value)
-    joined = panel.join(dimension.select(entity, *(["weight"] if weighted else [])), entity)
+    known = dimension.select(entity, F.lit(True).alias("_known"), *(["weight"] if weighted else []))
+    contribution = F.col(value) * F.col("weight") if weighted else F.when(F.col("_known"), F.col(value))
+    joined = panel.join(known, entity, "left").withColumn("_everyone", dimension.agg(F.count(F.lit(1))).scalar())
     total = F.avg(contribution) if mode == "mean" else F.sum(contribution)
-    return joined.groupBy("period_idx").agg(strict(total, contribution).alias(value))
+    complete = (F.count(contribution) == F.count(F.lit(1))) & (F.count(F.lit(1)) == F.max("_everyone"))
+    return joined.groupBy("period_idx").agg(F.when(complete, total).alias(value))
 
 
 def entity_mean(panel: DataFrame, value: str = "value") -> DataFrame:

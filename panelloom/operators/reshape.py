@@ -16,8 +16,17 @@ def to_long(df: DataFrame, ids: Sequence[str], values: Sequence[str], name: str,
 def to_wide(
     df: DataFrame, ids: Sequence[str], name: str, value: str, columns: Sequence[object]
 ) -> DataFrame:
-    """One column per listed value. The list is required: without it Spark runs a job to find the values."""
-    return df.groupBy(*ids).pivot(name, list(columns)).agg(F.first(value, ignorenulls=True))
+    """One column per listed value. The list is required: without it Spark runs a job to find the values.
+
+    Two values for one cell are an error.
+    """
+    return df.groupBy(*ids).pivot(name, list(columns)).agg(only(value).alias(value))
+
+
+def only(value: str) -> Column:
+    """The group's one value that is not NULL; an error where it has several."""
+    several = F.raise_error(F.lit(f"more than one value of {value} for one cell"))
+    return F.when(F.count(value) > 1, several).otherwise(F.first(value, ignorenulls=True))
 
 
 def split_column(

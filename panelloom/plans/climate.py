@@ -65,18 +65,24 @@ def weighted_index(
 
     Values are rounded half-even to ``places``, multiplied by the entity's national share and summed by group.
     The national row is the mean of the weighted values over entities, or with ``national="sum"`` their sum.
+
+    The join loses nobody: a group is NULL in a period in which one of the dimension's entities has no value, and the
+    national row also where an entity with a value is not in the dimension (``aggregate.unmatched`` names them).
     """
     x = ident(value) if places is None else f"bround({ident(value)}, {places})"
-    joined = values.join(dimension.select(entity, group, *(["weight"] if weighted else [])), entity)
-    rows = joined.selectExpr(
+    sized = aggregate.with_members(dimension, group)
+    joined = values.join(sized.select(entity, group, "_members", "_everyone", *(["weight"] if weighted else [])), entity, "left")
+    everyone = sized.agg(F.max("_everyone")).scalar()
+    rows = joined.withColumn("_everyone", everyone).selectExpr(
         "period_idx",
-        f"{x} * weight AS _x" if weighted else f"{x} AS _x",
-        f"inline(array(named_struct('region', cast({ident(group)} AS string), 'is_total', false),"
-        f" named_struct('region', '{NATIONAL}', 'is_total', true)))",
+        f"{x} * weight AS _x" if weighted else f"CASE WHEN _members IS NOT NULL THEN {x} END AS _x",
+        f"inline(array(named_struct('region', cast({ident(group)} AS string), 'is_total', false, '_wanted', _members),"
+        f" named_struct('region', '{NATIONAL}', 'is_total', true, '_wanted', _everyone)))",
     )
     total = "sum(_x)" if national == "sum" else "avg(_x)"
-    strict = f"CASE WHEN count(_x) = count(*) THEN CASE WHEN is_total THEN {total} ELSE sum(_x) END END"
-    index = rows.groupBy("region", "is_total", "period_idx").agg(F.expr(f"{strict} AS {ident(value)}"))
+    complete = "count(_x) = count(*) AND count(*) = max(_wanted)"
+    strict = f"CASE WHEN {complete} THEN CASE WHEN is_total THEN {total} ELSE sum(_x) END END"
+    index = rows.where("region IS NOT NULL").groupBy("region", "is_total", "period_idx").agg(F.expr(f"{strict} AS {ident(value)}"))
     if centred:
         index = aggregate.zscore(index, ["region"], value, value)
     return index

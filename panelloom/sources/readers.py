@@ -58,47 +58,70 @@ def json_cells(df: DataFrame, keys: list[str], cell: str, value_type: str = "dou
     return df.select(*keys, F.explode(entries).alias("key", "value"))
 
 
-def month_table_from_text(lines: DataFrame, line: str = "value", file: str = "file") -> DataFrame:
-    """Yearly text tables to rows ``(entity, period_idx, value)``.
+# Marks that stand for a missing number.
+MISSING = ("-", "--", "n/d", "N/D", "s/d", "S/D", "ND", "NA", "N/A", "*")
 
-    A file holds one year, named in the file name. Its header line is a name and month abbreviations, at most
-    followed by a yearly total; a data line is a name and its cells, as many as on the file's other data lines. Lines of
-    any other form (titles, notes) are dropped, and cells that are no number become NULL.
+
+def _month_lines(lines: DataFrame, line: str, file: str, year: str) -> DataFrame:
+    """Each line that is not empty with its file's header (``months``, ``full``: its cells with the total) and its cells.
+
+    A line ends in cells: numbers and marks of missing ones. It has no more of them than its file's header names, so
+    what stands before those is its name, whatever it holds.
     """
-    cells = lines.select(F.col(file).alias("file"), squish(F.col(line)).alias("line"))
-    words = F.split("line", " ")
+    cells = lines.select(
+        F.col(file).alias("file"), F.regexp_extract(file, year, 1).try_cast("int").alias("year"), squish(F.col(line)).alias("line")
+    ).where("line <> ''")
+    words = cells.withColumn("words", F.split("line", " "))
     is_month = lambda word: cal.month_number(word).isNotNull()
-    labels = F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0)))
-    headers = cells.select("file", labels.alias("labels")).withColumn(
-        "n_months", F.size(F.filter("labels", is_month))
-    )
-    headers = headers.where(
-        is_month(F.get("labels", F.lit(0))) & (F.size("labels") - F.col("n_months")).isin(0, 1)
-    )
-    pattern = r"^(\D*[^\s\d-]) (-?[0-9]\S*(?: \S+)*)$"
-    data = cells.where(F.col("line").rlike(pattern)).select(
-        "file",
-        F.regexp_extract("line", pattern, 1).alias("entity"),
-        F.split(F.regexp_extract("line", pattern, 2), " ").alias("numbers"),
+    labels = F.slice("words", 2, F.greatest(F.size("words") - 1, F.lit(0)))
+    named = words.withColumn("months", F.filter(labels, is_month)).withColumn("full", F.size(labels))
+    heads = is_month(F.get("words", F.lit(1))) & (F.col("full") - F.size("months")).isin(0, 1)
+    marked = named.withColumn("is_header", F.coalesce(heads, F.lit(False)))
+    # One header per file: the one of most months, so the join adds no rows.
+    headers = marked.where("is_header").groupBy(F.col("file").alias("_file")).agg(
+        F.max(F.struct(F.size("months"), "full", "months")).alias("_head")
     )
-    # One header per file, so the join adds no rows. All data lines of a file are equally long.
-    fits = data.join(headers.drop("n_months"), "file").where(F.size("numbers") <= F.size("labels"))
-    lengths = fits.groupBy("file").agg(F.max(F.size("numbers")).alias("length"))
-    rows = fits.join(lengths, "file").where(F.size("numbers") == F.col("length"))
-    rows = rows.select("entity", "file", F.posexplode("numbers").alias("pos", "number"), "labels")
-    month = cal.month_number(F.get("labels", F.col("pos")))
-    year = F.regexp_extract("file", r"(\d{4})", 1).try_cast("int")
-    return (
-        rows.select("entity", (year * 12 + month - 1).alias("period_idx"), to_number(F.col("number")).alias("value"))
-        .where(F.col("period_idx").isNotNull())
-        .select("entity", F.col("period_idx").cast("int").alias("period_idx"), "value")
+    body = marked.where("NOT is_header").drop("months", "full").join(headers, F.expr("file = _file"), "left")
+    body = body.selectExpr("file", "year", "line", "words", "_head.months AS months", "_head.full AS full")
+    is_cell = lambda word: word.rlike(r"^[-+]?[0-9][0-9.,]*$") | word.isin(*MISSING)
+    last_word = F.array_position(F.reverse(F.transform("words", is_cell)), False).cast("int")
+    trailing = F.when(last_word == 0, F.size("words")).otherwise(last_word - 1)
+    taken = body.withColumn("taken", F.least(trailing, F.col("full")))
+    return taken.withColumn("readable", F.expr("taken > 0 AND taken < size(words) AND year IS NOT NULL"))
+
+
+FILE_YEAR = r"(\d{4})[^/]*$"
+
+
+def month_table_from_text(lines: DataFrame, line: str = "value", file: str = "file", year: str = FILE_YEAR) -> DataFrame:
+    """Yearly text tables to rows ``(entity, period_idx, value)``, one for each month of the file's header.
+
+    A file holds one year, which the pattern ``year`` finds in its path. Its header line is a name and month
+    abbreviations, at most followed by a yearly total; a data line is a name and cells. Cells that are no number and
+    those that a short line lacks are NULL. Lines that cannot be read so are in ``unread_lines``.
+    """
+    rows = _month_lines(lines, line, file, year).where("readable")
+    rows = rows.selectExpr(
+        "year", "concat_ws(' ', slice(words, 1, size(words) - taken)) AS entity",
+        "slice(words, size(words) - taken + 1, taken) AS cells", "posexplode(months) AS (pos, month)",
     )
+    number = to_number(F.get("cells", F.col("pos")))
+    return rows.select("entity", (F.col("year") * 12 + cal.month_number(F.col("month")) - 1).cast("int").alias("period_idx"), number.alias("value"))
+
+
+def unread_lines(lines: DataFrame, line: str = "value", file: str = "file", year: str = FILE_YEAR) -> DataFrame:
+    """``file, line`` of the lines that ``month_table_from_text`` cannot read: titles, notes, lines without a header."""
+    return _month_lines(lines, line, file, year).where("NOT coalesce(readable, false)").select("file", "line")
+
+
+def text_lines(spark: SparkSession, path: str) -> DataFrame:
+    """The lines of all text files below ``path`` with the path of their file."""
+    return spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"))
 
 
-def read_month_text(spark: SparkSession, path: str) -> DataFrame:
+def read_month_text(spark: SparkSession, path: str, year: str = FILE_YEAR) -> DataFrame:
     """All yearly text files below ``path`` in one scan; long rows, so the years need no join."""
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_name").alias("file"))
-    return month_table_from_text(lines)
+    return month_table_from_text(text_lines(spark, path), year=year)
 
 
 def wide_months_to_long(wide: DataFrame, entity: str = "entity") -> DataFrame:
