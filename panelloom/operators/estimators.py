@@ -129,6 +129,30 @@ class _Block:
         return complete.sum(axis=1), z @ z.transpose(0, 2, 1)
 
 
+def _block_rows(series: pa.ListArray, rows: Sequence[int], width: int) -> Iterator[list[int]]:
+    """The entities in blocks whose dense columns, over all periods that a block spans, stay within the budget.
+
+    They come in the order of their first period, so a staggered panel gives narrow blocks. One entity is never cut.
+    """
+    lengths = series.value_lengths().to_numpy(zero_copy_only=False)
+    periods = series.flatten().field("p").to_numpy(zero_copy_only=False)
+    starts = np.cumsum(lengths) - lengths
+    first, last = np.minimum.reduceat(periods, starts), np.maximum.reduceat(periods, starts)
+    part: list[int] = []
+    low = high = 0
+    for i in sorted(rows, key=lambda i: first[i]):
+        wide = max(high, int(last[i])) if part else int(last[i])
+        if part and (wide - low + 1) * (len(part) + 1) * width * 8 > BLOCK_BUDGET:
+            yield part
+            part, wide = [], int(last[i])
+        if not part:
+            low = int(first[i])
+        part.append(i)
+        high = wide
+    if part:
+        yield part
+
+
 def _key_fields(df: DataFrame, keys: Sequence[str]) -> str:
     return "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in df.select(*keys).schema.fields)
 
@@ -165,14 +189,12 @@ def period_products(
                 members.setdefault(group, []).append(i)
             series = batch.column(n_keys)
             for group, rows in members.items():
-                longest = max(int(series.value_lengths().to_numpy(zero_copy_only=False).max()), 1)
-                size = max(1, BLOCK_BUDGET // (longest * width * 8))
-                for start in range(0, len(rows), size):
-                    block = _Block(series.take(pa.array(rows[start : start + size])), width)
+                for part in _block_rows(series, rows, width):
+                    block = _Block(series.take(pa.array(part)), width)
                     for name, wanted in layout:
                         held.add((group, name), block.first, *block.demeaned_products(wanted))
-                    if held.full:
-                        yield from held.drain(arrow, n_keys)
+                        if held.full:
+                            yield from held.drain(arrow, n_keys)
         if arrow is not None:
             yield from held.drain(arrow, n_keys)
 
@@ -193,34 +215,38 @@ def _sums_schema(batch: pa.Schema, n_keys: int) -> pa.Schema:
 
 
 def _merge_products(partial: DataFrame, keys: Sequence[str], schema: str) -> DataFrame:
-    """Add up the tasks' partial sums; each (group, specification, period) meets in one task as a stream."""
+    """Add up the tasks' partial sums; each (group, specification, period) meets in one task, sorted, as a stream."""
     n_keys = len(keys)
+    by = [*keys, "spec_id", "period_idx"]
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple, list] = {}
-        names = types = None
+        done: list[tuple] = []
+        now, count, total = None, 0, None
         for batch in batches:
             names, types = batch.schema.names, batch.schema.types
             ids = list(zip(*[batch.column(i).to_pylist() for i in range(n_keys + 2)]))
-            counts = batch.column(n_keys + 2).to_numpy(zero_copy_only=False)
+            counts = batch.column(n_keys + 2).to_pylist()
             lists = batch.column(n_keys + 3)
             flat, offsets = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
             for i, key in enumerate(ids):
                 products = flat[offsets[i] : offsets[i + 1]]
-                if key in held:
-                    held[key][0] += int(counts[i])
-                    held[key][1] += products
-                else:
-                    held[key] = [int(counts[i]), products.copy()]
-        keys_left = list(held)
-        for start in range(0, len(keys_left), 4096):
-            part = keys_left[start : start + 4096]
-            columns = [pa.array([k[i] for k in part], types[i]) for i in range(n_keys + 2)]
-            columns.append(pa.array([held[k][0] for k in part], pa.int64()))
-            columns.append(pa.array([held[k][1] for k in part], pa.list_(pa.float64())))
-            yield pa.RecordBatch.from_arrays(columns, names=names)
-
-    return partial.repartition(*keys, "spec_id", "period_idx").mapInArrow(merge, schema)
+                if key == now:
+                    count, total = count + counts[i], total + products
+                    continue
+                if now is not None:
+                    done.append((*now, count, total))
+                now, count, total = key, counts[i], products.copy()
+                if len(done) >= 4096:
+                    yield _rows(done, names, types)
+                    done = []
+        if now is not None:
+            yield _rows([*done, (*now, count, total)], names, types)
+
+    return partial.repartition(*by).sortWithinPartitions(*by).mapInArrow(merge, schema)
+
+
+def _rows(rows: list[tuple], names: Sequence[str], types: Sequence[pa.DataType]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(column, kind) for column, kind in zip(zip(*rows), types)], names=list(names))
 
 
 def _square(halves: np.ndarray, side: int) -> np.ndarray:
@@ -299,7 +325,8 @@ def fit(
 ) -> DataFrame:
     """Within (entity fixed-effects) least squares with Driscoll-Kraay covariance, for all specifications.
 
-    ``max_lag`` defaults to floor(T^(1/4)) of each fit. ``small_sample`` scales the covariance by
+    ``max_lag`` defaults to floor(T^(1/4)) of each fit, T being the periods in which any entity has a complete row,
+    also where the panel is unbalanced. ``small_sample`` scales the covariance by
     T/(T-1) (n-1)/(n-k). A regressor spanned by earlier ones is aliased: coefficient NULL, covariance 0.
     One row per (keys, spec): ``terms``, ``beta``, ``cov`` (row-major), ``aliased``, ``r2``, ``n_obs``,
     ``n_periods``.
@@ -312,29 +339,43 @@ def fit(
     )
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = [b for b in batches if b.num_rows]
-        if not tables:
-            return
-        held = pa.Table.from_batches(tables).sort_by([(c, "ascending") for c in (*keys, "spec_id", "period_idx")])
-        ids = list(zip(*[held[c].to_pylist() for c in (*keys, "spec_id")]))
-        starts = [i for i, key in enumerate(ids) if i == 0 or key != ids[i - 1]]
-        periods, counts = held["period_idx"].to_numpy(), held["n"].to_numpy()
-        lists = held["products"].combine_chunks()
-        lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
-        flat, offsets = lists.values.to_numpy(), lists.offsets.to_numpy()
-        rows = []
-        for start, stop in zip(starts, [*starts[1:], len(ids)]):
-            *group, spec = ids[start]
-            side = len(terms[spec]) + 1
-            products = _square(flat[offsets[start] : offsets[stop]], side)
-            solved = _solve(periods[start:stop], counts[start:stop], products, max_lag, small_sample)
-            rows.append({**dict(zip(keys, group)), "spec_id": spec, "y": outcome[spec], "terms": terms[spec], **solved})
-        arrow = pa.schema([held.schema.field(k) for k in keys] + list(FIT_FIELDS))
-        yield pa.RecordBatch.from_pylist(rows, arrow)
+        arrow = now = None
+        held: list[tuple] = []
+        done: list[dict] = []
+
+        def solved() -> dict:
+            *group, spec = now
+            periods, counts = (np.array([h[i] for h in held]) for i in (0, 1))
+            products = _square(np.concatenate([h[2] for h in held]), len(terms[spec]) + 1)
+            found = _solve(periods, counts, products, max_lag, small_sample)
+            return {**dict(zip(keys, group)), "spec_id": spec, "y": outcome[spec], "terms": terms[spec], **found}
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            arrow = pa.schema([batch.schema.field(k) for k in keys] + list(FIT_FIELDS))
+            ids = list(zip(*[batch.column(c).to_pylist() for c in (*keys, "spec_id")]))
+            periods, counts = batch.column("period_idx").to_pylist(), batch.column("n").to_pylist()
+            lists = batch.column("products")
+            flat, offsets = lists.values.to_numpy(), lists.offsets.to_numpy()
+            for i, key in enumerate(ids):
+                if key != now and held:
+                    done.append(solved())
+                    held = []
+                    if len(done) >= 1000:
+                        yield pa.RecordBatch.from_pylist(done, arrow)
+                        done = []
+                now = key
+                held.append((periods[i], counts[i], flat[offsets[i] : offsets[i + 1]].copy()))
+        if held:
+            done.append(solved())
+        if done:
+            yield pa.RecordBatch.from_pylist(done, arrow)
 
     products = period_products(panel, specs, entity, keys)
-    # A task holds the specifications hashed to it, one k x k block per period each.
-    return products.repartition(*keys, "spec_id").mapInArrow(solve, schema)
+    # A task holds one specification at a time, a k x k block per period.
+    by = [*keys, "spec_id"]
+    return products.repartition(*by).sortWithinPartitions(*by, "period_idx").mapInArrow(solve, schema)
 
 
 def coefficients(fits: DataFrame, keys: Sequence[str] = ()) -> DataFrame:

@@ -2,25 +2,40 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from panelloom.functions.text import ident
+
+
+def _bends(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Second derivatives at the knots, 0 at both ends: forward elimination of the tridiagonal system, then back."""
+    n = len(x)
+    bend = np.zeros(n)
+    if n < 3:
+        return bend
+    step = np.diff(x)
+    right = 6 * np.diff(np.diff(y) / step)
+    ratio, value = [0.0] * (n - 2), [0.0] * (n - 2)
+    for i in range(n - 2):
+        pivot = 2 * (step[i] + step[i + 1]) - (step[i] * ratio[i - 1] if i else 0.0)
+        ratio[i] = step[i + 1] / pivot
+        value[i] = (right[i] - (step[i] * value[i - 1] if i else 0.0)) / pivot
+    for i in range(n - 3, -1, -1):
+        bend[i + 1] = value[i] - ratio[i] * bend[i + 2]
+    return bend
+
 
 def _natural_spline(x: np.ndarray, y: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Values at ``at`` of the natural cubic spline through (x, y), continued by its end cubics."""
     n = len(x)
     if n == 1:
         return np.full(len(at), y[0])
-    step, slope = np.diff(x), np.diff(y) / np.diff(x)
-    bend = np.zeros(n)
-    if n > 2:
-        system = np.diag(2 * (step[:-1] + step[1:]))
-        system += np.diag(step[1:-1], 1) + np.diag(step[1:-1], -1)
-        bend[1:-1] = np.linalg.solve(system, 6 * np.diff(slope))
+    step, bend = np.diff(x), _bends(x, y)
     i = np.clip(np.searchsorted(x, at, side="right") - 1, 0, n - 2)
     left, right, h = at - x[i], x[i + 1] - at, step[i]
     cubic = (bend[i] * right**3 + bend[i + 1] * left**3) / (6 * h)
@@ -34,22 +49,31 @@ def spline_to_months(
 
     The quarter's value stands at its month number ``placed_at`` (0, 1, 2; the middle month by default) and
     the others are interpolated. Months run from the first quarter's first to the last quarter's last. A group
-    is one entity's series, one row per quarter.
+    is one entity's series, one row per quarter; the series are packed and interpolated in batches.
     """
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in panel.select(*keys).schema.fields)
-    schema = f"{fields}, period_idx int, `{name}` double"
-
-    def one_series(series: pd.DataFrame) -> pd.DataFrame:
-        known = series.dropna(subset=[value]).sort_values("period_idx")
-        quarters = series["period_idx"].to_numpy()
-        months = np.arange(quarters.min() * 3, quarters.max() * 3 + 3, dtype="int32")
-        result = pd.DataFrame({k: series[k].iloc[0] for k in keys}, index=range(len(months)))
-        result["period_idx"] = months
-        result[name] = np.nan
-        if len(known):
-            x = known["period_idx"].to_numpy(float) * 3 + placed_at
-            result[name] = _natural_spline(x, known[value].to_numpy(float), months.astype(float))
-        return result
-
-    columns = panel.select(*keys, "period_idx", F.col(value).cast("double").alias(value))
-    return columns.groupBy(*keys).applyInPandas(one_series, schema)
+    row = F.expr(f"named_struct('p', period_idx, 'v', CAST({ident(value)} AS DOUBLE))")
+    # One list per entity, at most one item per quarter of the calendar.
+    packed = panel.groupBy(*keys).agg(F.array_sort(F.collect_list(row)).alias("series"))
+
+    def interpolate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            series = batch.column(batch.num_columns - 1)
+            lengths = series.value_lengths().to_numpy(zero_copy_only=False)
+            quarters = series.flatten().field("p").to_numpy(zero_copy_only=False)
+            values = series.flatten().field("v").to_numpy(zero_copy_only=False).astype(float)
+            ends = np.cumsum(lengths)
+            months, results = [], []
+            for a, b in zip(ends - lengths, ends):
+                at = np.arange(quarters[a] * 3, quarters[b - 1] * 3 + 3, dtype="int32")
+                known = np.isfinite(values[a:b])
+                x, y = quarters[a:b][known].astype(float) * 3 + placed_at, values[a:b][known]
+                months.append(at)
+                results.append(_natural_spline(x, y, at.astype(float)) if len(x) else np.full(len(at), np.nan))
+            owner = pa.array(np.repeat(np.arange(len(lengths)), [len(m) for m in months]))
+            columns = [c.take(owner) for c in batch.columns[:-1]]
+            found = np.concatenate([*results, []])
+            columns += [pa.array(np.concatenate([*months, []]).astype("int32")), pa.array(found, pa.float64(), mask=np.isnan(found))]
+            yield pa.RecordBatch.from_arrays(columns, names=[*keys, "period_idx", name])
+
+    return packed.mapInArrow(interpolate, f"{fields}, period_idx int, `{name}` double")

@@ -65,8 +65,8 @@ MISSING = ("-", "--", "n/d", "N/D", "s/d", "S/D", "ND", "NA", "N/A", "*")
 def _month_lines(lines: DataFrame, line: str, file: str, year: str) -> DataFrame:
     """Each line that is not empty with its file's header (``months``, ``full``: its cells with the total) and its cells.
 
-    A line ends in cells: numbers and marks of missing ones. It has no more of them than its file's header names, so
-    what stands before those is its name, whatever it holds.
+    A line ends in cells, no more of them than its file's header names, so what stands before those is its name,
+    whatever it holds. More than half of the cells are numbers or marks of missing ones, and there are at least two.
     """
     cells = lines.select(
         F.col(file).alias("file"), F.regexp_extract(file, year, 1).try_cast("int").alias("year"), squish(F.col(line)).alias("line")
@@ -83,11 +83,12 @@ def _month_lines(lines: DataFrame, line: str, file: str, year: str) -> DataFrame
     )
     body = marked.where("NOT is_header").drop("months", "full").join(headers, F.expr("file = _file"), "left")
     body = body.selectExpr("file", "year", "line", "words", "_head.months AS months", "_head.full AS full")
+    # Cells begin with the first number or mark behind the first word, at most as many as the header has.
     is_cell = lambda word: word.rlike(r"^[-+]?[0-9][0-9.,]*$") | word.isin(*MISSING)
-    last_word = F.array_position(F.reverse(F.transform("words", is_cell)), False).cast("int")
-    trailing = F.when(last_word == 0, F.size("words")).otherwise(last_word - 1)
-    taken = body.withColumn("taken", F.least(trailing, F.col("full")))
-    return taken.withColumn("readable", F.expr("taken > 0 AND taken < size(words) AND year IS NOT NULL"))
+    first = F.array_position(F.transform(F.slice("words", 2, F.size("words")), is_cell), True).cast("int")
+    taken = body.withColumn("taken", F.when(first > 0, F.least(F.size("words") - first, F.col("full"))))
+    found = F.size(F.filter(F.slice("words", F.size("words") - F.col("taken") + 1, F.col("taken")), is_cell))
+    return taken.withColumn("readable", (2 * found > F.col("taken")) & (F.col("taken") >= F.least(F.lit(2), F.col("full"))) & F.col("year").isNotNull())
 
 
 FILE_YEAR = r"(\d{4})[^/]*$"
