@@ -18,7 +18,7 @@ HEADLINE = (
     "weighted_region_index",
     "trailing_norm",
     "price_panel",
-    "seasonal_adjust_x11",
+    "seasonal_adjust_classical",
     "anchored_extrapolation",
     "per_capita_ratio",
     "merge_panel",

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from panelloom.catalogue.registry import query, rnd, rounded
 from panelloom.catalogue.sql import END, START
 from panelloom.operators import joins
-from panelloom.plans import climate
+from panelloom.plans import climate, panel
 from panelloom.plans import tables as tb
 
 
@@ -36,6 +36,20 @@ def full_join_panels(spark, sf):
     return rounded(rounded(joined, 4, "value"), 6, "precip")
 
 
+@query(
+    "D14 J3",
+    "SELECT norm_years, entity, period_idx, " + ", ".join(f"{rnd(f'deviation_{v}', 6)} AS deviation_{v}" for v in ("temp", "precip")) + " FROM weather",
+)
+def weather_in_full(spark, sf):
+    """Two weather sources, one per measure, joined in full."""
+    frames = [
+        climate.all_norms(tb.shipments(spark, sf).select("entity", "period_idx", v), ["entity"], [v], tb.NORMS, tb.START, tb.END)
+        for v in ("temp", "precip")
+    ]
+    both = panel.merge_weather(*frames, ["norm_years", "entity", "period_idx", "year", "sub_period", "season"])
+    return rounded(both.select("norm_years", "entity", "period_idx", "deviation_temp", "deviation_precip"), 6, "deviation_temp", "deviation_precip")
+
+
 @query("J4", "SELECT entity, n_name, r_name, r_regionkey, period_idx FROM weighted NATURAL JOIN (SELECT entity, period_idx FROM monthly)")
 def natural_join(spark, sf):
     months = tb.monthly_values(spark, sf).select("entity", "period_idx")

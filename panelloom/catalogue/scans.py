@@ -77,7 +77,7 @@ def report_sheet(spark, sf):
 
     sheet = _census_report(spark, sf)
     report = readers.normalise_report(
-        sheet, F.col("c0").rlike(r"^[0-9]{2}\s"), ["Área Geográfica", "Grupo", "Sexo", "Población"]
+        sheet, F.col("c0").rlike(r"^[0-9]{2}\s"), F.col("c0") == "Área Geográfica"
     )
     report = report.withColumn("area_geografica", strip_code_prefix(F.col("area_geografica")))
     is_entity = (F.col("grupo") == "Total") & (F.col("sexo") == "Total")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from panelloom.catalogue.registry import query, rnd, rounded
-from panelloom.catalogue.sql import TABLES, norm_frames, solved
+from panelloom.catalogue.sql import TABLES, adjusted, norm_frames, solved
 from panelloom.operators import joins, ranking, windows
 from panelloom.operators.spline import spline_to_months
 from panelloom.plans import macro, panel
@@ -199,10 +199,21 @@ def spline_monthly(spark, sf):
     return rounded(spline_to_months(quarters, KEY, "gdp_total", "value"), 2, "value")
 
 
-@query("W14 D9", f"SELECT entity, period_idx, {rnd('headline', 4)} AS headline, headline_sa_ok FROM adjusted_headline")
-def seasonal_adjust_x11(spark, sf):
-    adjusted = macro.price_panel(tb.prices(spark, sf), tb.PRIORITIES, tb.START, tb.END)
-    return rounded(adjusted.select("entity", "period_idx", "headline", "headline_sa_ok"), 4, "headline")
+TABLES["all_price_spine"] = """
+SELECT s.entity, s.period_idx, q.* EXCLUDE (entity, period_idx) FROM
+  (SELECT entity, CAST(unnest(range(min(period_idx), max(period_idx) + 1)) AS INTEGER) AS period_idx FROM price_quarters GROUP BY 1) s
+LEFT JOIN price_quarters q ON q.entity = s.entity AND q.period_idx = s.period_idx"""
+
+
+@query(
+    "W14 D9",
+    "SELECT entity, period_idx, " + ", ".join(f"{rnd(p, 4)} AS {p}, {p}_sa_ok" for p in tb.PRICES) + " FROM "
+    + " JOIN ".join(f"({adjusted('all_price_spine', 'entity', p)}) AS a_{p}" + (" USING (entity, period_idx)" if i else "") for i, p in enumerate(tb.PRICES)),
+)
+def seasonal_adjust_classical(spark, sf):
+    """All price columns by the classical decomposition, each with its flag."""
+    found = macro.price_panel(tb.prices(spark, sf), tb.PRIORITIES, tb.START, tb.END)
+    return rounded(found.select("entity", "period_idx", *[c for p in tb.PRICES for c in (p, f"{p}_sa_ok")]), 4, *tb.PRICES)
 
 
 @query(

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 def _fold_pairs() -> tuple[str, str]:
     accented, plain = [], []
-    for code in range(0xC0, 0x180):
+    for code in [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]:
         base = unicodedata.normalize("NFD", chr(code))[0]
         if base.isascii() and base.isalpha():
             accented.append(chr(code))
@@ -21,13 +21,24 @@ def _fold_pairs() -> tuple[str, str]:
 
 ACCENTED, PLAIN = _fold_pairs()
 
-# Letters whose UTF-8 bytes are most often shown as Windows-1252 text.
-REPAIRED_LETTERS = "áéíóúüñÁÉÓÚÜÑ"
+# Latin letters without a decomposition, and what they are written as in ASCII.
+LETTERS = {
+    "ø": "o", "Ø": "O", "đ": "d", "Đ": "D", "ł": "l", "Ł": "L", "ħ": "h", "Ħ": "H", "ı": "i", "ŧ": "t", "Ŧ": "T", "ð": "d", "Ð": "D", "ŋ": "n", "Ŋ": "N",
+    "ß": "ss", "æ": "ae", "Æ": "AE", "œ": "oe", "Œ": "OE", "þ": "th", "Þ": "TH", "ĳ": "ij", "Ĳ": "IJ", "ŉ": "n", "ſ": "s",
+}
+
+# Letters whose UTF-8 bytes, shown as Windows-1252, are repaired: all of two bytes up to U+017F.
+REPAIRED_LETTERS = "".join(c for c in map(chr, range(0xA1, 0x180)) if c.isalpha())
 
 
 def fold_accents(c: Column) -> Column:
-    """Replace each accented Latin letter by its base letter."""
-    return F.translate(c, ACCENTED, PLAIN)
+    """Replace each accented or special Latin letter by its ASCII letters, and drop loose accents."""
+    single = {a: b for a, b in LETTERS.items() if len(b) == 1}
+    folded = F.translate(c, ACCENTED + "".join(single), PLAIN + "".join(single.values()))
+    long = {a: b for a, b in LETTERS.items() if len(b) > 1}
+    for letter, plain in long.items():
+        folded = F.replace(folded, F.lit(letter), F.lit(plain))
+    return F.regexp_replace(folded, r"[\u0300-\u036F]+", "")
 
 
 def _misread(letter: str) -> str:
@@ -37,15 +48,15 @@ def _misread(letter: str) -> str:
 
 
 def repair_mojibake(c: Column) -> Column:
-    """Undo UTF-8 text that was read as Windows-1252."""
-    for letter in REPAIRED_LETTERS:
-        c = F.replace(c, F.lit(_misread(letter)), F.lit(letter))
-    return c
+    """Undo UTF-8 text that was read as Windows-1252, letter by letter; other text is left alone."""
+    pairs = F.array(*[F.struct(F.lit(_misread(x)).alias("shown"), F.lit(x).alias("meant")) for x in REPAIRED_LETTERS])
+    repaired = F.aggregate(pairs, c, lambda text, pair: F.replace(text, pair["shown"], pair["meant"]))
+    return F.when(c.rlike("[ÂÃÄÅ]"), repaired).otherwise(c)
 
 
 def squish(c: Column) -> Column:
-    """Trim, and reduce each run of blanks to one."""
-    return F.trim(F.regexp_replace(c, r"[ \t\n\r\f]+", " "))
+    """Trim, and reduce each run of blanks, no-break spaces among them, to one space."""
+    return F.trim(F.regexp_replace(c, r"[\s\u00A0]+", " "))
 
 
 def sentence_case(c: Column) -> Column:

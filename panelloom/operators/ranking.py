@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelloom.functions.text import idents
 from panelloom.session import ensure_checkpoint_dir
 
 
-def placed(df: DataFrame, order: Sequence[str]) -> DataFrame:
+def placed(df: DataFrame, order: Sequence[str | Column]) -> DataFrame:
     """Range-partition by ``order`` and mark each row with its partition and its place in it, ``_part``, ``_pos``.
 
     The rows are written once by ``checkpoint``: what is computed from them twice sees the same partitions, even
@@ -34,6 +35,17 @@ def group_id(df: DataFrame, key: str, name: str = "group_id") -> DataFrame:
     return df.join(ids, key, "left")
 
 
+def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str = "row") -> DataFrame:
+    """Number the rows 1, 2, ... in each group in the given order; a group of any size spreads over many tasks."""
+    rows = placed(df, [*[F.col(k) for k in keys], *order])
+    sizes = rows.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_size"), F.min("_pos").alias("_first"))
+    # One row per group and partition of the exchange.
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(*keys, "_part", "_first", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset"))
+    met = rows.alias("r").join(offsets.alias("o"), reduce(lambda a, b: a & b, [F.col(f"r.{c}").eqNullSafe(F.col(f"o.{c}")) for c in [*keys, "_part"]]))
+    return met.selectExpr(*[f"r.{c}" for c in idents(df.columns)], f"CAST(_pos - _first + _offset + 1 AS INT) AS {idents([name])[0]}")
+
+
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probabilities: Sequence[float]) -> DataFrame:
     """Exact interpolated quantiles of groups of any size, as ``(keys, probability, quantile)``.
 

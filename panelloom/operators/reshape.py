@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from panelloom.operators.ranking import numbered
+
 
 def to_long(df: DataFrame, ids: Sequence[str], values: Sequence[str], name: str, value: str) -> DataFrame:
     return df.unpivot(list(ids), list(values), name, value)
@@ -79,19 +81,12 @@ def interleave(
     )
     kept = [c for c in df.columns if c not in (upper, lower)]
     long = df.select(*kept, F.inline(lines))
-    w = Window.partitionBy(*keys).orderBy(*order, "line")
-    return (
-        long.withColumn("row", F.row_number().over(w))
-        .withColumn(label, F.when(F.col("row") % 2 == 1, F.col(label)))
-        .drop("line")
-    )
+    rows = numbered(long, keys, [*order, F.col("line")])
+    return rows.withColumn(label, F.when(F.col("row") % 2 == 1, F.col(label))).drop("line")
 
 
 def label_first_row(
     df: DataFrame, keys: Sequence[str], label: str, order: Sequence[Column]
 ) -> DataFrame:
-    """Show the label on the first row of each group only."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("row", F.row_number().over(w)).withColumn(
-        label, F.when(F.col("row") == 1, F.col(label))
-    )
+    """Show the label on the first row of each group only; ``row`` numbers the group's rows."""
+    return numbered(df, keys, order).withColumn(label, F.when(F.col("row") == 1, F.col(label)))

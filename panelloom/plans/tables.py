@@ -112,19 +112,21 @@ def shipments(spark: SparkSession, sf: str) -> DataFrame:
     return totals.selectExpr("entity", "period_idx", "quantity", "quantity / n AS temp", "points / n AS precip")
 
 
+def order_cells(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders summed by nation, month, priority and segment: what prices and outputs have in common, read once."""
+    keys = ["entity", "period_idx", F.col("o_orderpriority").alias("category"), "c_mktsegment"]
+    return located_orders(spark, sf).groupBy(*keys).agg(F.sum("cents").alias("cents"), F.count(F.lit(1)).alias("orders"))
+
+
 def prices(spark: SparkSession, sf: str) -> DataFrame:
     """Mean order value by nation, month and priority, in the role of price indices."""
-    return (
-        located_orders(spark, sf)
-        .groupBy("entity", "period_idx", F.col("o_orderpriority").alias("category"))
-        .agg(F.expr(f"{MEAN_CENTS} AS value"))
-    )
+    return order_cells(spark, sf).groupBy("entity", "period_idx", "category").agg(F.expr("sum(cents) / 100.0D / sum(orders) AS value"))
 
 
 def outputs(spark: SparkSession, sf: str) -> DataFrame:
     """Order value by nation and quarter, by segment and in total."""
     by_segment = (
-        located_orders(spark, sf)
+        order_cells(spark, sf)
         .groupBy("entity", cal.month_to_quarter_index(F.col("period_idx")).alias("period_idx"), "c_mktsegment")
         .agg(F.sum("cents").alias("cents"))
     )
@@ -142,22 +144,10 @@ def weather(spark: SparkSession, sf: str) -> DataFrame:
     return climate.all_norms(both, ["entity"], ["temp", "precip"], NORMS, START, END).drop("year", "sub_period")
 
 
-def weather_apart(spark: SparkSession, sf: str) -> DataFrame:
-    """The same from two separate sources, one per measure, joined in full."""
-    frames = [
-        climate.all_norms(
-            shipments(spark, sf).select("entity", "period_idx", v), ["entity"], [v], NORMS, START, END
-        )
-        for v in ("temp", "precip")
-    ]
-    keys = ["norm_years", "entity", "period_idx", "year", "sub_period", "season"]
-    return panel.merge_weather(*frames, keys).drop("year", "sub_period")
-
-
 def merged(spark: SparkSession, sf: str) -> DataFrame:
     """The full panel: prices, output and weather by norm, nation and quarter."""
     price = macro.price_panel(prices(spark, sf), PRIORITIES, START, END, adjusted=False)
-    return panel.merge_panel(price, outputs(spark, sf), weather_apart(spark, sf), ["entity", "period_idx"])
+    return panel.merge_panel(price, outputs(spark, sf), weather(spark, sf), ["entity", "period_idx"])
 
 
 def outcomes(spark: SparkSession, sf: str) -> DataFrame:

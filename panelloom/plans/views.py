@@ -57,7 +57,7 @@ def response_layout(
     columns = list(range(horizon + 1))
     # Both lines of every horizon in one pivot.
     wide = cells.groupBy(*ids).pivot("horizon", columns).agg(
-        F.first("cell").alias("cell"), F.first("error").alias("error")
+        reshape.only("cell").alias("cell"), reshape.only("error").alias("error")
     )
     lines = F.array(
         F.struct(F.lit(1).alias("line"), *[F.col(f"{h}_cell").alias(f"h{h}") for h in columns]),
@@ -66,7 +66,8 @@ def response_layout(
     long = wide.select(*ids, F.inline(lines)).withColumns(
         {"part": part_of(F.col("outcome")), "family": family_of(F.col("shock")), "label": F.col("outcome")}
     )
-    table = reshape.label_first_row(long, [*keys, "part", "shock", "outcome"], "label", [F.col("line")])
+    # An outcome's two lines need no numbering.
+    table = long.withColumn("label", F.when(F.col("line") == 1, F.col("label")))
     return table.select(
         *keys, "family", "part", "shock", "outcome", "line", "label", *[f"h{h}" for h in columns]
     )
@@ -94,7 +95,7 @@ def long_run_comparison(
     )
     names = [f"m{m}_n{n}" for m in models for n in years]
     wide = cells.groupBy("y_var", "var").pivot("column", names).agg(
-        F.first("estimate").alias("estimate"), F.first("error").alias("error")
+        reshape.only("estimate").alias("estimate"), reshape.only("error").alias("error")
     )
     lines = F.array(
         F.struct(F.lit(1).alias("line"), *[F.col(f"{n}_estimate").alias(n) for n in names]),

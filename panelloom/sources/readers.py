@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from panelloom.functions import calendar as cal
-from panelloom.functions.names import repair_mojibake, slug_text, squish
+from panelloom.functions.names import clean_headers, repair_mojibake, squish
 from panelloom.functions.numbers import to_number
 
 
@@ -28,12 +28,17 @@ def read_all_sheets(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def normalise_report(sheet: DataFrame, is_data: Column, headers: list[str]) -> DataFrame:
-    """Drop the preamble and header rows of a report sheet, and name its columns.
+def normalise_report(sheet: DataFrame, is_data: Column, is_header: Column) -> DataFrame:
+    """Drop the preamble of a report sheet and promote its header row to column names.
 
-    The rows to keep are told by a predicate, since row order means nothing in a distributed scan.
+    Header and data rows are told by predicates, since row order means nothing in a distributed scan. One row, the
+    header, is read to name the columns; a sheet without one, or with several, is an error.
     """
-    return sheet.where(is_data).toDF(*[slug_text(h) for h in headers])
+    headers = sheet.where(is_header).distinct().take(2)
+    if len(headers) != 1:
+        raise ValueError(f"the sheet has {'no' if not headers else 'more than one'} header row")
+    named = sheet.where(is_data).toDF(*[f"c{i}" if h is None else str(h) for i, h in enumerate(headers[0])])
+    return clean_headers(named)
 
 
 def series_from_json(documents: DataFrame, text: str = "value") -> DataFrame:

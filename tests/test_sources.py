@@ -113,7 +113,7 @@ def test_report_sheet(spark, rows):
         [("Censo", None), (None, None), ("Entidad federativa", "Población"), ("09 Ciudad de México", "9209944"), ("01 Aguascalientes", "1425607")],
         "a string, b string",
     )
-    got = readers.normalise_report(sheet, F.col("a").rlike(r"^[0-9]{2}\s"), ["Entidad federativa", "Población"])
+    got = readers.normalise_report(sheet, F.col("a").rlike(r"^[0-9]{2}\s"), F.col("b") == "Población")
     assert got.columns == ["entidad_federativa", "poblacion"] and got.count() == 2
     weights = climate.population_weights(got, F.lit(True), "entidad_federativa", "poblacion")
     assert weights.agg(F.sum("weight")).first()[0] == pytest.approx(1.0)
