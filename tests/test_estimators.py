@@ -252,3 +252,34 @@ def test_model_list_is_complete():
     specs = longrun.model_specs(["gdp"], 8)
     assert [len(s.x) for s in specs] == [8 + 9 * len(v) for v in longrun.MODELS.values()]
     assert max(len(s.x) for s in specs) == 44 and len(specs) == 9
+
+
+def test_staggered_panels_get_narrow_blocks(monkeypatch):
+    """500 entities on disjoint periods: blocks hold no more than the budget, and every entity once."""
+    import pyarrow as pa
+
+    width, rows = 4, 10
+    series = pa.array([[{"p": rows * e + i, "v": [1.0] * width} for i in range(rows)] for e in range(500)])
+    monkeypatch.setattr(estimators, "BLOCK_BUDGET", 64 << 10)
+    blocks = list(estimators._block_rows(series, list(range(500)), width))
+    assert sorted(i for b in blocks for i in b) == list(range(500))
+    held = [estimators._Block(series.take(pa.array(b)), width).values.nbytes for b in blocks]
+    assert max(held) <= 64 << 10 and len(blocks) > 10
+
+
+def test_many_designs_stream(spark):
+    designs = spark.range(50_000).selectExpr("id AS spec_id", "explode(sequence(0, 5)) AS p").selectExpr(
+        "spec_id", "p % 2 AS entity", "CAST(p DIV 2 AS INT) AS period_idx", "CAST(p * p + spec_id AS DOUBLE) AS y", "array(CAST(p AS DOUBLE)) AS x"
+    )
+    fits = estimators.fit_designs(designs, 1)
+    assert fits.count() == 50_000 and fits.where("beta[0] IS NULL OR n_obs <> 6").isEmpty()
+
+
+def test_bandwidth_counts_all_periods(spark):
+    """On a staggered panel T is the number of periods over all entities."""
+    rows = [(e, e * 5 + t, float((e * 7 + t * t) % 11), float(t)) for e in range(4) for t in range(10)]
+    panel = spark.createDataFrame(rows, "entity int, period_idx int, y double, x double")
+    fit = estimators.fit(panel, [Spec("s", "y", ("x",))], ["entity"]).first()
+    assert fit.n_periods == 25
+    same = estimators.fit(panel, [Spec("s", "y", ("x",))], ["entity"], max_lag=2).first()
+    assert fit.cov == same.cov

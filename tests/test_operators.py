@@ -303,3 +303,17 @@ def test_interleave_labels_every_other_row(spark):
     df = spark.createDataFrame([("t", "a", "1", "(2)"), ("t", "b", "3", "(4)")], "g string, v string, est string, se string")
     got = reshape.interleave(df, ["g"], "est", "se", "v", [F.col("v")]).orderBy("row").collect()
     assert [(r["v"], r["cell"]) for r in got] == [("a", "1"), (None, "(2)"), ("b", "3"), (None, "(4)")]
+
+
+def test_two_values_for_one_cell_are_an_error(spark):
+    df = spark.createDataFrame([("a", "x", 1.0), ("a", "x", 2.0)], "id string, name string, value double")
+    with pytest.raises(Exception, match="more than one value"):
+        reshape.to_wide(df, ["id"], "name", "value", ["x"]).collect()
+
+
+def test_numbered_rows(spark):
+    from panelloom.operators.ranking import numbered
+
+    df = spark.range(1000).selectExpr("id % 3 AS g", "id AS v")
+    got = numbered(df, ["g"], [F.col("v").desc()]).collect()
+    assert all(r.row == (999 - r.v) // 3 + 1 for r in got) and len(got) == 1000

@@ -117,3 +117,38 @@ def test_report_sheet(spark, rows):
     assert got.columns == ["entidad_federativa", "poblacion"] and got.count() == 2
     weights = climate.population_weights(got, F.lit(True), "entidad_federativa", "poblacion")
     assert weights.agg(F.sum("weight")).first()[0] == pytest.approx(1.0)
+
+
+def test_hard_lines_of_a_text_table(spark, tmp_path, rows):
+    """A short line, marks of missing numbers, a name with a digit: every line comes out, the rest is reported."""
+    lines = ["Resumen", "Entidad Ene Feb Mar Anual", "Corta 1.0 2.0", "Sin n/d 2.0 3.0 2.5", "Raya - 2.0 3.0 2.5", "Zona 2 1.0 2.0 3.0 2.0", "Baja Sur 1 2 3 2", "Nota 7"]
+    for folder in ("a", "b"):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "2003.txt").write_text("\n".join(lines), encoding="utf-8")
+    got = readers.read_month_text(spark, str(tmp_path) + "/a")
+    first = 2003 * 12
+    assert rows(got) == sorted(
+        [
+            *[("Corta", first + i, v) for i, v in enumerate([1.0, 2.0, None])], *[("Sin", first + i, v) for i, v in enumerate([None, 2.0, 3.0])],
+            *[("Raya", first + i, v) for i, v in enumerate([None, 2.0, 3.0])], *[("Zona 2", first + i, v) for i, v in enumerate([1.0, 2.0, 3.0])],
+            *[("Baja Sur", first + i, v) for i, v in enumerate([1.0, 2.0, 3.0])],
+        ],
+        key=lambda r: tuple((v is not None, v) for v in r),
+    )
+    assert rows(readers.unread_lines(readers.text_lines(spark, str(tmp_path) + "/a")), "line") == [("Nota 7",), ("Resumen",)]
+    # Two folders with a file of one name are two files.
+    assert readers.read_month_text(spark, str(tmp_path) + "/*").count() == 2 * got.count()
+
+
+def test_scratch_needs_a_shared_folder():
+    from panelloom.session import ensure_checkpoint_dir
+
+    class Cluster:
+        class conf:
+            get = staticmethod(lambda key, default: default)
+
+        class sparkContext:
+            master = "spark://somewhere:7077"
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        ensure_checkpoint_dir(Cluster)
