@@ -12,7 +12,7 @@ from panelloom.plans import longrun, projections, views
 from panelloom.plans import tables as tb
 
 KEYS, ENTITY = ["norm_years"], ["entity"]
-H, LAGS = tb.HORIZON, 2
+H, LAGS = tb.HORIZON, 8
 OUTCOMES = [*tb.MODEL_PRICES, *tb.MODEL_OUTPUTS]
 _W = "(PARTITION BY norm_years, entity ORDER BY period_idx)"
 _BANDWIDTH = "floor(pow(count(DISTINCT t), 0.25) + 1e-9)"
