@@ -47,6 +47,23 @@ def texts_of(df: DataFrame, keys: Sequence[str], text: str = "text") -> DataFram
     return df.select(*[F.col(f"`{k}`") for k in keys], F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("_text"))
 
 
+# Bits of the map that thins rows before a shuffle: at most BITS / 64 rows of two numbers, whatever the data.
+BITS = 1 << 24
+
+
+def thinned(rows: DataFrame, key: str, wanted: DataFrame, wanted_key: str) -> DataFrame:
+    """``rows`` without most of those whose ``key`` is no ``wanted_key``, so that a join shuffles less.
+
+    The wanted keys are marked in a bit map of fixed size, a table of 64-bit words that is small enough to broadcast.
+    """
+    bit = "pmod(xxhash64({}), {})"
+    marks = wanted.selectExpr(f"{bit.format(wanted_key, BITS)} AS _bit")
+    words = marks.groupBy(F.expr("shiftright(_bit, 6)").alias("_word")).agg(F.expr("bit_or(shiftleft(1L, CAST(_bit & 63 AS INT)))").alias("_bits"))
+    tagged = rows.withColumn("_bit", F.expr(bit.format(key, BITS)))
+    met = tagged.join(F.broadcast(words), F.expr("shiftright(_bit, 6) = _word"))
+    return met.where("(_bits & shiftleft(1L, CAST(_bit & 63 AS INT))) <> 0").drop("_bit", "_word", "_bits")
+
+
 def words_of(text: str) -> list[bytes]:
     """The words as UTF-8 with A-Z lower-cased."""
     return text.encode("utf-8", "surrogatepass").translate(LOWER).split()

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from panelloom.llm.common import written
 
+# Links of one task.
+LINKS = 250_000
+
 
 def _to_least(links: DataFrame, of: str) -> DataFrame:
     """``links`` with the least ``b`` of each ``a`` beside it; the minimum is taken before the shuffle, and the join
@@ -23,6 +26,10 @@ def components(links: DataFrame) -> DataFrame:
     """
     now = written(links.where("a <> b").selectExpr("greatest(a, b) AS a", "least(a, b) AS b").distinct())
 
+    def kept(df: DataFrame, links: int) -> DataFrame:
+        """Few links need few tasks and files."""
+        return written(df.coalesce(links // LINKS + 1))
+
     def stamp(df: DataFrame) -> tuple:
         return tuple(df.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first())
 
@@ -30,10 +37,10 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         both = now.unionByName(now.selectExpr("b AS a", "a AS b"))
         large = _to_least(both, "b AS a; least(a, m) AS b; a AS x").where("a > x").select("a", "b").distinct()
-        large = written(large)
+        large = kept(large, 2 * seen[0])
         small = _to_least(large, "a AS x; b AS y; m")
         small = small.selectExpr("x AS a", "m AS b").unionByName(small.selectExpr("y AS a", "m AS b")).where("a <> b").distinct()
-        now = written(small)
+        now = kept(small, 2 * seen[0])
         found = stamp(now)
         if found == seen:
             roots = now.selectExpr("b AS node", "b AS component").distinct()

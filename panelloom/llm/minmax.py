@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelloom.llm.common import Parts, map_arrow, runs, texts_of, written
+from panelloom.llm.common import Parts, map_arrow, runs, texts_of, thinned, written
 from panelloom.llm.components import components
 from panelloom.llm.shingles import mixed, shingle_sets
 
@@ -112,7 +112,7 @@ def set_bytes(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
                 names=["node", "hashes"],
             )
 
-    rows = texts_of(docs, ["doc_id"]).withColumnRenamed("doc_id", "_doc").join(wanted, F.expr("_doc <=> least")).select("node", "digest", "_text")
+    rows = thinned(texts_of(docs, ["doc_id"]).withColumnRenamed("doc_id", "_doc"), "_doc", wanted, "least").join(wanted, F.expr("_doc <=> least")).select("node", "digest", "_text")
     return map_arrow(rows, made, "node bigint, hashes binary").groupBy("node").agg(F.first("hashes").alias("hashes"))
 
 
@@ -238,7 +238,7 @@ def near_duplicates(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """
     least = cut(percent / 100)
     rows = written(sketches(docs, width))
-    nodes = rows.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("least"), F.first("marks").alias("marks"), F.first("bands").alias("bands"))
+    nodes = rows.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("least"), F.first("marks").alias("marks"), F.first("bands").alias("bands"), F.first("n_shingles").alias("size"))
     # The number of a node is fixed by writing it down once.
     nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()))
     keys = nodes.select("node", F.explode("bands").alias("key"))
@@ -265,13 +265,14 @@ def near_duplicates(docs: DataFrame, width: int, percent: int) -> DataFrame:
     maybe = written(candidate_links(parted, least))
     if not maybe.isEmpty():
         clusters = written(components(maybe).withColumnRenamed("component", "cluster"))
-        sets = set_bytes(docs, wanted.join(clusters.select("node"), "node", "left_semi"), width)
-        sized = clusters.join(sets, "node").join(found, F.expr("node = n"), "left").selectExpr("cluster", "node", "coalesce(component, node) AS label", "hashes")
-        sized = written(sized)
-        blocks = sized.groupBy("cluster").agg(
-            F.expr(f"CAST(greatest(ceil(count(1) / {BLOCK_NODES}D), ceil(sum(length(hashes)) / {BLOCK_BYTES}D)) AS INT)").alias("tiles")
+        clusters = clusters.join(nodes.select("node", "least", "digest", "size"), "node").join(found, F.expr("node = n"), "left").drop("n")
+        clusters = written(clusters.withColumn("label", F.expr("coalesce(component, node)")).drop("component"))
+        blocks = clusters.groupBy(F.col("cluster").alias("c")).agg(
+            F.expr(f"CAST(greatest(ceil(count(1) / {BLOCK_NODES}D), ceil(sum(size) * 8 / {BLOCK_BYTES}D)) AS INT)").alias("tiles")
         )
-        more = cluster_links(sized.join(blocks.withColumnRenamed("cluster", "c"), F.expr("cluster = c")).drop("c"), percent)
+        placed = clusters.join(blocks, F.expr("cluster = c")).select("node", "cluster", "label", "tiles")
+        sets = set_bytes(docs, clusters.select("node", "least", "digest"), width)
+        more = cluster_links(placed.join(sets, "node"), percent)
         found = components(links.unionByName(written(more))).withColumnRenamed("node", "n")
 
     joined = nodes.select("node", "digest", "least").join(found, F.expr("node = n"), "left").selectExpr("digest AS d", "least", "coalesce(component, node) AS part")
