@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelloom.llm.common import map_arrow, written
+from panelloom.llm.common import map_arrow, thinned, written
 from panelloom.llm.shingles import mixed
 
 LENGTH, GRAM = 400, 160
@@ -181,7 +181,7 @@ def _sent(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
 
     doc_kind = to_arrow_type(docs.schema["doc_id"].dataType)
     rows = docs.selectExpr("doc_id", f"{TEXT_HASH} AS text_hash", "coalesce(text, '') AS _text")
-    met = rows.join(wanted.selectExpr("doc_id AS d", "text_hash AS t", "parts"), F.expr("doc_id <=> d AND text_hash = t")).select("doc_id", "text_hash", "_text", "parts")
+    met = thinned(rows, "text_hash", wanted, "text_hash").join(wanted.selectExpr("doc_id AS d", "text_hash AS t", "parts"), F.expr("doc_id <=> d AND text_hash = t")).select("doc_id", "text_hash", "_text", "parts")
     kind = rows.schema["doc_id"].dataType.simpleString()
     return map_arrow(met, send, f"elected bigint, crowded boolean, doc_id {kind}, text_hash bigint, start bigint, ahead bigint, data binary")
 
