@@ -28,7 +28,7 @@ from panelloom.llm.common import Memo, map_arrow, texts_of, worker_state
 CHUNK = re.compile("[ \n\t\r]*[^ \n\t\r]+|[ \n\t\r]+$")
 # White space of the pattern that CHUNK does not cut at; texts that hold any are matched as a whole.
 OTHER_SPACE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0  -     　]")
-MEMO, PAIRS = 600_000, 1_000_000
+MEMO, PAIRS = 250_000, 250_000
 
 
 class RankFile:
