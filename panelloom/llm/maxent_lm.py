@@ -22,7 +22,9 @@ from __future__ import annotations
 import math
 import uuid
 import zlib
+from collections import Counter
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +37,8 @@ CLASSES, WIDTH, RARE = 32, 64, 16
 COMMON = 200_000
 CLASS_ROWS, WORD_ROWS = 1 << 14, 1 << 15
 ROUNDS = 2
-STEP, MINIBATCH = 0.15, 2048
+STEP, MINIBATCH = 0.15, 4096
+BOUNDS = -30, 15
 # The end of a text as a token; no word holds a line break.
 END = b"\n"
 TOKENS = CLASSES * WIDTH
@@ -60,14 +63,13 @@ def token_counts(docs: DataFrame) -> DataFrame:
     """``token, count`` over the whole texts; each task adds up before the shuffle."""
 
     def count(batches):
-        held: dict[bytes, int] = {}
+        held: Counter[bytes] = Counter()
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                for token in tokens_of(text):
-                    held[token] = held.get(token, 0) + 1
+                held.update(tokens_of(text))
             if len(held) > 400_000:
                 yield out(held)
-                held = {}
+                held.clear()
         yield out(held)
 
     def out(held):
@@ -92,8 +94,15 @@ class Vocabulary:
 
 
 def vocabulary(counts: DataFrame, common: int = COMMON) -> Vocabulary:
-    """From ``token, count``; at most ``common`` rows reach the driver."""
-    top = counts.orderBy(F.desc("count"), "token").limit(common).collect()
+    """From ``token, count``; at most ``common`` rows reach the driver: the tokens above the least count that lets so
+    few through."""
+    least, kinds = 0, 0
+    for n, k in sorted(counts.groupBy("count").agg(F.count(F.lit(1))).collect(), reverse=True):
+        kinds += k
+        if kinds > common:
+            least = n
+            break
+    top = sorted(counts.where(F.col("count") > least).collect(), key=lambda r: (-r[1], r[0]))
     tokens = [bytes(r[0]) for r in top]
     total, distinct = np.zeros(RARE, np.int64), np.zeros(RARE, np.int64)
     for cls, n, k in counts.groupBy(F.expr(RARE_SQL).alias("c")).agg(F.sum("count"), F.count(F.lit(1))).collect():
@@ -150,11 +159,12 @@ def word_features(cls: np.ndarray, one: np.ndarray, two: np.ndarray, three: np.n
 
 
 def log_softmax(table: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    logits = table[rows[0]]
+    """Log probabilities from the sums of the ``rows`` of the table. Weights lie within ``BOUNDS``, so nothing overflows."""
+    logits = np.take(table, rows[0], axis=0)
     for r in rows[1:]:
-        logits += table[r]
-    logits -= logits.max(axis=1, keepdims=True)
-    logits -= np.log(np.exp(logits).sum(axis=1, keepdims=True))
+        logits += np.take(table, r, axis=0)
+    total = np.exp(logits) @ np.ones(table.shape[1], np.float32)
+    logits -= np.log(total + np.float32(1e-30))[:, None]
     return logits
 
 
@@ -181,7 +191,7 @@ class Reader:
             words += tokens_of(text)
             begin.append(len(words))
         index = self.index
-        place = np.array([index.get(w, -1) for w in words], np.int64)
+        place = np.fromiter(map(index.get, words, repeat(-1)), np.int64, len(words))
         ids = self.model_id[place] if len(self.model_id) else np.zeros(len(place), np.int64)
         unknown = np.flatnonzero(place < 0)
         rare = [words[i] for i in unknown.tolist()]
@@ -226,18 +236,26 @@ class Trainer:
         self.used = [np.zeros(len(t), np.int64) for t in self.tables]
 
     def step(self, t: int, rows: np.ndarray, target: np.ndarray) -> None:
-        table = self.tables[t]
-        push = -np.exp(log_softmax(table, rows))
+        table, squares, used = self.tables[t], self.squares[t], self.used[t]
+        push = log_softmax(table, rows)
+        np.exp(push, out=push)
+        np.negative(push, out=push)
         push[np.arange(len(target)), target] += 1
         for kind in rows:
-            order = np.argsort(kind, kind="stable")
-            edge = np.flatnonzero(np.append(True, np.diff(kind[order])))
-            touched = kind[order[edge]]
-            count = np.diff(np.append(edge, len(order)))
-            gradient = np.add.reduceat(push[order], edge, axis=0) / np.sqrt(count)[:, None].astype(np.float32)
-            self.squares[t][touched] += (gradient * gradient).mean(axis=1)
-            table[touched] += STEP * gradient / np.sqrt(self.squares[t][touched])[:, None]
-            self.used[t][touched] += count
+            # Tokens of one row of the table side by side; numbers of 16 bits sort in linear time.
+            order = np.argsort(kind.astype(np.uint16), kind="stable")
+            row = kind[order]
+            edge = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
+            touched, count = row[edge], np.diff(np.append(edge, len(order)))
+            # Sums of pairs of numbers take half the steps.
+            gradient = np.add.reduceat(np.take(push, order, axis=0).view(np.complex64), edge, axis=0).view(np.float32)
+            gradient *= (count**-0.5).astype(np.float32)[:, None]
+            new = squares[touched] + np.einsum("ij,ij->i", gradient, gradient) / gradient.shape[1]
+            squares[touched] = new
+            gradient *= (STEP / np.sqrt(new))[:, None]
+            gradient += np.take(table, touched, axis=0)
+            table[touched] = np.clip(gradient, *BOUNDS, out=gradient)
+            used[touched] += count
 
     def learn(self, ids, one, two, three) -> None:
         for at in range(0, len(ids), MINIBATCH):
