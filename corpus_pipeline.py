@@ -15,6 +15,8 @@ from panelloom.session import scratch_path
 
 TOXIC_FROM = 0.3
 SHINGLE_WORDS, SIMILAR_PERCENT = 5, 80
+# Repeated passages of more than 50 words go.
+PASSAGE_WORDS = 51
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,8 +31,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Strings of 400 bytes that come up more than once go from every document; the documents stay."""
-    return suffix_dedup.shortened(docs)
+    """Passages of over 50 words that come up more than once go from every document, and so do strings of 400 bytes with
+    fewer words; the documents stay."""
+    return suffix_dedup.shortened(docs, words=PASSAGE_WORDS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -17,6 +17,10 @@ Contents are counted before they are shuffled, so a passage or a document that t
 elected substring with more than ``CROWD`` contents is not sorted in one task: its starts are grouped by two hashes
 of the whole string instead, as rows that spread over all tasks.
 
+The letters of a string are bytes, or words (as in ``common.WORD``, upper and lower case apart):
+then ``length`` and ``gram`` count words, what lies between two words does not matter, a word's letter is its 64-bit
+hash, and the sort numbers the words of its block, so that its last comparison is one of bytes there too.
+
 Texts are UTF-8 bytes, a NULL text is empty. A repeated row is another document, so both lose what they share. Matches
 never cross documents and are judged on the texts as given. Extra columns are not read.
 """
@@ -29,9 +33,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelloom.llm.common import map_arrow, thinned, written
-from panelloom.llm.shingles import mixed
+from panelloom.llm.shingles import SEPARATES, mixed, word_hashes
 
 LENGTH, GRAM = 400, 160
+# Elected words of a string of words.
+WORD_GRAM = 12
 CHUNK = 1 << 19
 CROWD = 2000
 BLOCK = 1 << 20
@@ -58,7 +64,8 @@ class Polynomial:
     def prefixes(self, data: np.ndarray) -> np.ndarray:
         self.powers(len(data))
         out = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(self.letters[data] * self.up[: len(data)], out=out[1:])
+        letters = self.letters[data] if data.dtype == np.uint8 else mixed(data.astype(np.uint64) ^ self.letters[0])
+        np.cumsum(letters * self.up[: len(data)], out=out[1:])
         return out
 
     def hashes(self, prefix: np.ndarray, start: np.ndarray | slice, end: np.ndarray | slice) -> np.ndarray:
@@ -74,21 +81,47 @@ def _window_least(values: np.ndarray, width: int) -> np.ndarray:
     return values if have == width else np.minimum(values[: len(values) - (width - have)], values[width - have :])
 
 
+def word_edges(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of the bytes start and end."""
+    edge = np.flatnonzero(np.diff(~SEPARATES[data], prepend=False, append=False))
+    return edge[::2], edge[1::2]
+
+
+def letters_of(texts: list, words: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The letters of the texts, and of each text where they begin and how many there are."""
+    sizes = np.array([len(t) for t in texts], np.int64)
+    if not words:
+        return np.frombuffer(b"".join(texts), np.uint8), np.cumsum(sizes) - sizes, sizes
+    starts, hashes = word_hashes(np.frombuffer(b"\n".join(texts), np.uint8))
+    edges = np.searchsorted(starts, np.append(0, np.cumsum(sizes + 1)))
+    return hashes, edges[:-1], np.diff(edges)
+
+
 class Cutter:
-    """Fragments of texts, for one length and one length of the elected substrings."""
+    """Fragments of texts, for one length and one length of the elected substrings; ``fewer`` leaves only strings of bytes
+    with fewer whole words between separators."""
 
-    def __init__(self, length: int, gram: int):
+    def __init__(self, length: int, gram: int, fewer: int | None = None):
         if not 0 < length - gram < 1 << 12:
             raise ValueError("the elected substring is shorter than the string, by less than 4096 bytes")
-        self.length, self.gram = length, gram
+        self.length, self.gram, self.fewer = length, gram, fewer
         self.one, self.two = Polynomial(11), Polynomial(12)
 
+    def few_words(self, data: np.ndarray) -> np.ndarray:
+        """Whether the string at each place has fewer than ``fewer`` words that separators bound within the string."""
+        inside = ~SEPARATES[data]
+        ended = np.cumsum(~inside & np.append(False, inside[:-1]), dtype=np.int32)
+        begun = np.cumsum(inside & ~np.append(False, inside[:-1]), dtype=np.int32)
+        return ended[self.length - 1 :] - begun[: len(data) - self.length + 1] < self.fewer
+
     def fragments(self, data: np.ndarray, begin: np.ndarray, size: np.ndarray):
         """Document, hash of the elected substring, hash of the content, first start, distance of the elected substring
         from it, and number of starts."""
         n = len(data)
         if n < self.length or not (size >= self.length).any():
             return (np.zeros(0, np.int64),) * 6
+        # Before the wide arrays, which take more memory.
+        few = None if self.fewer is None else self.few_words(data)
         prefix = self.one.prefixes(data)
         grams = mixed(self.one.hashes(prefix, slice(0, n - self.gram + 1), slice(self.gram, n + 1)))
         low = np.uint64((1 << n.bit_length()) - 1)
@@ -98,8 +131,13 @@ class Cutter:
         count = np.maximum(size - self.length + 1, 0)
         doc = np.repeat(np.arange(len(size)), count)
         start = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count) + begin[doc]
+        if few is not None:
+            few = few[start]
+            doc, start = doc[few], start[few]
+            if not len(start):
+                return (np.zeros(0, np.int64),) * 6
         place = place[start]
-        first = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1]) | (doc[1:] != doc[:-1])]))
+        first = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1]) | (doc[1:] != doc[:-1]) | (start[1:] != start[:-1] + 1)]))
         starts = np.diff(np.append(first, len(doc)))
         at, doc = start[first], doc[first]
         elected = grams[place[first]]
@@ -119,7 +157,7 @@ def merged(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return begin[fresh], reach[np.append(fresh[1:] - 1, len(reach) - 1)]
 
 
-def _elected(docs: DataFrame, cutter: Cutter) -> DataFrame:
+def _elected(docs: DataFrame, cutter: Cutter, words: bool) -> DataFrame:
     """Per document its distinct fragments: ``elected``, ``content``, ``at`` (a packed place), ``own`` (whether
     the content comes twice in it), and ``spans``, what its own repeats cover (begin, end, begin, end, ...)."""
 
@@ -133,9 +171,7 @@ def _elected(docs: DataFrame, cutter: Cutter) -> DataFrame:
                 while j < len(texts) and (j == i or size + texts[j].size <= CHUNK):
                     size += texts[j].size
                     j += 1
-                sizes = np.array([t.size for t in texts[i:j]], np.int64)
-                data = np.frombuffer(b"".join(texts[i:j]), np.uint8)
-                doc, elected, content, at, ahead, starts = cutter.fragments(data, np.cumsum(sizes) - sizes, sizes)
+                doc, elected, content, at, ahead, starts = cutter.fragments(*letters_of(texts[i:j], words))
                 edges = np.searchsorted(doc, np.arange(j - i + 1))
                 for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
                     keys = np.stack([elected[a:b], content[a:b]], axis=1)
@@ -156,16 +192,20 @@ def _elected(docs: DataFrame, cutter: Cutter) -> DataFrame:
     return map_arrow(rows, cut, f"doc_id {kind}, text_hash bigint, elected array<bigint>, content array<bigint>, at array<bigint>, own array<boolean>, spans array<bigint>")
 
 
-def _sent(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
+def _sent(docs: DataFrame, wanted: DataFrame, length: int, words: bool) -> DataFrame:
     """The bytes of the ``wanted`` fragments (``doc_id, text_hash`` and ``parts`` of elected, crowded, at)."""
 
     def send(batches):
         for batch in batches:
             out = []
             for doc, mark, text, parts in zip(*(c.to_pylist() for c in batch.columns[:2]), batch.column(2).cast(pa.binary()).to_pylist(), batch.column(3).to_pylist()):
+                if words:
+                    begin, end = (edge.tolist() for edge in word_edges(np.frombuffer(text, np.uint8)))
                 for part in parts:
                     start, ahead, starts = part["at"] >> 24, part["at"] >> 12 & 0xFFF, part["at"] & 0xFFF
-                    out.append((part["elected"], part["crowded"], doc, mark, start, ahead, text[start : start + starts + length - 1]))
+                    last = start + starts + length - 1
+                    data = text[begin[start] : end[last - 1]] if words else text[start:last]
+                    out.append((part["elected"], part["crowded"], doc, mark, start, ahead, data))
                 if len(out) >= 4096:
                     yield packed(out)
                     out = []
@@ -187,7 +227,7 @@ def _sent(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
 
 
 class SuffixSort:
-    """Merge sort of suffixes of one block of bytes, within cells, by their first ``length`` bytes."""
+    """Merge sort of suffixes of one block of letters, within cells, by their first ``length`` letters."""
 
     def __init__(self, polynomial: Polynomial, data: np.ndarray, length: int):
         self.data, self.length = data, length
@@ -242,7 +282,7 @@ class SuffixSort:
         return at
 
     def repeated(self, cell: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """The suffixes that share their first ``length`` bytes with another one of their cell."""
+        """The suffixes that share their first ``length`` letters with another one of their cell."""
         order = np.argsort(cell, kind="stable")
         cell, at = cell[order], at[order]
         at = self.sort(cell, at)
@@ -260,7 +300,7 @@ class SuffixSort:
         return np.unique(np.concatenate(found))
 
 
-def _sorted_spans(fragments: DataFrame, length: int) -> DataFrame:
+def _sorted_spans(fragments: DataFrame, length: int, words: bool) -> DataFrame:
     """``doc_id, text_hash, begin, end``: what the sort finds repeated in the fragments, by elected substring."""
 
     def spans(batches):
@@ -290,7 +330,14 @@ def _sorted_spans(fragments: DataFrame, length: int) -> DataFrame:
             a = b
 
     def one(table, sizes, elected, polynomial):
-        data = np.frombuffer(b"".join(table["data"].to_pylist()), np.uint8)
+        data = table["data"].to_pylist()
+        if words:
+            split = [d.split() for d in data]
+            sizes = np.array([len(w) for w in split], np.int64)
+            numbers: dict[bytes, int] = {}
+            data = np.array([numbers.setdefault(w, len(numbers)) for row in split for w in row], np.int64)
+        else:
+            data = np.frombuffer(b"".join(data), np.uint8)
         begin, starts = np.cumsum(sizes) - sizes, sizes - length + 1
         row = np.repeat(np.arange(len(sizes)), starts)
         shift = np.arange(len(row)) - np.repeat(np.cumsum(starts) - starts, starts)
@@ -322,7 +369,7 @@ def _sorted_spans(fragments: DataFrame, length: int) -> DataFrame:
     return map_arrow(dealt, spans, f"doc_id {kind}, text_hash bigint, begin bigint, end bigint")
 
 
-def _crowded_spans(fragments: DataFrame, length: int) -> DataFrame:
+def _crowded_spans(fragments: DataFrame, length: int, words: bool) -> DataFrame:
     """The same for elected substrings of very many contents, by two hashes of each string."""
 
     def hashed(batches):
@@ -330,7 +377,7 @@ def _crowded_spans(fragments: DataFrame, length: int) -> DataFrame:
         for batch in batches:
             for k in range(batch.num_rows):
                 row = batch.slice(k, 1)
-                data = np.frombuffer(row.column(4)[0].as_buffer(), np.uint8)
+                data = letters_of([row.column(4)[0].as_buffer()], words)[0]
                 n = len(data) - length + 1
                 pair = [mixed(p.hashes(p.prefixes(data), slice(0, n), slice(length, len(data) + 1))).view(np.int64) for p in (one, two)]
                 repeated = [c.take(pa.array(np.zeros(n, np.int64))) for c in row.columns[1:3]]
@@ -343,11 +390,11 @@ def _crowded_spans(fragments: DataFrame, length: int) -> DataFrame:
     return rows.join(many, F.expr("one = x AND two = y"), "left_semi").selectExpr("doc_id", "text_hash", "begin", f"begin + {length} AS end")
 
 
-def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crowd: int = CROWD) -> DataFrame:
-    """``doc_id, text_hash, spans`` of the texts in which something repeats: stretches of bytes (begin, end), perhaps
-    overlapping. Equal rows have one row here."""
+def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crowd: int = CROWD, words: bool = False, fewer: int | None = None) -> DataFrame:
+    """``doc_id, text_hash, spans`` of the texts in which something repeats: stretches of bytes or ``words`` (begin, end),
+    perhaps overlapping. Equal rows have one row here. ``fewer`` leaves out strings of bytes with so many words."""
     texts = docs.select("doc_id", "text")
-    found = written(_elected(texts, Cutter(length, gram)))
+    found = written(_elected(texts, Cutter(length, gram, fewer), words))
     each = found.selectExpr("doc_id", "text_hash", "inline(arrays_zip(elected, content, at, own))")
     shared = each.groupBy("elected").agg(F.count(F.lit(1)).alias("held"), F.min("content").alias("x"), F.max("content").alias("y")).where("held > 1")
     shared = shared.selectExpr("elected AS e", "x <> y AS differs")
@@ -361,12 +408,12 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crowd: int
     unsettled = contents.groupBy("elected").agg(F.count(F.lit(1)).alias("held"), F.min("times").alias("least")).where("least = 1")
     parts = contents.join(unsettled.selectExpr("elected AS e", f"held > {crowd} AS crowded"), F.expr("elected = e"))
     parts = parts.selectExpr("one.doc_id AS doc_id", "one.text_hash AS text_hash", "struct(elected, crowded, one.at AS at) AS part")
-    fragments = _sent(texts, parts.groupBy("doc_id", "text_hash").agg(F.collect_set("part").alias("parts")), length)
+    fragments = _sent(texts, parts.groupBy("doc_id", "text_hash").agg(F.collect_set("part").alias("parts")), length, words)
     if unsettled.where(f"held > {crowd}").isEmpty():
-        sorted_out = _sorted_spans(fragments, length)
+        sorted_out = _sorted_spans(fragments, length, words)
     else:
         fragments = written(fragments)
-        sorted_out = _sorted_spans(fragments.where("NOT crowded"), length).unionByName(_crowded_spans(fragments.where("crowded"), length))
+        sorted_out = _sorted_spans(fragments.where("NOT crowded"), length, words).unionByName(_crowded_spans(fragments.where("crowded"), length, words))
 
     many = contents.where("times > 1").selectExpr("elected AS e", "content AS c")
     whole = rows.where("NOT differs").select("doc_id", "text_hash", "at").unionByName(
@@ -411,10 +458,12 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     return map_arrow(rows, cut, f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")
 
 
-def shortened(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+def shortened(docs: DataFrame, length: int = LENGTH, words: int | None = None) -> DataFrame:
     """The rows of ``docs`` with their repeated stretches cut out of ``text`` and ``n_chars`` set anew.
 
-    A character of which only some bytes repeat stays, so the text is valid. NULL texts stay NULL.
+    With ``words`` every passage of so many words that comes up more than once is cut out, however short, and strings of
+    ``length`` bytes where they hold fewer words (long words, scripts without spaces). A string of ``length`` bytes with
+    so many words or more goes as a passage of words, without the parts of words at its ends. A character of which only some bytes repeat stays, so the text is valid. NULL texts stay NULL.
     """
     names = docs.columns
     i = names.index("text")
@@ -422,10 +471,14 @@ def shortened(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     def cut(batches):
         for batch in batches:
             out = []
-            for text, spans in zip(batch.column(i).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()):
-                if text is not None and spans:
+            for text, spans, passages in zip(batch.column(i).to_pylist(), *(c.to_pylist() for c in batch.columns[-2:])):
+                if text is not None and (spans or passages):
                     data = text.encode("utf-8", "surrogatepass")
                     begin, end = _span_arrays(spans)
+                    if passages:
+                        starts, ends = word_edges(np.frombuffer(data, np.uint8))
+                        first, last = _span_arrays(passages)
+                        begin, end = merged(np.append(begin, starts[first]), np.append(end, ends[last - 1]))
                     at, pieces = 0, []
                     for a, b in zip(begin.tolist(), end.tolist()):
                         while a < b and a < len(data) and data[a] & 0xC0 == 0x80:
@@ -436,12 +489,20 @@ def shortened(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                         at = b
                     text = b"".join([*pieces, data[at:]]).decode("utf-8", "surrogatepass")
                 out.append(text)
-            columns = list(batch.columns[:-1])
+            columns = list(batch.columns[:-2])
             columns[i] = pa.array(out, columns[i].type)
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     # Columns get names of our own, so none of theirs can clash.
     numbered = docs.toDF(*[f"_c{k}" for k in range(len(names))])
-    rows = _with_spans(numbered, f"_c{names.index('doc_id')}", f"_c{i}", repeats(docs, length))
+    none = F.expr("CAST(NULL AS array<struct<begin: bigint, end: bigint>>)")
+    if words is None:
+        found = repeats(docs, length).withColumn("passages", none)
+    else:
+        found = repeats(docs, length, fewer=words).withColumn("passages", none).unionByName(
+            repeats(docs, words, WORD_GRAM, words=True).withColumnRenamed("spans", "passages").withColumn("spans", none)
+        )
+        found = found.groupBy("doc_id", "text_hash").agg(*[F.flatten(F.collect_list(c)).alias(c) for c in ("spans", "passages")])
+    rows = _with_spans(numbered, f"_c{names.index('doc_id')}", f"_c{i}", found)
     cleaned = map_arrow(rows, cut, docs.schema)
     return cleaned.withColumn("n_chars", F.length("text").cast("bigint")) if "n_chars" in names else cleaned

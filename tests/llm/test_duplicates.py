@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -60,6 +61,55 @@ def test_very_long_texts_and_empty_tables(odd_docs, no_docs):
     assert cut.where("doc_id = 4").first().text == "" and cut.where("doc_id = 1").first().text is None
 
 
+def repeated_words(texts, words, length):
+    """What stays of the texts: bytes outside repeated passages of words and of repeated strings with fewer words."""
+    data = [t.encode() for t in texts]
+    split = [[(m.start(), m.end()) for m in re.finditer(rb"[^ \t-\r]+", d)] for d in data]
+    passages = [[tuple(d[a:b] for a, b in s[i : i + words]) for i in range(len(s) - words + 1)] for d, s in zip(data, split)]
+    few = lambda x: len(re.findall(rb"(?<=[ \t-\r])[^ \t-\r]+(?=[ \t-\r])", x)) < words
+    strings = [[d[i : i + length] for i in range(len(d) - length + 1)] for d in data]
+    times, seen = Counter(p for ps in passages for p in ps), Counter(x for xs in strings for x in xs)
+    out = []
+    for d, s, ps, xs in zip(data, split, passages, strings):
+        gone = np.zeros(len(d), bool)
+        for i, p in enumerate(ps):
+            if times[p] > 1:
+                runs = s[i : i + words]
+                gone[runs[0][0] : runs[-1][1]] = True
+        for i, x in enumerate(xs):
+            if seen[x] > 1 and few(x):
+                gone[i : i + length] = True
+        out.append(bytes(np.frombuffer(d, np.uint8)[~gone]).decode())
+    return out
+
+
+@pytest.mark.parametrize("crowd", [2000, 2])
+def test_passages_of_words_equal_brute_force(spark, crowd, monkeypatch):
+    whole = suffix_dedup.repeats
+    monkeypatch.setattr(suffix_dedup, "repeats", lambda *a, **k: whole(*a, crowd=crowd, **k))
+    rnd = random.Random(6)
+    ascii_prose = lambda seed, n: prose(seed, n).encode("ascii", "ignore").decode()
+    passage, long = ascii_prose(78, 130).split(), "".join(rnd.choice("abcdefgh") for _ in range(500))
+    texts = [f"{ascii_prose(400 + k, rnd.randint(0, 60))} {rnd.choice(' \n').join(passage[(a := rnd.randint(0, 60)) : a + rnd.randint(45, 70)])} {ascii_prose(500 + k, 9)}" for k in range(25)]
+    texts += [ascii_prose(2, 9) + " " + long + " end", long + ascii_prose(3, 80), "so it is " * 40, "", "x" * 900]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    found = {r.doc_id: r.text for r in suffix_dedup.shortened(docs, words=51).collect()}
+    assert [found[i] for i in range(len(texts))] == repeated_words(texts, 51, 400)
+
+
+def test_pipeline_cuts_passages_of_51_short_words(spark):
+    import corpus_pipeline
+
+    rnd = random.Random(8)
+    words = lambda n: " ".join("".join(rnd.choice("abcdefghij") for _ in range(3)) for _ in range(n))
+    planted, short = words(51), words(50)
+    assert len(planted) < 400
+    rows = [(k, f"{words(200)} A{k} {planted} B{k} {words(200)} C{k} {short} D{k}") for k in (1, 2)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = {r.doc_id: r.text for r in corpus_pipeline.cut_repeats(spark, docs, "").collect()}
+    assert found == {k: t.replace(planted, "") for k, t in rows}
+
+
 def test_suffix_sort_orders_suffixes():
     data = np.frombuffer(prose(9, 200).encode() * 2, np.uint8)
     sorter = suffix_dedup.SuffixSort(suffix_dedup.Polynomial(1), data, 50)
