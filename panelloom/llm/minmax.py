@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelloom.llm.common import Parts, map_arrow, runs, texts_of, thinned, written
+from panelloom.llm.common import WORD, Parts, map_arrow, runs, texts_of, thinned, written
 from panelloom.llm.components import components
 from panelloom.llm.shingles import mixed, shingle_sets
 
@@ -286,12 +286,15 @@ def near_duplicates(docs: DataFrame, width: int, percent: int) -> DataFrame:
 def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """One row of ``docs`` for each group of near-duplicates, that of the least doc_id. All columns stay.
 
-    Texts without words are no duplicates, except of an equal row.
+    Texts without words are no duplicates, except of a row that is equal in all columns.
     """
     names = docs.columns
     found = near_duplicates(docs.select("doc_id", "text"), width, percent).where("kept")
     chosen = found.groupBy("doc_id", "part", F.expr("CASE WHEN part IS NULL THEN text_hash END").alias("_own")).agg(F.min("text_hash").alias("t"))
     chosen = chosen.selectExpr("doc_id AS d", "t").distinct()
-    # Equal rows meet before the shuffle.
-    once = docs.groupBy(F.col("doc_id").alias("_doc"), F.expr(TEXT_HASH).alias("_hash")).agg(F.first(F.struct(*[f"`{c}`" for c in names])).alias("_row"))
+    # Equal rows meet before the shuffle; of rows that differ in other columns only, the least stays. Those without words
+    # are told apart by all columns, NULL from ''.
+    row = F.struct(*[f"`{c}`" for c in names])
+    bare = F.when(~F.coalesce(F.col("text"), F.lit("")).rlike(WORD), row)
+    once = docs.groupBy(F.col("doc_id").alias("_doc"), F.expr(TEXT_HASH).alias("_hash"), bare.alias("_bare")).agg(F.min(row).alias("_row"))
     return once.join(chosen, F.expr("_doc <=> d AND _hash = t")).select(*[F.col("_row")[c].alias(c) for c in names])

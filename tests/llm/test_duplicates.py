@@ -179,6 +179,14 @@ def test_one_of_each_keeps_one_row(odd_docs, no_docs):
     assert minmax.one_of_each(no_docs).count() == 0
 
 
+def test_one_of_each_keeps_rows_without_words_that_differ(spark):
+    text = prose(7, 30)
+    rows = [(1, None, "a"), (1, "", "a"), (1, "", "b"), (1, "", "b"), (2, " \n", None), (2, " \n", "c"), (3, text, "z"), (3, text, "y"), (3, text, None)]
+    for order in (rows, rows[::-1]):
+        kept = minmax.one_of_each(spark.createDataFrame(order, "doc_id bigint, text string, source string").repartition(3)).collect()
+        assert sorted(map(tuple, kept), key=KEY) == sorted([*set(rows[:6]), (3, text, None)], key=KEY)
+
+
 def test_shingle_sets_have_the_size_of_exact_ones(odd_pairs):
     texts = [t for _, t in odd_pairs]
     for width in (3, 5):
