@@ -156,6 +156,49 @@ def lp_irf(spark, sf):
     return rounded(rounded(_responses(spark, sf), 5, "estimate", "se"), 6, "r2")
 
 
+# The same by month: all outcomes, and horizons that the quarters are too few for.
+MONTHLY_H, MONTHLY_OUTCOMES = tb.MONTHLY_HORIZON, [*tb.MONTHLY_PRICES, *tb.LONG_RUN_OUTPUTS]
+
+TABLES["month_changes"] = f"""
+SELECT norm_years, entity AS e, period_idx AS t, outcome,
+  [{", ".join(f"lead(lx, {h}) OVER {_LONG} - lag(lx) OVER {_LONG}" for h in range(MONTHLY_H + 1))}] AS ahead,
+  [{", ".join(f"lag(lx, {j}) OVER {_LONG} - lag(lx, {j + 1}) OVER {_LONG}" for j in range(1, MONTHLY_H + 1))}] AS lags
+FROM (SELECT norm_years, entity, period_idx, outcome, ln(nullif(greatest(x, 0), 0)) AS lx FROM (SELECT norm_years, entity, period_idx, {_unpivot("outcome", MONTHLY_OUTCOMES)} FROM month_spine))"""
+
+TABLES["month_shocks"] = f"""
+SELECT norm_years, entity AS e, period_idx AS t, shock, x - lag(x) OVER (PARTITION BY norm_years, entity, shock ORDER BY period_idx) AS ds
+FROM (SELECT norm_years, entity, period_idx, {_unpivot("shock", tb.SHOCKS)} FROM month_spine)"""
+
+TABLES["month_projection_rows"] = f"""
+SELECT norm_years || '|' || shock || '|' || outcome || '|' || h AS spec, e, t, unnest(range({MONTHLY_H + 2})) AS i, unnest(list_concat([y, ds], lags)) AS v
+FROM (SELECT o.norm_years, o.e, o.t, outcome, shock, CAST(h AS INTEGER) AS h, ahead[h + 1] AS y, ds, lags
+  FROM month_changes o JOIN month_shocks s ON s.norm_years = o.norm_years AND s.e = o.e AND s.t = o.t, (SELECT unnest(range({MONTHLY_H + 1})) AS h)
+  WHERE ahead[h + 1] IS NOT NULL AND ds IS NOT NULL AND list_count(lags) = len(lags))"""
+
+TABLES["month_responses"] = f"""
+WITH {within_fit("month_projection_rows", MONTHLY_H + 1, _BANDWIDTH, small_sample=True)}
+SELECT CAST(split_part(fit.spec, '|', 1) AS INTEGER) AS norm_years, split_part(fit.spec, '|', 2) AS shock, split_part(fit.spec, '|', 3) AS outcome,
+  CAST(split_part(fit.spec, '|', 4) AS INTEGER) AS horizon, b AS estimate, sqrt(cov.v) AS se, r2, n AS nt
+FROM fit JOIN beta ON beta.spec = fit.spec AND beta.i = 1 JOIN cov ON cov.spec = fit.spec AND cov.i = 1 AND cov.j = 1"""
+
+
+# A fit needs more rows than regressors and means of the 25 nations; with fewer its numbers are NULL.
+_DETERMINED = f"nt > {25 + MONTHLY_H + 1}"
+
+
+@query(
+    "E4 E10",
+    "SELECT norm_years, shock, outcome, horizon, "
+    + ", ".join(f"CASE WHEN {_DETERMINED} THEN {rnd(c, n)} END AS {c}" for c, n in (("estimate", 5), ("se", 5), ("r2", 6)))
+    + ", nt FROM month_responses",
+)
+def lp_monthly(spark, sf):
+    """1,620 projections: three norms, six shocks, ten outcomes, horizons 0 to 8."""
+    fits = projections.project(tb.monthly_model_panel(spark, sf), ENTITY, MONTHLY_OUTCOMES, tb.SHOCKS, MONTHLY_H, KEYS)
+    fits = fits.withColumns({c: F.expr(f"CASE WHEN {_DETERMINED} THEN {c} END") for c in ("estimate", "se", "r2")})
+    return rounded(rounded(fits, 5, "estimate", "se"), 6, "r2")
+
+
 _STARS = "CASE WHEN abs(estimate / se) > 2.576 THEN '***' WHEN abs(estimate / se) > 1.96 THEN '**' WHEN abs(estimate / se) > 1.645 THEN '*' END"
 
 
@@ -207,7 +250,7 @@ def lp_wide_view(spark, sf):
 # Long-run models.
 VARIABLES = list(dict.fromkeys(v for m in longrun.MODELS.values() for v in m))
 
-_NAMES = [*tb.MODEL_OUTPUTS, *VARIABLES]
+_NAMES = [*tb.LONG_RUN_OUTPUTS, *VARIABLES]
 _NAMED = "(PARTITION BY norm_years, entity, name ORDER BY period_idx)"
 
 # Lags 0..p of every difference, as rows.
@@ -231,7 +274,7 @@ TABLES["lag_rows"] = f"""
 SELECT spec, e, t, i, v FROM (
   SELECT *, count(v) OVER (PARTITION BY spec, e, t) = count(*) OVER (PARTITION BY spec, e, t) AS whole FROM (
     SELECT norm_years || '|' || outcome || '|' || model AS spec, e, t, i, v
-    FROM (SELECT unnest([{", ".join(map(repr, tb.MODEL_OUTPUTS))}]) AS outcome) CROSS JOIN lag_terms
+    FROM (SELECT unnest([{", ".join(map(repr, tb.LONG_RUN_OUTPUTS))}]) AS outcome) CROSS JOIN lag_terms
     JOIN lag_long ON lag_long.name = CASE WHEN var = 'phi' THEN outcome ELSE var END AND lag_long.j = lag_terms.j))
 WHERE whole"""
 
@@ -251,7 +294,7 @@ FROM sums s JOIN sizes z ON z.spec = s.spec AND z.var = s.var JOIN phis p ON p.s
 
 
 def _long_run(spark, sf):
-    return longrun.long_run_models(tb.estimation(spark, sf), ENTITY, tb.MODEL_OUTPUTS, LAGS)
+    return longrun.long_run_models(tb.estimation(spark, sf), ENTITY, tb.LONG_RUN_OUTPUTS, LAGS)
 
 
 _LONG_RUN_STARS = "CASE WHEN tval > 2.326 THEN '***' WHEN tval > 1.96 THEN '**' WHEN tval > 1.645 THEN '*' ELSE '' END"
@@ -277,8 +320,8 @@ def long_run(spark, sf):
     FROM fit JOIN beta ON beta.spec = fit.spec JOIN cov ON cov.spec = fit.spec AND cov.i = beta.i AND cov.j = beta.i""",
 )
 def ardl_fit(spark, sf):
-    wide = longrun.lag_columns(tb.estimation(spark, sf), [*KEYS, *ENTITY], tb.MODEL_OUTPUTS, VARIABLES, LAGS)
-    fits = estimators.fit(wide, longrun.model_specs(tb.MODEL_OUTPUTS, LAGS), ENTITY, KEYS)
+    wide = longrun.lag_columns(tb.estimation(spark, sf), [*KEYS, *ENTITY], tb.LONG_RUN_OUTPUTS, VARIABLES, LAGS)
+    fits = estimators.fit(wide, longrun.model_specs(tb.LONG_RUN_OUTPUTS, LAGS), ENTITY, KEYS)
     rows = estimators.coefficients(fits, KEYS).select("norm_years", "spec_id", "pos", "estimate", "se", "r2", "n_obs")
     return rounded(rounded(rows, 5, "estimate", "se"), 6, "r2")
 

@@ -78,14 +78,14 @@ def norm_frames(value: str, source: str, years: Sequence[int] = tb.NORMS) -> str
   SELECT entity, period_idx, {value}, period_idx - min(period_idx) OVER (PARTITION BY entity) AS age FROM {source})"""
 
 
-def anomalies(value: str, source: str, years: Sequence[int] = tb.NORMS) -> str:
-    """All norms of a monthly series, quarterly, with anomalies."""
+def anomalies(value: str, source: str, years: Sequence[int] = tb.NORMS, months: int = 3) -> str:
+    """All norms of a monthly series, by periods of so many months, with anomalies."""
     means = ", ".join(f"avg(norm_{m}) AS norm_{m}" for m in years)
     long = " UNION ALL ".join(
         f"SELECT CAST({m} AS INTEGER) AS norm_years, entity, period_idx, {value}, norm_{m} AS norm FROM q" for m in years
     )
     return f"""WITH n AS ({norm_frames(value, f"(SELECT * FROM {source} WHERE period_idx <= {END})", years)}),
-q AS (SELECT entity, period_idx // 3 AS period_idx, avg({value}) AS {value}, {means} FROM n
+q AS (SELECT entity, period_idx // {months} AS period_idx, avg({value}) AS {value}, {means} FROM n
   WHERE period_idx BETWEEN {START} AND {END} GROUP BY 1, 2),
 l AS ({long})
 SELECT norm_years, entity, period_idx, {value}, norm AS mean_{value}, d AS deviation_{value}, abs(d) AS abs_deviation_{value},
@@ -114,8 +114,10 @@ def _mean_cents(rows: str) -> str:
     return f"CAST(sum(cents) FILTER ({rows}) AS DOUBLE) / 100.0 / nullif(count(*) FILTER ({rows}), 0)"
 
 
+_TERTIARY = "c_mktsegment IN ('HOUSEHOLD', 'MACHINERY')"
 TABLES["model_outcomes"] = f"""
 SELECT entity, m // 3 AS period_idx, {_mean_cents("true")} AS headline, {_mean_cents(_URGENT)} AS food, {_mean_cents(f"NOT {_URGENT}")} AS energy,
+  CAST(sum(cents) FILTER ({_TERTIARY}) AS DOUBLE) / 100.0 AS gdp_tertiary,
   CAST(sum(cents) AS DOUBLE) / 100.0 AS gdp_total, CAST(sum(cents) FILTER ({_PRIMARY}) AS DOUBLE) / 100.0 AS gdp_primary,
   CAST(sum(cents) FILTER (NOT {_PRIMARY}) AS DOUBLE) / 100.0 AS gdp_secondary
 FROM located GROUP BY 1, 2"""
@@ -124,7 +126,7 @@ TABLES["model_rows"] = "SELECT * FROM model_outcomes LEFT JOIN weather USING (en
 
 _complete = ["norm_years", *tb.MODEL_PRICES, *tb.MODEL_OUTPUTS, *tb.SHOCKS]
 TABLES["estimation"] = f"""
-SELECT norm_years, entity, period_idx, {", ".join(_complete[1:])}, abs_deviation_temp, abs_deviation_precip
+SELECT norm_years, entity, period_idx, {", ".join(_complete[1:])}, gdp_tertiary, abs_deviation_temp, abs_deviation_precip
 FROM model_rows WHERE {" AND ".join(f"{c} IS NOT NULL" for c in _complete)}"""
 
 # Gap-free by norm and entity over each one's own span.
@@ -135,6 +137,23 @@ FROM (SELECT norm_years, entity, CAST(unnest(range(min(period_idx), max(period_i
 LEFT JOIN estimation e ON e.norm_years = s.norm_years AND e.entity = s.entity AND e.period_idx = s.period_idx"""
 
 
+# The monthly panel of the projections: an empty cell is NULL, the calendar has no gap.
+TABLES["month_outcomes"] = f"""
+SELECT entity, m AS period_idx, {_mean_cents("true")} AS headline, {_mean_cents(_URGENT)} AS food, {_mean_cents(f"NOT {_URGENT}")} AS energy,
+  {_mean_cents("o_orderpriority IN ('2-HIGH', '3-MEDIUM')")} AS nonfood, {_mean_cents("o_orderpriority IN ('3-MEDIUM', '4-NOT SPECIFIED')")} AS services,
+  {_mean_cents("o_orderpriority IN ('4-NOT SPECIFIED', '5-LOW')")} AS goods,
+  CAST(sum(cents) AS DOUBLE) / 100.0 AS gdp_total, CAST(sum(cents) FILTER ({_PRIMARY}) AS DOUBLE) / 100.0 AS gdp_primary,
+  CAST(sum(cents) FILTER (NOT {_PRIMARY}) AS DOUBLE) / 100.0 AS gdp_secondary, CAST(sum(cents) FILTER ({_TERTIARY}) AS DOUBLE) / 100.0 AS gdp_tertiary
+FROM located GROUP BY 1, 2"""
+TABLES["month_temp"] = anomalies("temp", "shipped", months=1)
+TABLES["month_precip"] = anomalies("precip", "shipped", months=1)
+TABLES["month_rows"] = """
+SELECT * FROM month_temp FULL JOIN month_precip USING (norm_years, entity, period_idx) LEFT JOIN month_outcomes USING (entity, period_idx)"""
+TABLES["month_spine"] = """
+SELECT s.norm_years, s.entity, s.period_idx, r.* EXCLUDE (norm_years, entity, period_idx)
+FROM (SELECT norm_years, entity, CAST(unnest(range(min(period_idx), max(period_idx) + 1)) AS INTEGER) AS period_idx FROM month_rows GROUP BY 1, 2) s
+LEFT JOIN month_rows r ON r.norm_years = s.norm_years AND r.entity = s.entity AND r.period_idx = s.period_idx"""
+
 # Quarterly price series on each nation's own gap-free span.
 TABLES["price_spine"] = """
 SELECT s.entity, s.period_idx, q.headline FROM

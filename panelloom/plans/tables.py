@@ -15,6 +15,8 @@ from panelloom.schema import GIVEN_TABLES
 
 NORMS = (1, 2, 3)
 HORIZON = 4
+# Horizon of the projections by month.
+MONTHLY_HORIZON = 8
 
 # Months covered by orders; the last quarter of the calendar is partial.
 START = cal.index_of(1995, 1, 12)
@@ -40,6 +42,8 @@ OUTPUTS = ["gdp_total", *SECTORS]
 # Outcomes of the regressions: coarser groups, so that every cell of the calendar is filled.
 MODEL_PRICES = ["headline", "food", "energy"]
 MODEL_OUTPUTS = ["gdp_total", "gdp_primary", "gdp_secondary"]
+LONG_RUN_OUTPUTS = [*MODEL_OUTPUTS, "gdp_tertiary"]
+MONTHLY_PRICES = ["headline", "food", "nonfood", "services", "goods", "energy"]
 SHOCKS = [f"{kind}_{v}" for v in ("temp", "precip") for kind in ("deviation", "pos_dev", "neg_dev")]
 
 
@@ -150,8 +154,8 @@ def merged(spark: SparkSession, sf: str) -> DataFrame:
     return panel.merge_panel(price, outputs(spark, sf), weather(spark, sf), ["entity", "period_idx"])
 
 
-def outcomes(spark: SparkSession, sf: str) -> DataFrame:
-    """Quarterly price and output columns of the regressions, in one aggregation of the orders."""
+def outcomes(spark: SparkSession, sf: str, months: int = 3) -> DataFrame:
+    """Price and output columns of the regressions, in one aggregation of the orders, by periods of so many months."""
     urgent, primary = "o_orderpriority IN ('1-URGENT', '2-HIGH')", "c_mktsegment IN ('AUTOMOBILE', 'BUILDING')"
     mean = "sum(cents) FILTER (WHERE {0}) / 100.0D / nullif(count(*) FILTER (WHERE {0}), 0)"
     total = "sum(cents) FILTER (WHERE {0}) / 100.0D"
@@ -159,12 +163,16 @@ def outcomes(spark: SparkSession, sf: str) -> DataFrame:
         "headline": MEAN_CENTS,
         "food": mean.format(urgent),
         "energy": mean.format(f"NOT {urgent}"),
+        "nonfood": mean.format("o_orderpriority IN ('2-HIGH', '3-MEDIUM')"),
+        "services": mean.format("o_orderpriority IN ('3-MEDIUM', '4-NOT SPECIFIED')"),
+        "goods": mean.format("o_orderpriority IN ('4-NOT SPECIFIED', '5-LOW')"),
         "gdp_total": total.format("true"),
         "gdp_primary": total.format(primary),
         "gdp_secondary": total.format(f"NOT {primary}"),
+        "gdp_tertiary": total.format("c_mktsegment IN ('HOUSEHOLD', 'MACHINERY')"),
     }
-    quarter = F.expr("cast(floor(period_idx / 3) AS int) AS period_idx")
-    return located_orders(spark, sf).groupBy("entity", quarter).agg(*[F.expr(f"{x} AS {c}") for c, x in columns.items()])
+    period = F.expr(f"cast(floor(period_idx / {months}) AS int) AS period_idx")
+    return located_orders(spark, sf).groupBy("entity", period).agg(*[F.expr(f"{x} AS {c}") for c, x in columns.items()])
 
 
 def model_panel(spark: SparkSession, sf: str) -> DataFrame:
@@ -177,10 +185,19 @@ def estimation(spark: SparkSession, sf: str) -> DataFrame:
     flagged = model_panel(spark, sf).withColumn("is_total", F.lit(False))
     columns = ["norm_years", *MODEL_PRICES, *MODEL_OUTPUTS, *SHOCKS]
     kept = panel.estimation_panel(flagged, columns)
-    kept = kept.select("norm_years", "entity", "period_idx", *columns[1:], "abs_deviation_temp", "abs_deviation_precip")
+    kept = kept.select("norm_years", "entity", "period_idx", *columns[1:], "gdp_tertiary", "abs_deviation_temp", "abs_deviation_precip")
     return joins.complete_periods(kept, ["norm_years", "entity"])
 
 
+def monthly_model_panel(spark: SparkSession, sf: str) -> DataFrame:
+    """Outcomes by month with monthly weather anomalies, once per norm, on a gap-free calendar; an empty cell is NULL."""
+    both = shipments(spark, sf).select("entity", "period_idx", "temp", "precip")
+    monthly = climate.all_norms(both, ["entity"], ["temp", "precip"], NORMS, START, END, freq=12)
+    kept = monthly.select("norm_years", "entity", "period_idx", *SHOCKS).join(outcomes(spark, sf, 1), ["entity", "period_idx"], "left")
+    columns = [*MONTHLY_PRICES, *LONG_RUN_OUTPUTS, *SHOCKS]
+    return joins.complete_periods(kept.select("norm_years", "entity", "period_idx", *columns), ["norm_years", "entity"])
+
+
 def annual_levels(spark: SparkSession, sf: str) -> DataFrame:
     """Order value by nation, segment and year."""
     return (

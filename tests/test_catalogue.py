@@ -101,3 +101,10 @@ def test_top_rows_are_cut_before_the_shuffle(spark):
 def test_ranked_rows_never_sort_in_one_task(spark):
     text = plan(spark, "group_id")
     assert "c_name" not in "".join(re.findall(r"Window \[([^\]]*)\]", text))
+
+
+def test_full_regression_grid(spark):
+    monthly = QUERIES["lp_monthly"](spark, MEDIUM)
+    assert monthly.count() == 3 * 6 * 10 * 9 and monthly.agg({"horizon": "max"}).first()[0] == 8
+    fits = QUERIES["ardl_fit"](spark, MEDIUM).select("norm_years", "spec_id").distinct()
+    assert fits.count() == 3 * 4 * 9
