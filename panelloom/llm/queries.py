@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelloom.llm import bitsliced, byte_bpe, embed_dedup, maxent_lm, minmax, mixing, piece_counts, suffix_dedup, toxicity, url_rules
+from panelloom.llm import bitsliced, byte_bpe, direct_codes, embed_dedup, maxent_lm, minmax, mixing, periodic_runs, piece_counts, suffix_dedup, toxicity, turn_repair, url_rules
 from panelloom.llm.common import table
+from panelloom.session import scratch_path
 
 # Rows that no operator learns from; a row without an id is none of them.
 HELD_OUT = "coalesce(crc32(CAST(CAST(doc_id AS STRING) AS BINARY)) % {} = 2, false)"
@@ -66,7 +67,58 @@ def op10_maxent_lm(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_url_rules, op2_bitsliced_topk, op3_suffix_dedup, op4_piece_counts, op5_embed_dedup, op6_byte_bpe, op7_source_mix, op8_minmax_dedup, op9_toxicity, op10_maxent_lm)}
+def op11_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    found = periodic_runs.found_runs(planted_runs(table(spark, folder, "documents").select("doc_id", "text")))
+    longest = "array_max(transform(runs, r -> named_struct('n', r.length, 's', -r.start, 'p', -r.period)))"
+    text = "array_join(transform(runs, r -> concat_ws(',', r.start, r.length, r.period) || '\n'), '')"
+    return found.withColumn("_top", F.expr(longest)).selectExpr(
+        "doc_id",
+        "CAST(size(runs) AS BIGINT) AS n_runs",
+        "-_top.s AS start",
+        "_top.n AS length",
+        "-_top.p AS period",
+        "(1000 * _top.n) DIV (-_top.p) AS exponent_milli",
+        f"sha2({text}, 256) AS runs_sha256",
+        "coalesce(sha2(collapsed, 256), plain_sha256) AS collapsed_sha256",
+    )
+
+
+def planted_runs(docs: DataFrame) -> DataFrame:
+    """Every tenth document, by a checksum of its id, repeats a block of its words from some word on to its end."""
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    hashed = docs.withColumn("_h", F.expr("crc32(CAST(CAST(doc_id AS STRING) AS BINARY))"))
+    split = hashed.withColumns({"_w": F.when(F.expr("_h % 10 = 0"), words), "_g": F.expr("_h DIV 10")})
+    placed = split.withColumn("_a", F.expr("CASE WHEN size(_w) > 0 THEN _g % size(_w) END"))
+    block = placed.withColumn("_p", F.expr("1 + (size(_w) - _a) DIV (3 + _g % 8)"))
+    repeated = "array_join(transform(_w, (w, i) -> CASE WHEN i < _a THEN w ELSE get(_w, CAST(_a + (i - _a) % _p AS INT)) END), ' ')"
+    return block.selectExpr("doc_id", f"CASE WHEN _a IS NOT NULL THEN {repeated} ELSE text END AS text")
+
+
+def op12_direct_codes(spark: SparkSession, folder: str) -> DataFrame:
+    path = scratch_path(spark, "codes")
+    direct_codes.write(table(spark, folder, "documents").select("doc_id", "text"), path)
+    documents = direct_codes.read(spark, path)
+    return documents.selectExpr("doc_id", "start", "n_tokens", "crc32(ids) AS ids_crc32")
+
+
+def op13_turn_repair(spark: SparkSession, folder: str) -> DataFrame:
+    return turn_repair.conversations(turn_repair.repaired(damaged_turns(table(spark, folder, "conversations"))))
+
+
+def damaged_turns(turns: DataFrame) -> DataFrame:
+    """A row in five is damaged, by a checksum of its place; ``times`` is 0 for those dropped, 2 for those repeated."""
+    place = "concat(coalesce(CAST(conv_id AS STRING), ' '), ':', coalesce(CAST(turn AS STRING), ' '))"
+    hashed = turns.withColumn("_h", F.expr(f"crc32(CAST({place} AS BINARY)) % 20"))
+    return hashed.selectExpr(
+        "conv_id",
+        "turn",
+        "CASE WHEN _h = 4 THEN 'user' ELSE role END AS role",
+        "CASE _h WHEN 1 THEN '' WHEN 2 THEN regexp_replace(coalesce(text, ' '), '[.!?]', '') ELSE text END AS text",
+        "CASE _h WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END AS times",
+    )
+
+
+QUERIES = {f.__name__: f for f in (op1_url_rules, op2_bitsliced_topk, op3_suffix_dedup, op4_piece_counts, op5_embed_dedup, op6_byte_bpe, op7_source_mix, op8_minmax_dedup, op9_toxicity, op10_maxent_lm, op11_periodic_runs, op12_direct_codes, op13_turn_repair)}
 
 ORACLES = {
     "op2_bitsliced_topk": """
