@@ -80,12 +80,12 @@ def boundaries(ids: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
             step, octave = 2 * step, octave + 1
 
 
-def z_function(words: list[int]) -> list[int]:
-    """Length of the common prefix of ``words`` and each of its suffixes."""
+def z_function(words: list[int], stop: int) -> list[int]:
+    """Length of the common prefix of ``words`` and each of its suffixes that start before ``stop``."""
     n = len(words)
     z = [0] * n
     left = right = 0
-    for i in range(1, n):
+    for i in range(1, min(n, stop)):
         k = 0
         if i < right:
             k = z[i - left]
@@ -110,7 +110,7 @@ def solve(words: np.ndarray, base: int, step: int, places: np.ndarray) -> Iterat
     for place in places.tolist():
         b = place - base
         ahead = words[b : b + 4 * step].tolist()
-        z = z_function(ahead)
+        z = z_function(ahead, 2 * step)
         # A shorter period d that holds up to d + z[d] makes the periods up to there, less a block, its multiples.
         reach = max((d + z[d] for d in range(1, min(step, len(ahead)))), default=0)
         found = [q for q in range(step, min(2 * step, len(ahead))) if z[q] >= step and q + step > reach]
@@ -120,8 +120,8 @@ def solve(words: np.ndarray, base: int, step: int, places: np.ndarray) -> Iterat
         behind = words[low:b][::-1].tolist()
         # The end of the text before b + q, read backwards, against the end of the text before b.
         joined = behind + [-1] + words[low : b + 2 * step][::-1].tolist()
-        back = z_function(joined)
         top = len(joined)
+        back = z_function(joined, top - (b - low) - found[0] + 1)
         for q in found:
             # The prefix that ends before b + q starts at this place of the reversed text.
             at = top - (b - low) - q

@@ -85,13 +85,14 @@ def op11_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
 
 def planted_runs(docs: DataFrame) -> DataFrame:
     """Every tenth document, by a checksum of its id, repeats a block of its words from some word on to its end."""
-    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    hashed = docs.withColumn("_h", F.expr("crc32(CAST(CAST(doc_id AS STRING) AS BINARY))"))
-    split = hashed.withColumns({"_w": F.when(F.expr("_h % 10 = 0"), words), "_g": F.expr("_h DIV 10")})
-    placed = split.withColumn("_a", F.expr("CASE WHEN size(_w) > 0 THEN _g % size(_w) END"))
-    block = placed.withColumn("_p", F.expr("1 + (size(_w) - _a) DIV (3 + _g % 8)"))
-    repeated = "array_join(transform(_w, (w, i) -> CASE WHEN i < _a THEN w ELSE get(_w, CAST(_a + (i - _a) % _p AS INT)) END), ' ')"
-    return block.selectExpr("doc_id", f"CASE WHEN _a IS NOT NULL THEN {repeated} ELSE text END AS text")
+    words = "filter(split(text, '[ \\t-\\r]+'), w -> w <> '')"
+    first = "_g % nullif(size(w), 0)"
+    place = f"named_struct('a', {first}, 'p', 1 + (size(w) - {first}) DIV (3 + _g % 8))"
+    repeated = "array_join(transform(w, (x, i) -> CASE WHEN i < v.a THEN x ELSE get(w, CAST(v.a + (i - v.a) % v.p AS INT)) END), ' ')"
+    # The words and the place are bound to names, so that they are made once a text and not once a word.
+    text = f"get(transform(array({words}), w -> get(transform(array({place}), v -> CASE WHEN size(w) > 0 THEN {repeated} END), 0)), 0)"
+    hashed = docs.withColumn("_h", F.expr("crc32(CAST(CAST(doc_id AS STRING) AS BINARY))")).withColumn("_g", F.expr("_h DIV 10"))
+    return hashed.selectExpr("doc_id", f"CASE WHEN _h % 10 = 0 THEN coalesce({text}, text) ELSE text END AS text")
 
 
 def op12_direct_codes(spark: SparkSession, folder: str) -> DataFrame:
