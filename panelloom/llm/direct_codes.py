@@ -30,17 +30,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from panelloom.llm.common import Memo, map_arrow, texts_of, worker_state
+from panelloom.llm.common import map_arrow, texts_of, worker_state
 
 TOKENIZER, END = "byte_bpe_50k.json", 0
 # Identifiers from which a segment is closed, and bits of one entry of the rank directory.
 SEGMENT, BLOCK = 1 << 18, 512
-MEMO, LONGEST = 150_000, 48
+# Characters of the texts that are encoded together, and of one text handed to the library.
+ROUND_CHARS, BATCH_CHARS = 1 << 24, 1 << 16
 MAGIC = b"DAC1"
-# Cuts before white space that follows a visible character never fall inside a match of the tokenizer's pattern.
-CHUNK = re.compile("[ \n\t\r]*[^ \n\t\r]+|[ \n\t\r]+$")
-# Other white space; texts that hold any are encoded as a whole.
-OTHER_SPACE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0 ᠎ -​    　﻿]")
 
 
 def packed(ids: np.ndarray) -> bytes:
@@ -127,8 +124,26 @@ class Segment:
         return values
 
 
+# Cuts before white space that follows a visible character never fall inside a match of the tokenizer's pattern.
+CHUNK = re.compile("[ \n\t\r]*[^ \n\t\r]+|[ \n\t\r]+$")
+# Other white space; texts that hold any are encoded as a whole.
+OTHER_SPACE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]")
+
+
+class Places(dict):
+    """Words by the order in which they came up."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        return n
+
+
 class Encoder:
-    """The library's identifiers, by words of the texts: each new one is encoded once and remembered within a bound."""
+    """The library's identifiers. Texts are encoded together, each of their different words once.
+
+    Words are joined to longer texts for the library, which knows no faster way than a long text; where one ends is read
+    from the bytes that its identifiers stand for.
+    """
 
     def __init__(self, path: str):
         import os
@@ -140,23 +155,55 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.memo = Memo(self.whole, MEMO, LONGEST)
-
-    def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def ids(self, texts: list[str]) -> list[bytes]:
-        """Per text its identifiers as little-endian unsigned 32-bit integers."""
-        cuts = [None if OTHER_SPACE.search(t) else CHUNK.findall(t) for t in texts]
-        fresh = {w for words in cuts if words for w in words if w not in self.memo and len(w) <= LONGEST}
-        if len(self.memo) + len(fresh) > MEMO:
-            self.memo.clear()
-            fresh = {w for words in cuts if words for w in words if len(w) <= LONGEST}
-        new = list(fresh)[:MEMO]
-        for word, code in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            self.memo[word] = np.array(code.ids, "<u4").tobytes()
-        get = self.memo.__getitem__
-        return [self.whole(t) if words is None else b"".join(map(get, words)) for t, words in zip(texts, cuts)]
+        # A token of the vocabulary is spelled with one character per byte.
+        self.bytes = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.bytes[i] = len(token)
+
+    def library(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``(ids, first, count)``: the identifiers of all words, and where each word's lie."""
+        # Words that start with white space and end without can stand behind each other.
+        inner = [i for i, w in enumerate(words) if w[0] in " \n\t\r" and w[-1] not in " \n\t\r"]
+        alone = sorted(set(range(len(words))).difference(inner))
+        texts, start, size = [], 0, 0
+        for end, i in enumerate(inner, 1):
+            size += len(words[i])
+            if size >= BATCH_CHARS or end == len(inner):
+                texts.append("".join([words[k] for k in inner[start:end]]))
+                start, size = end, 0
+        parts = []
+        for at in range(0, len(texts), 4):
+            parts += self.library(texts[at : at + 4])
+        whole = self.library([words[i] for i in alone])
+        joined = np.concatenate([*parts, np.zeros(0, np.uint32)])
+        edges = np.concatenate([[0], np.cumsum(self.bytes[joined])])
+        ends = np.searchsorted(edges, np.concatenate([[0], np.cumsum([len(words[i].encode()) for i in inner])]))
+        first, count = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        first[inner], count[inner] = ends[:-1], np.diff(ends)
+        sizes = np.array([len(w) for w in whole], np.int64)
+        first[alone], count[alone] = len(joined) + np.cumsum(sizes) - sizes, sizes
+        return np.concatenate([joined, *whole]), first, count
+
+    def ids(self, texts: list[str]) -> list[np.ndarray]:
+        """Per text its identifiers."""
+        known = Places()
+        cuts = []
+        for text in texts:
+            words = None if OTHER_SPACE.search(text) else CHUNK.findall(text)
+            cuts.append(None if words is None else np.fromiter(map(known.__getitem__, words), np.int64, len(words)))
+        ids, first, count = self.words(list(known))
+        out = []
+        for text, places in zip(texts, cuts):
+            if places is None:
+                out += self.library([text])
+                continue
+            n = count[places]
+            before = np.cumsum(n) - n
+            out.append(ids[np.repeat(first[places] - before, n) + np.arange(n.sum())])
+        return out
 
 
 def _loaded(path: str | None) -> Encoder:
@@ -172,32 +219,44 @@ def encode(df: DataFrame, path: str | None = None) -> DataFrame:
     """``df`` (``doc_id, _text``) in segments, as they are stored: ``segment, n, code, docs``; rows keep their order."""
     kind = df.schema["doc_id"].dataType.simpleString()
 
+    def rounds(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[str]]]:
+        keys: list[pa.Array] = []
+        texts: list[str] = []
+        size = 0
+        for batch in batches:
+            for r, text in enumerate(batch.column(1).to_pylist()):
+                keys.append(batch.column(0).slice(r, 1))
+                texts.append(text)
+                size += len(text)
+                if size >= ROUND_CHARS:
+                    yield keys, texts
+                    keys, texts, size = [], [], 0
+        yield keys, texts
+
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _loaded(path)
-        end = np.array([END], "<u4").tobytes()
-        held: list[bytes] = []
-        ids: list[pa.Array] = []
+        end = np.array([END], np.uint32)
+        held: list[np.ndarray] = []
+        docs: list[pa.Array] = []
         sizes: list[int] = []
         number = total = 0
 
         def closed() -> pa.RecordBatch:
             n = np.array(sizes)
-            docs = pa.StructArray.from_arrays([pa.concat_arrays(ids), pa.array(np.cumsum(n) - n), pa.array(n)], names=["doc_id", "at", "n"])
-            code = packed(np.frombuffer(b"".join(held), "<u4"))
-            return pa.RecordBatch.from_arrays(
-                [pa.array([number], pa.int64()), pa.array([total], pa.int64()), pa.array([code], pa.binary()), pa.ListArray.from_arrays(pa.array([0, len(docs)], pa.int32()), docs)],
-                names=["segment", "n", "code", "docs"],
-            )
-
-        for batch in batches:
-            for r, code in enumerate(encoder.ids(batch.column(1).to_pylist())):
-                held += [code, end]
-                ids.append(batch.column(0).slice(r, 1))
-                sizes.append(len(code) // 4 + 1)
+            fields = [pa.concat_arrays(docs), pa.array(np.cumsum(n) - n), pa.array(n)]
+            listed = pa.ListArray.from_arrays(pa.array([0, len(n)], pa.int32()), pa.StructArray.from_arrays(fields, names=["doc_id", "at", "n"]))
+            code = pa.array([packed(np.concatenate(held))], pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([total], pa.int64()), code, listed], names=["segment", "n", "code", "docs"])
+
+        for keys, texts in rounds(batches):
+            for key, ids in zip(keys, encoder.ids(texts)):
+                held += [ids, end]
+                docs.append(key)
+                sizes.append(len(ids) + 1)
                 total += sizes[-1]
                 if total >= SEGMENT:
                     yield closed()
-                    held, ids, sizes, total, number = [], [], [], 0, number + 1
+                    held, docs, sizes, total, number = [], [], [], 0, number + 1
         if total:
             yield closed()
 
