@@ -69,15 +69,26 @@ def words_of(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(LOWER).split()
 
 
+# States that a worker keeps: those of one query's tasks, but not those of queries before it.
+STATES = 2
+
+
 def worker_state(key: tuple, make: Callable[[], object], version: str = "") -> object:
-    """What ``make`` returns, made once in each Python worker and kept for its later tasks; another version replaces it.
+    """What ``make`` returns, made once in each Python worker and kept for its later tasks; another version replaces it,
+    and the state least lately asked for goes when there are more than ``STATES``.
 
     Functions travel to the executors by value, so a global of this package would start empty in each task.
     """
-    held = sys.modules.setdefault("_panelloom_worker", types.ModuleType("_panelloom_worker")).__dict__
-    if held.get(key, ("",))[0] != version or key not in held:
-        held[key] = (version, make())
-    return held[key][1]
+    held = sys.modules.setdefault("_panelloom_worker", types.ModuleType("_panelloom_worker")).__dict__.setdefault("states", {})
+    known = held.pop(key, None)
+    if known is None or known[0] != version:
+        # The old state goes before the new one is made.
+        known = None
+        while len(held) >= STATES:
+            del held[next(iter(held))]
+        known = (version, make())
+    held[key] = known
+    return known[1]
 
 
 class Memo(dict):
