@@ -58,7 +58,8 @@ def pattern_filter(spark, sf):
 @query("P7 D15", "SELECT norm_years, count(*) AS n_rows, count(DISTINCT entity) AS n_entities FROM estimation GROUP BY 1")
 def complete_cases(spark, sf):
     kept = tb.estimation(spark, sf)
-    return selection.complete_cases(kept).groupBy("norm_years").agg(
+    # The rows that the calendar was filled up with have none of these; other columns may be NULL in a complete row.
+    return selection.complete_cases(kept, [*tb.MODEL_PRICES, *tb.MODEL_OUTPUTS, *tb.SHOCKS]).groupBy("norm_years").agg(
         F.count(F.lit(1)).alias("n_rows"), F.countDistinct("entity").alias("n_entities")
     )
 

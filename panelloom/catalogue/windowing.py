@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from panelloom.catalogue.registry import query, rnd, rounded
+from panelloom.catalogue.registry import STATEMENTS, query, rnd, rounded
 from panelloom.catalogue.sql import TABLES, adjusted, norm_frames, solved
-from panelloom.operators import joins, ranking, windows
+from panelloom.operators import blocked, joins, ranking, windows
 from panelloom.operators.spline import spline_to_months
 from panelloom.plans import macro, panel
 from panelloom.plans import tables as tb
@@ -251,3 +251,31 @@ def inflation_panel(spark, sf):
     spine = joins.complete_periods(outcomes.select("region", "period_idx", *_RATES), ["region"])
     changed = panel.inflation_panel(spine, ["region"], _RATES, "q", 4)
     return rounded(views.series_frame(changed, _RATES, total="0"), 6, *_RATES)
+
+
+# The scans over blocks give the rows of the windows over whole series: a monthly series has 20 blocks here.
+BLOCK_MONTHS, BLOCK_QUARTERS = 4, 2
+
+
+@query("W1", STATEMENTS["trailing_norm"])
+def trailing_norm_blocked(spark, sf):
+    normed = blocked.trailing_norms(tb.monthly_values(spark, sf), KEY, ["value"], tb.NORMS, BLOCK_MONTHS)
+    normed = normed.select(*KEY, "period_idx", *[F.col(f"norm_{m}_value").alias(f"norm_{m}") for m in tb.NORMS])
+    return rounded(normed, 4, "norm_1", "norm_2", "norm_3")
+
+
+@query("W2 J10", STATEMENTS["panel_lag_lead"])
+def panel_lag_lead_blocked(spark, sf):
+    shifted = blocked.lag_lead(tb.monthly_panel(spark, sf), KEY, "value", [1, 4, -2], BLOCK_MONTHS).drop("value")
+    return rounded(shifted, 4, "value_lag1", "value_lag4", "value_lead2")
+
+
+@query("W7", STATEMENTS["fill_down"])
+def fill_down_blocked(spark, sf):
+    return rounded(blocked.fill_down(tb.monthly_panel(spark, sf), KEY, ["value"], BLOCK_MONTHS), 4, "value")
+
+
+@query("W8 D11", STATEMENTS["anchored_extrapolation"])
+def anchored_extrapolation_blocked(spark, sf):
+    quarterly = macro.annual_to_quarterly(tb.annual_levels(spark, sf), tb.quarterly_indicator(spark, sf), block=BLOCK_QUARTERS)
+    return rounded(quarterly.select("entity", "sector", "period_idx", "value"), 2, "value")

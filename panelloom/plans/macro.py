@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from panelloom.functions import calendar as cal
 from panelloom.functions.names import conform
-from panelloom.operators import aggregate, joins, reshape, selection, windows
+from panelloom.operators import aggregate, blocked, joins, reshape, selection, windows
 
 # English names of the price categories.
 PRICE_CATEGORIES = {
@@ -66,10 +66,11 @@ def activity_index(
     return windows.seasonal_adjust(joins.complete_periods(wide, ["entity"]), ["entity"], sectors, freq)
 
 
-def annual_to_quarterly(annual: DataFrame, indicator: DataFrame, aligned: bool = False) -> DataFrame:
+def annual_to_quarterly(annual: DataFrame, indicator: DataFrame, aligned: bool = False, block: int | None = None) -> DataFrame:
     """Annual levels ``(entity, sector, year, level)`` to quarters along ``(entity, sector, period_idx, indicator)``.
 
-    Each level stands at its year's fourth quarter. Sectors are rows, so all series go through one window.
+    Each level stands at its year's fourth quarter. Sectors are rows, so all series go through one window; long ones are
+    scanned by blocks of ``block`` quarters.
     """
     anchors = annual.select(
         "entity", "sector", (F.col("year") * 4 + 3).cast("int").alias("period_idx"), "level"
@@ -77,6 +78,8 @@ def annual_to_quarterly(annual: DataFrame, indicator: DataFrame, aligned: bool =
     keys = ["entity", "sector"]
     aligned_rows = indicator.join(anchors, [*keys, "period_idx"], "left")
     spine = joins.complete_periods(aligned_rows, keys)
+    if block:
+        return blocked.extrapolate_anchored(spine, keys, "level", "indicator", "value", block, aligned)
     return windows.extrapolate_anchored(spine, keys, "level", "indicator", "value", aligned)
 
 
