@@ -290,11 +290,19 @@ def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
     """
     names = docs.columns
     found = near_duplicates(docs.select("doc_id", "text"), width, percent).where("kept")
-    chosen = found.groupBy("doc_id", "part", F.expr("CASE WHEN part IS NULL THEN text_hash END").alias("_own")).agg(F.min("text_hash").alias("t"))
-    chosen = chosen.selectExpr("doc_id AS d", "t").distinct()
-    # Equal rows meet before the shuffle; of rows that differ in other columns only, the least stays. Those without words
-    # are told apart by all columns, NULL from ''.
-    row = F.struct(*[f"`{c}`" for c in names])
-    bare = F.when(~F.coalesce(F.col("text"), F.lit("")).rlike(WORD), row)
-    once = docs.groupBy(F.col("doc_id").alias("_doc"), F.expr(TEXT_HASH).alias("_hash"), bare.alias("_bare")).agg(F.min(row).alias("_row"))
-    return once.join(chosen, F.expr("_doc <=> d AND _hash = t")).select(*[F.col("_row")[c].alias(c) for c in names])
+    copies = found.groupBy("doc_id", "part", "text_hash").agg(F.count(F.lit(1)).alias("copies"))
+    chosen = copies.groupBy("doc_id", "part", F.expr("CASE WHEN part IS NULL THEN text_hash END").alias("_own")).agg(F.min(F.struct("text_hash", "copies")).alias("_one"))
+    chosen = written(chosen.selectExpr("doc_id AS d", "_one.text_hash AS t", "_one.copies AS copies").distinct())
+    # Columns get names of our own, so none of theirs can clash.
+    own = [f"_c{i}" for i in range(len(names))]
+    doc, text = own[names.index("doc_id")], own[names.index("text")]
+    rows = docs.toDF(*own).withColumn("_hash", F.expr(TEXT_HASH.replace("text", text)))
+    one = rows.join(chosen.where("copies = 1"), F.expr(f"{doc} <=> d AND _hash = t"), "left_semi").select(*own)
+    # Only rows that share their id and text meet as whole rows. Of those that differ in other columns the least stays;
+    # those without words are told apart by all columns, NULL from ''.
+    several = chosen.where("copies > 1")
+    row = F.struct(*own)
+    bare = F.when(~F.coalesce(F.col(text), F.lit("")).rlike(WORD), row)
+    met = thinned(rows, "_hash", several, "t").join(several, F.expr(f"{doc} <=> d AND _hash = t"), "left_semi")
+    least = met.groupBy(doc, "_hash", bare.alias("_bare")).agg(F.min(row).alias("_row")).select("_row.*")
+    return one.unionByName(least).toDF(*names)
