@@ -438,24 +438,41 @@ def _span_arrays(spans) -> tuple[np.ndarray, np.ndarray]:
     return merged(both[:, 0], both[:, 1])
 
 
-def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """``doc_id, n_bytes, n_removed, n_spans, kept``: what is left of each text, as bytes."""
+def _found(docs: DataFrame, length: int, words: int | None, fewer: int | None = None) -> DataFrame:
+    """``doc_id, text_hash, spans, passages``: repeated strings of ``length`` bytes, and passages of ``words`` words if wanted."""
+    none = F.expr("CAST(NULL AS array<struct<begin: bigint, end: bigint>>)")
+    found = repeats(docs, length, fewer=fewer).withColumn("passages", none)
+    if words is None:
+        return found
+    passages = repeats(docs, words, WORD_GRAM, words=True).withColumnRenamed("spans", "passages").withColumn("spans", none)
+    both = found.unionByName(passages)
+    return both.groupBy("doc_id", "text_hash").agg(*[F.flatten(F.collect_list(c)).alias(c) for c in ("spans", "passages")])
+
+
+def without_repeats(docs: DataFrame, length: int = LENGTH, words: int | None = None) -> DataFrame:
+    """``doc_id, n_bytes, n_removed, n_spans, kept, n_passages, passage_words``: what is left of each text, as bytes.
+
+    With ``words`` the last two tell of the passages of so many words that come up more than once: how many separate
+    ones the text has, and the words that they cover. They are reported only; nothing goes for them.
+    """
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "n_passages", "passage_words"]
 
     def cut(batches):
         for batch in batches:
             out = []
-            for text, spans in zip(batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist()):
+            for text, spans, passages in zip(batch.column(1).cast(pa.binary()).to_pylist(), *(batch.column(i).to_pylist() for i in (2, 3))):
                 begin, end = _span_arrays(spans)
                 edges = [0, *np.stack([begin, end], axis=1).ravel().tolist(), len(text)]
                 kept = b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2]))
-                out.append((len(text), int((end - begin).sum()), len(begin), kept))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
+                first, last = _span_arrays(passages)
+                out.append((len(text), int((end - begin).sum()), len(begin), kept, len(first), int((last - first).sum())))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64())
             columns = [pa.array(column, kind) for column, kind in zip(zip(*out), kinds)] if out else [pa.array([], kind) for kind in kinds]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=names)
 
-    rows = _with_spans(docs.select("doc_id", "text"), "doc_id", "text", repeats(docs, length)).selectExpr("doc_id", "coalesce(text, '') AS _text", "spans")
+    rows = _with_spans(docs.select("doc_id", "text"), "doc_id", "text", _found(docs, length, words)).selectExpr("doc_id", "coalesce(text, '') AS _text", "spans", "passages")
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return map_arrow(rows, cut, f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")
+    return map_arrow(rows, cut, f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary, n_passages bigint, passage_words bigint")
 
 
 def shortened(docs: DataFrame, length: int = LENGTH, words: int | None = None) -> DataFrame:
@@ -495,14 +512,7 @@ def shortened(docs: DataFrame, length: int = LENGTH, words: int | None = None) -
 
     # Columns get names of our own, so none of theirs can clash.
     numbered = docs.toDF(*[f"_c{k}" for k in range(len(names))])
-    none = F.expr("CAST(NULL AS array<struct<begin: bigint, end: bigint>>)")
-    if words is None:
-        found = repeats(docs, length).withColumn("passages", none)
-    else:
-        found = repeats(docs, length, fewer=words).withColumn("passages", none).unionByName(
-            repeats(docs, words, WORD_GRAM, words=True).withColumnRenamed("spans", "passages").withColumn("spans", none)
-        )
-        found = found.groupBy("doc_id", "text_hash").agg(*[F.flatten(F.collect_list(c)).alias(c) for c in ("spans", "passages")])
+    found = _found(docs, length, words, fewer=words)
     rows = _with_spans(numbered, f"_c{names.index('doc_id')}", f"_c{i}", found)
     cleaned = map_arrow(rows, cut, docs.schema)
     return cleaned.withColumn("n_chars", F.length("text").cast("bigint")) if "n_chars" in names else cleaned

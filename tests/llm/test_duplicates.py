@@ -47,9 +47,35 @@ def test_suffix_dedup_equals_brute_force(spark, odd_docs, odd_pairs, crowd, monk
     short += [(100 + k, prose(200 + k, rnd.randint(5, 60)) + " " + passage[rnd.randint(0, 90) :] + " " + prose(300 + k, 9)) for k in range(25)]
     docs = spark.createDataFrame(short, "doc_id bigint, text string")
     spans = suffix_dedup.repeats(docs, 400, 160, crowd)
-    monkeypatch.setattr(suffix_dedup, "repeats", lambda d, length: spans)
+    monkeypatch.setattr(suffix_dedup, "repeats", lambda d, length, **_: spans)
     wanted = sorted(((i, *r) for (i, _), r in zip(short, repeated_bytes([t for _, t in short], 400))), key=KEY)
-    assert plain(suffix_dedup.without_repeats(docs)) == wanted
+    assert plain(suffix_dedup.without_repeats(docs).drop("n_passages", "passage_words")) == wanted
+
+
+def shared_passages(texts, length):
+    """Separate passages of ``length`` words that come up more than once, and the words they cover."""
+    lists = [re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode()) for t in texts]
+    seen = Counter(tuple(w[i : i + length]) for w in lists for i in range(len(w) - length + 1))
+    out = []
+    for words in lists:
+        flags = np.zeros(len(words), bool)
+        for i in range(len(words) - length + 1):
+            if seen[tuple(words[i : i + length])] > 1:
+                flags[i : i + length] = True
+        out.append((int((np.diff(flags.astype(int), prepend=0) == 1).sum()), int(flags.sum())))
+    return out
+
+
+def test_repeated_passages_equal_brute_force(spark, odd_pairs):
+    short = [(i, None if t is None else t[:3000]) for i, t in odd_pairs]
+    # Short words: 51 of them are no string of 400 bytes.
+    passage = " ".join("ab cde f".split() * 3 + [f"w{i}" for i in range(42)])
+    short += [(100 + k, f"{prose(200 + k, 5 + k)} {passage}\n{prose(300 + k, 9)}") for k in range(6)]
+    rows = [(i, t, 1, "x") for i, t in short]
+    found = suffix_dedup.without_repeats(spark.createDataFrame(rows, "doc_id bigint, text string, n_passages int, spans string"), words=51)
+    wanted = sorted(((i, *r) for (i, _), r in zip(short, shared_passages([t for _, t in short], 51))), key=KEY)
+    assert plain(found.select("doc_id", "n_passages", "passage_words")) == wanted
+    assert plain(found.where("doc_id >= 100").select("n_removed").distinct()) == [(0,)]
 
 
 def test_very_long_texts_and_empty_tables(odd_docs, no_docs):
