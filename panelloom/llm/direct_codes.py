@@ -9,8 +9,8 @@ chunk at place i of level 0; where the bit there is set, the next chunk is at pl
 Bytes of a segment, all numbers little-endian: ``DAC1``, u32 number of levels, per level u64 number of chunks; then per
 level the chunks, and but for the last level the bitmap (padded to whole blocks) and the directory (u32 per block).
 
-**Files.** Parquet, one row per segment: ``part``, ``segment`` (in order), ``n`` identifiers, ``code``, ``docs``
-(``doc_id, at, n``: documents in order, ``at`` the place in the segment). Spark writes and commits them, so they live on
+**Files.** Parquet, one row per segment: ``part``, ``first`` (identifiers before it in its part), ``n`` identifiers,
+``code``, ``docs`` (``doc_id, at, n``: documents in order, ``at`` the place in the segment). Spark writes and commits them, so they live on
 any storage Spark can reach and survive lost executors; a reader of the index alone reads no code. Parts are ranges of
 documents in ascending order of ``doc_id`` (NULL first, equal ids by their text).
 
@@ -27,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -35,8 +36,8 @@ from panelloom.llm.common import map_arrow, texts_of, worker_state
 TOKENIZER, END = "byte_bpe_50k.json", 0
 # Identifiers from which a segment is closed, and bits of one entry of the rank directory.
 SEGMENT, BLOCK = 1 << 18, 512
-# Characters of the texts that are encoded together, and of one text handed to the library.
-ROUND_CHARS, BATCH_CHARS = 1 << 24, 1 << 16
+# Bytes of the texts that are encoded together, and characters of one text handed to the library.
+ROUND_BYTES, BATCH_CHARS = 1 << 24, 1 << 16
 MAGIC = b"DAC1"
 
 
@@ -126,6 +127,8 @@ class Segment:
 
 # Cuts before white space that follows a visible character never fall inside a match of the tokenizer's pattern.
 CHUNK = re.compile("[ \n\t\r]*[^ \n\t\r]+|[ \n\t\r]+$")
+# Texts with white space before a space.
+RAGGED = ("  ", "\n ", "\t ", "\r ")
 # Other white space; texts that hold any are encoded as a whole.
 OTHER_SPACE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]")
 
@@ -187,18 +190,31 @@ class Encoder:
         first[alone], count[alone] = len(joined) + np.cumsum(sizes) - sizes, sizes
         return np.concatenate([joined, *whole]), first, count
 
-    def ids(self, texts: list[str]) -> list[np.ndarray]:
+    def ids(self, texts: pa.Array) -> list[np.ndarray]:
         """Per text its identifiers."""
-        known = Places()
-        cuts = []
-        for text in texts:
-            words = None if OTHER_SPACE.search(text) else CHUNK.findall(text)
-            cuts.append(None if words is None else np.fromiter(map(known.__getitem__, words), np.int64, len(words)))
-        ids, first, count = self.words(list(known))
+        # Where every space follows a visible character, cuts at spaces are as safe, and Arrow makes them.
+        ragged = np.zeros(len(texts), bool)
+        for test, patterns in ((pc.match_substring, RAGGED), (pc.starts_with, " \n\t\r"), (pc.ends_with, " \n\t\r")):
+            for pattern in patterns:
+                ragged |= test(texts, pattern).to_numpy(zero_copy_only=False)
+        lists = pc.split_pattern(pc.if_else(pa.array(ragged), "", texts), " ")
+        words, starts = lists.flatten(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        coded = words.dictionary_encode()
+        spaced, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        # Words without a space before them, or with other white space.
+        bare = Places()
+        heads = []
+        for r in range(len(texts)):
+            some = CHUNK.findall(texts[r].as_py()) if ragged[r] else [w for w in (words[int(starts[r])].as_py(),) if w]
+            heads.append(np.fromiter(map(bare.__getitem__, some), np.int64, len(some)))
+        every = [*bare, *[" " + w for w in spaced]]
+        odd = {i for i, w in enumerate(every) if OTHER_SPACE.search(w)} if OTHER_SPACE.search("".join(every)) else ()
+        ids, first, count = self.words(every)
         out = []
-        for text, places in zip(texts, cuts):
-            if places is None:
-                out += self.library([text])
+        for r, head in enumerate(heads):
+            places = np.concatenate([head, codes[starts[r] + 1 : starts[r + 1]] + len(bare)])
+            if odd and not odd.isdisjoint(places.tolist()):
+                out += self.library([texts[r].as_py()])
                 continue
             n = count[places]
             before = np.cumsum(n) - n
@@ -216,22 +232,18 @@ def _loaded(path: str | None) -> Encoder:
 
 
 def encode(df: DataFrame, path: str | None = None) -> DataFrame:
-    """``df`` (``doc_id, _text``) in segments, as they are stored: ``segment, n, code, docs``; rows keep their order."""
+    """``df`` (``doc_id, _text``) in segments, as they are stored: ``first, n, code, docs``; rows keep their order."""
     kind = df.schema["doc_id"].dataType.simpleString()
 
-    def rounds(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[str]]]:
-        keys: list[pa.Array] = []
-        texts: list[str] = []
-        size = 0
+    def rounds(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, pa.Array]]:
+        held: list[pa.RecordBatch] = []
         for batch in batches:
-            for r, text in enumerate(batch.column(1).to_pylist()):
-                keys.append(batch.column(0).slice(r, 1))
-                texts.append(text)
-                size += len(text)
-                if size >= ROUND_CHARS:
-                    yield keys, texts
-                    keys, texts, size = [], [], 0
-        yield keys, texts
+            held.append(batch)
+            if sum(b.nbytes for b in held) >= ROUND_BYTES:
+                yield tuple(pa.concat_arrays([b.column(i) for b in held]) for i in (0, 1))
+                held = []
+        if held:
+            yield tuple(pa.concat_arrays([b.column(i) for b in held]) for i in (0, 1))
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _loaded(path)
@@ -239,28 +251,28 @@ def encode(df: DataFrame, path: str | None = None) -> DataFrame:
         held: list[np.ndarray] = []
         docs: list[pa.Array] = []
         sizes: list[int] = []
-        number = total = 0
+        first = total = 0
 
         def closed() -> pa.RecordBatch:
             n = np.array(sizes)
             fields = [pa.concat_arrays(docs), pa.array(np.cumsum(n) - n), pa.array(n)]
             listed = pa.ListArray.from_arrays(pa.array([0, len(n)], pa.int32()), pa.StructArray.from_arrays(fields, names=["doc_id", "at", "n"]))
             code = pa.array([packed(np.concatenate(held))], pa.binary())
-            return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([total], pa.int64()), code, listed], names=["segment", "n", "code", "docs"])
+            return pa.RecordBatch.from_arrays([pa.array([first], pa.int64()), pa.array([total], pa.int64()), code, listed], names=["first", "n", "code", "docs"])
 
         for keys, texts in rounds(batches):
-            for key, ids in zip(keys, encoder.ids(texts)):
+            for r, ids in enumerate(encoder.ids(texts)):
                 held += [ids, end]
-                docs.append(key)
+                docs.append(keys.slice(r, 1))
                 sizes.append(len(ids) + 1)
                 total += sizes[-1]
                 if total >= SEGMENT:
                     yield closed()
-                    held, docs, sizes, total, number = [], [], [], 0, number + 1
+                    held, docs, sizes, first, total = [], [], [], first + total, 0
         if total:
             yield closed()
 
-    return map_arrow(df, segments, f"segment bigint, n bigint, code binary, docs array<struct<doc_id:{kind},at:bigint,n:bigint>>")
+    return map_arrow(df, segments, f"first bigint, n bigint, code binary, docs array<struct<doc_id:{kind},at:bigint,n:bigint>>")
 
 
 def write(docs: DataFrame, path: str, tokenizer: str | None = None) -> None:
@@ -270,37 +282,33 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None) -> None:
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("_text")]
     ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order, "_text")
     stored = encode(ranged, tokenizer).withColumn("part", F.expr("shiftright(monotonically_increasing_id(), 33)"))
-    stored.select("part", "segment", "n", "code", "docs").write.parquet(path)
+    stored.select("part", "first", "n", "code", "docs").write.parquet(path)
 
 
-def index(spark: SparkSession, path: str) -> DataFrame:
-    """``doc_id, part, segment, at, start, n_tokens`` of each document of the files; no code is read.
+def _stored(spark: SparkSession, path: str) -> DataFrame:
+    """The segments with ``start``, the identifiers of all documents before each. What is broadcast has one row per part,
+    and there are no more parts than partitions of the write."""
+    stored = spark.read.parquet(path)
+    sizes = stored.groupBy(F.col("part").alias("_part")).agg(F.sum("n").alias("_size"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("_part", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset"))
+    return stored.join(F.broadcast(offsets), F.expr("part = _part")).withColumn("start", F.expr("_offset + first"))
 
-    ``start`` counts the identifiers of all documents before it; ``at`` is its place in its segment.
-    """
-    placed = _starts(spark.read.parquet(path).select("part", "segment", "n", "docs"))
-    return placed.select("part", "segment", "_first", F.inline("docs")).selectExpr("doc_id", "part", "segment", "at", "_first + at AS start", "n AS n_tokens")
 
+def index(spark: SparkSession, path: str) -> DataFrame:
+    """``doc_id, segment, at, start, n_tokens`` of each document of the files; no code is read.
 
-def _starts(segments: DataFrame) -> DataFrame:
-    """``segments`` with ``_first``, the identifiers before each. A window holds one number per segment of a part, then
-    one per part."""
-    sizes = segments.select(F.col("part").alias("_part"), F.col("segment").alias("_segment"), "n")
-    parts = sizes.groupBy("_part").agg(F.sum("n").alias("_size"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.select(F.col("_part").alias("_p"), F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset"))
-    inside = Window.partitionBy("_part").orderBy("_segment").rowsBetween(Window.unboundedPreceding, -1)
-    firsts = sizes.withColumn("_in", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(parts, F.expr("_part = _p"))
-    firsts = firsts.selectExpr("_part", "_segment", "_offset + _in AS _first")
-    return segments.join(firsts, F.expr("part = _part AND segment = _segment")).drop("_part", "_segment")
+    ``start`` counts the identifiers of all documents before it, ``segment`` those before its segment, ``at`` is its place
+    in the segment.
+    """
+    listed = _stored(spark, path).select(F.col("start").alias("segment"), F.inline("docs"))
+    return listed.selectExpr("doc_id", "segment", "at", "segment + at AS start", "n AS n_tokens")
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """``doc_id, start, n_tokens, ids`` of all documents of the files; ``ids`` are little-endian unsigned 32-bit integers."""
-    stored = spark.read.parquet(path)
-    kind = stored.schema["docs"].dataType.elementType["doc_id"].dataType.simpleString()
-    placed = _starts(stored.select("part", "segment", "n", "docs")).selectExpr("part AS _part", "segment AS _segment", "_first")
-    rows = stored.join(placed, F.expr("part = _part AND segment = _segment")).select("_first", "code", "docs")
+    rows = _stored(spark, path).select("start", "code", "docs")
+    kind = rows.schema["docs"].dataType.elementType["doc_id"].dataType.simpleString()
 
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -318,10 +326,11 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 def tokens_at(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
     """``doc_id, i, id`` for ``wanted`` (``doc_id, i``): the i-th identifier of a document, from 0, read by the rank
     directories alone. Places outside the document, and unknown documents, give no row."""
-    found = index(spark, path).select("doc_id", "part", "segment", "at", "n_tokens").alias("d")
+    found = index(spark, path).alias("d")
     met = wanted.selectExpr("doc_id", "CAST(i AS BIGINT) AS i").alias("w").join(found, F.expr("w.doc_id <=> d.doc_id AND w.i >= 0 AND w.i < d.n_tokens"))
-    places = met.groupBy("part", "segment", F.expr("i DIV 65536").alias("_slice")).agg(F.collect_list(F.expr("named_struct('doc_id', w.doc_id, 'i', w.i, 'at', at + w.i)")).alias("places"))
-    codes = spark.read.parquet(path).select(F.col("part").alias("_part"), F.col("segment").alias("_segment"), "code")
+    place = F.expr("named_struct('doc_id', w.doc_id, 'i', w.i, 'at', at + w.i)")
+    places = met.groupBy("segment", F.expr("i DIV 65536").alias("_slice")).agg(F.collect_list(place).alias("places"))
+    codes = _stored(spark, path).select("start", "code")
     kind = wanted.schema["doc_id"].dataType.simpleString()
 
     def looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -331,5 +340,5 @@ def tokens_at(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
                 ids = Segment(batch.column(0)[r].as_buffer().to_pybytes()).at(some.field(2).to_numpy(zero_copy_only=False))
                 yield pa.RecordBatch.from_arrays([some.field(0), some.field(1), pa.array(ids.astype(np.int64))], names=["doc_id", "i", "id"])
 
-    rows = places.join(codes, F.expr("part = _part AND segment = _segment")).select("code", "places")
+    rows = places.join(codes, F.expr("segment = start")).select("code", "places")
     return map_arrow(rows, looked_up, f"doc_id {kind}, i bigint, id bigint")
