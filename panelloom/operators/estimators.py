@@ -1,10 +1,11 @@
 """Fixed-effects regressions, many specifications in one job.
 
-A panel's columns are packed once per entity; each task then adds up, per specification and period, the
-cross products of the entity-demeaned columns of its entities. Those sums hold everything the estimates
-need: coefficients, residual sums and the period scores of the cross-section-robust covariance. So the data
-is read once, the specifications are not multiplied into rows, and a specification's rows are never gathered:
-what is shuffled is k x k per (specification, period) and task, and it does not grow with the entities.
+A panel's columns are packed once per entity; each task then adds up, per specification and period, the cross products of
+the entity-demeaned columns of its entities. Those sums give the period scores of the cross-section-robust covariance.
+Coefficients, fit and rank come from a QR decomposition, since cross products square the condition number: each task
+reduces its rows to one k x k triangle, and two triangles merge by the QR of one above the other. So the data is read once,
+the specifications are not multiplied into rows, and a specification's rows are never gathered: what is shuffled is k x k
+per (specification, period) and task, and it does not grow with the entities.
 """
 
 from __future__ import annotations
@@ -23,7 +24,11 @@ from panelloom.functions.text import idents
 SUMS_BUDGET = 256 << 20
 BLOCK_BUDGET = 64 << 20
 
-ALIAS_TOLERANCE = 1e-10
+# A column is spanned by earlier ones if so small a part of its length is left beside them.
+ALIAS_TOLERANCE = 1e-7
+
+# The period under which a specification's triangle travels among its period sums.
+TRIANGLE = -(1 << 31)
 
 FIT_FIELDS = (
     pa.field("spec_id", pa.string()),
@@ -54,12 +59,13 @@ class _PeriodSums:
         self._held: dict[tuple, list] = {}
         self._bytes = 0
 
-    def add(self, key: tuple, first: int, counts: np.ndarray, sums: np.ndarray) -> None:
+    def add(self, key: tuple, first: int, counts: np.ndarray, sums: np.ndarray, triangle: np.ndarray) -> None:
         held = self._held.get(key)
         if held is None:
-            self._held[key] = [first, counts.copy(), sums.copy()]
+            self._held[key] = [first, counts.copy(), sums.copy(), triangle]
             self._bytes += sums.nbytes
             return
+        held[3] = _merged_triangle(held[3], triangle)
         start, stop = min(held[0], first), max(held[0] + len(held[1]), first + len(counts))
         if (start, stop) != (held[0], held[0] + len(held[1])):
             pad = (held[0] - start, stop - held[0] - len(held[1]))
@@ -78,20 +84,21 @@ class _PeriodSums:
 
     def drain(self, schema: pa.Schema, n_keys: int) -> Iterator[pa.RecordBatch]:
         """Pass on everything held, one batch per (group, specification), periods without rows left out."""
-        for (group, spec), (first, counts, sums) in self._held.items():
+        for (group, spec), (first, counts, sums, triangle) in self._held.items():
             used = np.flatnonzero(counts)
             if not len(used):
                 continue
+            n = len(used) + 1
             # The products are symmetric: half of them is enough.
             half = np.triu_indices(sums.shape[1])
             width = len(half[0])
-            flat = pa.array(sums[used][:, half[0], half[1]].reshape(-1))
-            columns = [pa.array([group[i]] * len(used), schema.field(i).type) for i in range(n_keys)]
+            flat = pa.array(np.append(triangle[half], sums[used][:, half[0], half[1]].reshape(-1)))
+            columns = [pa.array([group[i]] * n, schema.field(i).type) for i in range(n_keys)]
             columns += [
-                pa.array([spec] * len(used), pa.string()),
-                pa.array((used + first).astype("int32")),
-                pa.array(counts[used].astype("int64")),
-                pa.ListArray.from_arrays(pa.array(np.arange(len(used) + 1, dtype="int32") * width), flat),
+                pa.array([spec] * n, pa.string()),
+                pa.array(np.append(TRIANGLE, used + first).astype("int32")),
+                pa.array(np.append(0, counts[used]).astype("int64")),
+                pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype="int32") * width), flat),
             ]
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
         self._held.clear()
@@ -118,15 +125,38 @@ class _Block:
         self.known = np.isfinite(self.values)
         self.values[~self.known] = 0.0
 
-    def demeaned_products(self, columns: Sequence[int]) -> tuple[np.ndarray, np.ndarray]:
-        """Row counts and cross products by period, over complete rows minus their entity's mean."""
+    def demeaned_products(self, columns: Sequence[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Row counts and cross products by period, over complete rows minus their entity's mean, and their triangle."""
         complete = self.known[:, columns].all(axis=1)
         weight = complete.astype(float)[:, None, :]
         z = self.values[:, columns]
         z *= weight
         z -= z.sum(axis=0) / np.maximum(weight.sum(axis=0), 1.0)
         z *= weight
-        return complete.sum(axis=1), z @ z.transpose(0, 2, 1)
+        # The outcome goes last, so that its column of the triangle is the projection on the regressors.
+        rows = np.roll(z.transpose(0, 2, 1)[complete], -1, axis=1)
+        return complete.sum(axis=1), z @ z.transpose(0, 2, 1), _triangle(rows)
+
+
+def _triangle(rows: np.ndarray) -> np.ndarray:
+    """The square factor R of the QR decomposition, with rows of zeros if there are too few."""
+    k = rows.shape[1]
+    found = np.zeros((k, k))
+    reduced = np.linalg.qr(rows, mode="r")
+    found[: len(reduced)] = reduced
+    return found
+
+
+def _merged_triangle(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """The triangle of the rows behind both."""
+    return _triangle(np.concatenate([one, two]))
+
+
+def _unpacked_triangle(half: np.ndarray) -> np.ndarray:
+    k = int((np.sqrt(8 * len(half) + 1) - 1) / 2)
+    found = np.zeros((k, k))
+    found[np.triu_indices(k)] = half
+    return found
 
 
 def _block_rows(series: pa.ListArray, rows: Sequence[int], width: int) -> Iterator[list[int]]:
@@ -165,6 +195,11 @@ def period_products(
     ``panel`` has one row per (keys, entity, period_idx). Complete cases and entity means are those of each
     specification. Result: keys, ``spec_id``, ``period_idx``, ``n``, ``products`` (upper triangle by rows, y first).
     """
+    return _sums(panel, specs, entity, keys).where(f"period_idx <> {TRIANGLE}")
+
+
+def _sums(panel: DataFrame, specs: Sequence[Spec], entity: Sequence[str], keys: Sequence[str]) -> DataFrame:
+    """``period_products``, and per group and specification a row of the period ``TRIANGLE`` with the triangle of (x, y)."""
     columns = sorted({c for s in specs for c in (s.y, *s.x)})
     at = {c: i for i, c in enumerate(columns)}
     layout = [(s.name, [at[c] for c in (s.y, *s.x)]) for s in specs]
@@ -230,6 +265,10 @@ def _merge_products(partial: DataFrame, keys: Sequence[str], schema: str) -> Dat
             flat, offsets = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
             for i, key in enumerate(ids):
                 products = flat[offsets[i] : offsets[i + 1]]
+                if key == now and key[-1] == TRIANGLE:
+                    both = _merged_triangle(_unpacked_triangle(total), _unpacked_triangle(products))
+                    total = both[np.triu_indices(len(both))]
+                    continue
                 if key == now:
                     count, total = count + counts[i], total + products
                     continue
@@ -257,39 +296,46 @@ def _square(halves: np.ndarray, side: int) -> np.ndarray:
     return full
 
 
-def _independent(gram: np.ndarray) -> list[int]:
-    """Columns not spanned by earlier ones, by a Cholesky pass over the correlation-scaled Gram."""
-    scale = np.sqrt(np.diag(gram))
-    k = len(scale)
-    usable = scale > 0
-    scaled = gram / np.outer(np.where(usable, scale, 1.0), np.where(usable, scale, 1.0))
-    lower = np.zeros((k, k))
+def _independent(triangle: np.ndarray) -> list[int]:
+    """Columns of the triangle not spanned by earlier ones."""
+    lengths = np.sqrt((triangle**2).sum(axis=0))
+    usable = lengths > 0
+    left = np.abs(np.diag(triangle))
+    if (left[usable] > ALIAS_TOLERANCE * lengths[usable]).all() and usable.all():
+        return list(range(len(lengths)))
     kept: list[int] = []
-    for j in range(k):
-        if not usable[j]:
-            continue
-        for a, i in enumerate(kept):
-            lower[j, a] = (scaled[j, i] - lower[j, :a] @ lower[i, :a]) / lower[i, a]
-        rest = scaled[j, j] - lower[j, : len(kept)] @ lower[j, : len(kept)]
-        if rest > ALIAS_TOLERANCE:
-            lower[j, len(kept)] = np.sqrt(rest)
+    for j in np.flatnonzero(usable).tolist():
+        # What is left of the column beside the kept ones; a dropped column would bring in noise as a direction.
+        rest = triangle[:, j]
+        if kept:
+            basis = np.linalg.qr(triangle[:, kept] / lengths[kept])[0]
+            rest = rest - basis @ (basis.T @ rest)
+            rest = rest - basis @ (basis.T @ rest)
+        if np.sqrt(rest @ rest) > ALIAS_TOLERANCE * lengths[j]:
             kept.append(j)
     return kept
 
 
 def _solve(
-    periods: np.ndarray, counts: np.ndarray, products: np.ndarray, max_lag: int | None, small_sample: bool
+    periods: np.ndarray, counts: np.ndarray, products: np.ndarray, triangle: np.ndarray, max_lag: int | None, small_sample: bool
 ) -> dict:
-    """Coefficients, covariance and fit from period sums of the demeaned (y, x)."""
-    k = products.shape[1] - 1
-    total = products.sum(axis=0)
-    kept = _independent(total[1:, 1:])
+    """Coefficients, covariance and fit from the triangle and the period sums of the demeaned (x, y)."""
+    k = len(triangle) - 1
+    regressors, outcome = triangle[:, :k], triangle[:, k]
+    kept = _independent(regressors)
     beta, cov = np.full(k, np.nan), np.zeros((k, k))
     n, n_periods = int(counts.sum()), len(periods)
     used = np.array(kept, dtype=int)
+    fitted = 0.0
     if len(used):
-        inverse = np.linalg.inv(total[1:, 1:][np.ix_(used, used)])
-        solved = inverse @ total[1:, 0][used]
+        # Columns of one length: the condition that is left is that of their directions.
+        scale = np.sqrt((regressors[:, used] ** 2).sum(axis=0))
+        q, r = np.linalg.qr(regressors[:, used] / scale)
+        projected = q.T @ outcome
+        back = np.linalg.inv(r)
+        solved = back @ projected / scale
+        inverse = back @ back.T / np.outer(scale, scale)
+        fitted = float(projected @ projected)
         beta[used] = solved
         by_time = np.zeros((periods.max() - periods.min() + 1, len(used)))
         cross = products[:, 1:, 1:][:, used][:, :, used]
@@ -303,8 +349,8 @@ def _solve(
         if small_sample and n_periods > 1 and n > len(used):
             robust *= n_periods / (n_periods - 1) * (n - 1) / (n - len(used))
         cov[np.ix_(used, used)] = robust
-    fitted = float(np.nansum(beta * total[1:, 0]))
-    r2 = fitted / total[0, 0] if total[0, 0] > 0 else None
+    around = float(outcome @ outcome)
+    r2 = fitted / around if around > 0 else None
     return {
         "beta": [None if np.isnan(b) else float(b) for b in beta],
         "cov": cov.reshape(-1).tolist(),
@@ -345,9 +391,11 @@ def fit(
 
         def solved() -> dict:
             *group, spec = now
-            periods, counts = (np.array([h[i] for h in held]) for i in (0, 1))
-            products = _square(np.concatenate([h[2] for h in held]), len(terms[spec]) + 1)
-            found = _solve(periods, counts, products, max_lag, small_sample)
+            # The triangle's row sorts before all periods.
+            triangle = _unpacked_triangle(held[0][2])
+            periods, counts = (np.array([h[i] for h in held[1:]]) for i in (0, 1))
+            products = _square(np.concatenate([h[2] for h in held[1:]]), len(terms[spec]) + 1)
+            found = _solve(periods, counts, products, triangle, max_lag, small_sample)
             return {**dict(zip(keys, group)), "spec_id": spec, "y": outcome[spec], "terms": terms[spec], **found}
 
         for batch in batches:
@@ -372,7 +420,7 @@ def fit(
         if done:
             yield pa.RecordBatch.from_pylist(done, arrow)
 
-    products = period_products(panel, specs, entity, keys)
+    products = _sums(panel, specs, entity, keys)
     # A task holds one specification at a time, a k x k block per period.
     by = [*keys, "spec_id"]
     return products.repartition(*by).sortWithinPartitions(*by, "period_idx").mapInArrow(solve, schema)

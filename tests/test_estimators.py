@@ -283,3 +283,36 @@ def test_bandwidth_counts_all_periods(spark):
     assert fit.n_periods == 25
     same = estimators.fit(panel, [Spec("s", "y", ("x",))], ["entity"], max_lag=2).first()
     assert fit.cov == same.cov
+
+
+def test_nearly_collinear_regressors_agree_with_least_squares(spark):
+    """At a condition number of 1e6, where cross products lose all but four digits."""
+    rng = np.random.default_rng(8)
+    entities, periods = 12, 40
+    rows = []
+    for e in range(entities):
+        x1 = rng.normal(size=periods) + e
+        x2 = x1 + 1e-6 * rng.normal(size=periods)
+        y = 2 * x1 - x2 + e + rng.normal(size=periods)
+        rows += [(e, t, float(y[t]), float(x1[t]), float(x2[t])) for t in range(periods)]
+    panel = spark.createDataFrame(rows, "e int, period_idx int, y double, x1 double, x2 double").repartition(4)
+    got = estimators.fit(panel, [estimators.Spec("s", "y", ("x1", "x2"))], ["e"]).first()
+    data = np.array([r[2:] for r in rows])
+    dummies = np.repeat(np.eye(entities), periods, axis=0)
+    wanted = np.linalg.lstsq(np.column_stack([data[:, 1], data[:, 2] - data[:, 1], dummies]), data[:, 0], rcond=None)[0]
+    # The second design spans the same space and is well conditioned after scaling.
+    small, wide = wanted[1], wanted[0] - wanted[1]
+    assert got.aliased == [False, False]
+    assert np.allclose(got.beta, [wide, small], rtol=1e-7)
+
+
+def test_triangles_merge_in_any_order():
+    rng = np.random.default_rng(9)
+    rows = rng.normal(size=(50, 5))
+    parts = [estimators._triangle(p) for p in np.split(rows, [2, 3, 20, 41])]
+    for order in ([0, 1, 2, 3, 4], [4, 2, 0, 3, 1]):
+        merged = np.zeros((5, 5))
+        for i in order:
+            merged = estimators._merged_triangle(merged, parts[i])
+        assert np.allclose(merged.T @ merged, rows.T @ rows)
+        assert np.allclose(estimators._unpacked_triangle(merged[np.triu_indices(5)]), merged)
