@@ -10,8 +10,9 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 
 def write_by_key(df: DataFrame, path: str, key: str = "norm_years") -> None:
-    """One folder per value of ``key``, the counterpart of one sheet per norm."""
-    df.write.mode("overwrite").partitionBy(key).parquet(path)
+    """One folder per value of ``key``, the counterpart of one sheet per norm. Only the folders of values in ``df`` are
+    written anew; those of other values stay."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(path)
 
 
 def write_results(df: DataFrame, path: str) -> None:

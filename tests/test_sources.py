@@ -58,6 +58,13 @@ def test_one_sheet_scans_one_folder(spark, tmp_path):
     assert readers.read_all_sheets(spark, str(tmp_path / "norms")).count() == 2
 
 
+def test_writing_one_norm_leaves_the_others(spark, tmp_path):
+    path = str(tmp_path / "norms")
+    writers.write_results(spark.createDataFrame([(20, "a", 1.0), (30, "a", 2.0)], "norm_years int, e string, x double"), path)
+    writers.write_results(spark.createDataFrame([(30, "b", 3.0)], "norm_years int, e string, x double"), path)
+    assert sorted((r["norm_years"], r["e"], r["x"]) for r in readers.read_all_sheets(spark, path).collect()) == [(20, "a", 1.0), (30, "b", 3.0)]
+
+
 def test_nested_json(spark, rows):
     text = '{"data": {"MEX.1": {"1901-01": 10.5, "1901-02": null}, "MEX.2": {"1901-01": 7}}}'
     got = readers.series_from_json(spark.createDataFrame([(text,)], "value string"))
