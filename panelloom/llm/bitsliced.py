@@ -11,9 +11,10 @@ The query set meets all candidates block by block: query blocks and candidate bl
 pair of blocks, and only k rows per query and block go on to the final ranking.
 
 Vectors that are NULL or hold NULL or non-finite components, and rows without an id, take no part. A shorter vector
-counts as filled up with zeros. Rows that repeat an id and its vector are one; an id with several vectors is several
-candidates, and asks with its least vector; rows with the query's own id are never its results. Components beyond
-``LIMIT`` after quantising count as ``LIMIT``, so that scores fit a long. Extra columns are not read.
+counts as filled up with zeros. Rows that repeat an id and its quantised vector are one; an id with several vectors is
+several candidates and, if it is a query, several queries with k results each; rows with the query's own id are never its
+results. The slices are as many as the block's numbers and sums need, so nothing is cut off: a component that does not
+fit a long after quantising, or a result's score that does not, is an error. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -28,7 +29,8 @@ from pyspark.sql import functions as F
 from panelloom.llm.common import small_batches, written
 
 CANDIDATES, QUERIES = 16384, 1024
-LIMIT = 1 << 24
+# Components of a larger size are refused: the numbers themselves are longs.
+WIDEST = 2.0**62
 USABLE = "embedding IS NOT NULL AND NOT exists(embedding, x -> x IS NULL OR isnan(x) OR abs(x) = double('inf'))"
 
 
@@ -53,13 +55,14 @@ class SlicedBlock:
         n, width = values.shape
         self.n, self.words = n, (n + 63) // 64
         self.low = values.min(axis=0) if n else np.zeros(width, np.int64)
-        shifted = values - self.low
+        # Differences of two longs fit 64 bits without a sign.
+        shifted = values.view(np.uint64) - self.low.view(np.uint64)
         self.bits = [int(x).bit_length() for x in (shifted.max(axis=0) if n else self.low)]
         self.first = np.concatenate([[0], np.cumsum(self.bits)]).astype(np.int64)
         planes = np.zeros((int(self.first[-1]), self.words * 64), np.uint8)
         for d, bits in enumerate(self.bits):
             for b in range(bits):
-                planes[self.first[d] + b, :n] = (shifted[:, d] >> b) & 1
+                planes[self.first[d] + b, :n] = (shifted[:, d] >> np.uint64(b)) & np.uint64(1)
         self.planes = np.packbits(planes, axis=1, bitorder="little").view(np.uint64)
         self.valid = self.bitmap(np.ones(n, bool))
 
@@ -125,7 +128,17 @@ class SlicedBlock:
         chosen = self.rows(sure)
         # Rows that tie at the last place: the block is in the order of the ids.
         chosen = np.concatenate([chosen, self.rows(level)[: max(0, k - len(chosen))]])
-        return self.ids[chosen], self.values[chosen] @ query
+        return self.ids[chosen], _scores(self.values[chosen], query)
+
+
+def _scores(values: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """Inner products as longs; beyond 2^62 they are added up as whole numbers of any size."""
+    if not len(values) or (np.abs(values.astype(float)) @ np.abs(query.astype(float))).max() < 2.0**62:
+        return values @ query
+    exact = values.astype(object) @ query.astype(object)
+    if max(map(abs, exact)) >= 1 << 63:
+        raise OverflowError("the score of a result does not fit a long")
+    return exact.astype(np.int64)
 
 
 def _matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
@@ -144,12 +157,15 @@ def block_top(table: pa.Table, k: int) -> pa.Table:
     held = table.filter(pa.compute.invert(table["asks"])).sort_by("id")
     width = pa.compute.max(pa.compute.list_value_length(table["v"])).as_py() or 0
     block = SlicedBlock(held["id"].to_numpy(), _matrix(held["v"], width))
-    out = [(q, *block.top(q, v, k)) for q, v in zip(asks["id"].to_pylist(), _matrix(asks["v"], width))] if len(held) else []
+    asked = zip(asks["row"].to_pylist(), asks["id"].to_pylist(), _matrix(asks["v"], width))
+    out = [(row, q, *block.top(q, v, k)) for row, q, v in asked] if len(held) else []
+    none = np.zeros(0, np.int64)
     return pa.table(
         {
-            "query_id": pa.array(np.concatenate([[], *[np.full(len(i), q) for q, i, _ in out]]).astype(np.int64)),
-            "vec_id": pa.array(np.concatenate([[], *[i for _, i, _ in out]]).astype(np.int64)),
-            "score": pa.array(np.concatenate([np.zeros(0, np.int64), *[s for _, _, s in out]])),
+            "row": np.concatenate([none, *[np.full(len(i), row) for row, _, i, _ in out]]),
+            "query_id": np.concatenate([none, *[np.full(len(i), q) for _, q, i, _ in out]]),
+            "vec_id": np.concatenate([none, *[i for _, _, i, _ in out]]),
+            "score": np.concatenate([none, *[s for _, _, _, s in out]]),
         }
     )
 
@@ -158,16 +174,19 @@ def top_k(df: DataFrame, queries: str = "vec_id % 100 = 0", scale: int = 1024, k
     """``query_id, rank, vec_id, score``: the k rows of ``df`` with the largest inner product for each row of ``queries``."""
     small_batches(df.sparkSession)
     usable = df.where(f"vec_id IS NOT NULL AND {USABLE}").select("vec_id", "embedding").distinct()
-    whole = f"transform(embedding, x -> CAST(least(greatest(floor({scale}D * x), -{LIMIT}), {LIMIT}) AS INT))"
-    rows = written(usable.selectExpr("CAST(vec_id AS BIGINT) AS id", f"{whole} AS v").distinct())
-    wanted = rows.where(queries.replace("vec_id", "id")).groupBy("id").agg(F.min("v").alias("v"))
+    refused = "raise_error(concat('a component does not fit a long after quantising: ', x))"
+    whole = f"transform(embedding, x -> CASE WHEN abs({scale}D * x) < {WIDEST}D THEN floor({scale}D * x) ELSE {refused} END)"
+    rows = usable.selectExpr("CAST(vec_id AS BIGINT) AS id", f"{whole} AS v").distinct()
+    # The number of a row is fixed by writing it down once.
+    rows = written(rows.withColumn("row", F.monotonically_increasing_id()))
+    wanted = rows.where(queries.replace("vec_id", "id"))
     n, m = rows.count(), wanted.count()
     over, under = max(1, math.ceil(n / candidates)), max(1, math.ceil(m / asks))
-    held = rows.selectExpr("id", "v", "false AS asks", f"CAST(pmod(xxhash64(id, v), {over}) AS INT) AS c", f"explode(sequence(0, {under - 1})) AS q")
-    asked = wanted.selectExpr("id", "v", "true AS asks", f"explode(sequence(0, {over - 1})) AS c", f"CAST(pmod(xxhash64(id), {under}) AS INT) AS q")
+    held = rows.selectExpr("row", "id", "v", "false AS asks", f"CAST(pmod(xxhash64(id, v), {over}) AS INT) AS c", f"explode(sequence(0, {under - 1})) AS q")
+    asked = wanted.selectExpr("row", "id", "v", "true AS asks", f"explode(sequence(0, {over - 1})) AS c", f"CAST(pmod(xxhash64(row), {under}) AS INT) AS q")
     # One task for each pair of blocks.
     met = held.unionByName(asked).repartition(max(1, over * under), "c", "q")
-    found = met.groupBy("c", "q").applyInArrow(lambda table: block_top(table, k), "query_id bigint, vec_id bigint, score bigint")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    found = met.groupBy("c", "q").applyInArrow(lambda table: block_top(table, k), "row bigint, query_id bigint, vec_id bigint, score bigint")
+    best = Window.partitionBy("row").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")

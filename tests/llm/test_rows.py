@@ -76,22 +76,41 @@ def test_top_k_equals_brute_force(spark, candidates, asks):
     rnd = np.random.Generator(np.random.PCG64(2))
     rows = [(i, rnd.normal(size=8).round(2).tolist()) for i in range(300)]
     rows += [(400, rows[7][1]), (401, rows[7][1]), (402, rows[7][1]), (500, None), (501, [None] * 8), (502, [math.inf] * 8), (None, rows[3][1])]
-    rows += [(600, [0.0] * 8), (700, [1e30, -1e30] + [0.0] * 6), (800, [0.5, 0.5]), (900, []), (300, rows[3][1]), (300, rows[3][1])]
+    rows += [(600, [0.0] * 8), (700, [1e10, -1e10] + [0.0] * 6), (800, [0.5, 0.5]), (900, []), (300, rows[3][1]), (300, rows[3][1])]
+    # An id with several vectors asks with each of them.
+    rows += [(100, rows[5][1]), (100, rows[6][1]), (401, rows[8][1])]
     df = spark.createDataFrame([(*r, 5) for r in rows], "vec_id bigint, embedding array<double>, rank int")
-    whole = {}
+    whole = set()
     for i, v in rows:
         if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v):
-            w = [min(max(math.floor(1024 * x), -bitsliced.LIMIT), bitsliced.LIMIT) for x in v]
-            whole[i] = w + [0] * (8 - len(w))
+            whole.add((i, (*[math.floor(1024 * x) for x in v], *[0] * (8 - len(v)))))
     wanted = []
-    for q in whole:
+    for q, asked in whole:
         if q % 100 == 0:
-            scores = sorted((-sum(a * b for a, b in zip(whole[q], v)), i) for i, v in whole.items() if i != q)[:10]
+            scores = sorted((-sum(a * b for a, b in zip(asked, v)), i) for i, v in whole if i != q)[:10]
             wanted += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scores)]
     assert plain(bitsliced.top_k(df, candidates=candidates, asks=asks)) == sorted(wanted)
     assert bitsliced.top_k(df.limit(0)).count() == 0
 
 
+def test_wide_components():
+    big = 1 << 61
+    ids = np.arange(4)
+    values = np.array([[big, -big, 1], [-big, big, 5], [big, big, -3], [0, 0, 9]], np.int64)
+    block = bitsliced.SlicedBlock(ids, values)
+    found, scores = block.top(9, np.array([1, 1, 3]), 4)
+    assert dict(zip(found.tolist(), scores.tolist())) == {0: 3, 1: 15, 2: 2 * big - 9, 3: 27}
+    assert block.top(9, np.array([1, 1, 3]), 1)[0].tolist() == [2]
+    with pytest.raises(OverflowError):
+        block.top(9, np.array([2, 2, 0]), 1)
+
+
+def test_a_component_beyond_a_long_is_refused(spark):
+    df = spark.createDataFrame([(100, [1e30]), (1, [1.0])], "vec_id bigint, embedding array<double>")
+    with pytest.raises(Exception, match="does not fit a long"):
+        bitsliced.top_k(df).collect()
+
+
 def test_signed_digits():
     for value in range(-300, 300):
         digits = bitsliced.signed_digits(value)
