@@ -5,8 +5,8 @@ most frequent tokens, in frequency classes of ``WIDTH``. Every other word belong
 two bytes. The probability of a token is that of its class given the context, times that of the token in its class:
 a second softmax for a frequent token, add-one counts for a word of a rare class.
 
-Both softmaxes sum rows of hashed weights, one row for each feature of the context: a constant, the previous token, the
-previous two (the n-grams), and the tokens two and three back (the skips). They start from the counts and are trained in
+Both softmaxes sum rows of hashed weights, one row for each feature of the context: a constant, the previous token (an
+n-gram), the tokens two and three back (the skips), and for the classes also the previous two tokens together. They start from the counts and are trained in
 ``ROUNDS`` rounds over disjoint parts of the training documents. In a round every task takes gradient steps (Adagrad on
 rows) over its own part from the same weights and passes on its changed rows; each row's changes are averaged, weighted
 by how often a task used it. The tables have a fixed size whatever the input, and only they and the ``COMMON`` most
@@ -35,6 +35,8 @@ from panelloom.llm.common import map_arrow, texts_of, words_of, worker_state, wr
 
 CLASSES, WIDTH, RARE = 32, 64, 16
 COMMON = 200_000
+# Ranges of counts that one look at the table tells apart.
+LEVELS = 4096
 CLASS_ROWS, WORD_ROWS = 1 << 14, 1 << 15
 ROUNDS = 2
 STEP, MINIBATCH = 0.15, 4096
@@ -89,19 +91,38 @@ class Vocabulary:
     rare_total: np.ndarray
     rare_distinct: np.ndarray
 
+    def plain(self) -> tuple:
+        """The fields alone: what is broadcast must load where this package is missing."""
+        return self.tokens, self.counts, self.total, self.distinct, self.rare_total, self.rare_distinct
+
     def index(self) -> dict[bytes, int]:
         return {t: i for i, t in enumerate(self.tokens)}
 
 
+def _least_count(counts: DataFrame, common: int) -> int:
+    """The largest count that more than ``common`` tokens reach (0: none); each look at the table brings ``LEVELS`` rows
+    at most to the driver, however many counts there are."""
+    low, high = 0, (counts.agg(F.max("count")).first()[0] or 0) + 1
+    above = 0
+    # More than ``common`` tokens reach ``low`` (or it is 0), at most ``common`` reach ``high``: ``above`` of them.
+    while high - low > 1:
+        step = -(-(high - low) // LEVELS)
+        level = F.expr(f"CAST(floor((count - {low}) / {step}) AS BIGINT)")
+        found = counts.where(f"count >= {low} AND count < {high}").groupBy(level.alias("_level")).agg(F.count(F.lit(1))).collect()
+        for at, kinds in sorted(found, reverse=True):
+            if above + kinds > common:
+                low, high = low + at * step, min(high, low + (at + 1) * step)
+                break
+            above += kinds
+        else:
+            return low
+    return low
+
+
 def vocabulary(counts: DataFrame, common: int = COMMON) -> Vocabulary:
     """From ``token, count``; at most ``common`` rows reach the driver: the tokens above the least count that lets so
     few through."""
-    least, kinds = 0, 0
-    for n, k in sorted(counts.groupBy("count").agg(F.count(F.lit(1))).collect(), reverse=True):
-        kinds += k
-        if kinds > common:
-            least = n
-            break
+    least = _least_count(counts, common)
     top = sorted(counts.where(F.col("count") > least).collect(), key=lambda r: (-r[1], r[0]))
     tokens = [bytes(r[0]) for r in top]
     total, distinct = np.zeros(RARE, np.int64), np.zeros(RARE, np.int64)
@@ -273,13 +294,13 @@ def trained(docs: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) -> We
     context = docs.sparkSession.sparkContext
     weights = Weights.start(vocabulary)
     mark = uuid.uuid4().hex
-    shared = context.broadcast(vocabulary)
+    shared = context.broadcast(vocabulary.plain())
     texts = texts_of(docs, [])
     for part in range(rounds):
         now = context.broadcast((weights.classes, weights.words))
 
         def learn(batches, now=now):
-            reader = worker_state(("reader",), lambda: Reader(shared.value), mark)
+            reader = worker_state(("reader",), lambda: Reader(Vocabulary(*shared.value)), mark)
             before = Weights(*now.value)
             trainer = Trainer(before)
             for batch in batches:
@@ -330,12 +351,12 @@ def scored(docs: DataFrame, training: str) -> DataFrame:
     counts = written(token_counts(learned))
     vocab = vocabulary(counts)
     weights = trained(learned, vocab)
-    shared = context.broadcast(vocab)
+    shared = context.broadcast(vocab.plain())
     tables = context.broadcast((weights.classes, weights.words))
     mark = uuid.uuid4().hex
 
     def score(batches):
-        reader = worker_state(("reader",), lambda: Reader(shared.value), mark)
+        reader = worker_state(("reader",), lambda: Reader(Vocabulary(*shared.value)), mark)
         model = Weights(*tables.value)
         for batch in batches:
             texts = batch.column(1).to_pylist()
