@@ -6,6 +6,11 @@ Coefficients, fit and rank come from a QR decomposition, since cross products sq
 reduces its rows to one k x k triangle, and two triangles merge by the QR of one above the other. So the data is read once,
 the specifications are not multiplied into rows, and a specification's rows are never gathered: what is shuffled is k x k
 per (specification, period) and task, and it does not grow with the entities.
+
+The covariance works on blocks of periods. A specification's triangle gives its coefficients; with them each period's
+block of products becomes one vector, the period's score in units of the coefficients. A block of periods gets the scores
+of the ``bandwidth`` periods before it as a halo, adds up its own autocovariances, and one k x k sum per block goes on.
+So a calendar of any length spreads over tasks, and a task holds the scores of one block and its halo.
 """
 
 from __future__ import annotations
@@ -19,11 +24,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelloom.functions.text import idents
+from panelloom.session import ensure_checkpoint_dir
 
 # Bytes of sums a task may hold, and of dense columns it may unpack, before it passes them on.
 SUMS_BUDGET = 256 << 20
 BLOCK_BUDGET = 64 << 20
 
+# Periods of one block of the covariance.
+PERIOD_BLOCK = 1024
+
 # A column is spanned by earlier ones if so small a part of its length is left beside them.
 ALIAS_TOLERANCE = 1e-7
 
@@ -316,49 +325,183 @@ def _independent(triangle: np.ndarray) -> list[int]:
     return kept
 
 
-def _solve(
-    periods: np.ndarray, counts: np.ndarray, products: np.ndarray, triangle: np.ndarray, max_lag: int | None, small_sample: bool
-) -> dict:
-    """Coefficients, covariance and fit from the triangle and the period sums of the demeaned (x, y)."""
+def _solve(triangle: np.ndarray) -> tuple[np.ndarray, np.ndarray, float | None, int]:
+    """Coefficients (NaN: aliased), inverse of the cross products (0 for aliased ones), fit and rank from the triangle."""
     k = len(triangle) - 1
     regressors, outcome = triangle[:, :k], triangle[:, k]
-    kept = _independent(regressors)
-    beta, cov = np.full(k, np.nan), np.zeros((k, k))
-    n, n_periods = int(counts.sum()), len(periods)
-    used = np.array(kept, dtype=int)
-    fitted = 0.0
+    used = np.array(_independent(regressors), dtype=int)
+    beta, inverse = np.full(k, np.nan), np.zeros((k, k))
+    fitted, around = 0.0, float(outcome @ outcome)
     if len(used):
         # Columns of one length: the condition that is left is that of their directions.
         scale = np.sqrt((regressors[:, used] ** 2).sum(axis=0))
         q, r = np.linalg.qr(regressors[:, used] / scale)
         projected = q.T @ outcome
         back = np.linalg.inv(r)
-        solved = back @ projected / scale
-        inverse = back @ back.T / np.outer(scale, scale)
+        beta[used] = back @ projected / scale
+        inverse[np.ix_(used, used)] = back @ back.T / np.outer(scale, scale)
         fitted = float(projected @ projected)
-        beta[used] = solved
-        by_time = np.zeros((periods.max() - periods.min() + 1, len(used)))
-        cross = products[:, 1:, 1:][:, used][:, :, used]
-        by_time[periods - periods.min()] = products[:, 1:, 0][:, used] - cross @ solved
-        bandwidth = int(np.floor(n_periods**0.25)) if max_lag is None else max_lag
-        omega = by_time.T @ by_time
-        for j in range(1, min(bandwidth, len(by_time) - 1) + 1):
-            lagged = by_time[j:].T @ by_time[:-j]
-            omega += (1 - j / (bandwidth + 1)) * (lagged + lagged.T)
-        robust = inverse @ omega @ inverse
-        if small_sample and n_periods > 1 and n > len(used):
-            robust *= n_periods / (n_periods - 1) * (n - 1) / (n - len(used))
-        cov[np.ix_(used, used)] = robust
-    around = float(outcome @ outcome)
-    r2 = fitted / around if around > 0 else None
-    return {
-        "beta": [None if np.isnan(b) else float(b) for b in beta],
-        "cov": cov.reshape(-1).tolist(),
-        "aliased": np.isnan(beta).tolist(),
-        "r2": r2,
-        "n_obs": n,
-        "n_periods": n_periods,
-    }
+    return beta, inverse, fitted / around if around > 0 else None, len(used)
+
+
+def block_autocovariance(scores: np.ndarray, halo: int, bandwidth: int) -> np.ndarray:
+    """Bartlett-weighted sum of products of the rows from ``halo`` on with themselves and up to ``bandwidth`` rows back."""
+    own = scores[halo:]
+    found = own.T @ own
+    for j in range(1, min(bandwidth, len(scores) - 1) + 1):
+        start = max(halo, j)
+        lagged = scores[start:].T @ scores[start - j : len(scores) - j]
+        found += (1 - j / (bandwidth + 1)) * (lagged + lagged.T)
+    return found
+
+
+def _numbers(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """The flat values of a column of lists, and where each list begins and the last ends."""
+    return column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+
+
+def _spans(ids: Sequence[tuple]) -> Iterator[tuple[int, int]]:
+    """Runs of equal keys."""
+    start = 0
+    for i in range(1, len(ids) + 1):
+        if i == len(ids) or ids[i] != ids[start]:
+            yield start, i
+            start = i
+
+
+def _solved_heads(sums: DataFrame, keys: Sequence[str], max_lag: int | None, small_sample: bool) -> DataFrame:
+    """Per specification: ``beta`` (NULL: aliased), ``inverse`` (scaled as the covariance wants it), ``r2``, ``n_obs``,
+    ``n_periods``, ``lag`` (the bandwidth) and ``blocks`` of periods."""
+    names = [f.name for f in sums.select(*keys).schema.fields]
+    schema = (
+        f"{_key_fields(sums, keys)}spec_id string, beta array<double>, inverse array<double>, r2 double, n_obs bigint, "
+        "n_periods int, lag int, blocks array<int>"
+    )
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for half, n, periods in zip(*(batch.column(c).to_pylist() for c in ("triangle", "n_obs", "n_periods"))):
+                beta, inverse, r2, rank = _solve(_unpacked_triangle(np.array(half)))
+                if small_sample and periods > 1 and n > rank:
+                    inverse *= np.sqrt(periods / (periods - 1) * (n - 1) / (n - rank))
+                lag = int(np.floor(periods**0.25)) if max_lag is None else max_lag
+                found.append(([None if np.isnan(b) else float(b) for b in beta], inverse.reshape(-1), r2, lag))
+            beta, inverse, r2, lag = zip(*found) if found else ([],) * 4
+            lists = pa.list_(pa.float64())
+            columns = [batch.column(c) for c in (*names, "spec_id")]
+            columns += [pa.array(beta, lists), pa.array(inverse, lists), pa.array(r2, pa.float64()), batch.column("n_obs")]
+            columns += [batch.column("n_periods"), pa.array(lag, pa.int32()), batch.column("blocks")]
+            yield pa.RecordBatch.from_arrays(columns, names=[*names, "spec_id", "beta", "inverse", "r2", "n_obs", "n_periods", "lag", "blocks"])
+
+    is_period = F.col("period_idx") != TRIANGLE
+    grouped = sums.groupBy(*keys, "spec_id").agg(
+        F.any_value(F.when(~is_period, F.col("products")), True).alias("triangle"),
+        F.sum("n").alias("n_obs"),
+        F.count_if(is_period).cast("int").alias("n_periods"),
+        F.collect_set(F.when(is_period, F.expr(_BLOCK))).alias("blocks"),
+    )
+    return grouped.mapInArrow(solve, schema)
+
+
+_BLOCK = f"CAST(floor(period_idx / {PERIOD_BLOCK}) AS INT)"
+
+
+def _period_scores(sums: DataFrame, heads: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``period_idx, lag, score`` by specification and block: own periods, and as a halo those up to ``lag`` before."""
+    schema = f"{_key_fields(sums, keys)}spec_id string, block int, period_idx int, lag int, score array<double>"
+    n_keys = len(keys)
+    known = F.transform("beta", lambda b: F.coalesce(b, F.lit(0.0)))
+    # Each block of periods gets its specification's coefficients, which sort before all periods.
+    solved = heads.select(
+        *keys, "spec_id", F.explode("blocks").alias("block"), F.lit(TRIANGLE).alias("period_idx"), "lag",
+        F.array_max("blocks").alias("last"), F.concat(known, "inverse").alias("numbers"),
+    )
+    nothing = F.lit(0)
+    periods = sums.where(f"period_idx <> {TRIANGLE}").select(
+        *keys, "spec_id", F.expr(_BLOCK).alias("block"), "period_idx", nothing.alias("lag"), nothing.alias("last"),
+        F.col("products").alias("numbers"),
+    )
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now = beta = inverse = None
+        lag = last = 0
+        for batch in batches:
+            ids = list(zip(*[batch.column(i).to_pylist() for i in range(n_keys + 2)]))
+            at = batch.column("period_idx").to_numpy()
+            flat, offsets = _numbers(batch.column("numbers"))
+            taken, blocks, lags, found = [], [], [], []
+            for start, stop in _spans(ids):
+                if ids[start] != now:
+                    now, head = ids[start], flat[offsets[start] : offsets[start + 1]]
+                    k = int((np.sqrt(4 * len(head) + 1) - 1) / 2)
+                    beta, inverse = head[:k], head[k:].reshape(k, k)
+                    lag, last = batch.column("lag")[start].as_py(), batch.column("last")[start].as_py()
+                    start += 1
+                if start == stop:
+                    continue
+                products = _square(flat[offsets[start] : offsets[stop]], len(beta) + 1)
+                scores = (products[:, 1:, 0] - products[:, 1:, 1:] @ beta) @ inverse
+                first = now[-1]
+                until = np.minimum((at[start:stop].astype(np.int64) + lag) // PERIOD_BLOCK, max(last, first))
+                for block in range(first, int(until.max()) + 1):
+                    rows = np.flatnonzero(until >= block)
+                    taken.append(rows + start)
+                    blocks.append(np.full(len(rows), block, np.int32))
+                    lags.append(np.full(len(rows), lag, np.int32))
+                    found.append(scores[rows])
+            if not taken:
+                continue
+            taken = pa.array(np.concatenate(taken))
+            columns = [batch.column(i).take(taken) for i in range(n_keys + 1)]
+            sizes = np.concatenate([np.full(len(f), f.shape[1]) for f in found])
+            ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+            columns += [pa.array(np.concatenate(blocks)), batch.column("period_idx").take(taken), pa.array(np.concatenate(lags))]
+            columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([f.reshape(-1) for f in found]))))
+            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[: n_keys + 1], "block", "period_idx", "lag", "score"])
+
+    by = [*keys, "spec_id", "block"]
+    return solved.union(periods).repartition(*by).sortWithinPartitions(*by, "period_idx").mapInArrow(score, schema)
+
+
+def _block_covariances(scores: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``cov``, one part of the covariance for each specification and block of periods."""
+    schema = f"{_key_fields(scores, keys)}spec_id string, cov array<double>"
+    n_keys = len(keys)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, lag, periods, held = None, 0, [], []
+
+        def part() -> tuple:
+            at, rows = np.concatenate(periods), np.concatenate(held)
+            # Periods without rows score zero.
+            dense = np.zeros((at[-1] - at[0] + 1, rows.shape[1]))
+            dense[at - at[0]] = rows
+            halo = max(0, now[-1] * PERIOD_BLOCK - int(at[0]))
+            return *now[:-1], block_autocovariance(dense, halo, lag).reshape(-1)
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            names, types = [*batch.schema.names[: n_keys + 1], "cov"], [*batch.schema.types[: n_keys + 1], pa.list_(pa.float64())]
+            ids = list(zip(*[batch.column(i).to_pylist() for i in range(n_keys + 2)]))
+            at = batch.column("period_idx").to_numpy().astype(np.int64)
+            flat, offsets = _numbers(batch.column("score"))
+            done = []
+            for start, stop in _spans(ids):
+                if ids[start] != now:
+                    if held:
+                        done.append(part())
+                    now, lag, periods, held = ids[start], batch.column("lag")[start].as_py(), [], []
+                periods.append(at[start:stop])
+                held.append(flat[offsets[start] : offsets[stop]].reshape(stop - start, -1).copy())
+            if done:
+                yield _rows(done, names, types)
+        if held:
+            yield _rows([part()], names, types)
+
+    by = [*keys, "spec_id", "block"]
+    return scores.repartition(*by).sortWithinPartitions(*by, "period_idx").mapInArrow(add, schema)
 
 
 def fit(
@@ -384,46 +527,48 @@ def fit(
         "cov array<double>, aliased array<boolean>, r2 double, n_obs bigint, n_periods int"
     )
 
-    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        arrow = now = None
-        held: list[tuple] = []
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        arrow = now = head = total = None
         done: list[dict] = []
 
-        def solved() -> dict:
+        def found() -> dict:
             *group, spec = now
-            # The triangle's row sorts before all periods.
-            triangle = _unpacked_triangle(held[0][2])
-            periods, counts = (np.array([h[i] for h in held[1:]]) for i in (0, 1))
-            products = _square(np.concatenate([h[2] for h in held[1:]]), len(terms[spec]) + 1)
-            found = _solve(periods, counts, products, triangle, max_lag, small_sample)
-            return {**dict(zip(keys, group)), "spec_id": spec, "y": outcome[spec], "terms": terms[spec], **found}
+            aliased = [b is None for b in head["beta"]]
+            named = {"spec_id": spec, "y": outcome[spec], "terms": terms[spec], "aliased": aliased, "cov": total.tolist()}
+            return {**dict(zip(keys, group)), **head, **named}
 
         for batch in batches:
             if not batch.num_rows:
                 continue
             arrow = pa.schema([batch.schema.field(k) for k in keys] + list(FIT_FIELDS))
             ids = list(zip(*[batch.column(c).to_pylist() for c in (*keys, "spec_id")]))
-            periods, counts = batch.column("period_idx").to_pylist(), batch.column("n").to_pylist()
-            lists = batch.column("products")
-            flat, offsets = lists.values.to_numpy(), lists.offsets.to_numpy()
+            fits = batch.select(["beta", "r2", "n_obs", "n_periods"]).to_pylist()
+            flat, offsets = _numbers(batch.column("cov"))
             for i, key in enumerate(ids):
-                if key != now and held:
-                    done.append(solved())
-                    held = []
-                    if len(done) >= 1000:
-                        yield pa.RecordBatch.from_pylist(done, arrow)
-                        done = []
-                now = key
-                held.append((periods[i], counts[i], flat[offsets[i] : offsets[i + 1]].copy()))
-        if held:
-            done.append(solved())
-        if done:
+                if key != now:
+                    if now is not None:
+                        done.append(found())
+                    # The coefficients come first, the parts of the covariance after them.
+                    now, head = key, fits[i]
+                    total = np.zeros(len(head["beta"]) ** 2)
+                else:
+                    total = total + flat[offsets[i] : offsets[i + 1]]
+                if len(done) >= 1000:
+                    yield pa.RecordBatch.from_pylist(done, arrow)
+                    done = []
+        if now is not None:
+            done.append(found())
             yield pa.RecordBatch.from_pylist(done, arrow)
 
-    products = _sums(panel, specs, entity, keys)
-    # A task holds one specification at a time, a k x k block per period.
-    by = [*keys, "spec_id"]
-    return products.repartition(*by).sortWithinPartitions(*by, "period_idx").mapInArrow(solve, schema)
+    # Written once, as large as specifications x periods: the coefficients and the scores both read it.
+    ensure_checkpoint_dir(panel.sparkSession)
+    sums = _sums(panel, specs, entity, keys).checkpoint()
+    heads = _solved_heads(sums, keys, max_lag, small_sample)
+    parts = _block_covariances(_period_scores(sums, heads, keys), keys)
+    ids = [*keys, "spec_id"]
+    solved = heads.select(*ids, F.lit(0).alias("part"), "beta", "r2", "n_obs", "n_periods", F.array().cast("array<double>").alias("cov"))
+    met = solved.unionByName(parts.withColumn("part", F.lit(1)), allowMissingColumns=True)
+    return met.repartition(*ids).sortWithinPartitions(*ids, "part").mapInArrow(finish, schema)
 
 
 def coefficients(fits: DataFrame, keys: Sequence[str] = ()) -> DataFrame:

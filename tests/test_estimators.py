@@ -316,3 +316,59 @@ def test_triangles_merge_in_any_order():
             merged = estimators._merged_triangle(merged, parts[i])
         assert np.allclose(merged.T @ merged, rows.T @ rows)
         assert np.allclose(estimators._unpacked_triangle(merged[np.triu_indices(5)]), merged)
+
+
+@pytest.mark.parametrize("max_lag", [None, 0, 3, 40])
+def test_covariance_by_blocks_of_periods_equals_a_loop(spark, monkeypatch, max_lag):
+    """Blocks of eight periods, with gaps in the calendar, periods below zero and bandwidths beyond a block."""
+    rnd = np.random.Generator(np.random.PCG64(12))
+    periods = np.sort(rnd.choice(np.arange(-30, 90), 70, replace=False)).tolist()
+    rows = [(g, e, p, *rnd.normal(size=3).tolist()) for g in (1, None) for p in periods for e in range(4)]
+    panel = spark.createDataFrame(rows, "g int, e int, period_idx int, y double, a double, b double").withColumn("twice", F.col("a") * 2)
+    specs = [Spec("one", "y", ("a", "b")), Spec("two", "y", ("a", "twice", "b"))]
+    wide = {(r.g, r.spec_id): r for r in estimators.fit(panel, specs, ["e"], ["g"], max_lag, True).collect()}
+    monkeypatch.setattr(estimators, "PERIOD_BLOCK", 8)
+    monkeypatch.setattr(estimators, "_BLOCK", "CAST(floor(period_idx / 8) AS INT)")
+    cut = {(r.g, r.spec_id): r for r in estimators.fit(panel, specs, ["e"], ["g"], max_lag, True).collect()}
+    assert set(cut) == set(wide) == {(g, s) for g in (1, None) for s in ("one", "two")}
+    for (g, name), found in cut.items():
+        mine = np.array([r[1:] for r in rows if r[0] == g])
+        x, y = mine[:, 3:].copy(), mine[:, 2].copy()
+        for e in range(4):
+            at = mine[:, 0] == e
+            x[at] -= x[at].mean(axis=0)
+            y[at] -= y[at].mean()
+        inverse = np.linalg.inv(x.T @ x)
+        beta = inverse @ x.T @ y
+        score = {p: (x * (y - x @ beta)[:, None])[mine[:, 1] == p].sum(axis=0) for p in periods}
+        lags = int(len(periods) ** 0.25) if max_lag is None else max_lag
+        omega = sum(
+            (1 - abs(s - t) / (lags + 1)) * np.outer(score[s], score[t]) for s in periods for t in periods if abs(s - t) <= lags
+        )
+        n, t = len(mine), len(periods)
+        want = inverse @ omega @ inverse * t / (t - 1) * (n - 1) / (n - 2)
+        at = [0, 1] if name == "one" else [0, 2]
+        k = len(found.terms)
+        for r in (found, wide[g, name]):
+            assert [r.beta[i] for i in at] == pytest.approx(beta, rel=1e-9)
+            assert np.array(r.cov).reshape(k, k)[np.ix_(at, at)] == pytest.approx(want, rel=1e-8)
+            assert r.aliased == [i not in at for i in range(k)] and (r.n_obs, r.n_periods) == (n, t)
+
+
+def test_long_calendar_spreads_over_blocks(spark):
+    """100,000 periods: each task sees one block and its halo, and the blocks' parts add up to the whole covariance."""
+    n, k = 100_000, 6
+    panel = spark.range(0, 2 * n, 1, 8).selectExpr(
+        "CAST(id % 2 AS INT) AS e", "CAST(id DIV 2 AS INT) AS period_idx", *[f"sin(id * {j + 1.37}) AS x{j}" for j in range(k)], "cos(id * 0.7) AS y"
+    )
+    spec = Spec("s", "y", tuple(f"x{j}" for j in range(k)))
+    sums = estimators._sums(panel, [spec], ["e"], []).checkpoint()
+    heads = estimators._solved_heads(sums, [], None, False)
+    scores = estimators._period_scores(sums, heads, [])
+    sizes = [r["count"] for r in scores.groupBy("spec_id", "block").count().collect()]
+    lag = int(n**0.25)
+    assert len(sizes) == -(-n // estimators.PERIOD_BLOCK) and max(sizes) <= estimators.PERIOD_BLOCK + lag
+    rows = scores.where(estimators._BLOCK + " = block").orderBy("period_idx").toPandas()
+    whole = estimators.block_autocovariance(np.stack(rows["score"]), 0, lag)
+    found = estimators.fit(panel, [spec], ["e"]).collect()[0]
+    assert len(rows) == n and np.array(found.cov).reshape(k, k) == pytest.approx(whole, rel=1e-9, abs=1e-18)
