@@ -85,35 +85,63 @@ def price_panel(spark, sf):
     return rounded(price, 4, *tb.PRICES)
 
 
+def _report(spark, sf):
+    """A long activity report with text values."""
+    return tb.located_orders(spark, sf).groupBy(
+        "entity", F.col("c_mktsegment").alias("sector"), cal.month_to_quarter_index(F.col("period_idx")).alias("period_idx")
+    ).agg((F.sum("cents") / 100.0).cast("string").alias("value"))
+
+
 @query(
     "D10 F19 R2",
     f"""SELECT entity, period_idx, {", ".join(f"{rnd(c, 2)} AS {c}" for c in tb.SECTORS)} FROM output_quarters
-    WHERE period_idx BETWEEN {START // 3} AND {END // 3 - 1}""",
+    WHERE period_idx BETWEEN {START // 3} AND {END // 3}""",
 )
 def activity_index(spark, sf):
     """A long report with text values to one column per sector."""
-    report = tb.located_orders(spark, sf).groupBy(
-        "entity", F.col("c_mktsegment").alias("sector"), cal.month_to_quarter_index(F.col("period_idx")).alias("period_idx")
-    ).agg((F.sum("cents") / 100.0).cast("string").alias("value"))
-    wide = macro.activity_index(report, list(tb.SEGMENTS), START // 3, END // 3 - 1, adjusted=False)
+    wide = macro.activity_index(_report(spark, sf), list(tb.SEGMENTS), START // 3, END // 3, adjusted=False)
     return rounded(wide.withColumnsRenamed(tb.SEGMENTS), 2, *tb.SECTORS)
 
 
-TABLES["national_output"] = """
-SELECT 'national' AS region, m // 3 AS period_idx, CAST(sum(cents) AS DOUBLE) / 100.0 / (SELECT count(*) FROM customer) AS total
+TABLES["output_spine"] = f"""
+WITH o AS (SELECT * FROM output_quarters WHERE period_idx BETWEEN {START // 3} AND {END // 3}),
+s AS (SELECT entity, CAST(unnest(range(min(period_idx), max(period_idx) + 1)) AS INTEGER) AS period_idx FROM o GROUP BY 1)
+SELECT s.entity, s.period_idx, {", ".join(tb.SECTORS)} FROM s LEFT JOIN o ON o.entity = s.entity AND o.period_idx = s.period_idx"""
+
+
+def _all_adjusted(source: str, key: str, columns: list[str]) -> str:
+    """SQL: every column seasonally adjusted on its own, side by side."""
+    parts = [f"({adjusted(source, key, c)}) AS a_{c}" + (f" USING ({key}, period_idx)" if i else "") for i, c in enumerate(columns)]
+    return f"SELECT {key}, period_idx, " + ", ".join(f"{rnd(c, 4)} AS {c}, {c}_sa_ok" for c in columns) + " FROM " + " JOIN ".join(parts)
+
+
+@query("D10 W14 R2 F19", _all_adjusted("output_spine", "entity", tb.SECTORS))
+def activity_index_adjusted(spark, sf):
+    """The report's sectors, seasonally adjusted; series that cannot be adjusted keep their values and are flagged."""
+    wide = macro.activity_index(_report(spark, sf).replace(tb.SEGMENTS, subset="sector"), tb.SECTORS, START // 3, END // 3)
+    return rounded(wide.select("entity", "period_idx", *[x for c in tb.SECTORS for x in (c, f"{c}_sa_ok")]), 4, *tb.SECTORS)
+
+
+_NATIONAL = ["total", *tb.SECTORS]
+
+TABLES["national_output"] = f"""
+SELECT 'national' AS region, m // 3 AS period_idx, CAST(sum(cents) AS DOUBLE) / 100.0 / (SELECT count(*) FROM customer) AS total,
+  {", ".join(f"CAST(sum(cents) FILTER (c_mktsegment = '{s}') AS DOUBLE) / 100.0 / (SELECT count(*) FROM customer) AS {c}" for s, c in tb.SEGMENTS.items())}
 FROM located GROUP BY 1, 2"""
 
 
-@query("D13 R3 F12 A6 W14", f"SELECT region, period_idx, {rnd('total', 4)} AS total, total_sa_ok FROM ({adjusted('national_output', 'region', 'total')})")
+@query("D13 R3 F12 A6 W14", _all_adjusted("national_output", "region", _NATIONAL))
 def national_per_capita(spark, sf):
+    """National output in all and by sector, per head and seasonally adjusted."""
     quarter = cal.month_to_quarter_index(F.col("period_idx"))
     text = F.format_string("%d/%d", cal.year_of(quarter, 4), cal.sub_period_of(quarter, 4))
+    of = lambda s: F.when(F.col("c_mktsegment") == s, F.col("cents"))
     national = tb.located_orders(spark, sf).groupBy(text.alias("quarter")).agg(
-        (F.sum("cents") / 100.0).alias("total")
+        (F.sum("cents") / 100.0).alias("total"), *[(F.sum(of(s)) / 100.0).alias(c) for s, c in tb.SEGMENTS.items()]
     )
     population = tb.read(spark, sf, "customer").agg(F.count(F.lit(1)).alias("population"))
-    per_head = macro.national_per_capita(national, population, ["total"], climate.NATIONAL)
-    return rounded(per_head, 4, "total")
+    per_head = macro.national_per_capita(national, population, _NATIONAL, climate.NATIONAL)
+    return rounded(per_head.select("region", "period_idx", *[x for c in _NATIONAL for x in (c, f"{c}_sa_ok")]), 4, *_NATIONAL)
 
 
 @query(
