@@ -178,6 +178,60 @@ def adjusted(source: str, key: str, value: str, freq: int = 4) -> str:
 TABLES["adjusted_headline"] = adjusted("price_spine", "entity", "headline")
 
 
+def _season_steps(tag: str, ratios: str, key: str, freq: int, weights: Sequence[int], again: bool = False) -> str:
+    """``<tag>_factor(key, t, ratio, share, factor)`` from ``ratios``, by joins of each row to its cycles."""
+    half = len(weights) // 2
+    shares = ", ".join(f"({j}, {float(w)!r}e0)" for j, w in enumerate(weights, -half))
+    inner = f"(PARTITION BY {key} ORDER BY t ROWS BETWEEN {freq // 2 - 1} PRECEDING AND {freq // 2 - 1} FOLLOWING)"
+    w = f"(PARTITION BY {key} ORDER BY t)"
+    own = "s.w * b.share" if again else "s.w"
+    mean = f"sum({own} * b.ratio) / nullif(sum(CASE WHEN b.ratio IS NOT NULL THEN {own} END), 0)"
+    raw = f"coalesce({mean}, any_value(a.factor))" if again else mean
+    return f"""{tag}_raw AS MATERIALIZED (SELECT a.{key}, a.t, any_value(a.ratio) AS ratio, {"any_value(a.share)" if again else "1.0"} AS share, {raw} AS raw
+  FROM {ratios} a CROSS JOIN (VALUES {shares}) s(j, w) LEFT JOIN {ratios} b ON b.{key} = a.{key} AND b.t = a.t + s.j * {freq} GROUP BY 1, 2),
+{tag}_level AS MATERIALIZED (SELECT *, (0.5 * lag(raw, {freq // 2}) OVER {w} + sum(raw) OVER {inner} + 0.5 * lead(raw, {freq // 2}) OVER {w}) / {freq} AS level FROM {tag}_raw),
+{tag}_factor AS MATERIALIZED (SELECT {key}, t, ratio, share, raw / coalesce(level, last_value(level IGNORE NULLS) OVER (PARTITION BY {key} ORDER BY t ROWS UNBOUNDED PRECEDING),
+  first_value(level IGNORE NULLS) OVER (PARTITION BY {key} ORDER BY t ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS factor FROM {tag}_level)"""
+
+
+def _trusted(tag: str, factors: str, key: str) -> str:
+    """``<tag>_ratio``: ratios with the share they keep, 1 within 1.5 standard deviations, 0 from 2.5 on."""
+    return f"""{tag}_odd AS (SELECT *, abs(ratio / factor - 1) AS odd FROM {factors}),
+{tag}_wide AS (SELECT *, sqrt(avg(odd * odd) OVER (PARTITION BY {key})) AS wide FROM {tag}_odd),
+{tag}_sd AS (SELECT *, sqrt(avg(CASE WHEN odd <= 2.5 * wide THEN odd * odd END) OVER (PARTITION BY {key})) AS sd FROM {tag}_wide),
+{tag}_ratio AS MATERIALIZED (SELECT {key}, t, ratio, factor, CASE WHEN odd / sd >= 2.5 THEN 0.0 WHEN odd / sd > 1.5 THEN 2.5 - odd / sd ELSE 1.0 END AS share FROM {tag}_sd)"""
+
+
+def adjusted_by_filters(source: str, key: str, value: str, freq: int, trend: Sequence[Sequence[float]]) -> str:
+    """Seasonal adjustment with moving factors; ``trend`` holds the trend filters, from rows at the start to the end."""
+    half = freq // 2
+    w = f"(PARTITION BY {key} ORDER BY period_idx)"
+    inner = f"(PARTITION BY {key} ORDER BY period_idx ROWS BETWEEN {half - 1} PRECEDING AND {half - 1} FOLLOWING)"
+    filters = ", ".join(f"({c}, {j}, {v:.17e})" for c, row in enumerate(trend, -half) for j, v in enumerate(row, -half))
+    short, long = (1, 2, 3, 2, 1), (1, 2, 3, 3, 3, 2, 1)
+    return f"""WITH base AS MATERIALIZED (SELECT {key}, period_idx, {value} AS original, row_number() OVER {w} AS place, count(*) OVER (PARTITION BY {key}) AS total,
+  count(*) OVER (PARTITION BY {key}) >= {2 * freq} AND count({value}) OVER (PARTITION BY {key}) = count(*) OVER (PARTITION BY {key})
+    AND coalesce(min({value}) OVER (PARTITION BY {key}) > 0, false) AS whole FROM {source}),
+xs AS MATERIALIZED (SELECT *, period_idx AS t, CASE WHEN whole THEN CAST(original AS DOUBLE) END AS x FROM base),
+first_ratio AS MATERIALIZED (SELECT {key}, t, x / ((0.5 * lag(x, {half}) OVER {w} + sum(x) OVER {inner} + 0.5 * lead(x, {half}) OVER {w}) / {freq}) AS ratio FROM xs),
+{_season_steps("a", "first_ratio", key, freq, short)},
+{_trusted("a", "a_factor", key)},
+{_season_steps("b", "a_ratio", key, freq, short, again=True)},
+calm AS MATERIALIZED (SELECT xs.{key}, xs.t, place, total, x,
+  x / factor * coalesce((factor + share * (ratio - factor)) / ratio, 1) AS y FROM xs JOIN b_factor f ON f.{key} = xs.{key} AND f.t = xs.t),
+filters(c, j, w) AS (VALUES {filters}),
+trended AS MATERIALIZED (SELECT a.{key}, a.t, any_value(a.x) AS x, sum(f.w * b.y) AS trend FROM calm a
+  JOIN filters f ON f.c = greatest(0, {half} - (a.total - a.place)) - greatest(0, {half} - (a.place - 1))
+  JOIN calm b ON b.{key} = a.{key} AND b.t = a.t + f.j GROUP BY 1, 2),
+second_ratio AS MATERIALIZED (SELECT {key}, t, CASE WHEN trend > 0 THEN x / trend END AS ratio FROM trended),
+{_season_steps("c", "second_ratio", key, freq, long)},
+{_trusted("c", "c_factor", key)},
+{_season_steps("d", "c_ratio", key, freq, long, again=True)},
+closed AS (SELECT xs.*, factor, whole AND coalesce(min(coalesce(factor, 0.0)) OVER (PARTITION BY xs.{key}) > 0, false) AS ok
+  FROM xs JOIN d_factor f ON f.{key} = xs.{key} AND f.t = xs.t)
+SELECT {key}, period_idx, CASE WHEN ok THEN original / factor ELSE original END AS {value}, ok AS {value}_sa_ok FROM closed"""
+
+
 def solved(cells: str, k: int, keys: str = "spec") -> str:
     """Common table expressions that invert each specification's Gram by Gauss-Jordan steps.
 

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from panelloom.catalogue.registry import STATEMENTS, query, rnd, rounded
-from panelloom.catalogue.sql import TABLES, adjusted, norm_frames, solved
+from panelloom.catalogue.sql import TABLES, adjusted, adjusted_by_filters, norm_frames, solved
 from panelloom.operators import blocked, joins, ranking, windows
+from panelloom.operators.seasonal import trend_weights
 from panelloom.operators.spline import spline_to_months
 from panelloom.plans import macro, panel
 from panelloom.plans import tables as tb
@@ -199,6 +200,38 @@ def spline_monthly(spark, sf):
     return rounded(spline_to_months(quarters, KEY, "gdp_total", "value"), 2, "value")
 
 
+# The cubic through the four outer knots on each side: its third divided difference.
+TABLES["knot_ends"] = """
+SELECT entity, coalesce(max(CASE WHEN i = 0 THEN f3 END), 0.0) AS first, coalesce(max(CASE WHEN i = n - 4 THEN f3 END), 0.0) AS last
+FROM (SELECT *, (lead(f2) OVER w - f2) / (lead(x, 3) OVER w - x) AS f3
+  FROM (SELECT *, (lead(s1) OVER w - s1) / (lead(x, 2) OVER w - x) AS f2 FROM knots WINDOW w AS (PARTITION BY entity ORDER BY x))
+  WINDOW w AS (PARTITION BY entity ORDER BY x)) GROUP BY 1"""
+
+
+@query(
+    "W13",
+    f"""WITH cells AS MATERIALIZED (SELECT a.entity AS spec, a.i, b.i AS j,
+        CASE WHEN a.i = b.i THEN 2.0 * (a.h0 + a.h1) + CASE WHEN a.i = 1 THEN a.h0 ELSE 0 END + CASE WHEN a.i = a.n - 2 THEN a.h1 ELSE 0 END
+          WHEN b.i = a.i - 1 THEN 1.0 * a.h0 WHEN b.i = a.i + 1 THEN 1.0 * a.h1 ELSE 0.0 END + 0e0 AS v
+      FROM knots a JOIN knots b ON a.entity = b.entity WHERE a.i BETWEEN 1 AND a.n - 2 AND b.i BETWEEN 1 AND a.n - 2),
+    {solved("cells", _KNOTS - 2)},
+    sides AS (SELECT k.entity, i, 6 * (s1 - s0) + CASE WHEN i = 1 THEN 6 * h0 * h0 * first ELSE 0 END - CASE WHEN i = n - 2 THEN 6 * h1 * h1 * last ELSE 0 END AS side
+      FROM knots k JOIN knot_ends e ON e.entity = k.entity),
+    inner_bends AS MATERIALIZED (SELECT inverse.spec AS entity, inverse.i, sum(inverse.v * side) AS bend FROM inverse JOIN sides ON sides.entity = inverse.spec AND sides.i = inverse.j GROUP BY 1, 2),
+    curve AS MATERIALIZED (SELECT k.*, CASE WHEN n < 3 THEN 0.0 WHEN k.i = 0 THEN after.bend - 6 * h1 * first WHEN k.i = n - 1 THEN before.bend + 6 * h0 * last ELSE own.bend END AS bend
+      FROM knots k JOIN knot_ends e ON e.entity = k.entity LEFT JOIN inner_bends own ON own.entity = k.entity AND own.i = k.i
+      LEFT JOIN inner_bends after ON after.entity = k.entity AND after.i = k.i + 1 LEFT JOIN inner_bends before ON before.entity = k.entity AND before.i = k.i - 1),
+    pieces AS MATERIALIZED (SELECT entity, i, n, x, y, bend, lead(x) OVER w AS x1, lead(y) OVER w AS y1, lead(bend) OVER w AS bend1 FROM curve WINDOW w AS (PARTITION BY entity ORDER BY i)),
+    months AS (SELECT entity, CAST(unnest(range(min(period_idx) * 3, max(period_idx) * 3 + 3)) AS INTEGER) AS mo FROM output_quarters GROUP BY 1),
+    spots AS (SELECT m.entity, m.mo, greatest(least(sum(CASE WHEN k.x <= m.mo THEN 1 ELSE 0 END) - 1, any_value(k.n) - 2), 0) AS i FROM months m JOIN knots k ON k.entity = m.entity GROUP BY 1, 2)
+    SELECT s.entity, s.mo AS period_idx, {rnd(_PIECE, 2)} AS value FROM spots s JOIN pieces p ON p.entity = s.entity AND p.i = s.i""",
+)
+def spline_monthly_cubic(spark, sf):
+    """With end cubics through the four outer quarters."""
+    quarters = tb.outputs(spark, sf).select("entity", "period_idx", "gdp_total")
+    return rounded(spline_to_months(quarters, KEY, "gdp_total", "value", ends="cubic"), 2, "value")
+
+
 TABLES["all_price_spine"] = """
 SELECT s.entity, s.period_idx, q.* EXCLUDE (entity, period_idx) FROM
   (SELECT entity, CAST(unnest(range(min(period_idx), max(period_idx) + 1)) AS INTEGER) AS period_idx FROM price_quarters GROUP BY 1) s
@@ -216,6 +249,26 @@ def seasonal_adjust_classical(spark, sf):
     return rounded(found.select("entity", "period_idx", *[c for p in tb.PRICES for c in (p, f"{p}_sa_ok")]), 4, *tb.PRICES)
 
 
+@query(
+    "W14 D9",
+    "SELECT entity, period_idx, " + ", ".join(f"{rnd(p, 4)} AS {p}, {p}_sa_ok" for p in tb.PRICES) + " FROM "
+    + " JOIN ".join(f"({adjusted_by_filters('all_price_spine', 'entity', p, 4, trend_weights(2))}) AS a_{p}" + (" USING (entity, period_idx)" if i else "") for i, p in enumerate(tb.PRICES)),
+)
+def seasonal_adjust_filters(spark, sf):
+    """All price columns with factors that move from year to year: 5-term trend."""
+    found = macro.price_panel(tb.prices(spark, sf), tb.PRIORITIES, tb.START, tb.END, method="filters")
+    return rounded(found.select("entity", "period_idx", *[c for p in tb.PRICES for c in (p, f"{p}_sa_ok")]), 4, *tb.PRICES)
+
+
+@query(
+    "W14",
+    f"SELECT entity, period_idx, {rnd('value', 4)} AS value, value_sa_ok FROM ({adjusted_by_filters('spine', 'entity', 'value', 12, trend_weights(6))})",
+)
+def seasonal_adjust_filters_monthly(spark, sf):
+    """Monthly values: 13-term trend."""
+    return rounded(windows.seasonal_adjust(tb.monthly_panel(spark, sf), KEY, ["value"], 12, method="filters"), 4, "value")
+
+
 @query(
     "D17 W3 W15 V5",
     """SELECT entity, period_idx, d_deviation_temp FROM (

@@ -177,6 +177,38 @@ def kernel_density(panel: DataFrame, keys: Sequence[str], value: str, points: in
     )
 
 
+def binned_density(df: DataFrame, keys: Sequence[str], value: str, points: int = 64, refine: int = 16) -> DataFrame:
+    """``kernel_density`` of raw rows, from linearly binned counts: the work per row does not depend on the grid.
+
+    Between two grid points lie ``refine`` bins of width d. A row shares its weight between the two ends of its bin by
+    distance, so a bin is a count and a sum that merge on the map side, and the kernel is summed over bins, not rows.
+    The result is off by at most d^2 / (8 h^3 sqrt(2 pi)), h being the bandwidth. Quartiles are exact, by ranks over
+    range partitions, so no task holds a group. Rows without a value take no part.
+    """
+    rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_x"))
+    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min("_x").alias("_low"), F.max("_x").alias("_high"))
+    stats = describe_rows(rows, keys, "_x").join(sizes, list(keys))
+    spread = F.least(F.col("stdv"), (F.col("p75") - F.col("p25")) / 1.34)
+    spread = F.coalesce(F.nullif(spread, F.lit(0.0)), F.nullif(F.col("stdv"), F.lit(0.0)), F.lit(1.0))
+    h = F.col("_h")
+    stats = stats.select(*keys, "_n", "_low", "_high", (0.9 * spread * F.pow("_n", F.lit(-0.2))).alias("_h")).select(
+        *keys, "_n", "_h", (F.col("_low") - 3 * h).alias("_from"),
+        ((F.col("_high") - F.col("_low") + 6 * h) / ((points - 1) * refine)).alias("_step"),
+    )
+    at = (F.col("_x") - F.col("_from")) / F.col("_step")
+    placed_rows = rows.join(stats.select(*keys, "_from", "_step"), list(keys)).select(*keys, F.floor(at).alias("_bin"), (at - F.floor(at)).alias("_far"))
+    bins = placed_rows.groupBy(*keys, "_bin").agg(F.count(F.lit(1)).alias("_rows"), F.sum("_far").alias("_far"))
+    # At most (points - 1) x refine bins a group from here on.
+    spots = bins.join(stats, list(keys)).select("*", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("point"))
+    apart = (F.col("point") * refine - F.col("_bin")) * F.col("_step") / h
+    kernel = lambda u: F.exp(-0.5 * u * u)
+    mass = (F.col("_rows") - F.col("_far")) * kernel(apart) + F.col("_far") * kernel(apart - F.col("_step") / h)
+    return spots.groupBy(*keys, "point").agg(
+        F.min(F.col("_from") + F.col("point") * refine * F.col("_step")).alias("x"),
+        (F.sum(mass) / (F.min("_n") * F.min(h) * math.sqrt(2 * math.pi))).alias("density"),
+    )
+
+
 def balance(panel: DataFrame, keys: Sequence[str], period: str = "period_idx") -> DataFrame:
     """Rows and periods per entity, and whether its calendar has no gap."""
     counts = panel.groupBy(*keys).agg(

@@ -17,6 +17,7 @@ from panelloom.config import rate_lag
 from panelloom.functions import calendar as cal
 from panelloom.functions.numbers import log_or_null
 from panelloom.functions.text import ident, idents, over
+from panelloom.operators.seasonal import adjust_by_filters
 
 
 def series_window(keys: Sequence[str], period: str = "period_idx"):
@@ -196,15 +197,22 @@ def distributed_lags(
 
 
 def seasonal_adjust(
-    panel: DataFrame, keys: Sequence[str], values: Sequence[str], freq: int, period: str = "period_idx"
+    panel: DataFrame, keys: Sequence[str], values: Sequence[str], freq: int, period: str = "period_idx", method: str = "classical"
 ) -> DataFrame:
-    """Multiplicative classical decomposition of each entity's series, on a gap-free calendar.
+    """Multiplicative decomposition of each entity's series, on a gap-free calendar.
+
+    ``method="filters"`` follows a season that moves (``seasonal.adjust_by_filters``); "classical" has one factor per
+    sub-period:
 
     The trend is the centred 2 x freq moving average; a sub-period's factor is its mean ratio to the trend,
     scaled so that the factors average 1; the result is the value over its factor. A series shorter than two
     cycles, with a gap or with a value that is not positive keeps its raw values. Each column gets a flag
     ``<column>_sa_ok``.
     """
+    if method == "filters":
+        return adjust_by_filters(panel, keys, values, freq, period)
+    if method != "classical":
+        raise ValueError(f"method is 'classical' or 'filters', not {method!r}")
     half = freq // 2
     inner = over(keys, period, f"ROWS BETWEEN {half - 1} PRECEDING AND {half - 1} FOLLOWING")
     series, entity, cycle = over(keys, period), over(keys, None), over([*keys, "_sub"], None)

@@ -31,10 +31,11 @@ def price_panel(
     freq: int = 4,
     adjusted: bool = True,
     aliases: DataFrame | None = None,
+    method: str = "classical",
 ) -> DataFrame:
     """Long price indices ``(entity, period_idx, category, value)`` to one column per category.
 
-    Quarters are strict means; ``start`` and ``end`` are months.
+    Quarters are strict means; ``start`` and ``end`` are months; ``method`` is that of the adjustment.
     """
     kept = selection.in_range(prices, "period_idx", start, end).where(F.col("category").isin(*categories))
     wide = joins.fold_full(kept, ["entity", "period_idx"], "category", "value", list(categories))
@@ -46,7 +47,7 @@ def price_panel(
         wide = aggregate.to_quarters(wide, ["entity"], names, strict_mean=True)
     if not adjusted:
         return wide
-    return windows.seasonal_adjust(joins.complete_periods(wide, ["entity"]), ["entity"], names, freq)
+    return windows.seasonal_adjust(joins.complete_periods(wide, ["entity"]), ["entity"], names, freq, method=method)
 
 
 def activity_index(

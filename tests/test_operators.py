@@ -1,9 +1,11 @@
+import functools
 import math
 
 import pytest
 from pyspark.sql import functions as F
 
 from panelloom.operators import aggregate, joins, ranking, reshape, selection, windows
+from panelloom.operators.seasonal import henderson, trend_weights
 from panelloom.operators.spline import spline_to_months
 
 KEY = ["e"]
@@ -188,11 +190,89 @@ def test_seasonal_adjustment_falls_back(spark, bad):
     assert set(values(got, "x_sa_ok")) == {False}
 
 
+@pytest.mark.parametrize("freq", [4, 12])
+def test_filters_remove_a_pure_season(spark, freq):
+    df = series(spark, seasonal(4 * freq, freq)).unionByName(series(spark, seasonal(2 * freq, freq), "b", start=3 * freq))
+    got = windows.seasonal_adjust(df, KEY, ["x"], freq, method="filters")
+    assert set(values(got, "x_sa_ok")) == {True}
+    level = 100 * sum(seasonal(freq, freq)) / freq / 100
+    assert values(got) == pytest.approx([level] * (6 * freq), rel=1e-9)
+
+
+@pytest.mark.parametrize("freq", [4, 12])
+def test_filters_follow_a_moving_season(spark, freq):
+    # The season swings from one shape to its opposite: one factor per sub-period is wrong at both ends.
+    n = 16 * freq
+    shape = [math.sin(2 * math.pi * (k + 0.5) / freq) for k in range(freq)]
+    smooth = [100 + 0.5 * t * 4 / freq for t in range(n)]
+    df = series(spark, [m * (1 + 0.3 * (1 - 2 * t / n) * shape[t % freq]) for t, m in enumerate(smooth)])
+    worst, inside = {}, {}
+    for method in ("classical", "filters"):
+        got = values(windows.seasonal_adjust(df, KEY, ["x"], freq, method=method))
+        errors = [abs(g / m - 1) for g, m in zip(got, smooth)]
+        worst[method], inside[method] = max(errors), max(errors[5 * freq : -5 * freq])
+    assert worst["classical"] > 0.2 and inside["classical"] > 0.06
+    # At the ends the means by sub-period reach back more than forth, so they trail a season that keeps moving.
+    assert worst["filters"] < 0.5 * worst["classical"]
+    assert inside["filters"] < 0.2 * inside["classical"]
+
+
+def test_filters_draw_extremes_in(spark):
+    plain = seasonal(40, 4)
+    spiked = [x * (1.5 if t == 18 else 1.0) for t, x in enumerate(plain)]
+    found = {m: values(windows.seasonal_adjust(series(spark, spiked), KEY, ["x"], 4, method=m)) for m in ("classical", "filters")}
+    level = sum(plain[:4]) / 4
+    # The same quarter of the other years keeps its level; the spike stays in its own quarter.
+    others = [t for t in range(40) if t % 4 == 2 and abs(t - 18) > 4]
+    error = {m: max(abs(v[t] / level - 1) for t in others) for m, v in found.items()}
+    assert error["filters"] < 0.5 * error["classical"]
+    assert found["filters"][18] > 1.3 * level
+
+
+@pytest.mark.parametrize("bad", [[1, 2, 3, 4, 5, 6, 7], [1, 2, 3, 4, 5, 6, 7, 0, 9], [1, 2, 3, 4, None, 6, 7, 8, 9]])
+def test_filters_fall_back(spark, bad):
+    got = windows.seasonal_adjust(series(spark, bad), KEY, ["x"], 4, method="filters")
+    assert values(got) == [None if v is None else float(v) for v in bad]
+    assert set(values(got, "x_sa_ok")) == {False}
+    with pytest.raises(ValueError):
+        windows.seasonal_adjust(series(spark, bad), KEY, ["x"], 4, method="other")
+
+
+def test_trend_filters():
+    # Published weights of the 5- and 13-term filters.
+    assert henderson(2) == pytest.approx([-0.0734, 0.2937, 0.5594, 0.2937, -0.0734], abs=1e-4)
+    assert henderson(6)[6:] == pytest.approx([0.24006, 0.21434, 0.14736, 0.06549, 0.0, -0.02786, -0.01935], abs=1e-5)
+    for half in (2, 6):
+        filters = trend_weights(half)
+        assert all(sum(f) == pytest.approx(1.0) and len(f) == 2 * half + 1 for f in filters)
+        assert filters[0] == filters[-1][::-1]
+        # The middle filter keeps cubics.
+        assert sum(w * j**2 for j, w in enumerate(filters[half], -half)) == pytest.approx(0.0, abs=1e-12)
+    # The last point's 13-term filter with the usual noise.
+    assert trend_weights(6)[-1][:7] == pytest.approx([-0.09186, -0.05811, 0.01202, 0.11977, 0.24390, 0.35315, 0.42113], abs=1e-4)
+
+
 def test_zscore_and_constant_series(spark):
     df = series(spark, [1, 2, 3]).unionByName(series(spark, [5, 5], "b"))
     assert values(aggregate.zscore(df, KEY, "x"), "z") == [-1.0, 0.0, 1.0, None, None]
 
 
+def test_binned_density_is_near_the_exact_one(spark):
+    data = {"a": [100 * math.sin(7 * k) + k % 13 for k in range(2000)], "b": [3.0] * 3, "c": [None, 4.0], "d": [None]}
+    rows = functools.reduce(lambda x, y: x.unionByName(y), [series(spark, v, e) for e, v in data.items()])
+    exact = {(r["e"], r["point"]): r for r in aggregate.kernel_density(rows, KEY, "x").collect()}
+    for refine in (4, 16):
+        binned = {(r["e"], r["point"]): r for r in aggregate.binned_density(rows, KEY, "x", refine=refine).collect()}
+        assert binned.keys() == exact.keys()
+        for (e, point), r in binned.items():
+            known = [v for v in data[e] if v is not None]
+            span = exact[e, 63]["x"] - exact[e, 0]["x"]
+            h = (span - (max(known) - min(known))) / 6
+            bound = (span / (63 * refine)) ** 2 / (8 * h**3 * math.sqrt(2 * math.pi))
+            assert r["x"] == pytest.approx(exact[e, point]["x"])
+            assert abs(r["density"] - exact[e, point]["density"]) <= bound + 1e-12
+
+
 def test_kernel_density_integrates_to_one(spark):
     df = series(spark, [1, 2, 2, 3, 5, 8, 13, 4, 4, 6])
     got = aggregate.kernel_density(df, KEY, "x", 200).orderBy("point").collect()
@@ -299,6 +379,17 @@ def test_spline_bridges_gaps_and_single_points(spark):
     assert [r["m"] for r in single] == [5.0] * 3
 
 
+def test_spline_with_cubic_ends(spark):
+    # Any cubic comes back, over gaps and beyond the outer knots too; three knots give a parabola, two a line.
+    cubic = lambda t: 2 - 3 * t + 0.5 * t**2 - 0.25 * t**3
+    for n, curve in ((9, cubic), (4, cubic), (3, lambda t: 1 + t - 2 * t**2), (2, lambda t: 4 - t), (1, lambda t: 7.0)):
+        knots = [curve(float(q)) if n < 9 or q not in (1, 6) else None for q in range(n)]
+        got = spline_to_months(series(spark, knots), KEY, "x", "m", ends="cubic").orderBy("period_idx").collect()
+        assert [r["m"] for r in got] == pytest.approx([curve((m - 1) / 3) for m in range(3 * n)], rel=1e-9, abs=1e-9)
+    with pytest.raises(ValueError):
+        spline_to_months(series(spark, [1]), KEY, "x", "m", ends="other")
+
+
 def test_interleave_labels_every_other_row(spark):
     df = spark.createDataFrame([("t", "a", "1", "(2)"), ("t", "b", "3", "(4)")], "g string, v string, est string, se string")
     got = reshape.interleave(df, ["g"], "est", "se", "v", [F.col("v")]).orderBy("row").collect()
