@@ -53,7 +53,7 @@ def climate_norm(spark, sf):
     return rounded(norm, 4, "norm")
 
 
-_THRESHOLD = 0.3
+_THRESHOLD = tb.EXTREME
 _SEASONS = {"h_winter": "winter", "h_spring": "spring", "h_summer": "summer", "h_autumn": "autumn"}
 
 

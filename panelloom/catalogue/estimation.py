@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from panelloom.catalogue.registry import query, rnd, rounded
-from panelloom.catalogue.sql import TABLES, within_fit
+from panelloom.catalogue.sql import SEASON, TABLES, within_fit
 from panelloom.operators import estimators, windows
 from panelloom.operators.estimators import Spec
 from panelloom.plans import longrun, projections, views
@@ -247,6 +247,58 @@ def lp_wide_view(spark, sf):
     return views.response_layout(table, KEYS, H, ASYMMETRIC)
 
 
+# Extreme seasons as shocks: an indicator is NULL in its season's opposite extreme, and its changes are the shocks.
+def _indicator(season: str, extreme: str, opposite: str) -> str:
+    return f"CASE WHEN season <> '{season}' THEN 0 WHEN d {extreme} THEN 1 WHEN d {opposite} THEN NULL WHEN d IS NOT NULL THEN 0 END"
+
+
+_HOT, _COLD = f">= {tb.EXTREME}", f"<= -{tb.EXTREME}"
+
+TABLES["season_indicators"] = f"""
+SELECT norm_years, entity, period_idx, CAST(abs(d) >= {tb.EXTREME} AS INTEGER) AS all_seasons,
+  {_indicator("winter", _COLD, _HOT)} AS c_winter, {_indicator("spring", _HOT, _COLD)} AS h_spring, {_indicator("summer", _HOT, _COLD)} AS h_summer
+FROM (SELECT norm_years, entity, period_idx, deviation_temp AS d, {SEASON} AS season FROM estimation_spine)"""
+
+TABLES["flag_projection_rows"] = f"""
+SELECT o.norm_years || '|' || shock || '|' || outcome || '|' || h AS spec, o.e, o.t, unnest(range({H + 2})) AS i, unnest(list_concat([ahead[h + 1], CAST(ds AS DOUBLE)], lags)) AS v
+FROM outcome_changes o JOIN (
+  SELECT norm_years, entity AS e, period_idx AS t, shock, x - lag(x) OVER (PARTITION BY norm_years, entity, shock ORDER BY period_idx) AS ds
+  FROM (SELECT norm_years, entity, period_idx, {_unpivot("shock", tb.FLAGS)} FROM season_indicators)) s ON s.norm_years = o.norm_years AND s.e = o.e AND s.t = o.t,
+  (SELECT unnest(range({H + 1})) AS h)
+WHERE ahead[h + 1] IS NOT NULL AND ds IS NOT NULL AND list_count(lags) = len(lags)"""
+
+TABLES["flag_fits"] = f"""
+WITH {within_fit("flag_projection_rows", H + 1, _BANDWIDTH, small_sample=True)}
+SELECT CAST(split_part(fit.spec, '|', 1) AS INTEGER) AS norm_years, split_part(fit.spec, '|', 2) AS shock, split_part(fit.spec, '|', 3) AS outcome,
+  CAST(split_part(fit.spec, '|', 4) AS INTEGER) AS horizon, b AS estimate, sqrt(cov.v) AS se, r2, n AS nt
+FROM fit JOIN beta ON beta.spec = fit.spec AND beta.i = 1 JOIN cov ON cov.spec = fit.spec AND cov.i = 1 AND cov.j = 1"""
+
+
+@query(
+    "E4 E10 D6 V4",
+    f"SELECT norm_years, shock, outcome, horizon, {rnd('estimate', 5)} AS estimate, {rnd('se', 5)} AS se, {rnd('r2', 6)} AS r2, nt FROM flag_fits",
+)
+def lp_season_flags(spark, sf):
+    """360 projections on the extreme-season indicators."""
+    fits = projections.project(tb.flagged_estimation(spark, sf), ENTITY, OUTCOMES, tb.FLAGS, H, KEYS)
+    return rounded(rounded(fits, 5, "estimate", "se"), 6, "r2")
+
+
+@query(
+    "V2 V4 D6 R8",
+    f"""WITH c AS (SELECT norm_years, shock, outcome, horizon, printf('%.2f', {rnd('100 * estimate', 2)}) || coalesce(' ' || {_STARS}, '') AS cell, '(' || printf('%.3f', {rnd('100 * se', 3)}) || ')' AS error
+      FROM (SELECT * FROM responses WHERE shock NOT LIKE 'deviation%' UNION ALL SELECT * FROM flag_fits)),
+    p AS ({_pivot_lines("norm_years, shock, outcome", "horizon", {str(h): f"h{h}" for h in range(H + 1)}, {1: "cell", 2: "error"}, "c")})
+    SELECT norm_years, CASE WHEN shock LIKE '%dev%' THEN 'dev' ELSE 'ext' END AS family, CASE WHEN outcome LIKE 'gdp%' THEN 'output' ELSE 'prices' END AS part, shock, outcome, line,
+      CASE WHEN line = 1 THEN outcome END AS label, {", ".join(f"h{h}" for h in range(H + 1))} FROM p""",
+)
+def lp_families_view(spark, sf):
+    """Tables of both families, anomalies and extreme seasons, from one job."""
+    shocks = [*ASYMMETRIC, *tb.FLAGS]
+    fits = projections.project(tb.flagged_estimation(spark, sf), ENTITY, OUTCOMES, shocks, H, KEYS)
+    return views.response_layout(projections.response_table(fits), KEYS, H, shocks)
+
+
 # Long-run models.
 VARIABLES = list(dict.fromkeys(v for m in longrun.MODELS.values() for v in m))
 

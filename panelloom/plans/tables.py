@@ -44,6 +44,9 @@ MODEL_PRICES = ["headline", "food", "energy"]
 MODEL_OUTPUTS = ["gdp_total", "gdp_primary", "gdp_secondary"]
 LONG_RUN_OUTPUTS = [*MODEL_OUTPUTS, "gdp_tertiary"]
 MONTHLY_PRICES = ["headline", "food", "nonfood", "services", "goods", "energy"]
+# Extreme seasons: the size of an anomaly that counts, and the indicators that are shocks of the projections.
+EXTREME = 0.3
+FLAGS = ["all_seasons", "c_winter", "h_spring", "h_summer"]
 SHOCKS = [f"{kind}_{v}" for v in ("temp", "precip") for kind in ("deviation", "pos_dev", "neg_dev")]
 
 
@@ -189,6 +192,12 @@ def estimation(spark: SparkSession, sf: str) -> DataFrame:
     return joins.complete_periods(kept, ["norm_years", "entity"])
 
 
+def flagged_estimation(spark: SparkSession, sf: str) -> DataFrame:
+    """The estimation panel with its extreme-season indicators."""
+    kept = estimation(spark, sf).withColumn("season", cal.season(cal.sub_period_of(F.col("period_idx"), 4), 4))
+    return climate.extreme_season_flags(kept, "deviation_temp", EXTREME).drop("season")
+
+
 def monthly_model_panel(spark: SparkSession, sf: str) -> DataFrame:
     """Outcomes by month with monthly weather anomalies, once per norm, on a gap-free calendar; an empty cell is NULL."""
     both = shipments(spark, sf).select("entity", "period_idx", "temp", "precip")
