@@ -178,12 +178,12 @@ FROM (SELECT o.norm_years, o.e, o.t, outcome, shock, CAST(h AS INTEGER) AS h, ah
 TABLES["month_responses"] = f"""
 WITH {within_fit("month_projection_rows", MONTHLY_H + 1, _BANDWIDTH, small_sample=True)}
 SELECT CAST(split_part(fit.spec, '|', 1) AS INTEGER) AS norm_years, split_part(fit.spec, '|', 2) AS shock, split_part(fit.spec, '|', 3) AS outcome,
-  CAST(split_part(fit.spec, '|', 4) AS INTEGER) AS horizon, b AS estimate, sqrt(cov.v) AS se, r2, n AS nt
+  CAST(split_part(fit.spec, '|', 4) AS INTEGER) AS horizon, b AS estimate, sqrt(cov.v) AS se, r2, n AS nt, entities
 FROM fit JOIN beta ON beta.spec = fit.spec AND beta.i = 1 JOIN cov ON cov.spec = fit.spec AND cov.i = 1 AND cov.j = 1"""
 
 
-# A fit needs more rows than regressors and means of the 25 nations; with fewer its numbers are NULL.
-_DETERMINED = f"nt > {25 + MONTHLY_H + 1}"
+# A fit needs more rows than regressors and means of its nations; with fewer its numbers are NULL.
+_DETERMINED = f"nt > entities + {MONTHLY_H + 1}"
 
 
 @query(
@@ -195,7 +195,6 @@ _DETERMINED = f"nt > {25 + MONTHLY_H + 1}"
 def lp_monthly(spark, sf):
     """1,620 projections: three norms, six shocks, ten outcomes, horizons 0 to 8."""
     fits = projections.project(tb.monthly_model_panel(spark, sf), ENTITY, MONTHLY_OUTCOMES, tb.SHOCKS, MONTHLY_H, KEYS)
-    fits = fits.withColumns({c: F.expr(f"CASE WHEN {_DETERMINED} THEN {c} END") for c in ("estimate", "se", "r2")})
     return rounded(rounded(fits, 5, "estimate", "se"), 6, "r2")
 
 

@@ -273,7 +273,7 @@ beta AS MATERIALIZED (SELECT inverse.spec, inverse.i, sum(inverse.v * g.v) AS b
 res AS MATERIALIZED (SELECT y.spec, y.e, y.t, any_value(y.v) - sum(x.v * b) AS u
   FROM z y JOIN z x ON x.spec = y.spec AND x.e = y.e AND x.t = y.t AND y.i = 0 AND x.i > 0
   JOIN beta ON beta.spec = x.spec AND beta.i = x.i GROUP BY 1, 2, 3),
-fit AS MATERIALIZED (SELECT res.spec, 1 - sum(u * u) / any_value(g.v) AS r2, count(*) AS n, count(DISTINCT t) AS periods,
+fit AS MATERIALIZED (SELECT res.spec, 1 - sum(u * u) / any_value(g.v) AS r2, count(*) AS n, count(DISTINCT t) AS periods, count(DISTINCT res.e) AS entities,
   {bandwidth} AS bandwidth, any_value(width) AS width
   FROM res JOIN grams g ON g.spec = res.spec AND g.i = 0 AND g.j = 0
   JOIN (SELECT spec, max(i) AS width FROM grams GROUP BY 1) w ON w.spec = res.spec GROUP BY 1),

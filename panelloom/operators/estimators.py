@@ -49,6 +49,7 @@ FIT_FIELDS = (
     pa.field("r2", pa.float64()),
     pa.field("n_obs", pa.int64()),
     pa.field("n_periods", pa.int32()),
+    pa.field("n_entities", pa.int64()),
 )
 
 
@@ -68,13 +69,14 @@ class _PeriodSums:
         self._held: dict[tuple, list] = {}
         self._bytes = 0
 
-    def add(self, key: tuple, first: int, counts: np.ndarray, sums: np.ndarray, triangle: np.ndarray) -> None:
+    def add(self, key: tuple, first: int, counts: np.ndarray, entities: int, sums: np.ndarray, triangle: np.ndarray) -> None:
         held = self._held.get(key)
         if held is None:
-            self._held[key] = [first, counts.copy(), sums.copy(), triangle]
+            self._held[key] = [first, counts.copy(), sums.copy(), triangle, entities]
             self._bytes += sums.nbytes
             return
         held[3] = _merged_triangle(held[3], triangle)
+        held[4] += entities
         start, stop = min(held[0], first), max(held[0] + len(held[1]), first + len(counts))
         if (start, stop) != (held[0], held[0] + len(held[1])):
             pad = (held[0] - start, stop - held[0] - len(held[1]))
@@ -93,7 +95,7 @@ class _PeriodSums:
 
     def drain(self, schema: pa.Schema, n_keys: int) -> Iterator[pa.RecordBatch]:
         """Pass on everything held, one batch per (group, specification), periods without rows left out."""
-        for (group, spec), (first, counts, sums, triangle) in self._held.items():
+        for (group, spec), (first, counts, sums, triangle, entities) in self._held.items():
             used = np.flatnonzero(counts)
             if not len(used):
                 continue
@@ -106,7 +108,7 @@ class _PeriodSums:
             columns += [
                 pa.array([spec] * n, pa.string()),
                 pa.array(np.append(TRIANGLE, used + first).astype("int32")),
-                pa.array(np.append(0, counts[used]).astype("int64")),
+                pa.array(np.append(entities, counts[used]).astype("int64")),
                 pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype="int32") * width), flat),
             ]
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
@@ -134,8 +136,8 @@ class _Block:
         self.known = np.isfinite(self.values)
         self.values[~self.known] = 0.0
 
-    def demeaned_products(self, columns: Sequence[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Row counts and cross products by period, over complete rows minus their entity's mean, and their triangle."""
+    def demeaned_products(self, columns: Sequence[int]) -> tuple[np.ndarray, int, np.ndarray, np.ndarray]:
+        """Row counts by period, entities, cross products by period of complete rows minus their entity's mean, triangle."""
         complete = self.known[:, columns].all(axis=1)
         weight = complete.astype(float)[:, None, :]
         z = self.values[:, columns]
@@ -144,7 +146,7 @@ class _Block:
         z *= weight
         # The outcome goes last, so that its column of the triangle is the projection on the regressors.
         rows = np.roll(z.transpose(0, 2, 1)[complete], -1, axis=1)
-        return complete.sum(axis=1), z @ z.transpose(0, 2, 1), _triangle(rows)
+        return complete.sum(axis=1), int(complete.any(axis=0).sum()), z @ z.transpose(0, 2, 1), _triangle(rows)
 
 
 def _triangle(rows: np.ndarray) -> np.ndarray:
@@ -208,7 +210,8 @@ def period_products(
 
 
 def _sums(panel: DataFrame, specs: Sequence[Spec], entity: Sequence[str], keys: Sequence[str]) -> DataFrame:
-    """``period_products``, and per group and specification a row of the period ``TRIANGLE`` with the triangle of (x, y)."""
+    """``period_products``, and per group and specification a row of the period ``TRIANGLE`` with the triangle of (x, y) and
+    the number of entities."""
     columns = sorted({c for s in specs for c in (s.y, *s.x)})
     at = {c: i for i, c in enumerate(columns)}
     layout = [(s.name, [at[c] for c in (s.y, *s.x)]) for s in specs]
@@ -275,6 +278,7 @@ def _merge_products(partial: DataFrame, keys: Sequence[str], schema: str) -> Dat
             for i, key in enumerate(ids):
                 products = flat[offsets[i] : offsets[i + 1]]
                 if key == now and key[-1] == TRIANGLE:
+                    count += counts[i]
                     both = _merged_triangle(_unpacked_triangle(total), _unpacked_triangle(products))
                     total = both[np.triu_indices(len(both))]
                     continue
@@ -375,7 +379,7 @@ def _solved_heads(sums: DataFrame, keys: Sequence[str], max_lag: int | None, sma
     names = [f.name for f in sums.select(*keys).schema.fields]
     schema = (
         f"{_key_fields(sums, keys)}spec_id string, beta array<double>, inverse array<double>, r2 double, n_obs bigint, "
-        "n_periods int, lag int, blocks array<int>"
+        "n_periods int, n_entities bigint, lag int, blocks array<int>"
     )
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -391,13 +395,14 @@ def _solved_heads(sums: DataFrame, keys: Sequence[str], max_lag: int | None, sma
             lists = pa.list_(pa.float64())
             columns = [batch.column(c) for c in (*names, "spec_id")]
             columns += [pa.array(beta, lists), pa.array(inverse, lists), pa.array(r2, pa.float64()), batch.column("n_obs")]
-            columns += [batch.column("n_periods"), pa.array(lag, pa.int32()), batch.column("blocks")]
-            yield pa.RecordBatch.from_arrays(columns, names=[*names, "spec_id", "beta", "inverse", "r2", "n_obs", "n_periods", "lag", "blocks"])
+            columns += [batch.column("n_periods"), batch.column("n_entities"), pa.array(lag, pa.int32()), batch.column("blocks")]
+            yield pa.RecordBatch.from_arrays(columns, names=[*names, "spec_id", "beta", "inverse", "r2", "n_obs", "n_periods", "n_entities", "lag", "blocks"])
 
     is_period = F.col("period_idx") != TRIANGLE
     grouped = sums.groupBy(*keys, "spec_id").agg(
         F.any_value(F.when(~is_period, F.col("products")), True).alias("triangle"),
-        F.sum("n").alias("n_obs"),
+        F.coalesce(F.sum(F.when(is_period, F.col("n"))), F.lit(0)).alias("n_obs"),
+        F.any_value(F.when(~is_period, F.col("n")), True).alias("n_entities"),
         F.count_if(is_period).cast("int").alias("n_periods"),
         F.collect_set(F.when(is_period, F.expr(_BLOCK))).alias("blocks"),
     )
@@ -517,14 +522,16 @@ def fit(
     ``max_lag`` defaults to floor(T^(1/4)) of each fit, T being the periods in which any entity has a complete row,
     also where the panel is unbalanced. ``small_sample`` scales the covariance by
     T/(T-1) (n-1)/(n-k). A regressor spanned by earlier ones is aliased: coefficient NULL, covariance 0.
+    A fit with no more rows than entities and regressors that are not aliased leaves no residual: its ``beta``, ``cov``,
+    ``aliased`` and ``r2`` are NULL.
     One row per (keys, spec): ``terms``, ``beta``, ``cov`` (row-major), ``aliased``, ``r2``, ``n_obs``,
-    ``n_periods``.
+    ``n_periods``, ``n_entities``.
     """
     terms = {s.name: list(s.x) for s in specs}
     outcome = {s.name: s.y for s in specs}
     schema = (
         f"{_key_fields(panel, keys)}spec_id string, y string, terms array<string>, beta array<double>, "
-        "cov array<double>, aliased array<boolean>, r2 double, n_obs bigint, n_periods int"
+        "cov array<double>, aliased array<boolean>, r2 double, n_obs bigint, n_periods int, n_entities bigint"
     )
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -535,6 +542,8 @@ def fit(
             *group, spec = now
             aliased = [b is None for b in head["beta"]]
             named = {"spec_id": spec, "y": outcome[spec], "terms": terms[spec], "aliased": aliased, "cov": total.tolist()}
+            if head["n_obs"] <= head["n_entities"] + len(aliased) - sum(aliased):
+                named |= dict.fromkeys(("beta", "cov", "aliased", "r2"))
             return {**dict(zip(keys, group)), **head, **named}
 
         for batch in batches:
@@ -542,7 +551,7 @@ def fit(
                 continue
             arrow = pa.schema([batch.schema.field(k) for k in keys] + list(FIT_FIELDS))
             ids = list(zip(*[batch.column(c).to_pylist() for c in (*keys, "spec_id")]))
-            fits = batch.select(["beta", "r2", "n_obs", "n_periods"]).to_pylist()
+            fits = batch.select(["beta", "r2", "n_obs", "n_periods", "n_entities"]).to_pylist()
             flat, offsets = _numbers(batch.column("cov"))
             for i, key in enumerate(ids):
                 if key != now:
@@ -566,7 +575,7 @@ def fit(
     heads = _solved_heads(sums, keys, max_lag, small_sample)
     parts = _block_covariances(_period_scores(sums, heads, keys), keys)
     ids = [*keys, "spec_id"]
-    solved = heads.select(*ids, F.lit(0).alias("part"), "beta", "r2", "n_obs", "n_periods", F.array().cast("array<double>").alias("cov"))
+    solved = heads.select(*ids, F.lit(0).alias("part"), "beta", "r2", "n_obs", "n_periods", "n_entities", F.array().cast("array<double>").alias("cov"))
     met = solved.unionByName(parts.withColumn("part", F.lit(1)), allowMissingColumns=True)
     return met.repartition(*ids).sortWithinPartitions(*ids, "part").mapInArrow(finish, schema)
 

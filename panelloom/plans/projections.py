@@ -85,7 +85,8 @@ def project(
 ) -> DataFrame:
     """Response of every outcome to every shock at every horizon, all fits in one job.
 
-    The panel is gap-free by (keys, entity). A shock that its lags span has estimate 0 and error 0.
+    The panel is gap-free by (keys, entity). A shock that its lags span has estimate 0 and error 0; a
+    fit that leaves no residual has neither.
     """
     wide = projection_columns(panel, [*keys, *entity], outcomes, shocks, horizon)
     specs = projection_specs(outcomes, shocks, horizon)
@@ -97,7 +98,7 @@ def project(
         F.get(parts, F.lit(0)).alias("shock"),
         F.get(parts, F.lit(1)).alias("outcome"),
         F.get(parts, F.lit(2)).cast("int").alias("horizon"),
-        F.coalesce(first("beta"), F.lit(0.0)).alias("estimate"),
+        F.when(F.col("beta").isNotNull(), F.coalesce(first("beta"), F.lit(0.0))).alias("estimate"),
         F.sqrt(first("cov")).alias("se"),
         "r2",
         F.col("n_obs").alias("nt"),

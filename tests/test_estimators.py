@@ -85,6 +85,17 @@ def test_exact_fit(spark):
     assert row["se"] == pytest.approx(0.0, abs=1e-7)
 
 
+def test_fit_without_residual_is_null(spark):
+    # Two entities and one regressor: three rows leave no residual, four do.
+    data = simulated(n_entities=2, n_periods=2, seed=2, missing=False)
+    for rows, known in ((data, True), (data[:3], False)):
+        fitted = estimators.fit(frame(spark, rows), SPECS[:1], ["e"]).first()
+        assert fitted["n_obs"] == len(rows) and fitted["n_entities"] == 2
+        assert [fitted[c] is not None for c in ("beta", "cov", "aliased", "r2")] == [known] * 4
+        row = estimates(estimators.fit(frame(spark, rows), SPECS[:1], ["e"]))[("one", "x1")]
+        assert (row["estimate"] is not None, row["se"] is not None) == (known, known)
+
+
 def test_batch_equals_one_by_one(spark):
     df = frame(spark, simulated(seed=3))
     batch = estimates(estimators.fit(df, SPECS, ["e"]))
