@@ -41,13 +41,23 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mix(docs)
 
 
+def stored(spark: SparkSession, df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read again."""
+    path = scratch_path(spark, "pipeline")
+    df.write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """``doc_id, source, n_tokens, ids, round_trip``: the identifiers, and whether they decode to the text's bytes."""
+    """``doc_id, source, n_tokens, ids, round_trip``: the identifiers, and whether they decode to the text's bytes.
+
+    Each step is written: chained, every task would hold one Python worker for each of them, and Spark keeps them all.
+    """
     keyed = docs.select("doc_id", "source", "text", F.expr("sha2(CAST(coalesce(text, '') AS BINARY), 256)").alias("digest"))
-    packed = byte_bpe.encode(keyed, ["doc_id", "source", "digest"]).withColumn("packed", F.col("ids"))
+    packed = stored(spark, byte_bpe.encode(keyed, ["doc_id", "source", "digest"])).withColumn("packed", F.col("ids"))
     decoded = byte_bpe.decode(packed, ["doc_id", "source", "digest", "n_tokens", "packed"])
     checked = decoded.selectExpr("doc_id", "source", "n_tokens", "packed AS ids", "sha2(decoded, 256) = digest AS round_trip")
-    return byte_bpe.unpacked(checked)
+    return byte_bpe.unpacked(stored(spark, checked))
 
 
 STAGES = [
@@ -65,8 +75,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents; each result is written to the shared folder and read again."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        path = scratch_path(spark, "pipeline")
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+    for _, stage in STAGES:
+        docs = stored(spark, stage(spark, docs, sf_dir))
     return docs

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import sys
 import types
 from collections.abc import Callable, Iterator, Sequence
@@ -33,7 +34,16 @@ def small_batches(spark: SparkSession) -> None:
 
 def map_arrow(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     small_batches(df.sparkSession)
-    return df.mapInArrow(function, schema)
+    owner = function.__module__
+
+    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        states_for(owner)
+        try:
+            yield from function(batches)
+        finally:
+            give_back()
+
+    return df.mapInArrow(mapped, schema)
 
 
 def written(df: DataFrame) -> DataFrame:
@@ -73,6 +83,22 @@ def words_of(text: str) -> list[bytes]:
 STATES = 2
 
 
+def states_for(owner: str) -> None:
+    """Free the states of other operators than ``owner``: a worker outlives queries and pipeline stages."""
+    worker = sys.modules.setdefault("_panelloom_worker", types.ModuleType("_panelloom_worker")).__dict__
+    if worker.get("owner") != owner:
+        worker["owner"] = owner
+        worker.get("states", {}).clear()
+
+
+def give_back() -> None:
+    """Return freed memory to the system: a worker that waits for its next task keeps its states alone."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def worker_state(key: tuple, make: Callable[[], object], version: str = "") -> object:
     """What ``make`` returns, made once in each Python worker and kept for its later tasks; another version replaces it,
     and the state least lately asked for goes when there are more than ``STATES``.

@@ -260,3 +260,26 @@ def test_pipeline(spark, rude, tmp_path):
             assert 900 not in {r.doc_id for r in kept.collect()} or 0 not in {r.doc_id for r in kept.collect()}
     assert kept.where("NOT round_trip").isEmpty() and kept.count() == before.count()
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == kept.count()
+
+
+def test_pipeline_encodes_with_one_python_worker_a_task(spark, odd_docs, monkeypatch):
+    import corpus_pipeline
+
+    plans = []
+    write = corpus_pipeline.stored
+    monkeypatch.setattr(corpus_pipeline, "stored", lambda s, df: plans.append(df) or write(s, df))
+    plans.append(corpus_pipeline.encode(spark, odd_docs, ""))
+    assert [df._jdf.queryExecution().executedPlan().toString().count("MapInArrow") for df in plans] == [1, 1, 1]
+    assert all(r.round_trip and len(r.ids) == r.n_tokens for r in plans[-1].collect())
+
+
+def test_states_of_other_operators_are_freed():
+    from panelloom.llm import common
+
+    common.states_for("one")
+    state = common.worker_state(("s",), object)
+    common.states_for("one")
+    assert common.worker_state(("s",), object) is state
+    common.states_for("two")
+    assert common.worker_state(("s",), object) is not state
+    common.give_back()
