@@ -36,6 +36,8 @@ from panelloom.llm.common import map_arrow, texts_of, worker_state
 TOKENIZER, END = "byte_bpe_50k.json", 0
 # Identifiers from which a segment is closed, and bits of one entry of the rank directory.
 SEGMENT, BLOCK = 1 << 18, 512
+# Bytes of the words that a worker knows.
+KNOWN_BYTES = 1 << 26
 # Bytes of the texts that are encoded together, and characters of one text handed to the library.
 ROUND_BYTES, BATCH_CHARS = 1 << 24, 1 << 16
 MAGIC = b"DAC1"
@@ -142,7 +144,8 @@ class Places(dict):
 
 
 class Encoder:
-    """The library's identifiers. Texts are encoded together, each of their different words once.
+    """The library's identifiers. Texts are encoded together, each of their different words once; words of earlier texts
+    are known, until they and their identifiers take ``KNOWN_BYTES``.
 
     Words are joined to longer texts for the library, which knows no faster way than a long text; where one ends is read
     from the bytes that its identifiers stand for.
@@ -162,6 +165,31 @@ class Encoder:
         self.bytes = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
         for token, i in self.tokenizer.get_vocab().items():
             self.bytes[i] = len(token)
+        self.forget()
+
+    def forget(self) -> None:
+        self.known, self.odd = pa.array([], pa.string()), np.zeros(0, bool)
+        self.coded, self.first, self.count = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def learn(self, words: pa.Array) -> np.ndarray:
+        """The places of the different ``words`` among the known ones, where new ones come last."""
+        if sum(x.nbytes for x in (self.known, self.odd, self.coded, self.first, self.count)) >= KNOWN_BYTES:
+            self.forget()
+        places = pc.fill_null(pc.index_in(words, value_set=self.known), -1).to_numpy().astype(np.int64)
+        new = places < 0
+        if new.any():
+            places[new] = len(self.known) + np.arange(new.sum())
+            fresh = words.filter(pa.array(new))
+            spelled = fresh.to_pylist()
+            ids, first, count = self.words(spelled)
+            odd = np.zeros(len(spelled), bool)
+            if OTHER_SPACE.search("".join(spelled)):
+                odd[[i for i, w in enumerate(spelled) if OTHER_SPACE.search(w)]] = True
+            first += len(self.coded)
+            self.known = pa.concat_arrays([self.known, fresh])
+            for name, more in (("odd", odd), ("coded", ids), ("first", first), ("count", count)):
+                setattr(self, name, np.concatenate([getattr(self, name), more]))
+        return places
 
     def library(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -199,26 +227,27 @@ class Encoder:
                 ragged |= test(texts, pattern).to_numpy(zero_copy_only=False)
         lists = pc.split_pattern(pc.if_else(pa.array(ragged), "", texts), " ")
         words, starts = lists.flatten(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
-        coded = words.dictionary_encode()
-        spaced, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        spaced = words.dictionary_encode()
+        codes = spaced.indices.to_numpy()
         # Words without a space before them, or with other white space.
         bare = Places()
         heads = []
         for r in range(len(texts)):
             some = CHUNK.findall(texts[r].as_py()) if ragged[r] else [w for w in (words[int(starts[r])].as_py(),) if w]
             heads.append(np.fromiter(map(bare.__getitem__, some), np.int64, len(some)))
-        every = [*bare, *[" " + w for w in spaced]]
-        odd = {i for i, w in enumerate(every) if OTHER_SPACE.search(w)} if OTHER_SPACE.search("".join(every)) else ()
-        ids, first, count = self.words(every)
+        every = pa.concat_arrays([pa.array(list(bare), pa.string()), pc.binary_join_element_wise("", spaced.dictionary, " ")]).dictionary_encode()
+        places = self.learn(every.dictionary)[every.indices.to_numpy()]
+        own, codes = places[: len(bare)], places[len(bare) :][codes]
+        strange = self.odd.any()
         out = []
         for r, head in enumerate(heads):
-            places = np.concatenate([head, codes[starts[r] + 1 : starts[r + 1]] + len(bare)])
-            if odd and not odd.isdisjoint(places.tolist()):
+            places = np.concatenate([own[head], codes[starts[r] + 1 : starts[r + 1]]])
+            if strange and self.odd[places].any():
                 out += self.library([texts[r].as_py()])
                 continue
-            n = count[places]
+            n = self.count[places]
             before = np.cumsum(n) - n
-            out.append(ids[np.repeat(first[places] - before, n) + np.arange(n.sum())])
+            out.append(self.coded[np.repeat(self.first[places] - before, n) + np.arange(n.sum())])
         return out
 
 

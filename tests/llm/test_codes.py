@@ -75,3 +75,19 @@ def test_odd_rows_segments_and_tokens_at(spark, monkeypatch, library, odd_docs,
     empty = scratch_path(spark, "codes")
     direct_codes.write(no_docs, empty)
     assert direct_codes.read(spark, empty).count() == 0
+
+
+@pytest.mark.parametrize("bound", [0, 2000, 1 << 26])
+def test_words_of_earlier_texts_are_not_encoded_again(monkeypatch, library, odd_pairs, bound):
+    import public_tokenizers
+    import pyarrow as pa
+
+    monkeypatch.setattr(direct_codes, "KNOWN_BYTES", bound)
+    encoder = direct_codes.Encoder(public_tokenizers.path(direct_codes.TOKENIZER))
+    encoded = []
+    words = encoder.words
+    encoder.words = lambda some: encoded.extend(some) or words(some)
+    texts = [*(t or "" for _, t in odd_pairs), "a  b", " a b", "x\xa0y　 z\x85\x1d w", "a b\n c", "\ta b "]
+    for some in (texts, texts[::-1], texts[:3], [*texts, "unseen before"], [""], texts):
+        assert [i.tolist() for i in encoder.ids(pa.array(some))] == [library(t)[:-1] for t in some]
+    assert bound == 0 or bound == 2000 or len(encoded) == len(set(encoded))
