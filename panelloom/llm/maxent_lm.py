@@ -22,16 +22,15 @@ from __future__ import annotations
 import math
 import uuid
 import zlib
-from collections import Counter
 from dataclasses import dataclass
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelloom.llm.common import map_arrow, texts_of, words_of, worker_state, written
+from panelloom.llm.common import map_arrow, texts_of, worker_state, written
 
 CLASSES, WIDTH, RARE = 32, 64, 16
 COMMON = 200_000
@@ -41,6 +40,8 @@ CLASS_ROWS, WORD_ROWS = 1 << 14, 1 << 15
 ROUNDS = 2
 STEP, MINIBATCH = 0.15, 4096
 BOUNDS = -30, 15
+# Bytes of words that are counted together.
+COUNT_BYTES = 1 << 25
 # The end of a text as a token; no word holds a line break.
 END = b"\n"
 TOKENS = CLASSES * WIDTH
@@ -48,10 +49,13 @@ START = TOKENS + RARE
 LOG10 = math.log(10)
 
 
-def tokens_of(text: str) -> list[bytes]:
-    words = words_of(text)
-    words.append(END)
-    return words
+def words_in(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts, without their end tokens, and how many come before each text."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    words, edges = lists.flatten().cast(pa.binary()), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+    # White space at either end leaves an empty word.
+    full = pc.binary_length(words).to_numpy() > 0
+    return words.filter(pa.array(full)), np.append(0, np.cumsum(full))[edges]
 
 
 def rare_class(word: bytes) -> int:
@@ -65,17 +69,21 @@ def token_counts(docs: DataFrame) -> DataFrame:
     """``token, count`` over the whole texts; each task adds up before the shuffle."""
 
     def count(batches):
-        held: Counter[bytes] = Counter()
+        held: list[pa.Array] = []
+        ends = 0
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                held.update(tokens_of(text))
-            if len(held) > 400_000:
-                yield out(held)
-                held.clear()
-        yield out(held)
-
-    def out(held):
-        return pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.binary()), pa.array(held.values(), pa.int64())], names=["token", "count"])
+            held.append(words_in(batch.column(0))[0])
+            ends += batch.num_rows
+            if sum(words.nbytes for words in held) >= COUNT_BYTES:
+                yield out(held, ends)
+                held, ends = [], 0
+        yield out(held, ends)
+
+    def out(held, ends):
+        tokens, times = pa.chunked_array(held, pa.binary()).value_counts().flatten()
+        columns = [pa.concat_arrays([c, pa.array([x], c.type)]) for c, x in ((tokens, END), (times, ends))]
+        found = pa.RecordBatch.from_arrays(columns, names=["token", "count"])
+        return found if ends else found.slice(0, 0)
 
     return map_arrow(texts_of(docs, []), count, "token binary, count bigint").groupBy("token").agg(F.sum("count").alias("count"))
 
@@ -95,9 +103,6 @@ class Vocabulary:
         """The fields alone: what is broadcast must load where this package is missing."""
         return self.tokens, self.counts, self.total, self.distinct, self.rare_total, self.rare_distinct
 
-    def index(self) -> dict[bytes, int]:
-        return {t: i for i, t in enumerate(self.tokens)}
-
 
 def _least_count(counts: DataFrame, common: int) -> int:
     """The largest count that more than ``common`` tokens reach (0: none); each look at the table brings ``LEVELS`` rows
@@ -193,7 +198,9 @@ class Reader:
     """Turns texts into numbers: for each token its place among the common ones (-1: none) and its model id."""
 
     def __init__(self, vocabulary: Vocabulary):
-        self.index = vocabulary.index()
+        self.tokens = pa.array(vocabulary.tokens, pa.binary())
+        self.one = np.array([rare_class(bytes([a])) for a in range(256)])
+        self.two = np.array([rare_class(bytes([a, b])) for a in range(256) for b in range(256)])
         n = len(vocabulary.tokens)
         self.model_id = np.arange(n)
         for i in range(TOKENS, n):
@@ -205,19 +212,32 @@ class Reader:
         if n > TOKENS:
             self.in_rare[TOKENS:] = np.log10((vocabulary.counts[TOKENS:] + 1) / self.denominator[self.model_id[TOKENS:] - TOKENS])
 
-    def read(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+    def read(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
         """Place and model id of all tokens, where each text begins, and the tokens of place -1 in order."""
-        words, begin = [], [0]
-        for text in texts:
-            words += tokens_of(text)
-            begin.append(len(words))
-        index = self.index
-        place = np.fromiter(map(index.get, words, repeat(-1)), np.int64, len(words))
+        words, before = words_in(texts)
+        begin = before + np.arange(len(before))
+        # Of each token its word; the end has the number after the last.
+        which = np.full(begin[-1], len(words))
+        inside = np.ones(len(which), bool)
+        inside[begin[1:] - 1] = False
+        which[inside] = np.arange(len(words))
+        words = pa.concat_arrays([words, pa.array([END], pa.binary())])
+        place = pc.fill_null(pc.index_in(words, value_set=self.tokens), -1).to_numpy().astype(np.int64)[which]
         ids = self.model_id[place] if len(self.model_id) else np.zeros(len(place), np.int64)
         unknown = np.flatnonzero(place < 0)
-        rare = [words[i] for i in unknown.tolist()]
-        ids[unknown] = [TOKENS + rare_class(w) for w in rare]
-        return place, ids, np.array(begin), rare
+        rare = words.take(pa.array(which[unknown]))
+        ids[unknown] = TOKENS + self.rare_classes(rare)
+        return place, ids, begin, rare
+
+    def rare_classes(self, words: pa.Array) -> np.ndarray:
+        """``rare_class`` of words that are not empty, from their last bytes."""
+        if not len(words):
+            return np.zeros(0, np.int64)
+        _, edges, letters = words.buffers()
+        end = np.frombuffer(edges, np.int32)[words.offset + 1 : words.offset + len(words) + 1]
+        data = np.frombuffer(letters, np.uint8)
+        last, before = data[end - 1].astype(np.int64), data[np.maximum(end - 2, 0)].astype(np.int64)
+        return np.where(pc.binary_length(words).to_numpy() > 1, self.two[before * 256 + last], self.one[last])
 
 
 def contexts(ids: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -304,10 +324,11 @@ def trained(docs: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) -> We
             before = Weights(*now.value)
             trainer = Trainer(before)
             for batch in batches:
-                texts = batch.column(0).to_pylist()
-                for at in range(0, len(texts), 128):
-                    _, ids, begin, _ = reader.read(texts[at : at + 128])
-                    trainer.learn(ids, *contexts(ids, begin))
+                _, ids, begin, _ = reader.read(batch.column(0))
+                for at in range(0, len(begin) - 1, 128):
+                    edges = begin[at : at + 129]
+                    some = ids[edges[0] : edges[-1]]
+                    trainer.learn(some, *contexts(some, edges - edges[0]))
             for t, old in enumerate((before.classes, before.words)):
                 rows = np.flatnonzero(trainer.used[t])
                 for at in range(0, len(rows), 4096):
@@ -359,20 +380,18 @@ def scored(docs: DataFrame, training: str) -> DataFrame:
         reader = worker_state(("reader",), lambda: Reader(Vocabulary(*shared.value)), mark)
         model = Weights(*tables.value)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            out = []
-            for at in range(0, len(texts), 128):
-                place, ids, begin, rare = reader.read(texts[at : at + 128])
-                known = place >= 0
-                base, share = np.zeros(len(place)), np.zeros(len(place))
-                base[known], share[known] = reader.base[place[known]], reader.in_rare[place[known]]
-                share += token_scores(model, ids, *contexts(ids, begin)) / LOG10
-                missing = np.append(0, np.cumsum(~known))[begin]
-                for i in range(len(begin) - 1):
-                    s = slice(begin[i], begin[i + 1])
-                    out.append((begin[i + 1] - begin[i], int(known[s].sum()), base[s].sum(), share[s].sum(), rare[missing[i] : missing[i + 1]]))
-            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()))
-            columns = [pa.array(c, k) for c, k in zip(zip(*out), kinds)] if out else [pa.array([], k) for k in kinds]
+            place, ids, begin, rare = reader.read(batch.column(1))
+            known = place >= 0
+            base, share = np.zeros(len(place)), np.zeros(len(place))
+            base[known], share[known] = reader.base[place[known]], reader.in_rare[place[known]]
+            for at in range(0, len(begin) - 1, 128):
+                edges = begin[at : at + 129]
+                s = slice(edges[0], edges[-1])
+                share[s] += token_scores(model, ids[s], *contexts(ids[s], edges - edges[0])) / LOG10
+            texts = [slice(a, b) for a, b in zip(begin[:-1].tolist(), begin[1:].tolist())]
+            sums = [pa.array([column[s].sum() for s in texts], pa.float64()) for column in (base, share)]
+            missing = np.append(0, np.cumsum(~known))[begin]
+            columns = [pa.array(np.diff(begin)), pa.array(np.diff(begin) - np.diff(missing)), *sums, pa.ListArray.from_arrays(pa.array(missing, pa.int32()), rare)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", "n_tokens", "known", "base", "model", "rare"])
 
     rows = texts_of(docs, ["doc_id"])

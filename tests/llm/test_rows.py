@@ -283,3 +283,33 @@ def test_states_of_other_operators_are_freed():
     common.states_for("two")
     assert common.worker_state(("s",), object) is not state
     common.give_back()
+
+
+def test_words_are_read_in_columns(odd_pairs, monkeypatch):
+    import pyarrow as pa
+
+    from panelloom.llm.common import words_of
+
+    texts = [t or "" for _, t in odd_pairs] + ["", " \n", "\x0bA\x0cb \x1cc\x85 É　X  y\r\n", "<|z|>"]
+    expected = [[*words_of(t), maxent_lm.END] for t in texts]
+    tokens = [w for w, _ in Counter(w for row in expected for w in row).most_common(maxent_lm.TOKENS + 90)]
+    counts = np.arange(len(tokens), 0, -1)
+    zeros = np.ones(maxent_lm.RARE, np.int64)
+    for known in (tokens, [w for w in tokens if w != maxent_lm.END][:50], []):
+        reader = maxent_lm.Reader(maxent_lm.Vocabulary(known, counts[: len(known)], 10, 3, zeros, zeros))
+        # A slice, as Arrow hands them over.
+        place, ids, begin, rare = reader.read(pa.array(["x y", *texts])[1:])
+        flat = [w for row in expected for w in row]
+        assert place.tolist() == [known.index(w) if w in known else -1 for w in flat]
+        assert ids.tolist() == [p if 0 <= p < maxent_lm.TOKENS else maxent_lm.TOKENS + maxent_lm.rare_class(w) for p, w in zip(place.tolist(), flat)]
+        assert np.diff(begin).tolist() == [len(row) for row in expected]
+        assert rare.to_pylist() == [w for p, w in zip(place.tolist(), flat) if p < 0]
+
+
+def test_token_counts_in_small_blocks(spark, odd_docs, odd_pairs, no_docs, monkeypatch):
+    from panelloom.llm.common import words_of
+
+    monkeypatch.setattr(maxent_lm, "COUNT_BYTES", 500)
+    found = {bytes(r.token): r["count"] for r in maxent_lm.token_counts(odd_docs).collect()}
+    assert found == Counter(w for _, t in odd_pairs for w in [*words_of(t or ""), maxent_lm.END])
+    assert maxent_lm.token_counts(no_docs).isEmpty()
