@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import uuid
 from collections import Counter
 
 import numpy as np
@@ -240,6 +241,38 @@ def test_components_of_chains_and_stars(spark):
     assert components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
 
 
+def jobs_of(spark, run):
+    """What ``run`` returns, and how many Spark jobs it took."""
+    context, group = spark.sparkContext, uuid.uuid4().hex
+    context.setJobGroup(group, "counted")
+    try:
+        return run(), len(context.statusTracker().getJobIdsForGroup(group))
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_few_links_need_no_rounds(spark):
+    # Each round leaves shuffle files and events behind, as many as there are partitions.
+    links = spark.createDataFrame([(i, i + 1) for i in range(300)], "a bigint, b bigint")
+    found, jobs = jobs_of(spark, lambda: dict(components(links).collect()))
+    assert found == {i: 0 for i in range(301)}
+    assert jobs <= 8
+
+
+@pytest.mark.parametrize("most", [7, 40])
+def test_components_of_many_tasks(spark, monkeypatch, most):
+    monkeypatch.setattr("panelloom.llm.components.LINKS", most)
+    rnd = random.Random(most)
+    links = [(rnd.randrange(90), rnd.randrange(90)) for _ in range(60)] + [(500 + i, 501 + i) for i in range(50)]
+    rnd.shuffle(links)
+    up = {x: x for link in links if link[0] != link[1] for x in link}
+    for _ in up:
+        for a, b in links:
+            if a != b:
+                up[a] = up[b] = min(up[a], up[b])
+    assert sorted(components(spark.createDataFrame(links, "a bigint, b bigint").repartition(5)).collect()) == sorted(up.items())
+
+
 def brute_vectors(rows, threshold):
     ok = [v is not None and l is not None and all(x is not None and math.isfinite(x) for x in v) and any(v) for _, v, l in rows]
     cos = lambda a, b: np.dot(a, b) / np.linalg.norm(a) / np.linalg.norm(b)
