@@ -45,6 +45,7 @@ class RankFile:
         for token, r in ranks.items():
             self.bytes[r] = token
         self.length = [len(b) for b in self.bytes]
+        self.packed = [r.to_bytes(4, "little") for r in range(self.size)]
         self.automaton = ahocorasick.Automaton()
         for token, r in ranks.items():
             self.automaton.add_word(token.decode("latin-1"), r)
@@ -99,38 +100,45 @@ class RankFile:
         whole = self.rank.get(data)
         if whole is not None:
             return [whole]
-        n, length, shorter = len(data), self.length, self.shorter
-        longest = [-1] * (n + 1)
-        for end, token in self.automaton.iter(data.decode("latin-1")):
-            start = end + 1 - length[token]
-            if longest[start] < 0 or length[longest[start]] < length[token]:
-                longest[start] = token
-        open_at = bytearray(b"\x01") * (n + 1)
+        text, n, length, shorter = data.decode("latin-1"), len(data), self.length, self.shorter
+        fitting, failed = self.fitting, set()
         out: list[int] = []
-        at, token = 0, longest[0]
-        while token >= 0:
-            last = out[-1] if out else -1
-            end = at + length[token]
-            if open_at[end] and (last < 0 or self.fits(last, token)):
+        at, last = 0, -1
+        while at < n:
+            # The longest matches from here on, one after the other, as far as they fit.
+            token = -1
+            for stop, token in self.automaton.iter_long(text, at):
+                end = at + length[token]
+                if end != stop + 1:
+                    token = -1
+                    break
+                if end in failed or last >= 0 and not (fitting.get((last, token)) or self.fits(last, token)):
+                    break
                 out.append(token)
-                at, token = end, longest[end]
-            elif shorter[token] >= 0:
+                at, last = end, token
+            if at == n:
+                break
+            if token < 0 or token == last and at == end:
+                raise ValueError("bytes that no token covers")
+            while True:
                 token = shorter[token]
-            else:
-                open_at[at] = 0
-                if last < 0:
-                    raise ValueError("bytes that no token covers")
-                out.pop()
-                at, token = at - length[last], last
-        if at != n:
-            raise ValueError("bytes that no token covers")
+                if token < 0:
+                    failed.add(at)
+                    if last < 0:
+                        raise ValueError("bytes that no token covers")
+                    token = out.pop()
+                    at, last = at - length[token], out[-1] if out else -1
+                elif at + length[token] not in failed and (last < 0 or fitting.get((last, token)) or self.fits(last, token)):
+                    out.append(token)
+                    at, last = at + length[token], token
+                    break
         return out
 
     def word(self, chunk: str) -> bytes:
         ids: list[int] = []
         for match in self.pattern.findall(chunk):
             ids += self.piece(match.encode("utf-8"))
-        return np.array(ids, "<u4").tobytes()
+        return b"".join(map(self.packed.__getitem__, ids))
 
     def encode(self, text: str) -> bytes:
         """The identifiers as little-endian unsigned 32-bit integers."""

@@ -118,16 +118,21 @@ def worker_state(key: tuple, make: Callable[[], object], version: str = "") -> o
 
 
 class Memo(dict):
-    """Results of ``compute`` by key; at most ``most`` are held, and none of a key longer than ``longest``."""
+    """Results of ``compute`` by key; at most ``most`` are held, and none of a key longer than ``longest``. When the newer
+    half is full the older one goes; what is asked for again meanwhile moves to the newer one."""
 
     def __init__(self, compute: Callable, most: int, longest: int = 48):
         super().__init__()
         self.compute, self.most, self.longest = compute, most, longest
+        self.older: dict = {}
 
     def __missing__(self, key):
-        value = self.compute(key)
+        value = self.older.get(key)
+        if value is None:
+            value = self.compute(key)
         if len(key) <= self.longest:
-            if len(self) >= self.most:
+            if len(self) >= self.most // 2:
+                self.older = dict(self)
                 self.clear()
             self[key] = value
         return value

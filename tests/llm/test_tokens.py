@@ -12,6 +12,7 @@ from hypothesis import given, settings  # noqa: E402
 from hypothesis import strategies as st  # noqa: E402
 
 from panelloom.llm import byte_bpe, piece_counts  # noqa: E402
+from panelloom.llm.common import Memo  # noqa: E402
 
 BPE_FILE, PIECE_FILE = P.path("byte_bpe_multi_50k.tiktoken"), P.path("piece_bpe_32k.model")
 
@@ -52,6 +53,52 @@ def test_bpe_equals_the_library(own_bpe, library_bpe, text):
     assert own_bpe.decode(packed) == text.encode()
 
 
+class Counting:
+    """An automaton that counts the matches it gives."""
+
+    def __init__(self, automaton):
+        self.automaton, self.given = automaton, 0
+
+    def matches(self, found):
+        for match in found:
+            self.given += 1
+            yield match
+
+    def iter(self, *where):
+        return self.matches(self.automaton.iter(*where))
+
+    def iter_long(self, *where):
+        return self.matches(self.automaton.iter_long(*where))
+
+
+def test_only_matches_on_the_way_are_looked_at(own_bpe, library_bpe, monkeypatch):
+    # Most matches of a word start inside its tokens and are never asked for.
+    counting = Counting(own_bpe.automaton)
+    monkeypatch.setattr(own_bpe, "automaton", counting)
+    word = " internationalisationsverfahrensweise"
+    assert own_bpe.piece(word.encode()) == library_bpe.encode_ordinary(word)
+    assert counting.given < len(word)
+
+
+@pytest.mark.parametrize("data", [b"ac", b"ca", b"abcab", b"c"])
+def test_bytes_without_a_token_are_an_error(tmp_path, data):
+    ranks = tmp_path / "ranks"
+    ranks.write_bytes(b"".join(base64.b64encode(t) + b" %d\n" % i for i, t in enumerate([b"a", b"b", b"ab"])))
+    small = byte_bpe.RankFile(str(ranks), ".+")
+    assert small.piece(b"abaab") == [2, 0, 2]
+    with pytest.raises(ValueError, match="no token covers"):
+        small.piece(data)
+
+
+def test_what_is_asked_for_again_stays_known():
+    made = []
+    memo = Memo(lambda key: made.append(key) or key.upper(), 8)
+    for i in range(200):
+        assert memo["often"] == "OFTEN" and memo[f"once {i}"] == f"ONCE {i}"
+        assert len(memo) + len(memo.older) <= 8
+    assert made.count("often") == 1
+
+
 @settings(max_examples=400, deadline=None)
 @given(text=texts)
 def test_counts_equal_the_library(own_pieces, library_pieces, text):
