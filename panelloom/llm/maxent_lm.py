@@ -268,6 +268,20 @@ def token_scores(weights: Weights, ids: np.ndarray, one: np.ndarray, two: np.nda
     return out
 
 
+def summed(values: np.ndarray, order: np.ndarray, edge: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Sums of the rows of ``values`` over stretches of ``order``, which start at ``edge`` and have ``count`` rows."""
+    out = np.take(values, order[edge], axis=0)
+    two = np.flatnonzero(count == 2)
+    out[two] += np.take(values, order[edge[two] + 1], axis=0)
+    more = np.flatnonzero(count > 2)
+    if len(more):
+        rows, size = order[np.repeat(count > 2, count)], count[more]
+        # Sums of pairs of numbers take half the steps.
+        pairs = np.take(values, rows, axis=0).view(np.complex64)
+        out[more] = np.add.reduceat(pairs, np.cumsum(size) - size, axis=0).view(np.float32)
+    return out
+
+
 class Trainer:
     """Gradient steps of one task from given weights."""
 
@@ -288,8 +302,7 @@ class Trainer:
             row = kind[order]
             edge = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
             touched, count = row[edge], np.diff(np.append(edge, len(order)))
-            # Sums of pairs of numbers take half the steps.
-            gradient = np.add.reduceat(np.take(push, order, axis=0).view(np.complex64), edge, axis=0).view(np.float32)
+            gradient = summed(push, order, edge, count)
             gradient *= (count**-0.5).astype(np.float32)[:, None]
             new = squares[touched] + np.einsum("ij,ij->i", gradient, gradient) / gradient.shape[1]
             squares[touched] = new
@@ -316,6 +329,7 @@ def trained(docs: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) -> We
     mark = uuid.uuid4().hex
     shared = context.broadcast(vocabulary.plain())
     texts = texts_of(docs, [])
+    shapes = [table.shape for table in (weights.classes, weights.words)]
     for part in range(rounds):
         now = context.broadcast((weights.classes, weights.words))
 
@@ -340,17 +354,24 @@ def trained(docs: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) -> We
                     )
 
         def averaged(batches):
-            sums: dict[tuple[int, int], list] = {}
+            held = [(np.zeros(n, np.int64), np.zeros((n, width))) for n, width in shapes]
             for batch in batches:
-                for t, row, used, change in zip(*(c.to_pylist() for c in batch.columns)):
-                    held = sums.setdefault((t, row), [0, 0.0])
-                    held[0] += used
-                    held[1] = held[1] + used * np.frombuffer(change, np.float16).astype(np.float64)
-            keys = list(sums)
-            values = [(s[1] / s[0]).astype(np.float32).tobytes() for s in sums.values()]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array(values, pa.binary())], names=["t", "row", "change"]
-            )
+                kind, row, used = (c.to_numpy() for c in batch.columns[:3])
+                for t, (uses, sums) in enumerate(held):
+                    mine = np.flatnonzero(kind == t)
+                    changes = np.frombuffer(b"".join(batch.column(3).take(pa.array(mine)).to_pylist()), np.float16).reshape(-1, sums.shape[1])
+                    changes = used[mine, None] * changes.astype(np.float64)
+                    np.add.at(uses, row[mine], used[mine])
+                    while len(mine):
+                        # One change of each row at a time.
+                        _, first = np.unique(row[mine], return_index=True)
+                        sums[row[mine[first]]] += changes[first]
+                        mine, changes = np.delete(mine, first), np.delete(changes, first, axis=0)
+            for t, (uses, sums) in enumerate(held):
+                rows = np.flatnonzero(uses)
+                values = [v.tobytes() for v in (sums[rows] / uses[rows, None]).astype(np.float32)]
+                columns = [pa.array(np.full(len(rows), t)), pa.array(rows), pa.array(values, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["t", "row", "change"])
 
         mine = texts.where(f"pmod(xxhash64(_text), {rounds}) = {part}")
         changes = map_arrow(mine, learn, "t bigint, row bigint, used bigint, change binary")

@@ -313,3 +313,14 @@ def test_token_counts_in_small_blocks(spark, odd_docs, odd_pairs, no_docs, monke
     found = {bytes(r.token): r["count"] for r in maxent_lm.token_counts(odd_docs).collect()}
     assert found == Counter(w for _, t in odd_pairs for w in [*words_of(t or ""), maxent_lm.END])
     assert maxent_lm.token_counts(no_docs).isEmpty()
+
+
+def test_sums_of_stretches_of_rows():
+    random = np.random.default_rng(5)
+    values = random.standard_normal((300, 6)).astype(np.float32)
+    for kind in (random.integers(0, 2000, 300), random.integers(0, 90, 300), np.zeros(300, np.int64), np.arange(300)):
+        order = np.argsort(kind, kind="stable")
+        row = kind[order]
+        edge = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
+        expected = np.add.reduceat(values[order].view(np.complex64), edge, axis=0).view(np.float32)
+        assert np.array_equal(maxent_lm.summed(values, order, edge, np.diff(np.append(edge, 300))), expected)
